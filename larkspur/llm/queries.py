@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, mix, rules, simhash
+from larkspur.llm import bpe, chat, lang_id, media, mix, quality, rules, simhash, token_store, warc
+from larkspur.llm.common import new_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _fold(column: str, n: int) -> Column:
+    """crc32 of an id as text, modulo n."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = lang_id.learn(docs, _fold("doc_id", 3) != 1)
+    held_out = F.coalesce(_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return lang_id.identify(docs.select("doc_id", "text", held_out), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(told).alias("text"))
@@ -100,6 +117,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.write(_read(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# Base32 of 20 bytes: each 5 hex digits are 20 bits, 4 characters.
+OP5_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY sha, payload_bytes) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform(range(0, 4), lambda c:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, 5 * g::INTEGER + 1, 5))::INTEGER >> (15 - 5 * c::INTEGER)) & 31) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.replicate(_read(spark, sf_dir, "documents"))
 
@@ -108,11 +143,35 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "quality")
+    scorer = quality.learn(docs, labels, _fold("id", 4) != 2)
+    held_out = F.coalesce(_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return quality.score(docs.select("doc_id", "text", held_out), scorer).select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.media_columns(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames")
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "tokens")
+    token_store.write(_read(spark, sf_dir, "documents"), folder)
+    return token_store.read_documents(spark, folder)
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_bpe": op2_bpe,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
+    "op5_warc": op5_warc,
     "op6_source_mix": op6_source_mix,
     "op7_simhash": op7_simhash,
+    "op8_quality_pu": op8_quality_pu,
+    "op9_gif_media": op9_gif_media,
+    "op10_token_store": op10_token_store,
 }
 
-ORACLE_SQL = {"op3_chat_format": OP3_SQL, "op4_quality_rules": _op4_sql(), "op6_source_mix": mix.sql()}
+ORACLE_SQL = {"op3_chat_format": OP3_SQL, "op4_quality_rules": _op4_sql(), "op5_warc": OP5_SQL, "op6_source_mix": mix.sql()}
