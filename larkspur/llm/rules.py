@@ -67,7 +67,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda w, i: F.concat_ws(" ", w, F.get("__w", i + 1), F.get("__w", i + 2)),
     )
     lines = F.filter(F.split("__t", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    stop, letters = F.array(*map(F.lit, sorted(set(STOP_WORDS)))), F.lit("[\\p{L}]")
+    letters = F.lit("[\\p{L}]")
     out = out.select(
         *columns,
         F.length(F.translate("__t", SPACE, "")).cast("long").alias("word_chars"),
@@ -79,7 +79,6 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size(F.filter("__w", lambda w: F.rlike(w, letters))).alias("__alpha"),
         F.size(F.filter("__w", lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1))).alias("__shout"),
     )
-    del stop
     # Windows in sorted order stand beside their equals; only texts with a repeat are sorted.
     repeats = F.size(F.array_distinct("__g")) < F.size("__g")
     out = out.withColumn("__s", F.when(repeats, F.sort_array(F.transform("__g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
@@ -90,14 +89,17 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.transform("__p", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("__p", k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x
     )
     n_lines = F.size("__l")
-    out = out.select(
-        *columns, "n_words", "word_chars", "n_symbols", "__stop", "__alpha", "__shout",
+    # One row from an array of one struct: a filter on the verdict stays above it, where otherwise it
+    # would be pushed through every projection and repeat the array expressions many times over.
+    counts = F.struct(
+        "n_words", "word_chars", "n_symbols", "__stop", "__alpha", "__shout",
         (n_lines - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"),
         n_lines.alias("__nl"),
         F.size(F.filter("__l", lambda x: F.rlike(x, F.lit("^[ \\t]*([-*\u2022]|[0-9]+[.)])[ \\t]")))).alias("__bullet"),
         F.size(F.filter("__l", lambda x: F.rlike(x, F.lit("(\\.\\.\\.|\u2026)[ \\t\\r]*$")))).alias("__dots"),
     )
+    out = out.select(*columns, F.inline(F.array(counts)))
     n = F.col("n_words")
     return out.select(
         *columns, *COUNTS,
