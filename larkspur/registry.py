@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,7 +16,7 @@ _SQL: dict[str, str] = {}
 
 FLAGSHIP = "training_examples"
 #: Modules whose import registers queries.
-MODULES: tuple[str, ...] = ()
+MODULES = tuple(f"larkspur.plans.{m}" for m in ("ingest", "series", "examples", "scores", "metrics", "experiments", "retrieval", "monitoring", "relational"))
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -23,7 +25,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
         if name in _QUERIES:
             raise ValueError(f"{name} is registered twice")
-        _QUERIES[name] = f
+
+        @functools.wraps(f)
+        def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(spark, sf_dir)  # results carry wall-clock timestamps, as the tables do
+            return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in out.dtypes if kind == "timestamp"})
+
+        _QUERIES[name] = plain
         if sql is not None:
             _SQL[name] = sql
         return f
