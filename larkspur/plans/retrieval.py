@@ -1 +1,293 @@
-"""To be filled."""
+"""Nearest neighbours, candidate sources, blending, ranking rows and re-ranking."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from larkspur.functions.columns import digest_uniform
+from larkspur.operators import candidates, measure, scoring
+from larkspur.plans.metrics import vectors
+from larkspur.plans.scores import EDGES_SQL, PARTS_SQL, labels, top_edges, train
+from larkspur.registry import query
+from larkspur.sources.views import CLICKS_EV, clicks_ev, table
+
+K = 10
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).withColumnRenamed("item_id", "item")
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th vector asks."""
+    return _items(spark, sf_dir).where("item % 50 = 0").withColumnRenamed("item", "request")
+
+
+KNN_SQL = f"""v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+knn AS (SELECT request, item, score, row_number() OVER (PARTITION BY request ORDER BY score DESC, item)::INTEGER AS rank FROM (SELECT q.vec_id AS request, i.vec_id AS item, list_dot_product(q.e, i.e) AS score FROM v q, v i WHERE q.vec_id % 50 = 0) QUALIFY rank <= {K})"""
+
+
+@query("knn_exact", f"WITH {KNN_SQL} SELECT request, item, round(score, 6) AS score, rank FROM knn")
+def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.knn_exact(_queries(spark, sf_dir), _items(spark, sf_dir), K, 8).withColumn("score", F.round("score", 6))
+
+
+@query("knn_ivf")
+def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.knn_ivf(_queries(spark, sf_dir), _items(spark, sf_dir), K, cells=8, probes=6)
+
+
+@query(
+    "ann_agreement",
+    f"""WITH {KNN_SQL}, half AS (SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY score DESC, item) AS r FROM (SELECT q.vec_id AS request, i.vec_id AS item, list_dot_product(q.e[1:32], i.e[1:32]) AS score FROM v q, v i WHERE q.vec_id % 50 = 0) QUALIFY r <= {K})
+SELECT k.request, count(h.item) / {K}.0::DOUBLE AS agreement FROM knn k LEFT JOIN half h ON k.request = h.request AND k.item = h.item GROUP BY k.request""",
+)
+def ann_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact lists against lists from the first half of the dimensions."""
+    cut = lambda df: df.withColumn("vector", F.slice("vector", 1, 32))
+    exact = candidates.knn_exact(_queries(spark, sf_dir), _items(spark, sf_dir), K, 8)
+    return candidates.agreement(exact, candidates.knn_exact(cut(_queries(spark, sf_dir)), cut(_items(spark, sf_dir)), K, 8), K)
+
+
+REQ_SQL = f"""{PARTS_SQL}, req AS (SELECT user_id AS request, max(ts) AS ts FROM labels GROUP BY user_id),
+pop AS (SELECT item_id AS item, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, item_id)::INTEGER AS rank FROM train WHERE clicked GROUP BY item_id),
+s_trend AS (SELECT request, item, rank FROM req, pop WHERE rank <= {K}),
+hist AS (SELECT user_id AS request, item_id AS item, max(ts) AS ts FROM train WHERE clicked GROUP BY user_id, item_id),
+s_recent AS (SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY h.ts DESC, item)::INTEGER AS rank FROM hist h JOIN req USING (request) QUALIFY rank <= {K}),
+{EDGES_SQL},
+s_cov AS (SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY round(s, 9) DESC, item)::INTEGER AS rank FROM (SELECT request, related_item_id AS item, sum(weight) AS s FROM hist JOIN req USING (request) JOIN top ON item_id = item GROUP BY request, related_item_id) QUALIFY rank <= {K})"""
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels(spark, sf_dir).groupBy(F.col("user_id").alias("request")).agg(F.max("ts").alias("ts"))
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = train(spark, sf_dir).where("clicked").groupBy(F.col("user_id").alias("request"), F.col("item_id").alias("item")).agg(F.max("ts").alias("last"))
+    return hist.join(requests(spark, sf_dir), "request")
+
+
+def trending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most clicked items, the same for every request: K rows, so they are sent to all."""
+    counts = scoring.click_counts(train(spark, sf_dir)).select(F.col("item_id").alias("item"), F.col("clicks").alias("score"))
+    top = counts.orderBy(F.col("score").desc(), "item").limit(K)
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "item")))  # K rows
+    return requests(spark, sf_dir).select("request").join(F.broadcast(top)).select("request", "item", "rank")
+
+
+def recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.top_k(_history(spark, sf_dir).withColumn("score", F.unix_micros("last")), K).select("request", "item", "rank")
+
+
+def covisited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = top_edges(spark, sf_dir).select(F.col("item_id").alias("item"), F.col("related_item_id").alias("to"), "weight")
+    sums = _history(spark, sf_dir).join(edges, "item").groupBy("request", F.col("to").alias("item")).agg(F.round(F.sum("weight"), 9).alias("score"))
+    return candidates.top_k(sums, K, positive_only=True).select("request", "item", "rank")
+
+
+@query("source_trending", f"WITH {REQ_SQL} SELECT * FROM s_trend")
+def source_trending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trending(spark, sf_dir)
+
+
+@query("source_recent", f"WITH {REQ_SQL} SELECT * FROM s_recent")
+def source_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recent(spark, sf_dir)
+
+
+@query("source_covisit", f"WITH {REQ_SQL} SELECT * FROM s_cov")
+def source_covisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covisited(spark, sf_dir)
+
+
+@query(
+    "source_content",
+    f"""WITH {REQ_SQL}, v AS (SELECT vec_id AS item, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), m AS (SELECT request, p, avg(x) AS x FROM (SELECT request, unnest(e) AS x, unnest(range(1, 65)) AS p FROM hist JOIN v USING (item) WHERE request IN (SELECT request FROM req)) GROUP BY request, p),
+mean AS (SELECT request, list(x ORDER BY p) AS mv FROM m GROUP BY request)
+SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY round(list_cosine_similarity(mv, e), 9) DESC, item)::INTEGER AS rank FROM mean, v WHERE item < 100 QUALIFY rank <= {K}""",
+)
+def source_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's items nearest to the mean vector of a request's history."""
+    items = _items(spark, sf_dir)
+    long = _history(spark, sf_dir).join(items, "item").select("request", F.posexplode("vector").alias("p", "x"))
+    mean = long.groupBy("request", "p").agg(F.avg("x").alias("x")).groupBy("request").agg(F.sort_array(F.collect_list(F.struct("p", "x"))).alias("l"))
+    asked = mean.select("request", F.transform("l", lambda y: y["x"]).alias("vector"))
+    catalogue = clicks_ev(spark, sf_dir).select(F.col("item_id").alias("item")).distinct().join(items, "item")
+    unit = lambda df: df.withColumn("vector", F.transform("vector", lambda x: x / F.sqrt(measure.dot(F.col("vector"), F.col("vector")))))
+    found = candidates.knn_exact(unit(asked), unit(catalogue), K, 1)
+    return found.select("request", "item", "rank")
+
+
+SOURCES = ("trending", "recent", "covisit")
+LISTS_SQL = f"{REQ_SQL}, lists AS (SELECT 'trending' AS source, * FROM s_trend UNION ALL SELECT 'recent', * FROM s_recent UNION ALL SELECT 'covisit', * FROM s_cov), truth AS (SELECT DISTINCT user_id AS request, item_id AS item FROM labels WHERE clicked)"
+
+
+def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [df.withColumn("source", F.lit(name)) for name, df in zip(SOURCES, (trending(spark, sf_dir), recent(spark, sf_dir), covisited(spark, sf_dir)), strict=True)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels(spark, sf_dir).where("clicked").select(F.col("user_id").alias("request"), F.col("item_id").alias("item")).distinct()
+
+
+#: Quotas 4, 3, 3 and 12 slots in all, as one ordered list of claims per request.
+BLEND_SQL = f"""{LISTS_SQL}, bl AS (SELECT *, row_number() OVER (PARTITION BY request, source ORDER BY rank) AS pos FROM lists WHERE item > 0),
+q1 AS (SELECT request, item, 0 AS o, rank FROM bl WHERE source = 'trending' AND pos <= 4),
+q2 AS (SELECT request, item, 1 AS o, rank FROM (SELECT l.*, row_number() OVER (PARTITION BY request ORDER BY rank) AS r FROM bl l WHERE source = 'recent' AND NOT EXISTS (SELECT 1 FROM q1 WHERE q1.request = l.request AND q1.item = l.item)) WHERE r <= 3),
+q3 AS (SELECT request, item, 2 AS o, rank FROM (SELECT l.*, row_number() OVER (PARTITION BY request ORDER BY rank) AS r FROM bl l WHERE source = 'covisit' AND NOT EXISTS (SELECT 1 FROM q1 WHERE q1.request = l.request AND q1.item = l.item) AND NOT EXISTS (SELECT 1 FROM q2 WHERE q2.request = l.request AND q2.item = l.item)) WHERE r <= 3),
+taken AS (SELECT * FROM q1 UNION ALL SELECT * FROM q2 UNION ALL SELECT * FROM q3),
+rest AS (SELECT request, item, min(3 + CASE source WHEN 'trending' THEN 0 WHEN 'recent' THEN 1 ELSE 2 END) AS o, min_by(rank, CASE source WHEN 'trending' THEN 0 WHEN 'recent' THEN 1 ELSE 2 END) AS rank FROM bl l WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.request = l.request AND t.item = l.item) GROUP BY request, item),
+blended AS (SELECT request, item, (row_number() OVER (PARTITION BY request ORDER BY o, rank) - 1)::INTEGER AS position FROM (SELECT * FROM taken UNION ALL SELECT * FROM rest) QUALIFY position < 12)"""
+
+
+def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.blend(lists(spark, sf_dir), SOURCES, (4, 3, 3), 12)
+
+
+@query("blend_quota", f"WITH {BLEND_SQL} SELECT * FROM blended")
+def blend_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blended(spark, sf_dir)
+
+
+@query("blend_attribution", f"WITH {LISTS_SQL}, h AS (SELECT request, item, source, count(*) OVER (PARTITION BY request, item) AS n FROM lists JOIN truth USING (request, item)) SELECT source, count(*) AS hits, count(*) FILTER (n = 1) AS unique_hits FROM h GROUP BY source")
+def blend_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.attribution(lists(spark, sf_dir), truth(spark, sf_dir))
+
+
+@query("blend_union_recall", f"WITH {LISTS_SQL} SELECT count(*) AS n, count(l.item) AS found, round(avg((l.item IS NOT NULL)::INTEGER), 9) AS recall FROM truth t LEFT JOIN (SELECT DISTINCT request, item FROM lists) l USING (request, item)")
+def blend_union_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.union_recall(lists(spark, sf_dir), truth(spark, sf_dir)).withColumn("recall", F.round("recall", 9))
+
+
+@query(
+    "retrieval_eval",
+    f"""WITH {LISTS_SQL}, per AS (SELECT t.request, count(*) AS n, count(l.item) AS hit FROM truth t LEFT JOIN (SELECT DISTINCT request, item FROM lists) l USING (request, item) GROUP BY t.request)
+SELECT count(*) AS requests, round(avg(hit::DOUBLE / n), 9) AS recall, round(avg((hit > 0)::INTEGER), 9) AS reach, (SELECT count(DISTINCT item) FROM lists) AS distinct_items, round((SELECT count(*)::DOUBLE / count(DISTINCT request) FROM (SELECT DISTINCT request, item FROM lists)), 9) AS mean_pool FROM per""",
+)
+def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = lists(spark, sf_dir).select("request", "item").distinct()
+    met = truth(spark, sf_dir).join(pool.withColumn("f", F.lit(1)), ["request", "item"], "left").groupBy("request").agg(F.count(F.lit(1)).alias("n"), F.count("f").alias("hit"))
+    found = met.agg(F.count(F.lit(1)).alias("requests"), F.round(F.avg(F.col("hit") / F.col("n")), 9).alias("recall"), F.round(F.avg((F.col("hit") > 0).cast("int")), 9).alias("reach"))
+    sizes = pool.agg(F.count_distinct("item").alias("distinct_items"), F.round(F.count(F.lit(1)) / F.count_distinct("request"), 9).alias("mean_pool"))
+    return found.join(F.broadcast(sizes))  # one row each
+
+
+FEATURES_SQL = f"""{BLEND_SQL}, feats AS (SELECT b.request, b.item, b.position, coalesce(t.rank, 10000) AS rank_trending, coalesce(r.rank, 10000) AS rank_recent, coalesce(c.rank, 10000) AS rank_covisit,
+  ((t.rank IS NOT NULL)::INTEGER + (r.rank IS NOT NULL)::INTEGER + (c.rank IS NOT NULL)::INTEGER)::INTEGER AS n_sources, coalesce(p.n, 0) AS train_clicks, coalesce(h.n, 0) AS history_length, p.n IS NULL AS is_cold
+  FROM blended b LEFT JOIN s_trend t USING (request, item) LEFT JOIN s_recent r USING (request, item) LEFT JOIN s_cov c USING (request, item) LEFT JOIN pop p USING (item) LEFT JOIN (SELECT request, count(*) AS n FROM hist GROUP BY request) h USING (request))"""
+
+
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = candidates.rank_columns(blended(spark, sf_dir), lists(spark, sf_dir), SOURCES)
+    clicks = scoring.click_counts(train(spark, sf_dir)).select(F.col("item_id").alias("item"), F.col("clicks").alias("__c"))
+    seen = _history(spark, sf_dir).groupBy("request").agg(F.count(F.lit(1)).alias("__h"))
+    out = out.join(clicks, "item", "left").join(seen, "request", "left")
+    return out.withColumns({"train_clicks": F.coalesce("__c", F.lit(0)), "history_length": F.coalesce("__h", F.lit(0)), "is_cold": F.col("__c").isNull()}).drop("__c", "__h")
+
+
+@query("ranking_features", f"WITH {FEATURES_SQL} SELECT * FROM feats")
+def ranking_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feature_rows(spark, sf_dir)
+
+
+@query("ranking_rows", f"WITH {FEATURES_SQL}, r AS (SELECT f.*, t.item IS NOT NULL AS label FROM feats f LEFT JOIN truth t USING (request, item)) SELECT request, item, label, bool_or(label) OVER (PARTITION BY request) AS found, count(*) OVER (PARTITION BY request) AS group_size FROM r")
+def ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with their label, whether the request's click is among them, and the group's size."""
+    met = feature_rows(spark, sf_dir).join(truth(spark, sf_dir).withColumn("__t", F.lit(True)), ["request", "item"], "left").withColumn("label", F.col("__t").isNotNull())
+    group = Window.partitionBy("request")
+    return met.select("request", "item", "label", F.bool_or("label").over(group).alias("found"), F.count(F.lit(1)).over(group).alias("group_size"))
+
+
+POOL_SQL = f"{BLEND_SQL}, pool AS (SELECT request, item, (item % 8)::VARCHAR AS category, round(('0x' || substr(md5(request::VARCHAR || ':' || item::VARCHAR || ':r'), 1, 8))::BIGINT / 4294967296.0::DOUBLE, 6) AS score FROM blended)"
+
+
+def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.round(digest_uniform(F.col("request").cast("string"), F.col("item").cast("string"), F.lit("r")), 6)
+    return blended(spark, sf_dir).select("request", "item", (F.col("item") % 8).cast("string").alias("category"), score.alias("score"))
+
+
+@query("topk_scores", f"WITH {POOL_SQL} SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY score DESC, item)::INTEGER AS rank FROM pool QUALIFY rank <= 5")
+def topk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.top_k(pool(spark, sf_dir), 5).select("request", "item", "rank")
+
+
+@query("freshness_boost", f"WITH {CLICKS_EV}, a AS (SELECT item_id, (epoch(TIMESTAMP '2024-02-01') - floor(epoch(min(ts)))) / 3600.0 AS age FROM clicks_ev GROUP BY item_id) SELECT item_id, round(pow(2.0, -age / 24.0), 12) AS boost FROM a")
+def freshness_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    age = (F.unix_timestamp(F.lit("2024-02-01").cast("timestamp")) - F.unix_timestamp("first")) / 3600.0
+    first = clicks_ev(spark, sf_dir).groupBy("item_id").agg(F.min("ts").alias("first"))
+    return first.select("item_id", F.round(candidates.freshness(age, 24.0), 12).alias("boost"))
+
+
+@query("rerank_cap", f"WITH {POOL_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY request, category ORDER BY score DESC, item) > 2 AS over FROM pool) SELECT request, item, category, score, row_number() OVER (PARTITION BY request ORDER BY over, score DESC, item)::INTEGER AS position FROM o QUALIFY position <= 6")
+def rerank_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.capped(pool(spark, sf_dir), 6, 2)
+
+
+def mmr_slates(spark: SparkSession, sf_dir: str, relevance: float = 0.7, epsilon: float = 0.1) -> DataFrame:
+    return candidates.greedy_slates(pool(spark, sf_dir).join(_items(spark, sf_dir), "item"), 6, relevance=relevance, cap=2, epsilon=epsilon, explore=2 if epsilon else 0)
+
+
+@query("rerank_mmr")
+def rerank_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mmr_slates(spark, sf_dir)
+
+
+@query(
+    "slate_scorecard",
+    f"""WITH {POOL_SQL}, s AS (SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY score DESC, item) AS rank FROM pool QUALIFY rank <= 6),
+d AS (SELECT request, coalesce(sum(1 / log2(rank + 1.0)) FILTER (t.item IS NOT NULL), 0) / coalesce(nullif(list_sum(list_transform(range(1, least(count(t.item), 6) + 1), lambda i: 1 / log2(i + 1.0))), 0), 1) AS ndcg FROM s LEFT JOIN truth t USING (request, item) GROUP BY request)
+SELECT (SELECT round(avg(ndcg), 9) FROM d) AS ndcg, count(DISTINCT item) AS distinct_items, round(count(DISTINCT item)::DOUBLE / (SELECT count(DISTINCT item) FROM pool), 9) AS coverage, round(avg((coalesce(p.n, 0) < 10)::INTEGER), 9) AS tail_share FROM s LEFT JOIN pop p USING (item)""",
+)
+def slate_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NDCG in the order served, coverage of the pool and the share of rarely clicked items."""
+    all_ = pool(spark, sf_dir)
+    slate = candidates.top_k(all_, 6).select("request", "item", "rank")
+    clicks = scoring.click_counts(train(spark, sf_dir)).select(F.col("item_id").alias("item"), "clicks")
+    met = slate.join(truth(spark, sf_dir).withColumn("hit", F.lit(1)), ["request", "item"], "left").join(clicks, "item", "left")
+    per = met.groupBy("request").agg(F.coalesce(F.sum(F.when(F.col("hit") == 1, 1.0 / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("dcg"), F.count("hit").alias("p"))
+    ndcg = per.agg(F.round(F.avg(F.col("dcg") / measure.ideal_dcg(F.col("p"), 6)), 9).alias("ndcg"))
+    shown = met.agg(F.count_distinct("item").alias("distinct_items"), F.round(F.avg((F.coalesce("clicks", F.lit(0)) < 10).cast("int")), 9).alias("tail_share"))
+    size = all_.agg(F.count_distinct("item").alias("n"))
+    out = ndcg.join(F.broadcast(shown)).join(F.broadcast(size))  # one row each
+    return out.select("ndcg", "distinct_items", F.round(F.col("distinct_items") / F.col("n"), 9).alias("coverage"), "tail_share")
+
+
+@query("seen_filter_logged", f"WITH {BLEND_SQL}, shown AS (SELECT user_id AS request, item_id AS item, min(ts) AS first FROM clicks_ev GROUP BY user_id, item_id) SELECT b.request, b.item FROM blended b JOIN req USING (request) WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.request = b.request AND s.item = b.item AND s.first < req.ts)")
+def seen_filter_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = blended(spark, sf_dir).join(requests(spark, sf_dir), "request").select("request", "item", "ts", F.col("request").alias("user_id"))
+    shown = clicks_ev(spark, sf_dir).select("user_id", F.col("item_id").alias("item"), "ts")
+    return candidates.seen_filter(asked, shown).select("request", "item")
+
+
+@query("bloom_sizing", "SELECT n::BIGINT AS capacity, ceil(-n * ln(0.01) / pow(ln(2), 2))::BIGINT AS bits, greatest(1, round(ceil(-n * ln(0.01) / pow(ln(2), 2)) / n * ln(2)))::INTEGER AS hashes FROM (VALUES (50), (200), (1000)) AS t(n)")
+def bloom_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits, hashes = candidates.bloom_size(F.col("capacity"), 0.01)
+    return spark.createDataFrame([(50,), (200,), (1000,)], "capacity long").select("capacity", bits.alias("bits"), hashes.alias("hashes"))
+
+
+@query("bloom_membership")
+def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's seen list as a bit set, and the rate at which items not in it are called seen."""
+    seen = clicks_ev(spark, sf_dir).select("user_id", "item_id").distinct()
+    bits = seen.select("user_id", F.explode(candidates.bloom_positions(F.col("user_id"), F.col("item_id"), 958, 7)).alias("bit")).groupBy("user_id").agg(F.collect_set("bit").alias("set"))
+    asked = bits.select("user_id", "set", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("item_id"))
+    hit = F.size(F.array_except(candidates.bloom_positions(F.col("user_id"), F.col("item_id").cast("long"), 958, 7), "set")) == 0
+    told = asked.select("user_id", F.col("item_id").cast("long").alias("item_id"), hit.alias("called")).join(seen.withColumn("seen", F.lit(True)), ["user_id", "item_id"], "left")
+    return told.agg(F.count_if(F.col("seen") & ~F.col("called")).alias("missed"), F.avg(F.when(F.col("seen").isNull(), F.col("called").cast("double"))).alias("false_positive_rate"))
+
+
+@query("batch_recommend")
+def batch_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieve, blend, drop what was seen, score, re-rank; a request left without candidates gets the popular items."""
+    asked = blended(spark, sf_dir).join(requests(spark, sf_dir), "request").withColumn("user_id", F.col("request"))
+    left = candidates.seen_filter(asked, clicks_ev(spark, sf_dir).select("user_id", F.col("item_id").alias("item"), "ts"))
+    # Without a ranker the retrieval order is the score.
+    ranked = left.withColumn("score", F.lit(1.0) / (F.col("position") + 1)).select("request", "item", "score", (F.col("item") % 8).cast("string").alias("category"))
+    slates = candidates.capped(ranked, 6, 2).select("request", "item", "position")
+    empty = requests(spark, sf_dir).select("request").join(slates.select("request").distinct(), "request", "left_anti")
+    fallback = trending(spark, sf_dir).where("rank <= 6").join(empty, "request").select("request", "item", F.col("rank").alias("position"))
+    return slates.withColumn("degraded", F.lit(False)).unionByName(fallback.withColumn("degraded", F.lit(True)))
