@@ -34,11 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import ship
+from larkspur.llm.common import ship, utf8
 
 MAGIC = b"LSDAC001"
 CHUNK_BITS = 8
@@ -46,7 +47,7 @@ RANK_BLOCK = 512
 #: A segment is closed once it has this many ids.
 SEGMENT_IDS = 1 << 20
 #: Encoded words a worker keeps before it starts afresh.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 NULL_ID = -(2**63)
 
 
@@ -115,16 +116,18 @@ def pack(doc_ids: list[int | None], parts: list[bytes], base: int = 0) -> bytes:
 
 
 class WordEncoder:
-    """The tokenizers library behind a bounded table of words.
+    """The tokenizers library over the distinct words of a batch.
 
     A tokenizer that drops white space never puts ASCII white space inside a token, so a text's
-    ids are those of its words one after another, and only words not seen yet are encoded. Where a
-    word is an ASCII or Latin-1 letter followed by marks of ``TAIL`` up to its end, the
-    pre-tokenizer cuts between them, so stem and tail are looked up apart. New words go to the
-    library many at a time, set apart by a character that they don't hold.
+    ids are those of its words one after another. A batch's words are numbered by Arrow's
+    dictionary encoding, the library encodes the distinct ones that a bounded table doesn't
+    hold, and the ids are gathered by number. Where a word is an ASCII or Latin-1 letter followed
+    by marks of ``TAIL`` up to its end, the pre-tokenizer cuts between them and stem and tail are
+    looked up apart. The library gets many words at a time, set apart by a character that they
+    don't hold.
     """
 
-    TAIL = b".,!?;:*#$%&"
+    TAIL = ".,!?;:*#$%&"
     APART = "\x01"
     TOGETHER = 2000
 
@@ -135,43 +138,58 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
         apart = self.tokenizer.encode(self.APART, add_special_tokens=False).ids
         self.apart = apart[0] if len(apart) == 1 else None
 
-    def _learn(self, words: list[bytes]) -> None:
-        told = [w.decode() for w in words]
-        plain = [i for i, w in enumerate(told) if self.apart is not None and self.APART not in w]
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if self.apart is not None and self.APART not in w]
         some = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
-        lines = [f" {self.APART} ".join(told[i] for i in x) for x in some]
+        lines = [f" {self.APART} ".join(x) for x in some]
         for x, e in zip(some, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             body, at = ids.tobytes(), 0
             ends = [*np.flatnonzero(ids == self.apart).tolist(), len(ids)]
-            for i, end in zip(x, ends, strict=True):
-                self.known[words[i]] = body[4 * at : 4 * end]
+            for w, end in zip(x, ends, strict=True):
+                self.known[w] = body[4 * at : 4 * end]
                 at = end + 1
-        for i in set(range(len(words))).difference(plain):
-            self.known[words[i]] = np.array(self.tokenizer.encode(told[i], add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words, known = [t.split() for t in texts], self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        cut: dict[bytes, tuple[bytes, bytes]] = {}
-        whole, parts = set(), set()
-        for w in {w for ws in words for w in ws if w not in known}:
-            stem = w.rstrip(self.TAIL)
-            if stem and (stem[-1:].isalpha() or (len(stem) > 1 and stem[-2] == 0xC3 and 0x80 <= stem[-1] <= 0xBF and stem[-1] not in (0x97, 0xB7))):
-                cut[w] = pair = (stem.lower(), w[len(stem) :])
-                parts.update(pair)
-            else:
-                whole.add(w)
-        self._learn([w for w in parts | whole if w and w not in known])
-        known.setdefault(b"", b"")
-        for w, (stem, tail) in cut.items():
-            known[w] = known[stem] + known[tail]
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        for w in words if self.apart is None else [w for w in words if self.APART in w]:
+            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _parts(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Stem and tail of each word, the stem's ASCII letters lower-cased as the tokenizer does."""
+        marked = pc.match_substring(words, "<|")  # may hold an added token, which is as it is written
+        low = pc.if_else(marked, words, pc.ascii_lower(words))
+        stem = pc.ascii_rtrim(low, characters=self.TAIL)
+        body, at = utf8(stem)
+        size, body = np.diff(at), np.concatenate((np.zeros(2, np.uint8), body))
+        last, before = body[at[1:] + 1], body[at[1:]]
+        letter = (last - np.uint8(97) < 26) & (size > 0)
+        letter |= (size > 1) & (before == 0xC3) & (last >= 0x80) & (last <= 0xBF) & (last != 0x97) & (last != 0xB7)
+        cut = pc.and_(pa.array(letter), pc.invert(marked))
+        tail = pc.struct_field(pc.extract_regex(low, r"(?P<t>[.,!?;:*#$%&]*)$"), "t")
+        return pc.if_else(cut, stem, low), pc.if_else(cut, tail, "")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, first id of each text and the end)."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        of_text = np.asarray(lists.offsets).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        stem, tail = self._parts(words.dictionary)
+        parts = pa.concat_arrays([stem, tail]).dictionary_encode()
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        distinct, known = parts.dictionary.to_pylist(), self.known
+        self._learn([w for w in distinct if w not in known])
+        ids = [known[w] for w in distinct]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        both = np.asarray(parts.indices).reshape(2, -1)[:, np.asarray(words.indices)].T.ravel()  # stem, tail, stem, tail, ...
+        n = size[both]
+        end = np.concatenate(([0], np.cumsum(n)))
+        out = flat[np.repeat(first[both] - end[:-1], n) + np.arange(end[-1])]
+        return out, end[2 * (of_text - of_text[0])]
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -204,20 +222,20 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1
         held = 0
 
         def close() -> pa.RecordBatch:
-            columns = [[part], [number], [len(ids)], [held], [pack(ids, parts, base)]]
+            whole = [b"".join(parts[k : k + 2]) for k in range(0, len(parts), 2)]
+            columns = [[part], [number], [len(ids)], [held], [pack(ids, whole, base)]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "number", "n_docs", "n_ids", "data"])
 
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            for at in range(0, len(texts), 512):
-                some = [t or b"" for t in texts.slice(at, 512).to_pylist()]
-                for i, e in zip(batch.column(0).slice(at, 512).to_pylist(), words.encode(some), strict=True):
-                    ids.append(i)
-                    parts.append(e + end)
-                    held += len(e) // 4 + 1
-                    if held >= SEGMENT_IDS:
-                        yield close()
-                        number, base, ids, parts, held = number + 1, base + held, [], [], 0
+            got, ends = words.encode(batch.column(1))
+            body = memoryview(got).cast("B")
+            for i, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                ids.append(i)
+                parts += (body[4 * a : 4 * b], end)
+                held += b - a + 1
+                if held >= SEGMENT_IDS:
+                    yield close()
+                    number, base, ids, parts, held = number + 1, base + held, [], [], 0
         if ids:
             yield close()
 
