@@ -7,8 +7,8 @@ of margin x bit, weighted by how well the bit's classifier did on its training t
 codeword and chooses the nearest; where the second nearest is close, the text is ambiguous.
 
 Counts of n-grams for learning come from a bounded sample of labelled rows (``PER_LANG`` texts a
-language, those of the smallest hash of their id); they are the only thing that reaches the
-driver, one row of ``BUCKETS`` counts a language. Whole texts are learned and scored.
+language in expectation, chosen by a hash of their id); the driver gets the number of texts of
+each language and a row of ``BUCKETS`` counts for it from each of ``TASKS`` tasks. Whole texts are learned and scored.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and not ambiguous;
 rows without a language teach nothing; with no labelled text every text is ``und``; repeated
@@ -24,14 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import segment_sum, ship, staged, utf8
+from larkspur.llm.common import segment_sum, ship, utf8
 
 BUCKETS = 1 << 16
 PER_LANG = 1500
+TASKS = 16
 #: A language beyond these many is refused: the driver holds one row of counts for each.
 MAX_LANGS = 1000
 #: Margins are mean log-odds; this makes the logistic loss and the score sharp enough.
@@ -145,19 +146,22 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:
-    """A model from at most ``per_lang`` texts of each language among the rows where ``teaches`` holds."""
+    """A model from about ``per_lang`` texts of each language among the rows where ``teaches`` holds."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), teaches.alias("teaches"))
     rows = rows.where("teaches and lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = staged(rows.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("id", F.col("lang").alias("as_lang")).distinct(), "lang-sample")
-    sample = rows.join(chosen, "id").where("lang = as_lang").select("lang", "text")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    if not counts:
+        return fit({})
+    part = F.xxhash64(F.lit("lang"), F.col("id")).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / F.lit(float(1 << 52))
+    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(per_lang / n))]), F.col("lang"))
+    sample = rows.where(part < share).select("lang", "text")
     got: dict[str, np.ndarray] = {}
-    for row in sample.repartition(16).mapInArrow(_count_grams, "lang string, counts binary").toLocalIterator():
+    for row in sample.repartition(TASKS).mapInArrow(_count_grams, "lang string, counts binary").toLocalIterator():
         got.setdefault(row["lang"], np.zeros(BUCKETS, np.int64))
         got[row["lang"]] += np.frombuffer(row["counts"], np.int64)
-        if len(got) > MAX_LANGS:
-            raise ValueError(f"more than {MAX_LANGS} languages")
     return fit(got)
 
 
