@@ -123,6 +123,8 @@ class Model:
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the nearest codeword, score, ambiguous) of rows of margins."""
+        if not self.langs:
+            return np.zeros(len(margins), np.int64), np.zeros(len(margins)), np.zeros(len(margins), bool)
         loss = np.logaddexp(0, -SHARPNESS * margins[:, None, :] * self.code[None]) @ self.trust
         e = np.exp(loss.min(1, keepdims=True) - loss)
         p = e / e.sum(1, keepdims=True)
