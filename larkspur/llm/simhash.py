@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import ship, staged
@@ -88,16 +88,17 @@ def index_rows(fps: DataFrame) -> DataFrame:
 
 def probe_rows(fps: DataFrame) -> DataFrame:
     """The keys each fingerprint asks for: (t, key, fp, rep)."""
-    tables = []
-    for t in range(SEGMENTS):
+
+    def table(t: int) -> Column:
         own = F.col("fp").bitwiseAND(F.lit(_mask(t)))
-        ball = F.array(*[F.lit(_bit(b)) for b in range(16 * (t + 1), 64)]) if t < SEGMENTS - 1 else None
         keys = F.array(own)
-        if ball is not None:
-            clear = F.filter(ball, lambda bit: F.col("fp").bitwiseAND(bit) == 0)
-            keys = F.concat(keys, F.transform(clear, lambda bit, own=own: own.bitwiseOR(bit)))
-        tables.append(F.transform(keys, lambda key, t=t: F.struct(F.lit(t).alias("t"), key.alias("key"))))
-    return fps.select("fp", "rep", F.explode(F.concat(*tables)).alias("k")).select("k.t", "k.key", "fp", "rep")
+        if t < SEGMENTS - 1:
+            clear = F.filter(F.array(*[F.lit(_bit(b)) for b in range(16 * (t + 1), 64)]), lambda bit: F.col("fp").bitwiseAND(bit) == 0)
+            keys = F.concat(keys, F.transform(clear, lambda bit: own.bitwiseOR(bit)))
+        return F.transform(keys, lambda key: F.struct(F.lit(t).alias("t"), key.alias("key")))
+
+    asked = F.concat(*map(table, range(SEGMENTS)))
+    return fps.select("fp", "rep", F.explode(asked).alias("k")).select("k.t", "k.key", "fp", "rep")
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
