@@ -11,12 +11,12 @@ from pyspark.sql import types as T
 
 TIME_FORMAT = "M/d/yyyy h:mm:ss a"
 
-BEHAVIOURS = T.StructType.fromDDL("impression_id BIGINT, user_id STRING, time STRING, history STRING, impressions STRING")
-CATALOGUE = T.StructType.fromDDL("item_id STRING, category STRING, subcategory STRING, title STRING, abstract STRING, url STRING, title_entities STRING, abstract_entities STRING")
-EVENT = T.StructType.fromDDL("impression_id BIGINT, user_id STRING, item_id STRING, clicked BOOLEAN, slot INT, ts TIMESTAMP")
+BEHAVIOURS = "impression_id BIGINT, user_id STRING, time STRING, history STRING, impressions STRING"
+CATALOGUE = "item_id STRING, category STRING, subcategory STRING, title STRING, abstract STRING, url STRING, title_entities STRING, abstract_entities STRING"
+EVENT = "impression_id BIGINT, user_id STRING, item_id STRING, clicked BOOLEAN, slot INT, ts TIMESTAMP"
 
 
-def _tsv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
+def _tsv(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("header", False).option("quote", "").csv(path)
 
 

@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -69,8 +68,8 @@ def join_context(events: DataFrame, contexts: DataFrame, key: str = "request_id"
     return e.join(c, on).select("e.*", *[F.col(f"c.{x}") for x in contexts.columns if x not in (key, *events.columns)])
 
 
-_RECENT = T.StructType.fromDDL("user_id BIGINT, last_items ARRAY<BIGINT>, session_length BIGINT, session_categories BIGINT, version BIGINT")
-_RECENT_STATE = T.StructType.fromDDL("items ARRAY<BIGINT>, stamps ARRAY<BIGINT>, categories ARRAY<STRING>, version BIGINT")
+_RECENT = "user_id BIGINT, last_items ARRAY<BIGINT>, session_length BIGINT, session_categories BIGINT, version BIGINT"
+_RECENT_STATE = "items ARRAY<BIGINT>, stamps ARRAY<BIGINT>, categories ARRAY<STRING>, version BIGINT"
 
 
 def recent_items(events: DataFrame, most: int = 50, gap_seconds: int = 1800) -> DataFrame:
@@ -98,7 +97,7 @@ def recent_items(events: DataFrame, most: int = 50, gap_seconds: int = 1800) ->
     return clicks.groupBy("user_id").applyInPandasWithState(update, _RECENT, _RECENT_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-_SEEN_STATE = T.StructType.fromDDL("items ARRAY<BIGINT>, until ARRAY<BIGINT>")
+_SEEN_STATE = "items ARRAY<BIGINT>, until ARRAY<BIGINT>"
 
 
 def unseen(shown: DataFrame, ttl_seconds: int = 7 * 86_400) -> DataFrame:
@@ -107,7 +106,7 @@ def unseen(shown: DataFrame, ttl_seconds: int = 7 * 86_400) -> DataFrame:
     ``shown`` has a watermark on ts. A user's list ends when its last entry has.
     """
     ship(shown.sparkSession)
-    out = T.StructType.fromDDL("user_id BIGINT, item_id BIGINT, ts TIMESTAMP, seen BOOLEAN")
+    out = "user_id BIGINT, item_id BIGINT, ts TIMESTAMP, seen BOOLEAN"
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
