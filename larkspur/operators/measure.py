@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import dot, ratio
+from larkspur.operators.ranges import with_offsets
 
 
 def tie_break() -> Column:
@@ -87,14 +88,11 @@ def global_auc(rows: DataFrame) -> DataFrame:
     Scores are range-partitioned; each range is summed by its own window and offset by the ranges
     below it, so no task orders all of them.
     """
-    per = rows.groupBy("score").agg(F.count_if("clicked").alias("p"), F.count_if(~F.col("clicked")).alias("q")).repartitionByRange("score").withColumn("__part", F.spark_partition_id())
-    below = Window.partitionBy("__part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    told = per.withColumn("__b", F.coalesce(F.sum("q").over(below), F.lit(0)))
-    sizes = told.groupBy("__part").agg(F.sum("q").alias("__q"))
-    order = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    offsets = sizes.select("__part", F.coalesce(F.sum("__q").over(order), F.lit(0)).alias("__o"))
-    met = told.join(F.broadcast(offsets), "__part")
-    wins = F.sum(F.col("p") * (F.col("__b") + F.col("__o") + F.col("q") / 2.0))
+    per = rows.groupBy("score").agg(F.count_if("clicked").alias("p"), F.count_if(~F.col("clicked")).alias("q"))
+    met = with_offsets(per, ["score"], {"__o": F.col("q")})
+    below = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("__b", F.coalesce(F.sum("q").over(below), F.lit(0)) + F.col("__o"))
+    wins = F.sum(F.col("p") * (F.col("__b") + F.col("q") / 2.0))
     return met.agg(F.try_divide(wins, (F.sum("p") * F.sum("q")).cast("double")).alias("auc"), F.sum(F.col("p") + F.col("q")).alias("n"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import ratio
+from larkspur.operators.ranges import numbered, with_offsets
 
 PSI_BINS, PSI_FLOOR, WATCH, SKEW = 10, 1e-6, 0.1, 0.25
 
@@ -56,14 +57,11 @@ def kolmogorov_smirnov(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     offset by the ranges below it.
     """
     both = a.select(F.col(column).alias("x"), F.lit(1).alias("na"), F.lit(0).alias("nb")).unionByName(b.select(F.col(column).alias("x"), F.lit(0).alias("na"), F.lit(1).alias("nb")))
-    per = both.where("x is not null").groupBy("x").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")).repartitionByRange("x").withColumn("part", F.spark_partition_id())
+    per = both.where("x is not null").groupBy("x").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    met = with_offsets(per, ["x"], {"oa": F.col("na"), "ob": F.col("nb")}, totals=True)
     run = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    told = per.withColumns({f"c{n}": F.sum(f"n{n}").over(run) for n in "ab"})
-    sizes = told.groupBy("part").agg(F.sum("na").alias("sa"), F.sum("nb").alias("sb"))
-    below = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    offsets = sizes.select("part", *[F.coalesce(F.sum(f"s{n}").over(below), F.lit(0)).alias(f"o{n}") for n in "ab"], *[F.sum(f"s{n}").over(Window.partitionBy()).alias(f"t{n}") for n in "ab"])
-    met = told.join(F.broadcast(offsets), "part")
-    cdf = lambda n: F.try_divide(F.col(f"c{n}") + F.col(f"o{n}"), F.col(f"t{n}"))
+    met = met.withColumns({f"c{n}": F.sum(f"n{n}").over(run) + F.col(f"o{n}") for n in "ab"})
+    cdf = lambda n: F.try_divide(F.col(f"c{n}"), F.col(f"o{n}_total"))
     return met.agg(F.max(F.abs(cdf("a") - cdf("b"))).alias("ks"))
 
 
@@ -84,16 +82,6 @@ def last_rows(rows: DataFrame, n: int, order: Sequence[str], least: int = 0) ->
     return top.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy())).where(F.col("__n") >= least).drop("__n") if least else top
 
 
-def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``rows`` with ``position`` from 0 in a total order: ranges numbered apart, offset by the ranges before."""
-    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = ranged.groupBy("__part").agg(F.max("__n").alias("__size"))
-    below = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(below), F.lit(0)).alias("__before"))
-    return ranged.join(F.broadcast(offsets), "__part").withColumn("position", F.col("__before") + F.col("__n") - 1).drop("__part", "__n", "__before")
-
-
 def exposure_windows(exposures: DataFrame, size: int, order: Sequence[str], item: str, catalogue_size: int | None = None) -> DataFrame:
     """(window, exposures, distinct_items, gini_catalogue, gini_observed) of blocks of ``size`` exposures; a partial block is left out."""
     if size < 1:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.ranges import numbered
 from larkspur.operators.timeline import sessionize
 
 #: Index of what no map holds.
@@ -14,15 +15,10 @@ OOV = 0
 def dense_ids(values: DataFrame, column: str, name: str) -> DataFrame:
     """(column, name): distinct values numbered from 1 in their order.
 
-    Values are range-partitioned and sorted, numbered inside each range by a window over the
-    range, and offset by the sizes of the ranges before it, so no task sees all of them.
+    Values are numbered by ranges, so no task sees all of them.
     """
-    ranged = values.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.select(column, "__part", F.row_number().over(Window.partitionBy("__part").orderBy(column)).alias("__n"))
-    sizes = ranged.groupBy("__part").agg(F.max("__n").alias("__size"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
-    return ranged.join(F.broadcast(offsets), "__part").select(column, (F.col("__n") + F.col("__before")).cast("int").alias(name))
+    distinct = values.select(column).where(F.col(column).isNotNull()).distinct()
+    return numbered(distinct, [column], "__n").select(column, (F.col("__n") + 1).cast("int").alias(name))
 
 
 def uncovered(events: DataFrame, id_map: DataFrame, column: str) -> DataFrame:
