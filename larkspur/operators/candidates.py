@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import dot
+from larkspur.sources.shared import ship
 
 #: Rank of an item that a source didn't return.
 ABSENT = 10_000
@@ -29,20 +30,46 @@ def top_k(scores: DataFrame, k: int, keys: Sequence[str] = ("request",), positiv
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_exact(queries: DataFrame, items: DataFrame, k: int, blocks: int = 64) -> DataFrame:
-    """(request, item, score, rank): the k items of the largest inner product with each query.
+def _block_winners(k: int):
+    """A cogroup function: the k best items of a block for each query of a block, by (score desc, item)."""
 
-    A stated query set is held against all items in blocks: each query meets each block of items
-    once, keeps its k best of the block, and the block winners meet per query. Nothing is sent
-    whole to one task.
+    def best(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or there.empty:
+            return pd.DataFrame({"request": [], "item": [], "score": []})
+        q, v = (np.stack(x["vector"].to_numpy()).astype(float) for x in (asked, there))
+        items = there["item"].to_numpy()
+        out = []
+        # Rounded, so that equal vectors tie wherever they stand in a product.
+        for request, scores in zip(asked["request"].tolist(), np.round(q @ v.T, 9), strict=True):
+            if len(scores) > k:
+                least = np.partition(scores, len(scores) - k)[len(scores) - k]
+                at = np.flatnonzero(scores >= least)
+            else:
+                at = np.arange(len(scores))
+            at = at[np.lexsort((items[at], -scores[at]))][:k]
+            out.append(pd.DataFrame({"request": request, "item": items[at], "score": scores[at]}))
+        return pd.concat(out)
+
+    return best
+
+
+def knn_exact(queries: DataFrame, items: DataFrame, k: int, block_rows: int = 20_000) -> DataFrame:
+    """(request, item, score, rank): the k items of the largest inner product with each query, ties by item.
+
+    A stated query set is held against all items in blocks of about ``block_rows``: each block of
+    queries meets each block of items once, as a matrix product, and sends on k rows a query.
+    Block winners meet per query. Memory is bounded by two blocks, whatever the number of rows.
     """
-    if k < 1 or blocks < 1:
-        raise ValueError("k and blocks must be positive")
-    asked = queries.select("request", F.col("vector").alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
-    there = items.select("item", F.col("vector").alias("__v"), F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int").alias("__b"))
-    scored = asked.join(there, "__b").select("request", "item", dot(F.col("__q"), F.col("__v")).alias("score"), "__b")
-    near = top_k(scored, k, ("request", "__b")).drop("rank")
-    return top_k(near.drop("__b"), k)
+    if k < 1 or block_rows < 1:
+        raise ValueError("k and block_rows must be positive")
+    ship(queries.sparkSession)
+    n_q, n_i = (max(1, -(-df.count() // block_rows)) for df in (queries, items))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("request", "vector", own("request", n_q).alias("__q"), every(n_i).alias("__b"))
+    there = items.select("item", "vector", own("item", n_i).alias("__b"), every(n_q).alias("__q"))
+    near = asked.groupBy("__q", "__b").cogroup(there.groupBy("__q", "__b")).applyInPandas(_block_winners(k), "request long, item long, score double")
+    return top_k(near, k)
 
 
 def ivf_cells(items: DataFrame, cells: int, seed: int = 42, sample: int = 50_000):
@@ -190,6 +217,7 @@ def greedy_slates(rows: DataFrame, k: int, relevance: float = 1.0, cap: int | No
                 likest = np.maximum(likest, unit @ unit[pick])
         return pd.DataFrame(out, columns=["request", "position", "item", "propensity"])
 
+    ship(rows.sparkSession)
     return rows.groupBy("request").applyInPandas(one, "request long, position int, item long, propensity double")
 
 

@@ -32,7 +32,7 @@ knn AS (SELECT request, item, score, row_number() OVER (PARTITION BY request ORD
 
 @query("knn_exact", f"WITH {KNN_SQL} SELECT request, item, round(score, 6) AS score, rank FROM knn")
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.knn_exact(_queries(spark, sf_dir), _items(spark, sf_dir), K, 8).withColumn("score", F.round("score", 6))
+    return candidates.knn_exact(_queries(spark, sf_dir), _items(spark, sf_dir), K).withColumn("score", F.round("score", 6))
 
 
 @query("knn_ivf")
@@ -48,8 +48,8 @@ SELECT k.request, count(h.item) / {K}.0::DOUBLE AS agreement FROM knn k LEFT JOI
 def ann_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact lists against lists from the first half of the dimensions."""
     cut = lambda df: df.withColumn("vector", F.slice("vector", 1, 32))
-    exact = candidates.knn_exact(_queries(spark, sf_dir), _items(spark, sf_dir), K, 8)
-    return candidates.agreement(exact, candidates.knn_exact(cut(_queries(spark, sf_dir)), cut(_items(spark, sf_dir)), K, 8), K)
+    exact = candidates.knn_exact(_queries(spark, sf_dir), _items(spark, sf_dir), K)
+    return candidates.agreement(exact, candidates.knn_exact(cut(_queries(spark, sf_dir)), cut(_items(spark, sf_dir)), K), K)
 
 
 REQ_SQL = f"""{PARTS_SQL}, req AS (SELECT user_id AS request, max(ts) AS ts FROM labels GROUP BY user_id),
@@ -117,7 +117,7 @@ def source_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = mean.select("request", F.transform("l", lambda y: y["x"]).alias("vector"))
     catalogue = clicks_ev(spark, sf_dir).select(F.col("item_id").alias("item")).distinct().join(items, "item")
     unit = lambda df: df.withColumn("vector", F.transform("vector", lambda x: x / F.sqrt(measure.dot(F.col("vector"), F.col("vector")))))
-    found = candidates.knn_exact(unit(asked), unit(catalogue), K, 1)
+    found = candidates.knn_exact(unit(asked), unit(catalogue), K)
     return found.select("request", "item", "rank")
 
 

@@ -353,15 +353,21 @@ def test_knn_blocks_lose_nothing(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(120, 8))
     items = frame(spark, [(i, x.tolist()) for i, x in enumerate(v)], "item long, vector array<double>")
-    got = candidates.knn_exact(items.where("item < 5").withColumnRenamed("item", "request"), items, 7, 9).collect()
+    got = candidates.knn_exact(items.where("item < 5").withColumnRenamed("item", "request"), items, 7, 15).collect()
     for q in range(5):
         want = np.argsort(-(v @ v[q]), kind="stable")[:7].tolist()
         assert [r["item"] for r in sorted((r for r in got if r["request"] == q), key=lambda r: r["rank"])] == want
     near = candidates.knn_ivf(items.where("item < 5").withColumnRenamed("item", "request"), items, 7, cells=4, probes=4)
-    exact = candidates.knn_exact(items.where("item < 5").withColumnRenamed("item", "request"), items, 7, 2)
+    exact = candidates.knn_exact(items.where("item < 5").withColumnRenamed("item", "request"), items, 7)
     assert candidates.agreement(exact, near, 7).agg(F.avg("agreement")).first()[0] == 1.0
 
 
+def test_equal_vectors_tie_by_item(spark):
+    items = frame(spark, [(i, [0.1, 0.7, 0.3]) for i in range(40)], "item long, vector array<double>")
+    got = candidates.knn_exact(items.where("item = 3").withColumnRenamed("item", "request"), items, 5, 7).orderBy("rank").collect()
+    assert [r["item"] for r in got] == [0, 1, 2, 3, 4]
+
+
 @pytest.mark.parametrize(
     ("lists", "quotas", "most", "want"),
     [
