@@ -3,8 +3,10 @@
 Each source gets a mean repetition rate, target weight x target rows / rows of the source. Every
 document draws its number of copies from the Poisson distribution of that mean by inverting the
 distribution function at a uniform number taken from a hash of (seed, id), so a re-run task
-draws the same number again. Documents are exploded by their count and shuffled globally by
-range on a hash of (seed, id, copy).
+draws the same number again. A mean above ``MAX_RATE`` is drawn as the sum of equal parts, each
+at a number of its own from the hash of (seed, id, part): a sum of Poisson counts has the Poisson
+distribution of the summed mean, so no rate is cut. Documents are exploded by their count and
+shuffled globally by range on a hash of (seed, id, copy).
 
 Defined results: a null source is a source of its own; null or empty texts are replicated like
 others; repeated rows draw the same count each; a document without an id draws from the hash of
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import staged
 
-#: A mean above this is drawn from a table built in log space like any other; it bounds the table's length.
+#: The largest mean that is drawn from one table; a larger one is the sum of parts, so the table's length is bounded.
 MAX_RATE = 1000.0
+#: Copies that are exploded from one array.
+RUN = 1 << 16
 
 
 def hashed_uniform(*parts: Column) -> Column:
@@ -49,7 +53,7 @@ def rates(docs: DataFrame, source_col: str = "source", weights: Mapping[str, flo
     target = F.col("t.rows").cast("double") if rows is None else F.lit(float(rows))
     share = F.when(F.col("t.size") > 0, F.col("c.size") / F.col("t.size")).otherwise(F.lit(0.0))
     return counts.alias("c").join(F.broadcast(total.alias("t"))).select(  # one row of totals
-        "c.source", "c.n_docs", F.least(F.lit(MAX_RATE), share * target / F.col("c.n_docs")).alias("rate")
+        "c.source", "c.n_docs", (share * target / F.col("c.n_docs")).alias("rate")
     )
 
 
@@ -73,12 +77,18 @@ def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     """Rows of ``docs`` by their Poisson count, in global random order, with copy_no and shuffle_key."""
     docs = docs.drop("copy_no", "shuffle_key")
     columns = docs.columns
-    table = staged(rates(docs, source_col, weights, temperature, rows).select(F.col("source").alias("__source"), poisson_cdf(F.col("rate")).alias("__cdf")), "mix-rates")
+    parts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("rate") / MAX_RATE))
+    table = rates(docs, source_col, weights, temperature, rows).select(F.col("source").alias("__source"), parts.alias("__parts"), (F.col("rate") / parts).alias("rate"))
+    table = staged(table.select("__source", "__parts", poisson_cdf(F.col("rate")).alias("__cdf")), "mix-rates")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     drawn = docs.join(table, F.col(source_col).eqNullSafe(F.col("__source")))
     drawn = drawn.withColumn("__u", hashed_uniform(F.lit(str(seed)), key))
-    drawn = drawn.withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
-    copies = drawn.where("__n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    one = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
+    of_part = F.transform(F.sequence(F.lit(1).cast("long"), F.col("__parts")), lambda j: hashed_uniform(F.lit(str(seed)), key, j.cast("string")))
+    many = F.aggregate(of_part, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
+    drawn = drawn.withColumn("__n", F.when(F.col("__parts") == 1, one).otherwise(many))
+    copies = drawn.where("__n > 0").withColumn("__at", F.explode(F.sequence(F.lit(0), F.col("__n") - 1, F.lit(RUN))))
+    copies = copies.withColumn("copy_no", F.explode(F.sequence(F.col("__at") + 1, F.col("__at") + F.least(F.lit(RUN), F.col("__n") - F.col("__at")))))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), key, F.col("copy_no").cast("string"), F.lit("order")))
     copies = copies.select(*columns, "copy_no", order.alias("shuffle_key"))
     return copies.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")

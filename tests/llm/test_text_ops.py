@@ -173,6 +173,22 @@ def test_mix_means_and_repeats(spark, odd, none):
     assert mix.replicate(none).count() == 0
 
 
+def test_mix_keeps_rates_above_one_table(spark):
+    import math
+
+    docs = spark.range(50_000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") < 5, "few").otherwise("many").alias("source"))
+    weights = {"few": 0.5, "many": 0.5}
+    assert {r["source"]: round(r["rate"]) for r in mix.rates(docs, weights=weights).collect()}["few"] == 5000
+    got = mix.replicate(docs, weights=weights)
+    n = {r["source"]: r["count"] for r in got.groupBy("source").count().collect()}
+    assert abs(n["few"] - 25_000) < 800 and abs(n["many"] - 25_000) < 800
+    per = got.where("source = 'few'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("copy_no").alias("d"), F.max("copy_no").alias("last")).collect()
+    assert len(per) == 5 and all(r["n"] == r["d"] == r["last"] for r in per)
+    assert len({r["n"] for r in per}) > 1 and all(abs(r["n"] - 5000) < 6 * math.sqrt(5000) for r in per)
+    one = spark.createDataFrame([(1, "a")], "doc_id long, source string")
+    assert abs(mix.replicate(one, rows=200_000).agg(F.count_distinct("copy_no")).first()[0] - 200_000) < 3000
+
+
 def test_poisson_table(spark):
     import math
 
