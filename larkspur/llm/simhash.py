@@ -15,20 +15,24 @@ the bit has to be cleared. Matches are verified on the complete distance inside
 key fixes 48 bits of distinct fingerprints, so a bucket can't exceed 65,536 of them however
 many documents there are, and copies have met in one fingerprint before the search.
 
-Defined results: repeated ids are separate rows with equal results; a null id is kept and
-takes part like any other but never is a component's name unless all ids there are null; an
-empty table gives an empty table; extra columns are ignored.
+Components join fingerprints, not ids, so rows of one id whose texts differ each belong to the
+component of their own text.
+
+Defined results: repeated ids are separate rows, with equal results where their texts are equal;
+a null id is kept and takes part like any other but never is a component's name unless all ids
+there are null; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm.common import ship, staged
 
@@ -57,18 +61,20 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, more: Mapping[str, Column] | None = None) -> DataFrame:
+    """(id, the columns ``more``, fp) of every row; fp is the fingerprint as a signed long."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            *kept, last = batch.columns
+            texts = last.cast(pa.large_binary()).to_pylist()
             fp = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fp)], [*batch.schema.names[:-1], "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    extra = [c.alias(name) for name, c in (more or {}).items()]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *extra, F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def _mask(segment: int) -> int:
@@ -146,6 +152,23 @@ def components(edges: DataFrame) -> DataFrame:
     return here.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _classes(ids: DataFrame) -> DataFrame:
+    """(fp, root, component_id, n_links) of every distinct fingerprint of the stored rows (id, fp).
+
+    root is the smallest fingerprint of the component and names it alone; component_id is the
+    smallest id among its rows, null when none has an id.
+    """
+    fps = staged(ids.groupBy("fp").agg(F.min("id").alias("id")), "simhash-distinct")
+    edges = staged(links(fps.select("fp", F.col("fp").alias("rep"))), "simhash-links")
+    root = components(edges)
+    root = staged(root.unionByName(root.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp"), "simhash-root")
+    names = root.join(fps, "fp").groupBy("root").agg(F.min("id").alias("name"))
+    ends = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = staged(root.join(names, "root").join(ends, "fp"), "simhash-linked")
+    of = fps.join(linked, "fp", "left")
+    return staged(of.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("name", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "simhash-class")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row per row of ``docs``: id_col, fingerprint (16 hex digits), component_id, n_links.
 
@@ -153,19 +176,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     included. n_links counts the different fingerprints that the row's fingerprint links to.
     """
     ids = staged(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    fps = staged(ids.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-distinct")
-    known = fps.where("rep is not null")
-    edges = staged(links(known), "simhash-links")
-    root = components(edges)
-    ends = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    of = fps.join(root.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
-    of = staged(of.select("fp", F.coalesce("root", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "simhash-class")
+    of = _classes(ids)
     return ids.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; rows without an id stay."""
+    """``docs`` with one row of each component: the first by id (null last), hash of the text, hash of the other columns.
+
+    Rows that are equal in all of that are told apart by a key that is stored with the rows, so
+    every task sees the same key.
+    """
     columns = docs.columns
-    kept = near_duplicates(docs, id_col, text_col, shingle).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    out = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).join(kept, id_col, "left_semi")
-    return out.unionByName(docs.where(F.col(id_col).isNull())).select(*columns)
+    stored = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    rest = [c for c in columns if c not in (id_col, text_col)]
+    more = {"text_hash": F.xxhash64(text_col), "rest_hash": F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long"), "row": F.col("__row")}
+    ids = staged(fingerprints(stored, id_col, text_col, shingle, more), "simhash-fp")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "rest_hash", "row")
+    firsts = ids.groupBy("fp").agg(F.min(order).alias("first"))
+    kept = firsts.join(_classes(ids), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    return stored.join(kept, "__row", "left_semi").select(*columns)

@@ -84,3 +84,24 @@ def test_odd_rows(odd, none):
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 4, 5, 7, 8, 9]
     assert simhash.keep_one(none).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    x, y = "alpha beta gamma delta epsilon", "one two three four five six"
+    docs = spark.createDataFrame([(2, x, "a"), (5, x, "a"), (5, y, "a"), (5, y, "b")], "doc_id long, text string, source string")
+    for parts in (1, 3):
+        kept = sorted(map(tuple, simhash.keep_one(docs.repartition(parts)).select("doc_id", "text").collect()))
+        assert kept == [(2, x), (5, y)]
+    got = sorted({tuple(r) for r in simhash.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "component_id").collect()})
+    assert got == [(2, 2), (5, 2), (5, 5)]
+
+
+def test_copies_without_an_id_are_removed(spark):
+    docs = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (3, "e f g h"), (None, "e f g h")], "doc_id long, text string")
+    assert sorted(map(str, simhash.keep_one(docs).collect())) == ["Row(doc_id=3, text='e f g h')", "Row(doc_id=None, text='a b c d')"]
+
+
+def test_rows_without_an_id_link_others(spark):
+    ids = spark.createDataFrame([(9, 0b1111), (None, 0b111111), (4, 0b11111111), (None, 1 << 40)], "id long, fp long")
+    got = {r["fp"]: (r["component_id"], r["n_links"]) for r in simhash._classes(ids).collect()}
+    assert got == {0b1111: (4, 1), 0b111111: (4, 2), 0b11111111: (4, 1), 1 << 40: (None, 0)}
