@@ -52,6 +52,13 @@ def ann_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.agreement(exact, candidates.knn_exact(cut(_queries(spark, sf_dir)), cut(_items(spark, sf_dir)), K), K)
 
 
+@query("ann_index_agreement")
+def ann_index_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact lists against those of the registered index, knn_ivf at its own cells and probes, of every request."""
+    exact = candidates.knn_exact(_queries(spark, sf_dir), _items(spark, sf_dir), K)
+    return candidates.agreement(exact, knn_ivf(spark, sf_dir), K)
+
+
 REQ_SQL = f"""{PARTS_SQL}, req AS (SELECT user_id AS request, max(ts) AS ts FROM labels GROUP BY user_id),
 pop AS (SELECT item_id AS item, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, item_id)::INTEGER AS rank FROM train WHERE clicked GROUP BY item_id),
 s_trend AS (SELECT request, item, rank FROM req, pop WHERE rank <= {K}),
