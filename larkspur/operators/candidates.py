@@ -236,8 +236,8 @@ def bloom_size(capacity: Column, rate: float) -> tuple[Column, Column]:
     return bits, F.greatest(F.lit(1), F.round(bits / capacity * F.lit(float(np.log(2))), 0).cast("int"))
 
 
-def bloom_positions(user: Column, item: Column, bits: int, hashes: int) -> Column:
+def bloom_positions(user: Column, item: Column, bits: int | Column, hashes: int | Column) -> Column:
     """The bit positions of an item in a user's filter, by double hashing."""
     a, b = F.xxhash64(user, item, F.lit(1)), F.xxhash64(user, item, F.lit(2)).bitwiseOR(F.lit(1))
     low = lambda x: F.pmod(x, F.lit(1 << 31))
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(low(a) + i * low(b), F.lit(bits)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes) - 1), lambda i: F.pmod(low(a) + i * low(b), F.lit(bits)).cast("int"))

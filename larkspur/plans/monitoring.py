@@ -9,7 +9,7 @@ from larkspur.functions.columns import digest_number, digest_uniform
 from larkspur.operators import features, monitor
 from larkspur.plans.series import ITEM_SQL
 from larkspur.registry import query
-from larkspur.sources.views import CLICKS_EV, clicks_ev, table
+from larkspur.sources.views import CLICKS_EV, asked_items, clicks_ev, table
 
 FEATURES = ("value", "k")
 FEAT_SQL = "f AS (SELECT event_id, value, (props->>'$.k')::BIGINT % 17 AS k, ts FROM events), ex AS (SELECT * FROM f WHERE ts < TIMESTAMP '2024-01-16'), ac AS (SELECT * FROM f WHERE ts >= TIMESTAMP '2024-01-16')"
@@ -73,7 +73,8 @@ g AS (SELECT w, sum(x)::BIGINT AS exposures, count(*) AS d, sum(i * x) AS ix FRO
 SELECT w AS "window", exposures, d AS distinct_items, round((2 * (ix + (200 - d) * exposures) - 201 * exposures)::DOUBLE / (200 * exposures), 9) AS gini_catalogue, round((2 * ix - (d + 1) * exposures)::DOUBLE / (d * exposures), 9) AS gini_observed FROM g WHERE exposures = 1000""",
 )
 def exposure_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = monitor.exposure_windows(clicks_ev(spark, sf_dir), 1000, ["ts", "impression_id"], "item_id", 200)
+    """Blocks of 1,000 exposures over a catalogue of the log's items and as many that were never shown."""
+    out = monitor.exposure_windows(clicks_ev(spark, sf_dir), 1000, ["ts", "impression_id"], "item_id", asked_items(spark, sf_dir).count())
     return out.withColumns({c: F.round(c, 9) for c in ("gini_catalogue", "gini_observed")})
 
 

@@ -12,7 +12,7 @@ from larkspur.operators import candidates, measure, scoring
 from larkspur.plans.metrics import vectors
 from larkspur.plans.scores import EDGES_SQL, PARTS_SQL, labels, top_edges, train
 from larkspur.registry import query
-from larkspur.sources.views import CLICKS_EV, clicks_ev, table
+from larkspur.sources.views import CLICKS_EV, asked_items, clicks_ev, table
 
 K = 10
 
@@ -279,11 +279,14 @@ def bloom_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bloom_membership")
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's seen list as a bit set, and the rate at which items not in it are called seen."""
-    seen = clicks_ev(spark, sf_dir).select("user_id", "item_id").distinct()
-    bits = seen.select("user_id", F.explode(candidates.bloom_positions(F.col("user_id"), F.col("item_id"), 958, 7)).alias("bit")).groupBy("user_id").agg(F.collect_set("bit").alias("set"))
-    asked = bits.select("user_id", "set", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("item_id"))
-    hit = F.size(F.array_except(candidates.bloom_positions(F.col("user_id"), F.col("item_id").cast("long"), 958, 7), "set")) == 0
-    told = asked.select("user_id", F.col("item_id").cast("long").alias("item_id"), hit.alias("called")).join(seen.withColumn("seen", F.lit(True)), ["user_id", "item_id"], "left")
+    seen = clicks_ev(spark, sf_dir).where("item_id is not null").select("user_id", "item_id").distinct()
+    bits, hashes = candidates.bloom_size(F.col("n"), 0.01)
+    sizes = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", bits.alias("bits"), hashes.alias("hashes"))
+    spots = candidates.bloom_positions(F.col("user_id"), F.col("item_id"), F.col("bits"), F.col("hashes"))
+    sets = seen.join(sizes, "user_id").select("user_id", "bits", "hashes", F.explode(spots).alias("bit")).groupBy("user_id", "bits", "hashes").agg(F.collect_set("bit").alias("set"))
+    asked = sets.crossJoin(asked_items(spark, sf_dir))
+    hit = F.size(F.array_except(spots, "set")) == 0
+    told = asked.select("user_id", "item_id", hit.alias("called")).join(seen.withColumn("seen", F.lit(True)), ["user_id", "item_id"], "left")
     return told.agg(F.count_if(F.col("seen") & ~F.col("called")).alias("missed"), F.avg(F.when(F.col("seen").isNull(), F.col("called").cast("double"))).alias("false_positive_rate"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.columns import digest_number
 from larkspur.operators import features, timeline
 from larkspur.registry import query
-from larkspur.sources.views import CLICKS_EV, clicks_ev
+from larkspur.sources.views import CLICKS_EV, asked_items, clicks_ev
 
 #: The driver's tables are small; production keeps features.MIN_PRIOR_IMPRESSIONS.
 FLOOR = 100
@@ -121,7 +121,7 @@ FROM asked a LEFT JOIN latest l USING (item_id)""",
 def online_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys asked of a snapshot with a time to live of two hours: zeros and a flag where missing or too old."""
     fresh = F.coalesce(F.col("feature_ts") > F.lit("2024-01-20").cast("timestamp") - F.expr("INTERVAL 2 HOURS"), F.lit(False))
-    met = spark.range(200).withColumnRenamed("id", "item_id").join(_latest(spark, sf_dir), "item_id", "left")
+    met = asked_items(spark, sf_dir).join(_latest(spark, sf_dir), "item_id", "left")
     return met.select("item_id", *[F.when(fresh, F.col(c)).otherwise(0).alias(c) for c in ("item_impressions_24h", "item_clicks_24h")], fresh.alias("found"))
 
 

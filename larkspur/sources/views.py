@@ -20,6 +20,13 @@ def clicks_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def asked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id) of every item of the click log, and as many keys above the largest that it doesn't hold."""
+    items = clicks_ev(spark, sf_dir).where("item_id is not null").select("item_id").distinct()
+    ends = items.agg((F.max("item_id") - F.min("item_id") + 1).alias("by"))
+    return items.unionByName(items.join(F.broadcast(ends)).select((F.col("item_id") + F.col("by")).alias("item_id")))  # one row
+
+
 def slates_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (order, part): slates of several items that share one timestamp."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")

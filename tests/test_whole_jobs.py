@@ -15,3 +15,36 @@ def test_recall_of_the_registered_index(spark, size):
     row = got.agg(F.count(F.lit(1)).alias("n"), F.avg("agreement").alias("mean")).first()
     assert row["n"] == spark.read.parquet(f"{at}/embeddings.parquet").where("vec_id % 50 = 0").count()
     assert 0.9 <= row["mean"] <= 1
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """An event log of three users and 600 items, most of them above 200."""
+    at = str(tmp_path_factory.mktemp("wide"))
+    rows = spark.range(6000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_705_700_000) + F.col("id")).alias("ts"), (F.col("id") % 3).alias("user_id"),
+        F.when(F.col("id") % 2 == 0, "click").otherwise("view").alias("event_type"), F.lit(1.0).alias("value"), F.format_string('{"k": %d}', F.col("id") * 7 % 600).alias("props"),
+    )
+    rows.write.parquet(f"{at}/events.parquet")
+    return at
+
+
+def test_every_item_is_looked_up(spark, wide):
+    rows = {r["item_id"]: r for r in QUERIES["online_lookup"](spark, wide).collect()}
+    assert set(rows) == set(range(1200))
+    assert any(rows[i]["item_impressions_24h"] for i in range(200, 600)) and not any(rows[i]["found"] for i in range(600, 1200))
+
+
+def test_filters_hold_every_item_of_a_long_list(spark, wide):
+    row = QUERIES["bloom_membership"](spark, wide).first()
+    assert row["missed"] == 0 and row["false_positive_rate"] < 0.03
+
+
+def test_catalogue_of_the_exposure_windows(spark, wide):
+    rows = QUERIES["exposure_windows"](spark, wide).collect()
+    assert len(rows) == 6
+    for r in rows:
+        # 600 items shown once or twice among 1,200
+        x = sorted([0] * 600 + [1] * (2 * 600 - 1000) + [2] * (1000 - 600))
+        want = sum((2 * i - 1200 - 1) * v for i, v in enumerate(x, 1)) / (1200 * 1000)
+        assert r["distinct_items"] == 600 and abs(r["gini_catalogue"] - want) < 1e-8
