@@ -133,3 +133,27 @@ def bands(counts: Column, edges: Sequence[int]) -> Column:
         out = F.when(counts <= e, label) if out is None else out.when(counts <= e, label)
         low = e + 1
     return out.otherwise(f"{low}+")
+
+
+def band_labels(edges: Sequence[int]) -> list[str]:
+    """The labels that ``bands`` gives, lowest first."""
+    lows = (0, *[e + 1 for e in edges])
+    return [str(low) if low == e else f"{low}-{e}" for low, e in zip(lows, edges, strict=False)] + [f"{lows[-1]}+"]
+
+
+def band_users(rows: DataFrame, edges: Sequence[int], pooled: int = 26) -> tuple[DataFrame, DataFrame]:
+    """Two scorers per popularity band: the summary, and the paired differences by user behind it.
+
+    ``rows`` are clicked rows (user_id, x, a, b) with the item's clicks and either scorer's hit. The
+    summary has (band, n_rows, users, mean_a, mean_b, mean_difference): means over rows, and the mean of
+    the per-user differences. Each row also counts in '<pooled' where x is below it, and in 'overall'.
+    """
+    labels = F.array_compact(F.array(bands(F.col("x"), edges), F.when(F.col("x") < pooled, f"<{pooled}"), F.lit("overall")))
+    users = rows.select("user_id", "a", "b", F.explode(labels).alias("band")).groupBy("band", "user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")
+    )
+    users = users.withColumn("difference", (F.col("b") - F.col("a")) / F.col("n"))
+    summary = users.groupBy("band").agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("users"), (F.sum("a") / F.sum("n")).alias("mean_a"), (F.sum("b") / F.sum("n")).alias("mean_b"), F.avg("difference").alias("mean_difference")
+    )
+    return summary, users.select("band", "user_id", "difference")

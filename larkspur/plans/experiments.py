@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import digest_number, digest_uniform
-from larkspur.operators import inference
-from larkspur.plans.metrics import TWO_SQL, two_models
+from larkspur.operators import inference, measure
+from larkspur.plans.examples import split_rows, test_rows
+from larkspur.plans.metrics import EDGES, K, TWO_SQL, hash_score, two_models
 from larkspur.registry import query
-from larkspur.sources.views import table
+from larkspur.sources.views import slates_li, table
 
 
 def _u(salt: str, column: str) -> str:
@@ -91,6 +92,28 @@ def bootstrap_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.interval(inference.bootstrap_means(users, "user_id", ["d"], REPLICATES), F.col("d")).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
+@query("band_compare_users")
+def band_compare_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scorers per band of the clicked item's training clicks: row means, the paired difference by user and its interval."""
+    rows = test_rows(spark, sf_dir)
+    clicks = split_rows(slates_li(spark, sf_dir)).where("split = 'train' and clicked").groupBy("item_id").agg(F.count(F.lit(1)).alias("x"))
+    hits = [
+        measure.ranked(rows.withColumn("score", score)).where("clicked").select("impression_id", "user_id", "item_id", (F.col("rank") <= K).cast("int").alias(arm))
+        for arm, score in (("a", hash_score()), ("b", hash_score("t", 2)))
+    ]
+    met = hits[0].join(hits[1].drop("user_id"), ["impression_id", "item_id"]).join(clicks, "item_id", "left").withColumn("x", F.coalesce("x", F.lit(0)))
+    summary, users = measure.band_users(met, EDGES)
+    # One column a band, so that a replicate weighs a user the same in all of them.
+    names = [*measure.band_labels(EDGES), "<26", "overall"]
+    wide = users.groupBy("user_id").agg(*[F.max(F.when(F.col("band") == name, F.col("difference"))).alias(f"d{i}") for i, name in enumerate(names)])
+    means = inference.bootstrap_means(wide, "user_id", [f"d{i}" for i in range(len(names))], REPLICATES)
+    ends = means.agg(*[F.percentile(f"d{i}", q).alias(f"{side}{i}") for i in range(len(names)) for side, q in (("lo", 0.025), ("hi", 0.975))])
+    ends = ends.select(F.explode(F.array(*[F.struct(F.lit(n).alias("band"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi")) for i, n in enumerate(names)])).alias("e")).select("e.*")
+    real = F.col("users") >= 2  # a difference of one user has no interval
+    out = summary.join(ends, "band").withColumns({c: F.when(real, F.col(c)) for c in ("mean_difference", "lo", "hi")})
+    return out.select("band", "n_rows", "users", *[F.round(c, 9).alias(c) for c in ("mean_a", "mean_b", "mean_difference", "lo", "hi")])
+
+
 @query(
     "bootstrap_two_sample",
     f"""WITH {UNIT_SQL}, {BOOT_SQL.format(values='post, arm', source='unit')}, m AS (SELECT sum(w * post) FILTER (arm = 'treatment') / sum(w) FILTER (arm = 'treatment') - sum(w * post) FILTER (arm = 'control') / sum(w) FILTER (arm = 'control') AS v FROM boot GROUP BY r)

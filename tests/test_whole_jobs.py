@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur import registry
+from larkspur.operators import measure
 
 QUERIES = registry.queries()
 
@@ -48,3 +49,21 @@ def test_catalogue_of_the_exposure_windows(spark, wide):
         x = sorted([0] * 600 + [1] * (2 * 600 - 1000) + [2] * (1000 - 600))
         want = sum((2 * i - 1200 - 1) * v for i, v in enumerate(x, 1)) / (1200 * 1000)
         assert r["distinct_items"] == 600 and abs(r["gini_catalogue"] - want) < 1e-8
+
+
+def test_bands_pair_users(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 1), (1, 0, 1, 1), (2, 0, 1, 0), (2, 30, 0, 1), (3, 600, 0, 0)], "user_id long, x long, a int, b int")
+    got = {r["band"]: tuple(r)[1:] for r in measure.band_users(rows, (0, 2, 5, 10, 25, 50))[0].collect()}
+    assert got["0"] == got["<26"] == (3, 2, 2 / 3, 2 / 3, (0.5 - 1) / 2)
+    assert got["26-50"] == (1, 1, 0.0, 1.0, 1.0) and got["51+"] == (1, 1, 0.0, 0.0, 0.0)
+    assert got["overall"] == (5, 3, 0.4, 0.6, pytest.approx(0.5 / 3))
+
+
+def test_bands_are_of_the_clicked_items(spark, sf_dir):
+    rows = {r["band"]: r for r in QUERIES["band_compare_users"](spark, sf_dir).collect()}
+    alone = {r["band"]: r for r in QUERIES["popularity_bands"](spark, sf_dir).collect()}
+    alone["overall"] = alone.pop("all")
+    assert set(rows) - {"<26"} == set(alone)
+    for band, r in alone.items():
+        assert rows[band]["n_rows"] == r["n_rows"] and rows[band]["mean_a"] == pytest.approx(r["recall"])
+    assert all(r["lo"] <= r["mean_difference"] <= r["hi"] for r in rows.values() if r["users"] >= 30)
