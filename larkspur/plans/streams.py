@@ -51,6 +51,19 @@ def stream_last_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "last_items")
 
 
+@query(
+    "stream_running_session",
+    f"""WITH {CLICKS_EV}, c AS (SELECT user_id, category, floor(epoch(ts))::BIGINT AS s FROM clicks_ev WHERE clicked),
+g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s) > 1800 THEN 1 ELSE 0 END AS opens FROM c), n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY s RANGE UNBOUNDED PRECEDING) AS k FROM g),
+l AS (SELECT user_id, max(k) AS k FROM n GROUP BY user_id)
+SELECT user_id, count(*) AS session_length, count(DISTINCT category) AS session_categories FROM n JOIN l USING (user_id, k) GROUP BY user_id""",
+)
+def stream_running_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and distinct categories of each user's running session."""
+    out = streams.drained(streams.recent_items(late_events(spark, sf_dir)), "update", "running", ["user_id"], "version")
+    return out.select("user_id", "session_length", "session_categories")
+
+
 @query("stream_context_join", "SELECT event_id AS request_id, user_id, 'v' || (user_id % 2)::VARCHAR AS variant FROM events")
 def stream_context_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and the contexts served a minute before, as two streams."""

@@ -1,6 +1,6 @@
 """Streaming forms of the batch operators, and a replay source to run them over a table.
 
-Every form keeps bounded state: a watermark, a window, or a fixed-size ring per key.
+Every form keeps bounded state: a watermark, a window, a fixed-size ring or the sessions of a day per key.
 """
 
 from __future__ import annotations
@@ -69,34 +69,50 @@ def join_context(events: DataFrame, contexts: DataFrame, key: str = "request_id"
 
 
 _RECENT = "user_id BIGINT, last_items ARRAY<BIGINT>, session_length BIGINT, session_categories BIGINT, version BIGINT"
-_RECENT_STATE = "items ARRAY<BIGINT>, stamps ARRAY<BIGINT>, categories ARRAY<STRING>, version BIGINT"
+_RECENT_STATE = "items ARRAY<BIGINT>, stamps ARRAY<BIGINT>, starts ARRAY<BIGINT>, ends ARRAY<BIGINT>, counts ARRAY<BIGINT>, categories ARRAY<ARRAY<STRING>>, version BIGINT"
 
 
-def recent_items(events: DataFrame, most: int = 50, gap_seconds: int = 1800) -> DataFrame:
+def recent_items(events: DataFrame, most: int = 50, gap_seconds: int = 1800, late_seconds: int = 86_400) -> DataFrame:
     """Per user the last clicked items, most recent first, and the length and categories of the running session.
 
-    State is a ring of the last ``most`` clicks by (time, item); a user's row comes out anew, with a
+    State is a ring of the last ``most`` clicks by (time, item), and start, end, count and distinct
+    categories of the sessions that a click up to ``late_seconds`` late can still reach; the running
+    session is always among them, however many clicks it has. A user's row comes out anew, with a
     higher version, whenever clicks arrive.
     """
     ship(events.sparkSession)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, stamps, categories, version = state.get if state.exists else ([], [], [], 0)
-        ring = list(zip(stamps, items, categories, strict=True))
+        items, stamps, starts, ends, counts, categories, version = state.get if state.exists else ([], [], [], [], [], [], 0)
+        ring = list(zip(stamps, items, strict=True))
+        spans = [(s, e, n, set(c)) for s, e, n, c in zip(starts, ends, counts, categories, strict=True)]
         for b in batches:
-            ring += zip(b["us"].tolist(), b["item_id"].tolist(), b["category"].tolist(), strict=True)
-        ring = sorted(ring)[-most:]
+            us, item, category = b["us"].tolist(), b["item_id"].tolist(), b["category"].tolist()
+            ring = sorted(ring + list(zip(us, item, strict=True)))[-most:]
+            spans += [(t // 1_000_000, t // 1_000_000, 1, {c}) for t, c in zip(us, category, strict=True)]
+            spans = _joined(spans, gap_seconds)
         version += 1
-        start = len(ring) - 1
-        while start > 0 and ring[start][0] // 1_000_000 - ring[start - 1][0] // 1_000_000 <= gap_seconds:
-            start -= 1
-        state.update(([r[1] for r in ring], [r[0] for r in ring], [r[2] for r in ring], version))
-        yield pd.DataFrame({"user_id": [key[0]], "last_items": [[r[1] for r in reversed(ring)]], "session_length": [len(ring) - start], "session_categories": [len({r[2] for r in ring[start:]})], "version": [version]})
+        spans = [s for s in spans if s[1] >= spans[-1][1] - gap_seconds - late_seconds]
+        state.update(([r[1] for r in ring], [r[0] for r in ring], [s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans], [list(s[3]) for s in spans], version))
+        yield pd.DataFrame({"user_id": [key[0]], "last_items": [[r[1] for r in reversed(ring)]], "session_length": [spans[-1][2]], "session_categories": [len(spans[-1][3])], "version": [version]})
 
     clicks = events.where("clicked").select("user_id", "item_id", "category", F.unix_micros("ts").alias("us"))
     return clicks.groupBy("user_id").applyInPandasWithState(update, _RECENT, _RECENT_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def _joined(spans: list[tuple[int, int, int, set]], gap_seconds: int) -> list[tuple[int, int, int, set]]:
+    """Sessions (start, end, count, categories) in order of time, those within the gap of each other made one."""
+    out: list[tuple[int, int, int, set]] = []
+    for start, end, n, kinds in sorted(spans, key=lambda s: s[:2]):
+        if out and start - out[-1][1] <= gap_seconds:
+            s, e, m, known = out[-1]
+            known |= kinds
+            out[-1] = (s, max(e, end), m + n, known)
+        else:
+            out.append((start, end, n, set(kinds)))
+    return out
+
+
 _SEEN_STATE = "items ARRAY<BIGINT>, until ARRAY<BIGINT>"
 
 

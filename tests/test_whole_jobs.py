@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from larkspur import registry
 from larkspur.operators import measure
+from larkspur.streaming import streams
 
 QUERIES = registry.queries()
 
@@ -67,3 +68,19 @@ def test_bands_are_of_the_clicked_items(spark, sf_dir):
     for band, r in alone.items():
         assert rows[band]["n_rows"] == r["n_rows"] and rows[band]["mean_a"] == pytest.approx(r["recall"])
     assert all(r["lo"] <= r["mean_difference"] <= r["hi"] for r in rows.values() if r["users"] >= 30)
+
+
+def test_running_session_beyond_the_ring(spark):
+    i = F.col("id")
+    # 130 clicks a minute apart, then a new session of user 2; user 1's click 70 is the latest to arrive.
+    clicks = spark.range(130).select(
+        F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("user_id"), i.alias("item_id"), F.when(i < 40, F.concat(F.lit("c"), i.cast("string"))).otherwise("rest").alias("category"),
+        F.lit(True).alias("clicked"), F.timestamp_seconds(F.lit(1_700_000_000) + 60 * i).alias("ts"),
+    )
+    clicks = clicks.withColumn("ts", F.when((F.col("user_id") == 2) & (F.col("item_id") >= 70), F.col("ts") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("ts")))
+    clicks = clicks.withColumn("arrives", F.when((F.col("user_id") == 1) & (F.col("item_id") == 70), F.col("ts") + F.expr("INTERVAL 3 HOURS")).otherwise(F.col("ts")))
+    got = streams.drained(streams.recent_items(streams.replay(clicks, "arrives")), "update", "beyond", ["user_id"], "version")
+    rows = {r["user_id"]: r for r in got.collect()}
+    assert (rows[1]["session_length"], rows[1]["session_categories"]) == (130, 41)
+    assert (rows[2]["session_length"], rows[2]["session_categories"]) == (60, 1)
+    assert rows[1]["last_items"] == rows[2]["last_items"] == list(range(129, 79, -1))
