@@ -10,7 +10,9 @@ executor reads its own copy of that file.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows
 get equal results; an empty table gives an empty table; other columns pass through, and the
-columns the operators make replace those of the same name.
+columns the operators make replace those of the same name, whatever the others are called. A
+very long text is encoded whole, in memory linear in its length; a batch is encoded in slices of
+``SLICE_BYTES``, so one text above that is the most that a worker holds besides its table.
 """
 
 from __future__ import annotations
@@ -28,10 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import ship
+from larkspur.llm.common import column as named
+from larkspur.llm.common import passed, ship, sliced
 
-#: Encoded pieces a worker keeps before it starts afresh.
-CACHE_PIECES = 600_000
+#: Bytes of encoded pieces a worker keeps before it starts afresh, and the longest piece it keeps.
+CACHE_BYTES, CACHE_LONGEST = 64 << 20, 128
+#: What a table's entry takes besides the piece's characters and ids.
+_ENTRY = 190
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -52,12 +57,16 @@ class _Pieces(dict):
 
     def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self._make = make
+        self._make, self._bytes = make, 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        out = self[piece] = self._make(piece)
+        out = self._make(piece)
+        if len(piece) <= CACHE_LONGEST:
+            self._bytes += _ENTRY + len(piece) + len(out)
+            if self._bytes > CACHE_BYTES:
+                self.clear()
+                self._bytes = _ENTRY + len(piece) + len(out)
+            self[piece] = out
         return out
 
 
@@ -162,17 +171,18 @@ def default_path() -> str:
 def _over_text(df: DataFrame, column: str, kind: str, made: list[tuple[str, str]], make: Callable) -> DataFrame:
     """``df`` with columns that ``make`` computes from a batch of one column; the others pass through."""
     ship(df.sparkSession)
-    kept = df.drop(*[n for n, _ in made])
-    columns = kept.columns
-    source = F.coalesce(F.col(column).cast(kind), F.lit("").cast(kind) if kind == "string" else F.array().cast(kind))
-    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(", ".join(f"{n} {k}" for n, k in made)).fields])
+    names = [n for n, _ in made]
+    kept, columns = passed(df, names)
+    value = named(column)
+    source = F.coalesce(value.cast(kind), F.lit("").cast(kind) if kind == "string" else F.array().cast(kind))
+    schema = T.StructType([*[df.schema[c] for c in columns], *T.StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in made)).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, len(columns)):
             arrays = make(batch.column(len(columns)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *arrays], [*columns, *[n for n, _ in made]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *arrays], [*columns, *names])
 
-    return df.select(*[F.col(f"`{c}`") for c in columns], source.alias("__in")).mapInArrow(run, schema)
+    return df.select(*kept, source.alias("in")).mapInArrow(run, schema)
 
 
 def _lists(parts: list[bytes]) -> pa.Array:

@@ -1,58 +1,39 @@
-"""Helpers shared by the corpus operators: a shared folder for cut points, and Arrow text buffers.
-
-``staged`` is the one way the operators cut lineage: a Parquet table in the folder that
-``spark.checkpoint.dir`` names, which survives the loss of any executor and gives the
-optimizer exact sizes, so that a broadcast is chosen only when the table is known to be small.
-"""
+"""Helpers shared by the corpus operators: Arrow text buffers, row slices and column names."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from larkspur.sources.shared import new_path, shared_dir, ship, staged
 
+__all__ = ["column", "free_prefix", "new_path", "passed", "segment_sum", "shared_dir", "ship", "sliced", "staged", "utf8", "without"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only a local session without one gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="larkspur-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(f"file://{made}")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+#: Text bytes that a worker turns into Python values at a time.
+SLICE_BYTES = 4 << 20
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free_prefix(*names: str) -> str:
+    """A prefix that no given column name begins with, for columns that live inside a plan."""
+    out = "__"
+    while any(n.lower().startswith(out) for n in names):
+        out += "_"
+    return out
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers started from here on import this package from where the driver has it.
-
-    On a cluster the package travels with ``--py-files``; this only helps when it lies at the
-    same path, as in local sessions whose working folder is elsewhere.
-    """
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), ROOT) if x)
+def without(columns: Sequence[str], made: Sequence[str]) -> list[str]:
+    """``columns`` less those that an operator replaces, told apart as Spark does, without regard to case."""
+    gone = {m.lower() for m in made}
+    return [c for c in columns if c.lower() not in gone]
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +57,23 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return body, at
 
 
+def sliced(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut, without copies, to about ``most`` bytes (of lists, elements) of column ``text``; one longer text is a slice of its own."""
+    for batch in batches:
+        n = batch.num_rows
+        values = batch.column(text)
+        if not n or values.nbytes <= most:
+            yield batch
+            continue
+        wide = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
+        ends = np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset : values.offset + n + 1]
+        a = 0
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of ``values`` in each [offsets[i], offsets[i + 1])."""
     n = len(offsets) - 1
@@ -86,3 +84,12 @@ def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, offsets[full], dtype=out.dtype)
     return out
+
+
+def passed(docs: DataFrame, made: Sequence[str]) -> tuple[list[Column], list[str]]:
+    """Columns of ``docs`` that pass through an Arrow function that makes ``made``, and their names.
+
+    The function gets them as c0, c1, ..., since Spark reads the names of its input as expressions.
+    """
+    names = without(docs.columns, made)
+    return [column(c).alias(f"c{i}") for i, c in enumerate(names)], names
