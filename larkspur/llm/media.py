@@ -1,17 +1,22 @@
 """GIF media columns: LZW streams, palettes, disposal, transparency, timed frames, histograms.
 
 ``decode_frames`` reads GIF87a and GIF89a values and gives one row per frame as it is shown: the
-composed canvas, its time, and colour histograms. ``store`` writes any payload as 8-bit samples
-of a grey-palette GIF, 64 samples a row and at most ``ROWS`` rows a frame, so one frame is in
-memory at a time, and ``read_payload`` reads it back through the same decoder.
+composed canvas, its time, and colour histograms. ``store`` writes any payload as the red samples
+of an animation, 64 samples a row, in two frames or more: even frames use the shared palette, odd
+ones a palette of their own of just the colours they have; a row that the canvas already shows is
+written in the transparent index; and frames are left, taken back or cleared by turns. A frame has
+at most ``ROWS`` rows and only one is in memory at a time. ``read_payload`` composes the canvas again
+by the same decoder and takes the payload, the times and the colour histograms from it.
 
 LZW: the code width follows from a code's place after the last clear code, so codes are unpacked
 by array operations. The entry a code makes is the text of that code and the first sample of the
 next, which stand side by side in the output, so an entry is a slice of the output.
 
 Defined results: a null or empty payload is one row of zeros; repeated rows get equal bytes; an
-empty table gives an empty table; a null or damaged GIF gives one row with ``error`` set and no
-frame; a frame partly outside the canvas is cut at its edge.
+empty table gives an empty table; a null GIF gives one row with ``error`` set and no frame; a
+damaged one gives the frames before the damage and then such a row; so does one whose canvas or
+frame has more samples than a parameter allows, before memory is taken for it; a frame partly
+outside the canvas is cut at its edge; extra columns are ignored. A very long text becomes many frames.
 """
 
 from __future__ import annotations
@@ -26,12 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import ship, staged
+from larkspur.llm.common import column, ship, sliced, staged
 
 WIDTH, ROWS = 64, 4096
 #: A stored frame is shown for this long, in hundredths of a second.
 DELAY = 10
-_GREY = bytes(x for v in range(256) for x in (v, v, v))
+#: Samples of a canvas or a frame beyond which a GIF is refused: a canvas takes four bytes a sample.
+MOST_SAMPLES = 1 << 24
+#: Colours of the samples 0 to 255: red is the sample itself.
+_COLOURS = np.stack([np.arange(256), 255 - np.arange(256), 5 * np.arange(256) % 256], 1).astype(np.uint8)
+_SHARED = _COLOURS.tobytes()
+#: How frames are disposed of by turns: left, taken back, cleared.
+_DISPOSALS = (1, 3, 2)
 _MOST = 4096
 
 
@@ -45,14 +56,15 @@ def _widths(n: int, size: int) -> np.ndarray:
 _WIDTHS = {size: _widths(1 << 14, size) for size in range(2, 9)}
 
 
-def lzw_codes(data: bytes) -> list[int]:
-    """The codes of 8-bit samples, clearing whenever the table is full."""
-    codes, table, entry = [256], {}, 258
+def lzw_codes(data: bytes, size: int = 8) -> list[int]:
+    """The codes of samples of ``size`` bits, clearing whenever the table is full."""
+    clear, first = 1 << size, (1 << size) + 2
+    codes, table, entry = [clear], {}, first
     put, find = codes.append, table.get
     samples = iter(data)
     w = next(samples, None)
     if w is None:
-        return [256, 257]
+        return [clear, clear + 1]
     for b in samples:
         key = w << 8 | b
         c = find(key)
@@ -64,25 +76,25 @@ def lzw_codes(data: bytes) -> list[int]:
             table[key] = entry
             entry += 1
         else:
-            put(256)
+            put(clear)
             table.clear()
-            entry = 258
+            entry = first
         w = b
     put(w)
-    put(257)
+    put(clear + 1)
     return codes
 
 
-def lzw_pack(codes: list[int]) -> bytes:
-    """Codes of minimum size 8 as a bit stream."""
+def lzw_pack(codes: list[int], size: int = 8) -> bytes:
+    """Codes of a minimum size as a bit stream."""
     c = np.array(codes, np.uint16)
-    clear = np.flatnonzero(c == 256)
+    clear = np.flatnonzero(c == 1 << size)
     since = np.arange(len(c)) - np.repeat(clear + 1, np.diff(np.append(clear, len(c))))  # -1 at a clear code
     # A clear code is as wide as the code that would stand in its place.
     if len(clear) > 1:
         since[clear[1:]] = since[clear[1:] - 1] + 1
     since[0] = 0
-    width = _WIDTHS[8][np.minimum(since, len(_WIDTHS[8]) - 1)]
+    width = _WIDTHS[size][np.minimum(since, len(_WIDTHS[size]) - 1)]
     bits = np.unpackbits(c.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :12]
     return np.packbits(bits[np.arange(12) < width[:, None]], bitorder="little").tobytes()
 
@@ -139,15 +151,39 @@ def _blocks(stream: bytes) -> bytes:
 
 
 def gif_of(payload: bytes) -> bytes:
-    """A payload of a positive multiple of 64 bytes as a grey GIF89a."""
+    """A payload of a positive multiple of 64 bytes as a GIF89a whose red samples, frame after frame, are the payload."""
     rows = len(payload) // WIDTH
     if not rows or len(payload) % WIDTH:
         raise ValueError("the payload isn't a positive multiple of 64 bytes")
-    out = [b"GIF89a", WIDTH.to_bytes(2, "little"), min(rows, ROWS).to_bytes(2, "little"), b"\xf7\0\0", _GREY]
-    for at in range(0, rows, ROWS):
-        n = min(ROWS, rows - at)
-        out += [b"\x21\xf9\x04\x04", DELAY.to_bytes(2, "little"), b"\0\0", b"\x2c\0\0\0\0", WIDTH.to_bytes(2, "little"), n.to_bytes(2, "little"), b"\0\x08"]
-        out.append(_blocks(lzw_pack(lzw_codes(payload[at * WIDTH : (at + n) * WIDTH]))))
+    samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    high = min(-(-rows // 2), ROWS)
+    out = [b"GIF89a", WIDTH.to_bytes(2, "little"), high.to_bytes(2, "little"), b"\xf7\0\0", _SHARED]
+    under = np.zeros((high, WIDTH), np.uint8)  # what the canvas shows, where it shows something
+    shows = np.zeros(high, bool)
+    for number, at in enumerate(range(0, rows, high)):
+        frame = samples[at : at + high]
+        n, disposal = len(frame), _DISPOSALS[number % 3]
+        same = shows[:n] & (frame == under[:n]).all(1)
+        there = np.bincount(frame.ravel(), minlength=256) > 0
+        index, palette, size, clear = frame, b"\0", 8, None
+        if number % 2 and (own := int(there.sum())) < 256:
+            size = max(2, own.bit_length())  # one index more than colours
+            index = (np.cumsum(there) - 1).astype(np.uint8)[frame]
+            palette = bytes([0x80 | size - 1]) + _COLOURS[there].tobytes() + bytes(3 * ((1 << size) - own))
+            clear = own
+        elif not there.all():
+            clear = int(np.argmin(there))
+        if clear is not None and same.any():
+            index = np.where(same[:, None], np.uint8(clear), index)
+        else:
+            clear = None
+        out += [b"\x21\xf9\x04", bytes([disposal << 2 | (clear is not None)]), DELAY.to_bytes(2, "little"), bytes([clear or 0]), b"\0"]
+        out += [b"\x2c\0\0\0\0", WIDTH.to_bytes(2, "little"), n.to_bytes(2, "little"), palette, bytes([size])]
+        out.append(_blocks(lzw_pack(lzw_codes(index.tobytes(), size), size)))
+        if disposal == 1:
+            under[:n], shows[:n] = frame, True
+        elif disposal == 2:
+            shows[:n] = False
     return b"".join((*out, b"\x3b"))
 
 
@@ -193,12 +229,18 @@ def _row_order(height: int) -> np.ndarray:
     return np.concatenate([np.arange(a, height, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def frames(data: bytes) -> Iterator[Frame]:
+def _bounded(width: int, height: int, most: int) -> None:
+    if width * height > most:
+        raise ValueError(f"{width} x {height} samples are more than {most}")
+
+
+def frames(data: bytes, most: int = MOST_SAMPLES) -> Iterator[Frame]:
     """The frames of a GIF as shown; a canvas holds until the next frame is asked for."""
     src = _Bytes(data)
     if src.take(6) not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF")
     width, height, flags = src.number(), src.number(), src.number(1)
+    _bounded(width, height, most)
     src.take(2)  # the background index: viewers clear to transparent, and so does this
     shared = src.palette(flags) if flags & 0x80 else None
     canvas = np.zeros((height, width, 4), np.uint8)
@@ -215,28 +257,36 @@ def frames(data: bytes) -> Iterator[Frame]:
         if kind != 0x2C:
             raise ValueError("an unknown block")
         left, top, w, h, flags = src.number(), src.number(), src.number(), src.number(), src.number(1)
+        _bounded(w, h, most)
         palette = src.palette(flags) if flags & 0x80 else shared
         if palette is None:
             raise ValueError("a frame without a palette")
         size = src.number(1)
         got = lzw_decode(src.blocks(), size, w * h)
-        index = np.zeros(w * h, np.uint8)
+        index, shown = np.zeros(w * h, np.uint8), None
         index[: len(got)] = got
         index = index.reshape(h, w)
+        if len(got) < w * h:
+            shown = np.zeros(w * h, bool)
+            shown[: len(got)] = True
+            shown = shown.reshape(h, w)
         if flags & 0x40:
-            index[_row_order(h)] = index.copy()
+            order = _row_order(h)
+            index[order] = index.copy()
+            if shown is not None:
+                shown[order] = shown.copy()
         there = canvas[top : top + h, left : left + w]
         index = index[: there.shape[0], : there.shape[1]]
         before = there.copy() if disposal == 3 else None
-        if clear is None and len(got) == w * h:
+        if clear is None and shown is None:
             there[..., :3] = palette[index]
             there[..., 3] = 255
         else:
-            shown = np.arange(w * h).reshape(h, w)[: there.shape[0], : there.shape[1]] < len(got)
+            seen = np.ones(index.shape, bool) if shown is None else shown[: there.shape[0], : there.shape[1]].copy()
             if clear is not None:
-                shown &= index != clear
-            there[..., :3][shown] = palette[index][shown]
-            there[..., 3][shown] = 255
+                seen &= index != clear
+            there[..., :3][seen] = palette[index][seen]
+            there[..., 3][seen] = 255
         yield Frame(number, at_ms, 10 * delay, disposal, (left, top, w, h), canvas)
         if disposal == 2:
             there[:] = 0
@@ -246,18 +296,28 @@ def frames(data: bytes) -> Iterator[Frame]:
         delay, disposal, clear = 0, 0, None
 
 
-def payload_of(data: bytes) -> Iterator[bytes]:
-    """The samples of a GIF that ``gif_of`` made, frame by frame."""
-    for f in frames(data):
-        _, _, w, h = f.box
-        yield f.canvas[:h, :w, 0].tobytes()
+def payload_of(frame: Frame) -> bytes:
+    """The samples that ``gif_of`` put into a frame."""
+    _, _, w, h = frame.box
+    return frame.canvas[:h, :w, 0].tobytes()
+
+
+def histograms(canvas: np.ndarray, bins: int) -> np.ndarray:
+    """Three rows, red, green and blue, of the counts of a canvas's shown samples in ``bins`` bins."""
+    shown = canvas[..., 3] > 0
+    colours = canvas[..., :3].reshape(-1, 3) if shown.all() else canvas[..., :3][shown]
+    place = colours.astype(np.int64) * bins >> 8
+    return np.bincount((place + np.arange(3) * bins).ravel(), minlength=3 * bins).reshape(3, bins)
 
 
 _FRAME = "id long, frame int, at_ms long, delay_ms int, disposal int, width int, height int, rgba binary, hist_red array<int>, hist_green array<int>, hist_blue array<int>, error string"
 
 
-def decode_frames(rows: DataFrame, id_col: str = "id", media_col: str = "media", bins: int = 16) -> DataFrame:
-    """One row per shown frame, with the canvas (rows of RGBA) and histograms of its shown samples in ``bins`` bins."""
+def decode_frames(rows: DataFrame, id_col: str = "id", media_col: str = "media", bins: int = 16, most: int = MOST_SAMPLES) -> DataFrame:
+    """One row per shown frame, with the canvas (rows of RGBA) and histograms of its shown samples in ``bins`` bins.
+
+    A GIF whose canvas or frame has more than ``most`` samples is refused with an error row.
+    """
     ship(rows.sparkSession)
     if not 1 <= bins <= 256:
         raise ValueError("bins must be 1 to 256")
@@ -274,14 +334,13 @@ def decode_frames(rows: DataFrame, id_col: str = "id", media_col: str = "media",
                     yield row(i, *[None] * 10, "no media")
                     continue
                 try:
-                    for f in frames(data.as_py()):
-                        shown = f.canvas[f.canvas[..., 3] > 0]
-                        hist = [np.bincount(shown[:, c].astype(np.int64) * bins >> 8, minlength=bins).tolist() for c in range(3)]
+                    for f in frames(data.as_py(), most):
+                        hist = histograms(f.canvas, bins).tolist()
                         yield row(i, f.number, f.at_ms, f.delay_ms, f.disposal, f.canvas.shape[1], f.canvas.shape[0], f.canvas.tobytes(), *hist, None)
                 except ValueError as e:
                     yield row(i, *[None] * 10, str(e))
 
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, _FRAME)
+    return rows.select(column(id_col).cast("long").alias("id"), column(media_col).cast("binary").alias("media")).mapInArrow(run, _FRAME)
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,44 +348,64 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            for at in range(0, len(texts), 1024):
-                some = [t or b"" for t in texts.slice(at, 1024).to_pylist()]
-                media = [gif_of(t + bytes(-len(t) % WIDTH or (0 if t else WIDTH))) for t in some]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1024), pa.array([len(t) for t in some], pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
+        for batch in sliced(batches, 1):
+            some = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            media = [gif_of(t + bytes(-len(t) % WIDTH or (0 if t else WIDTH))) for t in some]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in some], pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_bytes long, media binary")
+    return docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_bytes long, media binary")
 
 
-_FEATURES = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, hist_grey array<long>, feature string"
+_FRAMES = "at_ms: long, delay_ms: int, disposal: int, hist_red: array<int>, hist_green: array<int>, hist_blue: array<int>"
+_FEATURES = f"id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, hist_grey array<long>, feature string, frames array<struct<{_FRAMES}>>"
+
+
+def _equal_lists(values: np.ndarray, size: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, size), pa.int32()), pa.array(values, pa.int32()))
 
 
 def read_payload(media: DataFrame, bins: int = 16) -> DataFrame:
-    """What the stored bytes of ``store`` hold when read back: digests, a grey histogram and a feature."""
+    """What the stored bytes of ``store`` hold when read back: digests, a histogram of samples, a feature, and the timed frames.
+
+    ``frames`` has each frame's time and colour histograms as shown, in ``bins`` bins, a divisor of 256.
+    """
     ship(media.sparkSession)
+    if bins < 1 or 256 % bins:
+        raise ValueError("bins must divide 256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             out: list[list] = [[] for _ in range(8)]
+            told, seen = [], []
             for data in batch.column(2).to_pylist():
                 sha, size, tail, hist, n = hashlib.sha256(), 0, b"", np.zeros(256, np.int64), 0
-                for n, piece in enumerate(payload_of(data), 1):  # noqa: B007
+                for n, f in enumerate(frames(data), 1):  # noqa: B007
+                    piece = payload_of(f)
                     sha.update(piece)
                     size += len(piece)
                     tail = piece[-WIDTH:]
                     hist += np.bincount(np.frombuffer(piece, np.uint8), minlength=256)
+                    told.append((f.at_ms, f.delay_ms, f.disposal))
+                    seen.append(histograms(f.canvas, bins))
                 grey = np.add.reduceat(hist, np.arange(0, 256, 256 // bins))
                 level = float(hist @ np.arange(256)) / size
                 share = np.round(grey / size * 255).astype(np.uint8)
-                for column, value in zip(out, (size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), n, grey.tolist(), f"{level:.3f}:{share.tobytes().hex()}"), strict=True):
-                    column.append(value)
+                for values, value in zip(out, (size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), n, grey.tolist(), f"{level:.3f}:{share.tobytes().hex()}"), strict=True):
+                    values.append(value)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], [x.split()[0] for x in _FEATURES.split(", ")])
+            colours = np.array(seen, np.int64).reshape(-1, 3, bins)
+            at, delay, disposal = np.array(told, np.int64).reshape(-1, 3).T
+            fields = [pa.array(at), pa.array(delay, pa.int32()), pa.array(disposal, pa.int32()), *[_equal_lists(colours[:, c].ravel(), bins) for c in range(3)]]
+            rows = pa.StructArray.from_arrays(fields, [x.split(":")[0] for x in _FRAMES.split(", ")])
+            shown = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(out[5]))), pa.int32()), rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)], shown], _NAMES)
 
     return media.select("id", "n_bytes", "media").mapInArrow(run, _FEATURES)
 
 
+_NAMES = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "hist_grey", "feature", "frames"]
+
+
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every text as a GIF in a table of the shared folder and reads that table back."""
     return read_payload(staged(store(docs, id_col, text_col), "gif"))
