@@ -6,9 +6,13 @@ the class prior p, the risk of a scorer g under the logistic loss l is
     p * mean l(g(x+)) + max(0, mean l(-g(xu)) - p * mean l(-g(x+)))
 
 whose second term is the unbiased estimate of the risk on negatives, kept from going below zero
-(where it does, the step undoes it). No text labelled bad is used as such: the prior is estimated
-as the share of good ones among the labels of the learning rows, which is unbiased when labels
-are given to a random sample.
+(where it does, the step undoes it). No label of a bad text is used: the prior, too, is estimated
+from positives and unlabelled texts alone. A plain classifier of the one against the other is
+fitted on half of each; over the other half, the share of unlabelled texts above a threshold
+divided by that of positives is the prior where no negative lies above the threshold, and more
+elsewhere. The threshold of the least ratio, with a margin for sampling error that grows as fewer
+positives are left, gives the estimate (best bin estimation); the halves then change places. The
+risk needs a prior within (0, 1), so an estimate at an end is moved inside by one text in n + 2.
 
 The scorer is linear in statistics of the whole text: shares of byte classes, word and line
 lengths, repeated words and lines. Fitting takes a bounded sample, ``POSITIVES`` and
@@ -18,7 +22,9 @@ the driver. Scoring covers every text.
 Defined results: null and empty texts have all statistics zero and get that point's score;
 repeated rows get equal scores; without a positive the prior alone is the score of every text;
 labels of ids that aren't there teach nothing; a document labelled twice counts as often; an
-empty table gives an empty table; other columns pass through, except those of the names made here.
+empty table gives an empty table; other columns pass through under any name, except those of the
+names made here. A very long text is measured whole, in memory linear in its length; batches are
+measured in slices. Without an unlabelled text or a positive the prior is one half.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import segment_sum, ship, staged, utf8
+from larkspur.llm.common import column, passed, segment_sum, ship, sliced, staged, utf8
 
 POSITIVES = 8_000
 UNLABELLED = 16_000
@@ -90,8 +96,29 @@ def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[fl
     return prior * loss(positive), loss(-unlabelled) - prior * loss(-positive)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-3) -> Scorer:
-    """Minimises the non-negative risk by Adam over all rows at once, from zero, so runs agree."""
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of positives among the unlabelled rows, by best bin estimation over two halves."""
+    n = min(len(positive), len(unlabelled))
+    if n < 4:
+        return 0.5
+    found = []
+    for here in (0, 1):
+        plain = fit(positive[here::2], unlabelled[here::2], 0.5, steps=400, plain=True)
+        p, u = (np.sort(plain.score(x[1 - here :: 2])) for x in (positive, unlabelled))
+        at = np.unique(p)
+        above_p, above_u = (1 - np.searchsorted(x, at, "left") / len(x) for x in (p, u))
+        error = sum(np.sqrt(np.log(4 / doubt) / (2 * len(x))) for x in (p, u))
+        best = np.argmin((above_u + 1.01 * error) / above_p)
+        found.append(above_u[best] / above_p[best])
+    least = 1 / (len(unlabelled) + 2)
+    return float(min(max(np.mean(found), least), 1 - least))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-3, plain: bool = False) -> Scorer:
+    """Minimises the non-negative risk by Adam over all rows at once, from zero, so runs agree.
+
+    With ``plain`` unlabelled rows stand for negatives as they are.
+    """
     both = np.concatenate((positive, unlabelled))
     mean, scale = both.mean(0), both.std(0)
     scale[scale < 1e-9] = 1.0
@@ -105,7 +132,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
         gp, gu = p @ w, u @ w
         _, negative = risk(gp, gu, prior)
         d_positive = prior * -(p * (1 - sigmoid(gp))[:, None]).mean(0)
-        d_negative = (u * sigmoid(gu)[:, None]).mean(0) - prior * (p * sigmoid(gp)[:, None]).mean(0)
+        d_negative = (u * sigmoid(gu)[:, None]).mean(0)
+        if plain:
+            negative, d_negative = 0.0, (1 - prior) * d_negative
+        else:
+            d_negative = d_negative - prior * (p * sigmoid(gp)[:, None]).mean(0)
         step = d_positive + d_negative if negative >= 0 else -d_negative
         step[:-1] += decay * w[:-1]
         first, second = 0.9 * first + 0.1 * step, 0.999 * second + 0.001 * step**2
@@ -117,7 +148,7 @@ def _measured(rows: DataFrame) -> np.ndarray:
     """The statistics of a bounded number of texts, on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 0):
             x = statistics(*utf8(batch.column(0)))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["id", "x"])
 
@@ -129,14 +160,13 @@ def learn(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str = "do
     """A scorer from rows where ``teaches``, a condition on the column ``id``, holds."""
     ship(docs.sparkSession)
     part = F.xxhash64(F.lit("pu"), F.col("id")).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / F.lit(float(1 << 52))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null").where(teaches)
-    told = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").where(teaches)
-    of = told.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0)).alias("good")).first()
-    n = texts.select("id").agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    prior = min(0.98, max(0.02, (of["good"] + 1) / (of["n"] + 2)))
-    chosen = staged(told.where("label = 1").where(part < min(1.0, positives / max(of["good"], 1))).select("id"), "quality-positives")
+    texts = docs.select(column(id_col).cast("long").alias("id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null").where(teaches)
+    told = labels.select(column(id_col).cast("long").alias("id"), column(label_col).cast("int").alias("label")).where("label = 1 and id is not null").where(teaches).select("id")
+    n_good, n = (df.agg(F.count(F.lit(1))).first()[0] for df in (told, texts.select("id")))
+    chosen = staged(told.where(part < min(1.0, positives / max(n_good, 1))), "quality-positives")
     good = _measured(texts.join(chosen, "id"))
     web = _measured(texts.where(part < min(1.0, unlabelled / max(n, 1))))
+    prior = estimated_prior(good, web)
     if not len(good) or not len(web):
         zero = np.zeros(len(FEATURES))
         return Scorer(zero, zero + 1, zero, float(np.log(prior / (1 - prior))), prior)
@@ -146,13 +176,13 @@ def learn(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str = "do
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
     """``docs`` with score and predicted."""
     ship(docs.sparkSession)
-    kept = docs.drop("score", "predicted")
-    columns = kept.columns
+    made = T.StructType.fromDDL("score double, predicted int")
+    kept, columns = passed(docs, made.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, len(columns)):
             s = scorer.score(statistics(*utf8(batch.column(len(columns)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(s), pa.array((s >= GOOD).astype(np.int32))], [*columns, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(s), pa.array((s >= GOOD).astype(np.int32))], [*columns, *made.names])
 
-    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL("score double, predicted int").fields])
-    return kept.select(*[F.col(f"`{c}`") for c in columns], docs[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
+    told = docs.select(*kept, column(text_col).cast("string").alias("text"))
+    return told.mapInArrow(run, T.StructType([*[docs.schema[c] for c in columns], *made.fields]))
