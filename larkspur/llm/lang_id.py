@@ -13,7 +13,8 @@ each language and a row of ``BUCKETS`` counts for it from each of ``TASKS`` task
 Defined results: a null text or one without a letter is ``und`` with score 0 and not ambiguous;
 rows without a language teach nothing; with no labelled text every text is ``und``; repeated
 rows get equal results; ties go to the language first in the alphabet; an empty table gives an
-empty table; other columns pass through, except those of the names made here.
+empty table; other columns pass through under any name, except those of the names made here. A
+very long text is read whole, in memory linear in its length; batches are read in slices.
 """
 
 from __future__ import annotations
@@ -28,17 +29,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import segment_sum, ship, utf8
+from larkspur.llm.common import column, passed, segment_sum, ship, sliced, utf8
 
 BUCKETS = 1 << 16
 PER_LANG = 1500
 TASKS = 16
-#: A language beyond these many is refused: the driver holds one row of counts for each.
-MAX_LANGS = 1000
+#: More languages than these are refused: the driver and each learning task hold a row of BUCKETS counts for each.
+MAX_LANGS = 400
 #: Margins are mean log-odds; this makes the logistic loss and the score sharp enough.
 SHARPNESS = 8.0
 AMBIGUOUS = 0.6
 UND = "und"
+#: The columns that ``identify`` makes.
+MADE = ("lang_pred", "score", "ambiguous", "margins")
 _PIECE = 1 << 20
 
 #: Byte -> class: 0 for what is no letter, letters in lower case, bytes of longer characters as they are.
@@ -125,7 +128,9 @@ class Model:
         """(index of the nearest codeword, score, ambiguous) of rows of margins."""
         if not self.langs:
             return np.zeros(len(margins), np.int64), np.zeros(len(margins)), np.zeros(len(margins), bool)
-        loss = np.logaddexp(0, -SHARPNESS * margins[:, None, :] * self.code[None]) @ self.trust
+        # A bit's loss has two values, one for a codeword's 1 and one for its -1; einsum sums every row in the same order.
+        one, none = (np.logaddexp(0, s * SHARPNESS * margins) * self.trust for s in (-1, 1))
+        loss = np.einsum("ib,kb->ik", one, (self.code > 0).astype(float)) + np.einsum("ib,kb->ik", none, (self.code < 0).astype(float))
         e = np.exp(loss.min(1, keepdims=True) - loss)
         p = e / e.sum(1, keepdims=True)
         best = loss.argmin(1)
@@ -136,7 +141,7 @@ class Model:
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of n-grams by language, a row for each language that a task meets."""
     held: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in sliced(batches, 1):
         body, offsets = utf8(batch.column(1))
         for i, lang in enumerate(batch.column(0).to_pylist()):
             text = body[offsets[i] : offsets[i + 1]]
@@ -150,7 +155,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:
     """A model from about ``per_lang`` texts of each language among the rows where ``teaches`` holds."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), teaches.alias("teaches"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang"), teaches.alias("teaches"))
     rows = rows.where("teaches and lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
     if len(counts) > MAX_LANGS:
@@ -199,13 +204,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """``docs`` with lang_pred, score, ambiguous and margins (the bits' mean weights)."""
     ship(docs.sparkSession)
     made = T.StructType.fromDDL("lang_pred string, score double, ambiguous boolean, margins array<float>")
-    kept = docs.drop(*made.names)
-    columns = kept.columns
+    kept, columns = passed(docs, made.names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGS and BUCKETS bound its size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in sliced(batches, len(columns)):
             texts = batch.column(len(columns))
             body, offsets = utf8(texts)
             letters = segment_sum(_CLASS[body] > 0, offsets) > 0
@@ -221,5 +225,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *arrays], [*columns, *made.names])
 
-    told = kept.select(*[F.col(f"`{c}`") for c in columns], docs[text_col].cast("string").alias("__text"))
-    return told.mapInArrow(run, T.StructType([*kept.schema.fields, *made.fields]))
+    told = docs.select(*kept, column(text_col).cast("string").alias("text"))
+    return told.mapInArrow(run, T.StructType([*[docs.schema[c] for c in columns], *made.fields]))

@@ -152,7 +152,7 @@ def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.media_columns(_read(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames")
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "frames")
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

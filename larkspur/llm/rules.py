@@ -5,7 +5,8 @@ over one row, so nothing is shuffled and a long document costs n log n in its wo
 
 Defined results: a null or empty text has no word, fails the base rule and is not kept;
 repeated rows and ties get equal results; an empty table gives an empty table; other columns
-pass through ``apply_rules``, which replaces columns of the names it makes.
+pass through ``apply_rules`` under any name, and it replaces columns of the names it makes. A very
+long text is measured whole.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import column, free_prefix, without
+
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of the four corpus languages (fixed values).
@@ -50,6 +53,8 @@ RULES = (
 
 _RATIOS = ("mean_word_chars", "symbol_word_ratio", "stop_word_ratio", "alpha_word_ratio", "shout_word_ratio", "dup_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: The columns that ``apply_rules`` makes.
+MADE = (*COUNTS, *_RATIOS, "base_failed", "failed_rules", "kept")
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -58,46 +63,47 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the five counts and the ratios that rules may name."""
-    columns = [c for c in docs.columns if c not in COUNTS and c not in _RATIOS]
-    out = docs.select(*columns, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
-    out = out.withColumn("__w", F.array_remove(F.split("__t", "[ \\t-\\r]+"), ""))
-    out = out.withColumn("__n", F.size("__w"))
+    names = without(docs.columns, (*COUNTS, *_RATIOS))
+    columns, p = [column(c) for c in names], free_prefix(*docs.columns)
+    out = docs.select(*columns, F.coalesce(column(text_col).cast("string"), F.lit("")).alias(p + "t"))
+    out = out.withColumn(p + "w", F.array_remove(F.split(p + "t", "[ \\t-\\r]+"), ""))
+    out = out.withColumn(p + "n", F.size(p + "w"))
     windows = F.transform(
-        F.slice("__w", F.lit(1), F.greatest(F.col("__n") - 2, F.lit(0))),
-        lambda w, i: F.concat_ws(" ", w, F.get("__w", i + 1), F.get("__w", i + 2)),
+        F.slice(p + "w", F.lit(1), F.greatest(F.col(p + "n") - 2, F.lit(0))),
+        lambda w, i: F.concat_ws(" ", w, F.get(p + "w", i + 1), F.get(p + "w", i + 2)),
     )
-    lines = F.filter(F.split("__t", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
+    lines = F.filter(F.split(p + "t", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
     letters = F.lit("[\\p{L}]")
     out = out.select(
         *columns,
-        F.length(F.translate("__t", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.col("__n").cast("long").alias("n_words"),
-        windows.alias("__g"),
-        lines.alias("__l"),
-        F.size(F.filter("__w", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")).isin(sorted(set(STOP_WORDS))))).alias("__stop"),
-        F.size(F.filter("__w", lambda w: F.rlike(w, letters))).alias("__alpha"),
-        F.size(F.filter("__w", lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1))).alias("__shout"),
+        F.length(F.translate(p + "t", SPACE, "")).cast("long").alias("word_chars"),
+        (F.length(p + "t") - F.length(F.translate(p + "t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.col(p + "n").cast("long").alias("n_words"),
+        windows.alias(p + "g"),
+        lines.alias(p + "l"),
+        F.size(F.filter(p + "w", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")).isin(sorted(set(STOP_WORDS))))).alias(p + "stop"),
+        F.size(F.filter(p + "w", lambda w: F.rlike(w, letters))).alias(p + "alpha"),
+        F.size(F.filter(p + "w", lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1))).alias(p + "shout"),
     )
     # Windows in sorted order stand beside their equals; only texts with a repeat are sorted.
-    repeats = F.size(F.array_distinct("__g")) < F.size("__g")
-    out = out.withColumn("__s", F.when(repeats, F.sort_array(F.transform("__g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
-    hit = F.transform("__s", lambda s, k: F.when((F.get("__s", k - 1)["g"] == s["g"]) | (F.get("__s", k + 1)["g"] == s["g"]), s["i"]))
-    out = out.withColumn("__p", F.sort_array(F.array_compact(hit)))
+    repeats = F.size(F.array_distinct(p + "g")) < F.size(p + "g")
+    out = out.withColumn(p + "s", F.when(repeats, F.sort_array(F.transform(p + "g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
+    hit = F.transform(p + "s", lambda s, k: F.when((F.get(p + "s", k - 1)["g"] == s["g"]) | (F.get(p + "s", k + 1)["g"] == s["g"]), s["i"]))
+    out = out.withColumn(p + "p", F.sort_array(F.array_compact(hit)))
     # A repeated window covers up to the next one's start, three words at most.
     cover = F.aggregate(
-        F.transform("__p", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("__p", k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x
+        F.transform(p + "p", lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p + "p", k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x
     )
-    n_lines = F.size("__l")
+    n_lines = F.size(p + "l")
     # One row from an array of one struct: a filter on the verdict stays above it, where otherwise it
     # would be pushed through every projection and repeat the array expressions many times over.
     counts = F.struct(
-        "n_words", "word_chars", "n_symbols", "__stop", "__alpha", "__shout",
-        (n_lines - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+        "n_words", "word_chars", "n_symbols", p + "stop", p + "alpha", p + "shout",
+        (n_lines - F.size(F.array_distinct(p + "l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"),
-        n_lines.alias("__nl"),
-        F.size(F.filter("__l", lambda x: F.rlike(x, F.lit("^[ \\t]*([-*\u2022]|[0-9]+[.)])[ \\t]")))).alias("__bullet"),
-        F.size(F.filter("__l", lambda x: F.rlike(x, F.lit("(\\.\\.\\.|\u2026)[ \\t\\r]*$")))).alias("__dots"),
+        n_lines.alias(p + "nl"),
+        F.size(F.filter(p + "l", lambda x: F.rlike(x, F.lit("^[ \\t]*([-*\u2022]|[0-9]+[.)])[ \\t]")))).alias(p + "bullet"),
+        F.size(F.filter(p + "l", lambda x: F.rlike(x, F.lit("(\\.\\.\\.|\u2026)[ \\t\\r]*$")))).alias(p + "dots"),
     )
     out = out.select(*columns, F.inline(F.array(counts)))
     n = F.col("n_words")
@@ -105,12 +111,12 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         *columns, *COUNTS,
         _ratio(F.col("word_chars"), n).alias("mean_word_chars"),
         _ratio(F.col("n_symbols"), n).alias("symbol_word_ratio"),
-        _ratio(F.col("__stop"), n).alias("stop_word_ratio"),
-        _ratio(F.col("__alpha"), n).alias("alpha_word_ratio"),
-        _ratio(F.col("__shout"), n).alias("shout_word_ratio"),
-        _ratio(F.col("n_dup_lines"), F.col("__nl")).alias("dup_line_ratio"),
-        _ratio(F.col("__bullet"), F.col("__nl")).alias("bullet_line_ratio"),
-        _ratio(F.col("__dots"), F.col("__nl")).alias("ellipsis_line_ratio"),
+        _ratio(F.col(p + "stop"), n).alias("stop_word_ratio"),
+        _ratio(F.col(p + "alpha"), n).alias("alpha_word_ratio"),
+        _ratio(F.col(p + "shout"), n).alias("shout_word_ratio"),
+        _ratio(F.col("n_dup_lines"), F.col(p + "nl")).alias("dup_line_ratio"),
+        _ratio(F.col(p + "bullet"), F.col(p + "nl")).alias("bullet_line_ratio"),
+        _ratio(F.col(p + "dots"), F.col(p + "nl")).alias("ellipsis_line_ratio"),
     )
 
 
@@ -133,7 +139,9 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> list[Column]:
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """``docs`` with counts, ratios, base_failed, failed_rules and kept."""
-    made = measure(docs.drop("base_failed", "failed_rules", "kept"), text_col)
+    kept = without(docs.columns, ("base_failed", "failed_rules", "kept"))
+    made = measure(docs.select(*map(column, dict.fromkeys((*kept, text_col)))), text_col)
+    made = made.select(*[column(c) for c in made.columns if c in kept or c in COUNTS or c in _RATIOS])
     names = F.array(*[F.when(x, F.lit(r.metric)) for r, x in zip(rules, compiled(rules), strict=True)])
     out = made.withColumns({"base_failed": base_failed(), "failed_rules": F.array_compact(names)})
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))

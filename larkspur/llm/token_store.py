@@ -23,11 +23,13 @@ count of ids, is summed globally, and the parts are as many as shuffle partition
 
 Defined results: a null or empty text has the end id only; repeated ids are separate documents
 in the order of their texts; a null id comes first; an empty table gives no segment; extra
-columns are ignored.
+columns are ignored, whatever their names. A very long text is encoded whole, in memory linear in
+its length; batches are encoded in slices.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -39,15 +41,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import ship, utf8
+from larkspur.llm.common import column, ship, sliced, utf8
 
 MAGIC = b"LSDAC001"
 CHUNK_BITS = 8
 RANK_BLOCK = 512
 #: A segment is closed once it has this many ids.
 SEGMENT_IDS = 1 << 20
-#: Encoded words a worker keeps before it starts afresh.
-CACHE_WORDS = 1_000_000
+#: Bytes of encoded words a worker keeps before it starts afresh, and the longest word it keeps.
+CACHE_BYTES, CACHE_LONGEST = 64 << 20, 64
+#: What a table's entry takes besides the word's characters and ids.
+_ENTRY = 190
+#: Text bytes that are encoded at a time.
+_SLICE = 8 << 20
 NULL_ID = -(2**63)
 
 
@@ -115,6 +121,14 @@ def pack(doc_ids: list[int | None], parts: list[bytes], base: int = 0) -> bytes:
     return b"".join((MAGIC, head, named, starts.tobytes(), *out))
 
 
+def _lower_and_blank(spec: dict) -> bool:
+    """Whether a tokenizer's file says that white space is dropped and letters are made lower case, and no more."""
+    normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    normal = [x["type"] for x in normal.get("normalizers", [])]
+    pre = [(x["type"], x.get("behavior"), x.get("invert"), x.get("add_prefix_space")) for x in pre.get("pretokenizers", [])]
+    return normal == ["NFC", "Replace", "Lowercase"] and pre == [("Split", "Removed", True, None), ("ByteLevel", None, None, False)] and not any(set(x["content"]) & set(" \t\n\x0b\x0c\r") for x in spec["added_tokens"])
+
+
 class WordEncoder:
     """The tokenizers library over the distinct words of a batch.
 
@@ -124,7 +138,7 @@ class WordEncoder:
     hold, and the ids are gathered by number. Where a word is an ASCII or Latin-1 letter followed
     by marks of ``TAIL`` up to its end, the pre-tokenizer cuts between them and stem and tail are
     looked up apart. The library gets many words at a time, set apart by a character that they
-    don't hold.
+    don't hold. With a tokenizer of another kind whole texts go to the library.
     """
 
     TAIL = ".,!?;:*#$%&"
@@ -135,14 +149,19 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.by_words = _lower_and_blank(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
         apart = self.tokenizer.encode(self.APART, add_special_tokens=False).ids
         self.apart = apart[0] if len(apart) == 1 else None
 
-    def _learn(self, words: list[str]) -> None:
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words, as little-endian unsigned 32-bit integers."""
+        out: dict[str, bytes] = {}
         plain = [w for w in words if self.apart is not None and self.APART not in w]
         some = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
         lines = [f" {self.APART} ".join(x) for x in some]
@@ -151,10 +170,23 @@ class WordEncoder:
             body, at = ids.tobytes(), 0
             ends = [*np.flatnonzero(ids == self.apart).tolist(), len(ids)]
             for w, end in zip(x, ends, strict=True):
-                self.known[w] = body[4 * at : 4 * end]
+                out[w] = body[4 * at : 4 * end]
                 at = end + 1
         for w in words if self.apart is None else [w for w in words if self.APART in w]:
-            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def _keep(self, fresh: dict[str, bytes]) -> None:
+        for w, ids in fresh.items():
+            if len(w) <= CACHE_LONGEST:
+                self.known_bytes += _ENTRY + len(w) + len(ids)
+                if self.known_bytes > CACHE_BYTES:
+                    self.known, self.known_bytes = {}, _ENTRY + len(w) + len(ids)
+                self.known[w] = ids
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts.to_pylist()]
+        return np.concatenate([np.zeros(0, "<u4"), *got]), np.concatenate(([0], np.cumsum([len(x) for x in got]))).astype(np.int64)
 
     def _parts(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Stem and tail of each word, the stem's ASCII letters lower-cased as the tokenizer does."""
@@ -172,16 +204,17 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the end)."""
+        if not self.by_words:
+            return self._whole(texts)
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         of_text = np.asarray(lists.offsets).astype(np.int64)
         words = lists.flatten().dictionary_encode()
         stem, tail = self._parts(words.dictionary)
         parts = pa.concat_arrays([stem, tail]).dictionary_encode()
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
         distinct, known = parts.dictionary.to_pylist(), self.known
-        self._learn([w for w in distinct if w not in known])
-        ids = [known[w] for w in distinct]
+        fresh = self._encoded([w for w in distinct if w not in known])
+        ids = [fresh[w] if w in fresh else known[w] for w in distinct]
+        self._keep(fresh)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         first = np.cumsum(size) - size
         flat = np.frombuffer(b"".join(ids), "<u4")
@@ -211,7 +244,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1
     """Encodes whole texts and writes their segments in ascending id order to ``folder``."""
     ship(docs.sparkSession)
     path = path or default_path()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     end = end_id.to_bytes(4, "little")
 
@@ -226,7 +259,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1
             columns = [[part], [number], [len(ids)], [held], [pack(ids, whole, base)]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "number", "n_docs", "n_ids", "data"])
 
-        for batch in batches:
+        for batch in sliced(batches, 1, _SLICE):
             got, ends = words.encode(batch.column(1))
             body = memoryview(got).cast("B")
             for i, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
@@ -279,7 +312,7 @@ def lookup(spark: SparkSession, folder: str, positions: DataFrame, position_col:
     order = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     spans = rows.select("part", "number", "n_ids", "part_base").withColumn("first", F.col("part_base") + F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
     spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / SEGMENT_IDS), F.floor((F.col("first") + F.col("n_ids") - 1) / SEGMENT_IDS))))
-    asked = positions.select(F.col(position_col).cast("long").alias("position")).where("position >= 0").distinct().withColumn("block", F.floor(F.col("position") / SEGMENT_IDS))
+    asked = positions.select(column(position_col).cast("long").alias("position")).where("position >= 0").distinct().withColumn("block", F.floor(F.col("position") / SEGMENT_IDS))
     met = asked.join(spans, "block").where("position >= first and position < first + n_ids")
     wanted = met.groupBy("part", "number").agg(F.collect_list(F.struct("position", (F.col("position") - F.col("first")).alias("at"))).alias("asked"))
 

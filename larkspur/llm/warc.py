@@ -14,7 +14,7 @@ has at least ``min_revisit_bytes``.
 Defined results: a null payload is empty; a null URL is written as ``urn:page:<id>``; control
 characters and blanks in a URL are percent-encoded; repeated rows of the smallest id are all
 responses; a row without an id revisits a row with one, and is a response if there is none; an
-empty table gives an empty archive; extra columns are ignored.
+empty table gives an empty archive; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import ship, staged
+from larkspur.llm.common import column, ship, staged
 
 CHUNK = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -49,8 +49,8 @@ def first_of_equals(pages: DataFrame, id_col: str, payload_col: str, min_revisit
     Digests are grouped with map-side partials; only those met twice come back to the rows, in
     a join of stored tables whose hot keys the adaptive skew join splits.
     """
-    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
-    ids = staged(pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("size")), "warc-ids")
+    payload = F.coalesce(column(payload_col).cast("binary"), F.lit("").cast("binary"))
+    ids = staged(pages.select(column(id_col).cast("long").alias("id"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("size")), "warc-ids")
     groups = ids.where(F.col("size") >= min_revisit_bytes).groupBy("sha", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     groups = staged(groups.where("n > 1 and first is not null").select("sha", "size", "first"), "warc-groups")
     later = ids.join(groups, ["sha", "size"]).where(~F.col("id").eqNullSafe(F.col("first")))
@@ -91,7 +91,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     """Writes the archive of ``pages`` as a Parquet table of chunks in ``folder``."""
     ship(pages.sparkSession)
     later = first_of_equals(pages, id_col, payload_col, min_revisit_bytes)
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("payload"))
+    rows = pages.select(column(id_col).cast("long").alias("id"), column(url_col).cast("string").alias("url"), F.coalesce(column(payload_col).cast("binary"), F.lit("").cast("binary")).alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).alias("p").join(later.alias("r"), F.col("p.id").eqNullSafe(F.col("r.id")) & (F.col("p.sha") == F.col("r.sha")), "left")
     rows = rows.select("p.id", "p.url", "r.first", F.col("r.sha").isNotNull().alias("revisit"), "p.payload")
 

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -117,7 +118,9 @@ def test_own_streams_are_standard():
     rng = np.random.default_rng(2)
     for data in (b"", b"a", bytes(50_000), rng.integers(0, 256, 40_000).astype(np.uint8).tobytes()):
         assert media.lzw_codes(data) == simple_lzw(list(data), 8)
-        assert media.lzw_pack(media.lzw_codes(data)) == packed(simple_lzw(list(data), 8), 8)
+        for size in (2, 5, 8):
+            low = bytes(x & ((1 << size) - 1) for x in data)
+            assert media.lzw_pack(media.lzw_codes(low, size), size) == packed(simple_lzw(list(low), size), size)
 
 
 def gif(frames, width=4, height=4, palette=((0, 0, 0), (255, 0, 0), (0, 255, 0), (0, 0, 255))):
@@ -171,9 +174,31 @@ def test_frames_in_spark(spark):
     got = {(r["id"], r["frame"]): r for r in media.decode_frames(rows, bins=2).collect()}
     assert got[(1, 0)]["hist_red"] == [0, 16] and got[(1, 1)]["hist_green"] == [15, 1] and got[(1, 1)]["at_ms"] == 50
     assert all(got[(i, None)]["error"] for i in (2, 3, 4))
+    # Early ends after a frame give that frame and an error; hostile sizes an error before memory is taken.
+    hostile = [(5, good[:-10]), (6, good[:6] + b"\xff\xff\xff\xff" + good[10:]), (7, gif([(0, 0, [[1] * 4] * 4, 5, 1, None, None, 0)]).replace(b"\x2c\0\0\0\0\x04\0\x04\0", b"\x2c\0\0\0\0\xff\xff\xff\xff"))]
+    told = sorted((r["id"], r["frame"] is None, (r["error"] or "")[:5]) for r in media.decode_frames(spark.createDataFrame(hostile, "id long, media binary")).collect())
+    assert told == [(5, False, ""), (5, True, "the G"), (6, True, "65535"), (7, True, "65535")]
     assert media.decode_frames(rows.where("false")).count() == 0
 
 
+def test_stored_animations_use_palettes_disposal_and_transparency():
+    rng = np.random.default_rng(4)
+    row = [rng.integers(0, 200, 64).astype(np.uint8).tobytes() for _ in range(4)]
+    payload = b"".join(row[i % 4] for i in range(media.ROWS * 3 + 5))
+    data = media.gif_of(payload)
+    got = list(map(lambda f: (media.payload_of(f), f.at_ms, f.delay_ms, f.disposal, media.histograms(f.canvas, 4).sum()), media.frames(data)))
+    assert b"".join(g[0] for g in got) == payload
+    assert [g[1:4] for g in got] == [(0, 100, 1), (100, 100, 3), (200, 100, 2), (300, 100, 1)]
+    assert len(data) < len(payload) // 4  # repeated rows are clear
+    flags = [data[m.start() + 3] for m in re.finditer(rb"\x21\xf9\x04", data)]
+    assert flags[1] & 1 and flags[2] & 1  # over the first frame, which was left and put back
+    own = [data[m.start() + 9] for m in re.finditer(rb"\x2c\0\0\0\0\x40\0", data)]
+    assert [x >> 7 for x in own] == [0, 1, 0, 1]
+    every = bytes(range(256)) * 3  # no index is left for the transparent one
+    assert b"".join(media.payload_of(f) for f in media.frames(media.gif_of(every))) == every
+    assert len(list(media.frames(media.gif_of(bytes(64))))) == 1 and len(list(media.frames(media.gif_of(bytes(128))))) == 2
+
+
 def test_payloads(spark, odd, none):
     got = media.media_columns(odd).collect()
     assert len(got) == odd.count()
@@ -185,6 +210,12 @@ def test_payloads(spark, odd, none):
         body = text + bytes(-len(text) % 64 or (0 if text else 64))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(text), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]))
         assert sum(r["hist_grey"]) == len(body)
+        high = min(-(-len(body) // 128), media.ROWS)
+        assert [f["at_ms"] for f in r["frames"]] == [100 * k for k in range(r["n_frames"])] and {f["delay_ms"] for f in r["frames"]} == {100}
+        # The first frame by brute force: red is the sample, green its complement, blue five times it.
+        first = body[: 64 * high]
+        for name, of in (("hist_red", lambda v: v), ("hist_green", lambda v: 255 - v), ("hist_blue", lambda v: 5 * v % 256)):
+            assert r["frames"][0][name] == [sum(of(v) >> 4 == b for v in first) for b in range(16)]
     same = {(r["media_sha256"], r["feature"]) for r in got if r["id"] in (5, 6)}
     assert len(same) == 1
     assert {r["id"]: r["n_frames"] for r in got}[7] == 3

@@ -70,3 +70,15 @@ def test_pipeline_on_odd_rows(spark, odd, none):
             out = f(spark, out, AT)
         assert out.count() == 0
     assert rules.base_failed() is not None
+
+
+def test_columns_of_the_stages_come_out_as_they_were(spark):
+    text = " ".join(f"the cat of {w} and a dog {i}" for i, w in enumerate("house garden river mountain bridge window table".split()))
+    own = ["kept", "score", "Lang_Pred", "n_words", "copy_no", "__t", "a.b", "a`b"]
+    docs = spark.createDataFrame([(i, text + f" {i}", "en", "s") for i in range(30)], "doc_id long, text string, lang string, source string")
+    out = docs.select("*", *[F.lit(f"mine {c}").alias(c) for c in own])
+    columns = out.columns
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, out, AT)
+        assert out.columns == columns and all(r[c] == f"mine {c}" for r in out.collect() for c in own)
+    corpus_pipeline.STAGES[-1][1](spark, out, AT).collect()

@@ -72,6 +72,25 @@ def test_words_as_the_library(texts):
         assert ids[a:b].tolist() == library.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_get_whole_texts(byte_library):
+    texts = [" Hello  World", None, "", "a\nB"]
+    ids, ends = token_store.WordEncoder(bpe.default_path()).encode(pa.array(texts, pa.string()))
+    for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True):
+        assert ids[a:b].tolist() == byte_library.encode(t or "", add_special_tokens=False).ids
+
+
+def test_tables_of_words_and_pieces_are_bounded(monkeypatch, word_library, byte_library):
+    monkeypatch.setattr(token_store, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
+    texts = [f"word{i} other{i * 7} " + "x" * i for i in range(90)]
+    words, pieces = token_store.WordEncoder(token_store.default_path()), bpe.ByteBPE(bpe.default_path())
+    for t in texts:
+        ids, _ = words.encode(pa.array([t], pa.string()))
+        assert ids.tolist() == word_library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(pieces.encode(t), "<u4").tolist() == byte_library.encode(t, add_special_tokens=False).ids
+        assert len(words.known) < 12 and len(pieces._pieces) < 12 and all(len(w) <= 64 for w in words.known)
+
+
 @settings(max_examples=60, deadline=None)
 @given(docs=st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=700), min_size=1, max_size=5))
 def test_codes_are_addressable(docs):
@@ -152,6 +171,15 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(chats(spark, [])).count() == 0
 
 
+def test_a_long_chat(spark):
+    rows = [(1, i, "user" if i % 3 else "assistant", "é" * (i % 7), "x") for i in range(5000)]
+    r = chat.read_back(chat.format_chats(chats(spark, rows))).first()
+    assert [t["text"] for t in r["turns"]] == [x for *_, x, _ in rows]
+    assert r["loss_texts"] == ["é" * (i % 7) for i in range(0, 5000, 3)] and r["n_blocks"] == 2 * 1667 - 1 + 1 * (5000 % 3 > 1)
+    sums = spark.range(1).select(chat.running(F.sequence(F.lit(1).cast("long"), F.lit(1000).cast("long"))).alias("s")).first()["s"]
+    assert sums == [k * (k + 1) // 2 for k in range(1, 1001)]
+
+
 def test_chat_plan_has_no_python(spark):
     plan = chat.format_chats(chats(spark, []))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
