@@ -1,20 +1,20 @@
 """Candidate retrieval, blending and re-ranking.
 
 Retrieval lists are long: (request, source, rank, item). Only greedy slates with similarity or
-exploration are sequential; they run per request in ``applyInPandas`` over a bounded pool.
+exploration are filled slot by slot; Arrow batches hold many requests, which advance together.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.columns import dot
+from larkspur.functions.columns import digest_number, digest_uniform, dot
 from larkspur.sources.shared import ship
 
 #: Rank of an item that a source didn't return.
@@ -86,12 +86,37 @@ def ivf_cells(items: DataFrame, cells: int, seed: int = 42, sample: int = 50_000
     return centres, model.transform(rows).select("item", "vector", "cell")
 
 
-def knn_ivf(queries: DataFrame, items: DataFrame, k: int, cells: int = 32, probes: int = 8, seed: int = 42) -> DataFrame:
-    """As ``knn_exact`` but only over the ``probes`` cells whose centre is nearest to the query."""
+def _cells_by_nearness(queries: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``queries`` with ``near``, all cells from the nearest centre on; the centres are one row of ``cells`` vectors."""
+    table = queries.sparkSession.createDataFrame([(centres.tolist(),)], "centres array<array<double>>")
+    order = F.sort_array(F.transform("centres", lambda v, i: F.struct(dot(F.col("vector"), v).alias("d"), i.alias("cell"))), asc=False)
+    return queries.join(F.broadcast(table)).select("request", "vector", F.transform(order, lambda x: x["cell"]).alias("near"))
+
+
+def probes_for(queries: DataFrame, items: DataFrame, placed: DataFrame, centres: np.ndarray, k: int, recall: float, asks: int = 64) -> int:
+    """How many cells a query has to look into for ``recall`` of its exact list, measured over about ``asks`` of the queries."""
+    n = queries.count()
+    part = F.pmod(F.xxhash64(F.lit("probes"), F.col("request")), F.lit(1 << 20)) < F.lit(int(min(1.0, asks / max(n, 1)) * (1 << 20)))
+    some = queries.where(part)
+    exact = knn_exact(some, items, k).select("request", "item")
+    met = exact.join(placed.select("item", "cell"), "item").join(_cells_by_nearness(some, centres), "request")
+    rows = met.groupBy(F.array_position("near", F.col("cell")).alias("at")).agg(F.count(F.lit(1)).alias("n")).orderBy("at").collect()  # a row a cell
+    found, whole = 0, sum(r["n"] for r in rows)
+    for r in rows:
+        found += r["n"]
+        if found >= recall * whole:
+            return int(r["at"])
+    return len(centres)
+
+
+def knn_ivf(queries: DataFrame, items: DataFrame, k: int, cells: int = 32, probes: int | None = None, seed: int = 42, recall: float = 0.95) -> DataFrame:
+    """As ``knn_exact`` but only over the ``probes`` cells whose centre is nearest to the query.
+
+    Without ``probes`` there are as many as a sample of the queries needs to reach ``recall``.
+    """
     centres, placed = ivf_cells(items, cells, seed)
-    c = F.array(*[F.array(*map(F.lit, map(float, row))) for row in centres])
-    near = F.slice(F.sort_array(F.transform(c, lambda v, i: F.struct(dot(F.col("vector"), v).alias("d"), i.alias("cell"))), asc=False), 1, probes)
-    asked = queries.select("request", F.col("vector").alias("__q"), F.explode(F.transform(near, lambda x: x["cell"])).alias("cell"))
+    probes = probes or probes_for(queries, items, placed, centres, k, recall)
+    asked = _cells_by_nearness(queries, centres).select("request", F.col("vector").alias("__q"), F.explode(F.slice("near", 1, probes)).alias("cell"))
     scored = asked.join(placed.withColumnRenamed("vector", "__v"), "cell").select("request", "item", dot(F.col("__q"), F.col("__v")).alias("score"))
     return top_k(scored, k)
 
@@ -166,59 +191,106 @@ def capped(rows: DataFrame, k: int, cap: int) -> DataFrame:
     return rows.where(F.col("position") <= k).drop("__over")
 
 
+_SLATE = "request long, position int, item long, propensity double"
+#: Values of padded pools (requests x longest pool x dimensions) that a worker ranks at a time.
+_TENSOR = 1 << 22
+
+
 def greedy_slates(rows: DataFrame, k: int, relevance: float = 1.0, cap: int | None = None, epsilon: float = 0.0, explore: int = 0, seed: int = 0) -> DataFrame:
-    """(request, position, item, propensity): slots filled one after another.
+    """(request, position, item, propensity): slots filled one after another, for many requests at a time.
+
+    A slot takes the item of the largest relevance x score - (1 - relevance) x similarity, where
+    similarity is the largest to what the slate holds, or 0. Where not all items are blocked,
+    blocked ones are left out beforehand; a category at its cap waits unless nothing else is left;
+    each of a slate's last ``explore`` slots is drawn uniformly among the open items with probability
+    epsilon, and propensities say how likely each choice was. ``rows``: request, item, score, and
+    where used vector (unit length), category, blocked. Draws are hashes of (seed, request, slot).
 
-    A slot takes the item of the largest relevance x score - (1 - relevance) x similarity to what is
-    chosen. Blocked items stay out unless all are; a category at its cap waits unless nothing else
-    is left; each of the last ``explore`` slots is drawn uniformly with probability epsilon, and
-    propensities say how likely each choice was. ``rows``: request, item, score, and where used
-    vector (unit length), category, blocked. Draws come from a generator seeded by the request.
+    Each pool, a bounded list, becomes one row of arrays in order of (score desc, item). Arrow
+    batches of them are padded to tensors and all slates of a tensor get their next slot at once.
     """
     if k < 1 or not 0 <= relevance <= 1 or not 0 <= epsilon <= 1:
         raise ValueError("k must be positive, relevance and epsilon in [0, 1]")
     if epsilon > 0 and explore < 1:
         raise ValueError("exploration needs slots")
     has = set(rows.columns)
-
-    def one(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values(["score", "item"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        n, request = len(pool), pool["request"].iloc[0]
-        score = pool["score"].to_numpy(float)
-        unit = np.array(pool["vector"].tolist(), float) if "vector" in has and relevance < 1 else None
-        group = pd.factorize(pool["category"])[0] if "category" in has and cap is not None else None
-        free = np.ones(n, bool)
-        if "blocked" in has and not pool["blocked"].all():
-            free &= ~pool["blocked"].to_numpy(bool)
-        used = np.zeros(n + 1, int)
-        likest = np.zeros(n)
-        draw = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{request}".encode()).digest()[:8], "little"))
-        out = []
-        slots = min(k, n)
-        for slot in range(slots):
-            open_ = free if group is None else free & (used[group] < cap)
-            if not open_.any():
-                open_ = free
-            at = np.flatnonzero(open_)
-            if not len(at):
-                break
-            worth = score[at] if unit is None or not out else relevance * score[at] - (1 - relevance) * likest[at]
-            pick = best = int(at[np.argmax(worth)])
-            chance = 1.0
-            if epsilon > 0 and slot >= slots - explore:
-                if draw.random() < epsilon:
-                    pick = int(draw.choice(at))
-                chance = epsilon / len(at) + (1 - epsilon if pick == best else 0.0)
-            out.append((request, slot, pool["item"].iloc[pick], chance))
-            free[pick] = False
-            if group is not None:
-                used[group[pick]] += 1
-            if unit is not None:
-                likest = np.maximum(likest, unit @ unit[pick])
-        return pd.DataFrame(out, columns=["request", "position", "item", "propensity"])
+    near, grouped = "vector" in has and relevance < 1, "category" in has and cap is not None
+    entry = F.struct(
+        (-F.col("score").cast("double")).alias("low"), F.col("item").cast("long").alias("item"), (F.col("category") if grouped else F.lit(None).cast("string")).alias("category"),
+        (F.col("vector").cast("array<double>") if near else F.array().cast("array<double>")).alias("vector"), (F.coalesce("blocked", F.lit(False)) if "blocked" in has else F.lit(False)).alias("blocked"),
+    )
+    pools = rows.groupBy(F.col("request").cast("long").alias("request")).agg(F.sort_array(F.collect_list(entry)).alias("all"))
+    free = F.filter("all", lambda x: ~x["blocked"])
+    pools = pools.select("request", F.when(F.size(free) > 0, free).otherwise(F.col("all")).alias("pool"))
+    kinds = F.array_distinct(F.transform("pool", lambda x: F.coalesce(x["category"], F.lit(""))))
+    slots = F.sequence(F.lit(0), F.lit(k - 1))
+    draw = lambda salt: F.transform(slots, lambda i: digest_uniform(F.lit(str(seed)), F.col("request").cast("string"), i.cast("string"), F.lit(salt)))
+    told = pools.select(
+        "request", F.transform("pool", lambda x: x["item"]).alias("items"), F.transform("pool", lambda x: -x["low"]).alias("scores"),
+        F.transform("pool", lambda x: F.array_position(kinds, F.coalesce(x["category"], F.lit(""))).cast("int") - 1).alias("kinds"), F.flatten(F.transform("pool", lambda x: x["vector"])).alias("vectors"),
+        *[(draw(salt) if epsilon > 0 else F.array().cast("array<double>")).alias(salt) for salt in ("explores", "picks")],
+    )
+    rules = (k, relevance if near else 1.0, cap if grouped else None, epsilon, explore)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.asarray(batch.column(i).flatten()) for i in range(1, 7)]
+            ends = [np.concatenate(([0], np.cumsum(batch.column(i).value_lengths().to_numpy(zero_copy_only=False)))) for i in range(1, 7)]
+            requests, sizes = np.asarray(batch.column(0)), np.diff(ends[0])
+            wide = np.diff(ends[3]) // np.maximum(sizes, 1)
+            at = 0
+            while at < len(requests):
+                # As many requests as fit the bound when padded to the longest pool among them.
+                most = np.maximum.accumulate(sizes[at:]) * max(1, int(wide.max())) * np.arange(1, len(sizes) - at + 1)
+                to = at + max(1, int(np.searchsorted(most, _TENSOR, "right")))
+                part = [values[e[at] : e[to]] for values, e in zip(lists, ends, strict=True)]
+                yield _ranked(requests[at:to], sizes[at:to], part, rules)
+                at = to
 
     ship(rows.sparkSession)
-    return rows.groupBy("request").applyInPandas(one, "request long, position int, item long, propensity double")
+    return told.mapInArrow(run, _SLATE)
+
+
+def _ranked(requests: np.ndarray, sizes: np.ndarray, lists: list[np.ndarray], rules: tuple) -> pa.RecordBatch:
+    """The slates of a few requests whose pools' items, scores, categories, vectors and draws stand one after another."""
+    k, relevance, cap, epsilon, explore = rules
+    items, scores, kinds, vectors, explores, picks = lists
+    here = np.arange(sizes.max()) < sizes[:, None]  # requests x places
+    every, slots = np.arange(len(sizes)), np.minimum(k, sizes)
+
+    def padded(values: np.ndarray, fill: float) -> np.ndarray:
+        out = np.full(here.shape, fill, values.dtype)
+        out[here] = values
+        return out
+
+    worth, kind = relevance * padded(scores, -np.inf), padded(kinds, 0)
+    unit = None
+    if relevance < 1:
+        unit = np.zeros((*here.shape, len(vectors) // max(len(items), 1)))
+        unit[here] = vectors.reshape(len(items), -1)
+    name, left = padded(items, 0), here.copy()
+    shown = np.zeros((len(sizes), int(kind.max()) + 1), int)
+    alike, done = np.zeros(here.shape), []
+    for slot in range(int(slots.max())):
+        going = slot < slots
+        room = left & (np.take_along_axis(shown, kind, 1) < cap) if cap is not None else left
+        room = np.where(room.any(1)[:, None], room, left)
+        pick = np.where(room, worth - (1 - relevance) * alike, -np.inf).argmax(1)
+        chance = np.ones(len(sizes))
+        if epsilon > 0:
+            n, late = room.sum(1), slot >= slots - explore
+            drawn = (np.cumsum(room, 1) > np.floor(picks.reshape(-1, k)[:, slot] * n)[:, None]).argmax(1)
+            moved = np.where(explores.reshape(-1, k)[:, slot] < epsilon, drawn, pick)
+            chance = np.where(late, epsilon / np.maximum(n, 1) + (1 - epsilon) * (moved == pick), 1.0)
+            pick = np.where(late, moved, pick)
+        done.append((requests[going], np.full(going.sum(), slot), name[every, pick][going], chance[going]))
+        left[every, pick] = False
+        shown[every, kind[every, pick]] += 1
+        if unit is not None:
+            alike = np.maximum(alike, np.einsum("rnd,rd->rn", unit, unit[every, pick]))
+    columns = [np.concatenate(c) for c in zip(*done, strict=True)]
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["request", "position", "item", "propensity"])
 
 
 def seen_filter(candidates: DataFrame, shown: DataFrame) -> DataFrame:
@@ -237,7 +309,9 @@ def bloom_size(capacity: Column, rate: float) -> tuple[Column, Column]:
 
 
 def bloom_positions(user: Column, item: Column, bits: int | Column, hashes: int | Column) -> Column:
-    """The bit positions of an item in a user's filter, by double hashing."""
-    a, b = F.xxhash64(user, item, F.lit(1)), F.xxhash64(user, item, F.lit(2)).bitwiseOR(F.lit(1))
-    low = lambda x: F.pmod(x, F.lit(1 << 31))
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes) - 1), lambda i: F.pmod(low(a) + i * low(b), F.lit(bits)).cast("int"))
+    """The bit positions of an item in a user's filter, by double hashing of MD5 numbers."""
+    a, b = (digest_number(user.cast("string"), item.cast("string"), F.lit(salt)) for salt in ("a", "b"))
+    step = F.struct(a.alias("a"), b.bitwiseOR(F.lit(1)).alias("b"))
+    # The two numbers are made once, as a lambda's argument.
+    spots = F.transform(F.array(step), lambda h: F.transform(F.sequence(F.lit(0), F.lit(hashes) - 1), lambda i: F.pmod(h["a"] + i * h["b"], F.lit(bits)).cast("int")))
+    return F.get(spots, F.lit(0))

@@ -403,6 +403,56 @@ def test_greedy_slates(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, candidates.greedy_slates(pool(spark, many).repartition(7), 2, epsilon=0.4, explore=1).collect()))
 
 
+def slate_by_hand(pool, k, relevance, cap, epsilon, explore, draws):
+    """One request's slate by definition; ``draws`` gives the two numbers of a slot."""
+    left = sorted((r for r in pool if not r["blocked"]) if not all(r["blocked"] for r in pool) else pool, key=lambda r: (-r["score"], r["item"]))
+    total, chosen, out = min(k, len(left)), [], []
+    while len(out) < total:
+        full = [r for r in left if sum(c["category"] == r["category"] for c in chosen) >= cap]
+        room = [r for r in left if r not in full] or left
+        gain = lambda r: relevance * r["score"] - (1 - relevance) * max([0.0, *(float(np.dot(r["vector"], c["vector"])) for c in chosen)])
+        best = max(room, key=lambda r: (round(gain(r), 12), -room.index(r)))
+        chance, pick = 1.0, best
+        if len(out) >= total - explore and epsilon > 0:
+            u, v = draws(len(out))
+            if u < epsilon:
+                pick = room[int(v * len(room))]
+            chance = epsilon / len(room) + (1 - epsilon if pick is best else 0)
+        out.append((pick["item"], chance))
+        chosen.append(pick)
+        left = [r for r in left if r is not pick]
+    return out
+
+
+@pytest.mark.parametrize(("relevance", "cap", "epsilon", "explore"), [(1.0, 9, 0.0, 0), (0.6, 2, 0.0, 0), (0.3, 1, 0.5, 3), (0.0, 2, 1.0, 9)])
+def test_slates_by_hand(spark, relevance, cap, epsilon, explore, monkeypatch):
+    import hashlib
+
+    rng = random.Random(5)
+    unit = lambda: (lambda v: (v / np.linalg.norm(v)).tolist())(np.random.default_rng(rng.randrange(10**6)).normal(size=6))
+    rows = [(q, i, round(rng.random(), 2), unit(), rng.choice("abc"), rng.random() < (0.3 if q % 5 else 1.1)) for q in range(60) for i in range(1 + q % 11)]
+    number = lambda *x: int(hashlib.md5(":".join(map(str, x)).encode()).hexdigest()[:8], 16) / 2**32
+    got = {}
+    for r in candidates.greedy_slates(pool(spark, rows), 6, relevance, cap, epsilon, explore, seed=3).orderBy("request", "position").collect():
+        got.setdefault(r["request"], []).append((r["item"], r["propensity"]))
+    names = ("request", "item", "score", "vector", "category", "blocked")
+    for q in range(60):
+        mine = [dict(zip(names, r, strict=True)) for r in rows if r[0] == q]
+        want = slate_by_hand(mine, 6, relevance, cap, epsilon, explore, lambda slot, q=q: (number(3, q, slot, "explores"), number(3, q, slot, "picks")))
+        assert [i for i, _ in got[q]] == [i for i, _ in want] and [p for _, p in got[q]] == pytest.approx([p for _, p in want])
+
+
+def test_index_reaches_its_recall_with_fewer_probes(spark):
+    for size in ("sf0.01", "sf0.1"):
+        v = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").select(F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("vector")).cache()
+        asked = v.where("item % 50 = 0").withColumnRenamed("item", "request")
+        centres, placed = candidates.ivf_cells(v, 32, 42)
+        probes = candidates.probes_for(asked, v, placed, centres, 10, 0.95)
+        assert 0 < probes < 32
+        got = candidates.agreement(candidates.knn_exact(asked, v, 10), candidates.knn_ivf(asked, v, 10), 10)
+        assert got.agg(F.avg("agreement")).first()[0] >= 0.9
+
+
 def test_caps_in_sql_agree_with_the_loop(spark):
     rng = random.Random(11)
     rows = [(q, i, round(rng.random(), 3), [1.0], rng.choice("abc"), False) for q in range(40) for i in range(9)]
