@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import digest_number, digest_uniform, ratio
+from larkspur.operators.ranges import quantiles
 
 
 def assign(unit: Column, experiment: str, percents: Mapping[str, float], buckets: int = 10_000) -> Column:
@@ -265,7 +266,8 @@ def quantile_bins(rows: DataFrame, value: str, bins: int) -> DataFrame:
     """``rows`` with ``bin``, by the distinct quantile edges of the value; the last bin holds its upper edge."""
     if bins < 1:
         raise ValueError("bins must be positive")
-    edges = rows.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("__e"))
+    long = rows.select(F.lit(0).alias("feature"), F.col(value).alias("x"))
+    edges = quantiles(long, [i / bins for i in range(bins + 1)]).select(F.array_distinct("values").alias("__e"))
     met = rows.join(F.broadcast(edges))  # one row
     place = F.size(F.filter("__e", lambda e: e <= F.col(value))) - 1
     return met.withColumn("bin", F.least(place, F.greatest(F.size("__e") - 2, F.lit(0)))).drop("__e")

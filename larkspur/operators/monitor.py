@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import ratio
-from larkspur.operators.ranges import numbered, with_offsets
+from larkspur.operators.ranges import numbered, quantiles, with_offsets
+from larkspur.sources.shared import staged
 
 PSI_BINS, PSI_FLOOR, WATCH, SKEW = 10, 1e-6, 0.1, 0.25
 
@@ -19,25 +20,37 @@ def band(psi: Column) -> Column:
 
 
 def baseline(rows: DataFrame, features: Sequence[str], bins: int = PSI_BINS) -> DataFrame:
-    """(feature, edges): the distinct quantile edges of each feature, from one pass."""
-    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    row = rows.agg(*[F.array_distinct(F.percentile(f, points)).alias(f) for f in features])
-    return row.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("edges")) for f in features])))
+    """(feature, edges): the distinct quantile edges of each feature; null where it has no value."""
+    found = quantiles(_long(rows, features), [i / bins for i in range(bins + 1)])
+    every = rows.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return every.join(F.broadcast(found), "feature", "left").select("feature", F.array_distinct("values").alias("edges"))  # a row a feature
+
+
+def _long(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    return rows.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("x")) for f in features]))).where("x is not null")
 
 
 def shares(rows: DataFrame, features: Sequence[str], edges: DataFrame) -> DataFrame:
-    """(feature, bin, n): counts per bin; values beyond the outer edges fall in the end bins, the last edge in the last bin."""
-    long = rows.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("x")) for f in features]))).where("x is not null")
-    met = long.join(F.broadcast(edges), "feature")  # a row per feature
+    """(feature, bin, n): counts per bin; values beyond the outer edges fall in the end bins, the last edge in the last bin.
+
+    A constant has one edge: bin 0 holds what equals it and bin 1 all else.
+    """
+    met = _long(rows, features).join(F.broadcast(edges), "feature")  # a row per feature
     place = F.size(F.filter("edges", lambda e: e <= F.col("x"))) - 1
     last = F.size("edges") - 2
-    return met.withColumn("bin", F.greatest(F.lit(0), F.least(place, last))).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    spot = F.when(F.size("edges") == 1, (F.get("edges", F.lit(0)) != F.col("x")).cast("int")).otherwise(F.greatest(F.lit(0), F.least(place, last)))
+    return met.withColumn("bin", spot).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def psi(expected: DataFrame, actual: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, psi, band) of the actual rows on the expected rows' bins; infinite for a constant that moved is left null."""
-    edges = baseline(expected, features)
-    every = edges.select("feature", F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"))
+    """(feature, psi, band) of the actual rows on the expected rows' bins; infinite for a constant that moved.
+
+    A constant has no bins that could say how far it moved, so its index is 0 or infinite.
+    """
+    edges = staged(baseline(expected, features), "psi-edges")  # a row a feature, used three times
+    every = edges.select("feature", (F.size("edges") == 1).alias("constant"), F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"))
+    moved = edges.where(F.size("edges") == 1).select("feature", F.lit(True).alias("constant"), F.lit(1).alias("bin"))
+    every = every.unionByName(moved)
     out = every
     for name, df in (("e", expected), ("a", actual)):
         got = shares(df, features, edges).withColumnRenamed("n", f"n_{name}")
@@ -47,6 +60,8 @@ def psi(expected: DataFrame, actual: DataFrame, features: Sequence[str]) -> Data
         n = F.coalesce(F.col(f"n_{name}"), F.lit(0))
         out = out.withColumn(name, F.greatest(n / F.greatest(F.sum(n).over(whole), F.lit(1)), F.lit(PSI_FLOOR)))
     value = F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e")))
+    jumped = F.coalesce(F.max(F.when(F.col("constant") & (F.col("bin") == 1), F.col("n_a"))), F.lit(0)) > 0
+    value = F.when(F.bool_or("constant"), F.when(jumped, F.lit(float("inf"))).otherwise(F.lit(0.0))).otherwise(value)
     return out.groupBy("feature").agg(value.alias("psi")).withColumn("band", band(F.col("psi")))
 
 

@@ -119,15 +119,34 @@ def prior_clicks(labels: DataFrame, train: DataFrame) -> DataFrame:
     return part[0].unionByName(part[1]).distinct()
 
 
+_LABEL = ["impression_id", "item_id", "user_id", "ts"]
+
+
+def _earlier_dot(asks: DataFrame, adds: DataFrame) -> DataFrame:
+    """(impression_id, item_id, user_id, ts, dot): sum over keys of ``v`` x what the user's ``w`` of that key add up to before ts.
+
+    ``asks`` has the label's columns, key and v; ``adds`` has user_id, key, ts and w. Both meet in
+    one union that is sorted by (user, key, time) and summed on the way, so no label is multiplied
+    by a user's earlier rows and a hot user's work is linear.
+    """
+    adds = adds.groupBy("user_id", "key", "ts").agg(F.sum("w").alias("w"))
+    both = asks.withColumn("__us", F.unix_micros("ts")).unionByName(adds.withColumn("__us", F.unix_micros("ts")), allowMissingColumns=True)
+    before = Window.partitionBy("user_id", "key").orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
+    met = both.withColumn("__sum", F.sum("w").over(before)).where("v is not null and __sum is not null")
+    return met.groupBy(*_LABEL).agg(F.sum(F.col("v") * F.col("__sum")).alias("dot"))
+
+
 def covisit(labels: DataFrame, train: DataFrame, edges: DataFrame) -> DataFrame:
-    """Sum of edge weights from the user's strictly earlier clicks to the item."""
-    clicks = prior_clicks(labels, train).select(F.col("user_id").alias("__u"), F.col("item_id").alias("__from"), F.col("ts").alias("__ts"))
-    keyed = labels.select("impression_id", "item_id", "user_id", "ts").distinct()
-    met = keyed.join(clicks, (F.col("user_id") == F.col("__u")) & (F.col("__ts") < F.col("ts")))
-    links = edges.select(F.col("item_id").alias("__from"), F.col("related_item_id").alias("item_id"), "weight")
-    sums = met.join(links, ["__from", "item_id"]).groupBy("impression_id", "item_id", "user_id", "ts").agg(F.sum("weight").alias("score"))
-    out = labels.join(sums, ["impression_id", "item_id", "user_id", "ts"], "left")
-    return out.withColumn("score", F.coalesce("score", F.lit(0.0)))
+    """Sum of edge weights from the user's strictly earlier clicks to the item.
+
+    A click adds the weights of its item's edges, which ``strongest`` bounds, to the user's sums.
+    """
+    clicks = prior_clicks(labels, train)
+    links = edges.select("item_id", F.col("related_item_id").alias("key"), F.col("weight").alias("w"))
+    adds = clicks.join(links, "item_id").select("user_id", "key", "ts", "w")
+    asks = labels.select(*_LABEL, F.col("item_id").alias("key"), F.lit(1.0).alias("v")).distinct()
+    out = labels.join(_earlier_dot(asks, adds), _LABEL, "left")
+    return out.withColumn("score", F.coalesce("dot", F.lit(0.0))).drop("dot")
 
 
 def tokenize(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -146,20 +165,21 @@ def tfidf(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def content(labels: DataFrame, train: DataFrame, catalogue: DataFrame, text_col: str = "title") -> DataFrame:
-    """Cosine of the item's terms and the summed terms of the user's strictly earlier clicks."""
-    weights = tfidf(catalogue, "item_id", text_col).where("weight <> 0")
-    norm = lambda df, keys: df.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    prior = prior_clicks(labels, train).select(F.col("user_id").alias("__u"), F.col("item_id").alias("__i"), F.col("ts").alias("__t"))
-    asked = labels.select("user_id", "ts").distinct()
-    profile = asked.join(prior, (F.col("user_id") == F.col("__u")) & (F.col("__t") < F.col("ts")))
-    profile = profile.join(weights.withColumnRenamed("item_id", "__i"), "__i").groupBy("user_id", "ts", "term").agg(F.sum("weight").alias("w"))
-    items = weights.select("item_id", "term", F.col("weight").alias("v"))
-    keyed = labels.select("impression_id", "item_id", "user_id", "ts").distinct()
-    sums = keyed.join(items, "item_id").join(profile, ["user_id", "ts", "term"]).groupBy("impression_id", "item_id", "user_id", "ts").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    out = labels.join(sums, ["impression_id", "item_id", "user_id", "ts"], "left")
-    out = out.join(norm(items.withColumnRenamed("v", "w"), ["item_id"]).withColumnRenamed("norm", "__n"), "item_id", "left")
-    out = out.join(norm(profile, ["user_id", "ts"]).withColumnRenamed("norm", "__p"), ["user_id", "ts"], "left")
-    return out.withColumn("score", F.coalesce(F.try_divide("dot", F.col("__n") * F.col("__p")), F.lit(0.0))).drop("dot", "__n", "__p")
+    """Cosine of the item's terms and the summed terms of the user's strictly earlier clicks.
+
+    The profile is never built: its product with an item is a running sum by (user, term), and its
+    squared length grows with each click by 2 S w + w^2, where S is the term's sum before it.
+    """
+    weights = tfidf(catalogue, "item_id", text_col).where("weight <> 0").select("item_id", F.col("term").alias("key"), F.col("weight").alias("w"))
+    adds = prior_clicks(labels, train).join(weights, "item_id").groupBy("user_id", "key", "ts").agg(F.sum("w").alias("w"))
+    keyed = labels.select(*_LABEL).distinct()
+    dots = _earlier_dot(keyed.join(weights.withColumnRenamed("w", "v"), "item_id").select(*_LABEL, "key", "v"), adds)
+    order = Window.partitionBy("user_id", "key").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    grown = adds.withColumn("__s", F.coalesce(F.sum("w").over(order), F.lit(0.0))).groupBy("user_id", "ts").agg(F.sum(2 * F.col("__s") * F.col("w") + F.col("w") * F.col("w")).alias("w"))
+    size = _earlier_dot(keyed.select(*_LABEL, F.lit("").alias("key"), F.lit(1.0).alias("v")), grown.withColumn("key", F.lit(""))).withColumnRenamed("dot", "__p")
+    items = weights.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__n"))
+    out = labels.join(dots, _LABEL, "left").join(size, _LABEL, "left").join(items, "item_id", "left")
+    return out.withColumn("score", F.coalesce(F.try_divide("dot", F.col("__n") * F.sqrt("__p")), F.lit(0.0))).drop("dot", "__n", "__p")
 
 
 def als_factors(train: DataFrame, rank: int = 32, reg: float = 0.1, iterations: int = 10, alpha: float = 40.0, seed: int = 42):
@@ -169,6 +189,9 @@ def als_factors(train: DataFrame, rank: int = 32, reg: float = 0.1, iterations:
     if rank < 1:
         raise ValueError("rank must be positive")
     counts = train.where("clicked").groupBy("user_id", "item_id").agg(F.count(F.lit(1)).cast("float").alias("n"))
+    wide = counts.agg(F.max(F.greatest(F.abs("user_id"), F.abs("item_id"))).alias("m")).first()["m"]
+    if wide is not None and wide > 2**31 - 1:
+        raise ValueError("ids beyond 32 bits: number them densely first (transform.dense_ids)")
     ids = counts.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), "n")
     return ALS(rank=rank, regParam=reg, maxIter=iterations, alpha=alpha, implicitPrefs=True, userCol="user_id", itemCol="item_id", ratingCol="n", coldStartStrategy="nan", seed=seed).fit(ids)
 
@@ -182,12 +205,9 @@ def als(labels: DataFrame, model) -> DataFrame:
 
 
 def als_items(labels: DataFrame, train: DataFrame, model) -> DataFrame:
-    """Sum of item-item products with the user's strictly earlier clicks: the item against one summed vector."""
-    items = model.itemFactors.select(F.col("id").cast("long").alias("item_id"), F.col("features").alias("__f"))
-    prior = prior_clicks(labels, train).join(items, "item_id").select(F.col("user_id").alias("__u"), F.col("ts").alias("__t"), F.posexplode("__f").alias("p", "v"))
-    asked = labels.select("user_id", "ts").distinct()
-    sums = asked.join(prior, (F.col("user_id") == F.col("__u")) & (F.col("__t") < F.col("ts"))).groupBy("user_id", "ts", "p").agg(F.sum("v").alias("v"))
-    mine = labels.join(items, "item_id", "left").select("impression_id", "item_id", "user_id", "ts", F.posexplode_outer("__f").alias("p", "f"))
-    dots = mine.join(sums, ["user_id", "ts", "p"]).groupBy("impression_id", "item_id", "user_id", "ts").agg(F.sum(F.col("f") * F.col("v")).alias("score"))
-    out = labels.join(dots, ["impression_id", "item_id", "user_id", "ts"], "left")
-    return out.withColumn("score", F.coalesce("score", F.lit(0.0)))
+    """Sum of item-item products with the user's strictly earlier clicks: the item against one running sum a dimension."""
+    items = model.itemFactors.select(F.col("id").cast("long").alias("item_id"), F.posexplode("features").alias("key", "v"))
+    adds = prior_clicks(labels, train).join(items, "item_id").select("user_id", "key", "ts", F.col("v").cast("double").alias("w"))
+    asks = labels.select(*_LABEL).distinct().join(items, "item_id").select(*_LABEL, "key", F.col("v").cast("double").alias("v"))
+    out = labels.join(_earlier_dot(asks, adds), _LABEL, "left")
+    return out.withColumn("score", F.coalesce("dot", F.lit(0.0))).drop("dot")

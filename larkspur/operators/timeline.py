@@ -98,22 +98,25 @@ def snapshot_history(snapshots: DataFrame, item_map: DataFrame, user: str = "use
 def clicks_before(requests: DataFrame, clicks: DataFrame, cap: int = 50, user: str = "user_id", ts: str = "ts", item: str = "item_idx") -> DataFrame:
     """(impression_id, inwindow_idx, inwindow_len): each request's clicks of earlier seconds, most recent first.
 
-    A user's clicks are put in one order, (second, item) descending from the latest. A request
-    needs only how many of them came before its second, an as-of count, and then cuts its slice
-    out of the user's one array, so state is linear in a user's clicks.
+    A user's clicks are put in one order, (second, item), and cut into blocks of ``cap``. A request
+    needs only how many of them came before its second, an as-of count: its last ``cap`` clicks then
+    lie in the block of the last one and the block before, which stand together in one row. So a
+    request meets two blocks, however many clicks its user has.
     """
     if cap < 1:
         raise ValueError("cap must be positive")
     at = seconds(F.col(ts))
     hits = clicks.select(user, at.alias("__s"), F.col(item).alias("__item"))
-    arrays = hits.groupBy(user).agg(F.sort_array(F.collect_list(F.struct("__s", "__item"))).alias("__all"))
+    numbered = hits.withColumn("__i", F.row_number().over(Window.partitionBy(user).orderBy("__s", "__item")) - 1).withColumn("__block", F.floor(F.col("__i") / cap))
+    blocks = numbered.groupBy(user, "__block").agg(F.sort_array(F.collect_list(F.struct("__i", "__item"))).alias("__own"))
+    last = F.lag("__own").over(Window.partitionBy(user).orderBy("__block"))
+    pairs = blocks.select(user, "__block", F.concat(F.coalesce(last, F.filter("__own", lambda x: F.lit(False))), "__own").alias("__near"))
     count = hits.groupBy(user, "__s").agg(F.count(F.lit(1)).alias("__n")).withColumn("__row", F.lit(None).cast("long"))
     asked = requests.select(user, at.alias("__s"), F.lit(0).cast("long").alias("__n"), F.col("impression_id").alias("__row"))
     order = Window.partitionBy(user).orderBy("__s").rangeBetween(Window.unboundedPreceding, -1)
     before = asked.unionByName(count).withColumn("__k", F.coalesce(F.sum("__n").over(order), F.lit(0)).cast("int")).where("__row is not null")
-    first = F.greatest(F.col("__k") - cap, F.lit(0)) + 1
-    cut = F.reverse(F.slice("__all", first, F.col("__k") - first + 1))
-    met = before.join(arrays, user, "left")
+    met = before.withColumn("__block", F.floor((F.col("__k") - 1) / cap)).join(pairs, [user, "__block"], "left")
+    cut = F.reverse(F.filter("__near", lambda x: (x["__i"] < F.col("__k")) & (x["__i"] >= F.col("__k") - cap)))
     return met.select(
         F.col("__row").alias("impression_id"),
         F.when(F.col("__k") > 0, F.transform(cut, lambda x: x["__item"])).otherwise(F.array().cast("array<int>")).alias("inwindow_idx"),

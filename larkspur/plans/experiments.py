@@ -170,13 +170,17 @@ def head_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.head_size(table(spark, sf_dir, "lineitem"), "l_partkey")
 
 
-@query("ab_simulate")
+@query(
+    "ab_simulate",
+    """WITH s AS (SELECT c_custkey AS u, CASE WHEN b < 5000 THEN 'control' ELSE 'treatment' END AS arm FROM (SELECT c_custkey, ('0x' || substr(md5('sim:' || c_custkey::VARCHAR), 1, 8))::BIGINT % 10000 AS b FROM customer)),
+d AS (SELECT arm, position, ('0x' || substr(md5(u::VARCHAR || ':' || position::VARCHAR || ':item'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS x, ('0x' || substr(md5(u::VARCHAR || ':' || position::VARCHAR || ':click'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS y FROM s, range(10) AS t(position))
+SELECT arm, position::INTEGER AS position, count(*) AS shown, count(*) FILTER (y < x * x * CASE WHEN arm = 'treatment' THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END / pow(position + 1.0::DOUBLE, 0.8::DOUBLE)) AS clicks FROM d GROUP BY arm, position""",
+)
 def ab_simulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks by arm and position of simulated sessions: a relevance per item, halved less and less by position."""
-    items = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n"))
     sessions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")).withColumn("arm", inference.assign(F.col("user_id"), "sim", {"control": 50, "treatment": 50}))
-    shown = sessions.select("user_id", "arm", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("position")).join(F.broadcast(items))  # one row
+    shown = sessions.select("user_id", "arm", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("position"))
     u = lambda salt: digest_uniform(F.col("user_id").cast("string"), F.col("position").cast("string"), F.lit(salt))
-    relevance = F.pow(u("item"), 2) * F.when(F.col("arm") == "treatment", 1.1).otherwise(1.0)
+    relevance = u("item") * u("item") * F.when(F.col("arm") == "treatment", 1.1).otherwise(1.0)
     seen = relevance / F.pow(F.col("position") + 1.0, 0.8)
     return shown.withColumn("clicked", u("click") < seen).groupBy("arm", "position").agg(F.count(F.lit(1)).alias("shown"), F.count_if("clicked").alias("clicks"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators import timeline, transform
+from larkspur.operators.ranges import quantiles
 from larkspur.registry import query
 from larkspur.sources import logs
 from larkspur.sources.views import CLICKS_EV, SLATES_LI, behaviours, clicks_ev, slates_li, table
@@ -126,8 +127,8 @@ LIMITS = (5, 10, 15, 20, 30, 45, 60, 120, 240, 720, 1440)
 
 @query("gap_quantiles", f"WITH {CLICKS_EV}, {GAPS_SQL} " + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS q, round(quantile_cont(gap_minutes, {q}), 6) AS gap_minutes FROM gaps" for q in QUANTILES))
 def gap_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.percentile("gap_minutes", F.array(*map(F.lit, QUANTILES))).alias("v")
-    row = timeline.impression_gaps(clicks_ev(spark, sf_dir)).agg(at)
+    gaps = timeline.impression_gaps(clicks_ev(spark, sf_dir)).select(F.lit(0).alias("feature"), F.col("gap_minutes").alias("x"))
+    row = quantiles(gaps, QUANTILES).select(F.col("values").alias("v"))
     return row.select(F.explode(F.arrays_zip(F.array(*map(F.lit, QUANTILES)).alias("q"), "v")).alias("z")).select("z.q", F.round("z.v", 6).alias("gap_minutes"))
 
 

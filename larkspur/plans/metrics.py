@@ -218,14 +218,19 @@ def embedding_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select(F.round(F.sqrt("s2") / F.col("n"), 6).alias("mean_norm"), F.round((F.col("s2") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6).alias("mean_cosine"))
 
 
-@query("embedding_rank")
+@query(
+    "embedding_rank",
+    """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings), m AS (SELECT i, avg(x) AS m FROM v GROUP BY i),
+c AS (SELECT a.i, b.i AS j, avg(a.x * b.x) - any_value(p.m) * any_value(q.m) AS c FROM v a JOIN v b USING (vec_id) JOIN m p ON p.i = a.i JOIN m q ON q.i = b.i GROUP BY a.i, b.i)
+SELECT round(pow(sum(c) FILTER (i = j), 2) / sum(c * c), 6) AS participation_ratio FROM c""",
+)
 def embedding_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Participation ratio tr(C)^2 / tr(C^2) of the centred vectors, from the d x d matrix of sums."""
     v = vectors(spark, sf_dir)
     pairs = v.select(F.posexplode("vector").alias("i", "x"), "vector").select("i", F.posexplode("vector").alias("j", "y"), "x")
     second = pairs.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count(F.lit(1)).alias("n"))
     cov = second.withColumn("c", F.col("xy") / F.col("n") - F.col("sx") * F.col("sy") / (F.col("n") * F.col("n")))
-    return cov.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))).alias("t"), F.sum(F.col("c") * F.col("c")).alias("t2")).select((F.col("t") * F.col("t") / F.col("t2")).alias("participation_ratio"))
+    return cov.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))).alias("t"), F.sum(F.col("c") * F.col("c")).alias("t2")).select(F.round(F.col("t") * F.col("t") / F.col("t2"), 6).alias("participation_ratio"))
 
 
 @query(

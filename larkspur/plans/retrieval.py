@@ -37,7 +37,7 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("knn_ivf")
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.knn_ivf(_queries(spark, sf_dir), _items(spark, sf_dir), K, cells=8, probes=6)
+    return candidates.knn_ivf(_queries(spark, sf_dir), _items(spark, sf_dir), K)
 
 
 @query(
@@ -114,7 +114,7 @@ def source_covisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     "source_content",
     f"""WITH {REQ_SQL}, v AS (SELECT vec_id AS item, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), m AS (SELECT request, p, avg(x) AS x FROM (SELECT request, unnest(e) AS x, unnest(range(1, 65)) AS p FROM hist JOIN v USING (item) WHERE request IN (SELECT request FROM req)) GROUP BY request, p),
 mean AS (SELECT request, list(x ORDER BY p) AS mv FROM m GROUP BY request)
-SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY round(list_cosine_similarity(mv, e), 9) DESC, item)::INTEGER AS rank FROM mean, v WHERE item < 100 QUALIFY rank <= {K}""",
+SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY round(list_cosine_similarity(mv, e), 9) DESC, item)::INTEGER AS rank FROM mean, v WHERE item IN (SELECT item_id FROM clicks_ev) QUALIFY rank <= {K}""",
 )
 def source_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue's items nearest to the mean vector of a request's history."""
@@ -276,7 +276,18 @@ def bloom_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(50,), (200,), (1000,)], "capacity long").select("capacity", bits.alias("bits"), hashes.alias("hashes"))
 
 
-@query("bloom_membership")
+@query(
+    "bloom_membership",
+    f"""WITH {CLICKS_EV}, seen AS (SELECT DISTINCT user_id, item_id FROM clicks_ev WHERE item_id IS NOT NULL),
+n AS (SELECT user_id, count(*) AS n FROM seen GROUP BY user_id), b AS (SELECT user_id, n, ceil(-n * ln(0.01::DOUBLE) / pow(ln(2::DOUBLE), 2))::BIGINT AS bits FROM n),
+sizes AS (SELECT user_id, bits, greatest(1, round(bits / n * ln(2::DOUBLE)))::INTEGER AS hashes FROM b),
+items AS (SELECT DISTINCT item_id FROM seen), every AS (SELECT item_id FROM items UNION ALL SELECT item_id + (SELECT max(item_id) - min(item_id) + 1 FROM items) FROM items),
+h AS (SELECT user_id, item_id, bits, hashes, ('0x' || substr(md5(user_id::VARCHAR || ':' || item_id::VARCHAR || ':a'), 1, 8))::BIGINT AS x, ('0x' || substr(md5(user_id::VARCHAR || ':' || item_id::VARCHAR || ':b'), 1, 8))::BIGINT | 1 AS y FROM sizes, every),
+spots AS (SELECT user_id, item_id, (x + i * y) % bits AS bit FROM h, unnest(range(0, hashes)) AS t(i)),
+sets AS (SELECT DISTINCT user_id, bit FROM spots SEMI JOIN seen USING (user_id, item_id)),
+told AS (SELECT user_id, item_id, bool_and(sets.bit IS NOT NULL) AS called FROM spots LEFT JOIN sets USING (user_id, bit) GROUP BY user_id, item_id)
+SELECT count(*) FILTER (s.item_id IS NOT NULL AND NOT called) AS missed, round(avg(CASE WHEN s.item_id IS NULL THEN called::INTEGER::DOUBLE END), 9) AS false_positive_rate FROM told LEFT JOIN seen s USING (user_id, item_id)""",
+)
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's seen list as a bit set, and the rate at which items not in it are called seen."""
     seen = clicks_ev(spark, sf_dir).where("item_id is not null").select("user_id", "item_id").distinct()
@@ -287,10 +298,17 @@ def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = sets.crossJoin(asked_items(spark, sf_dir))
     hit = F.size(F.array_except(spots, "set")) == 0
     told = asked.select("user_id", "item_id", hit.alias("called")).join(seen.withColumn("seen", F.lit(True)), ["user_id", "item_id"], "left")
-    return told.agg(F.count_if(F.col("seen") & ~F.col("called")).alias("missed"), F.avg(F.when(F.col("seen").isNull(), F.col("called").cast("double"))).alias("false_positive_rate"))
+    return told.agg(F.count_if(F.col("seen") & ~F.col("called")).alias("missed"), F.round(F.avg(F.when(F.col("seen").isNull(), F.col("called").cast("double"))), 9).alias("false_positive_rate"))
 
 
-@query("batch_recommend")
+@query(
+    "batch_recommend",
+    f"""WITH {BLEND_SQL}, shown AS (SELECT user_id AS request, item_id AS item, min(ts) AS first FROM clicks_ev GROUP BY user_id, item_id),
+kept AS (SELECT b.* FROM blended b JOIN req USING (request) WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.request = b.request AND s.item = b.item AND s.first < req.ts)),
+o AS (SELECT *, row_number() OVER (PARTITION BY request, item % 8 ORDER BY position, item) > 2 AS over FROM kept),
+slates AS (SELECT request, item, place AS position FROM (SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY over, position, item)::INTEGER AS place FROM o) WHERE place <= 6)
+SELECT request, item, position, false AS degraded FROM slates UNION ALL SELECT request, item, rank, true FROM s_trend WHERE rank <= 6 AND request NOT IN (SELECT request FROM slates)""",
+)
 def batch_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieve, blend, drop what was seen, score, re-rank; a request left without candidates gets the popular items."""
     asked = blended(spark, sf_dir).join(requests(spark, sf_dir), "request").withColumn("user_id", F.col("request"))

@@ -1,6 +1,7 @@
 """Streaming forms of the batch operators, and a replay source to run them over a table.
 
-Every form keeps bounded state: a watermark, a window, a fixed-size ring or the sessions of a day per key.
+What a key keeps is bounded: rows up to a watermark, a window, a fixed-size ring or the sessions of a day.
+The state of ``recent_items`` has one such entry for each user it ever met.
 """
 
 from __future__ import annotations
@@ -23,18 +24,25 @@ LATENESS = "30 seconds"
 def replay(rows: DataFrame, order: str, chunks: int = 4) -> DataFrame:
     """A stream over ``rows`` in ranges of ``order``: one stored range per micro-batch, lowest first.
 
-    Ranges are cut at quantiles of ``order`` and written one after another, as arrivals would be.
+    Ranges are cut at quantiles of ``order`` and written one after another, as arrivals would be,
+    each in parallel. A micro-batch takes so many files as there are writing tasks, so a range with
+    fewer of them, since some had no row, is filled up with empty files.
     """
     spark, folder = rows.sparkSession, new_path(rows.sparkSession, "replay")
-    at = rows.select(F.unix_micros(F.col(order).cast("timestamp")).alias("u")).agg(F.percentile_approx("u", [i / chunks for i in range(1, chunks)], 10_000).alias("q")).first()["q"]
-    edges = [None, *sorted(set(at or [])), None]
     where = F.unix_micros(F.col(order).cast("timestamp"))
+    at = rows.select(where.alias("u")).agg(F.percentile_approx("u", [i / chunks for i in range(1, chunks)], 10_000).alias("q")).first()["q"]
+    edges = [None, *sorted(set(at or [])), None]
+    files, written = spark.sparkContext.defaultParallelism, 0
     for low, high in zip(edges, edges[1:], strict=False):
         part = F.lit(True)
         part = part if low is None else part & (where >= low)
         part = part if high is None else part & (where < high)
-        rows.where(part).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows.where(part).coalesce(files).write.mode("append").parquet(folder)
+        there = len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
+        for _ in range(written + files - there):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(folder)
+        written += files
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def dedupe(events: DataFrame, ident: str = "event_id", ts: str = "ts") -> DataFrame:
@@ -146,17 +154,18 @@ def unseen(shown: DataFrame, ttl_seconds: int = 7 * 86_400) -> DataFrame:
 
 
 def keep_last(stream: DataFrame, table: str, size: int, order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the last ``size`` rows of the stream in versions of a stored table.
+    """A foreachBatch function that keeps the last ``size`` rows of the stream in a stored table, batch n's in version=<n mod 2>.
 
-    Version n is made of version n - 1 and the batch, so a batch that is run again writes the same.
+    It is made of the other version, that of batch n - 1, and the batch, so a batch that is run
+    again writes the same and two versions are all that is stored.
     """
     schema = stream.schema
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = batch.select(*schema.names)
         if number > 0:
-            rows = rows.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{table}/version={number - 1}"))
-        rows.orderBy(*[F.col(c).desc() for c in order]).limit(size).write.mode("overwrite").parquet(f"{table}/version={number}")
+            rows = rows.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{table}/version={(number - 1) % 2}"))
+        rows.orderBy(*[F.col(c).desc() for c in order]).limit(size).write.mode("overwrite").parquet(f"{table}/version={number % 2}")
 
     return merge
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import columns
-from larkspur.operators import candidates, features, inference, measure, monitor, scoring, timeline, transform
+from larkspur.operators import candidates, features, inference, measure, monitor, ranges, scoring, timeline, transform
 from larkspur.operators.timeline import Series
 from larkspur.sources import logs
 from larkspur.streaming import streams
@@ -477,6 +477,47 @@ def test_psi(spark):
     assert monitor.psi(df[0], df[0], ["x"]).first()["psi"] == pytest.approx(0)
 
 
+def test_psi_of_a_constant_is_zero_or_infinite(spark):
+    rows = lambda v: frame(spark, [(v, float(i)) for i in range(50)], "x double, y double")
+    steady, moved = ({r["feature"]: (r["psi"], r["band"]) for r in monitor.psi(rows(3.0), rows(v), ["x", "y"]).collect()} for v in (3.0, 4.0))
+    assert steady["x"] == (0.0, "OK") and moved["x"] == (float("inf"), "SKEW") and steady["y"][1] == moved["y"][1] == "OK"
+    some = rows(3.0).withColumn("x", F.when(F.col("y") > 40, 9.0).otherwise(3.0))
+    assert monitor.psi(rows(3.0), some, ["x"]).first()["psi"] == float("inf")
+
+
+def test_quantiles_by_numpy(spark):
+    rng = np.random.default_rng(8)
+    points, values = [0, 0.1, 0.333, 0.5, 0.9, 1], {"a": rng.normal(size=501), "b": rng.integers(0, 4, 90).astype(float), "c": np.array([7.0])}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("d", None)]
+    got = {r["feature"]: r["values"] for r in ranges.quantiles(frame(spark, rows, "feature string, x double"), points).collect()}
+    assert set(got) == set(values)
+    for k, v in values.items():
+        assert got[k] == pytest.approx(np.quantile(v, points).tolist())
+
+
+def test_scores_of_a_hot_user_stay_linear(spark):
+    """The rows that meet are asks and additions in one union, not labels x earlier clicks."""
+    label, item = list(range(400)), lambda i: i % 20
+    rows = frame(spark, [(i, 1, item(i), at(i * 60), i % 2 == 0) for i in label], "impression_id long, user_id long, item_id long, ts timestamp, clicked boolean")
+    edges = frame(spark, [(a, (a + d) % 20, 1.0 / d) for a in range(20) for d in (1, 2, 3)], "item_id long, related_item_id long, weight double")
+    got = {r["impression_id"]: r["score"] for r in scoring.covisit(rows, rows.where("false"), edges).collect()}
+    for i in label:
+        assert got[i] == pytest.approx(sum(1.0 / d for j in range(0, i, 2) for d in (1, 2, 3) if (item(j) + d) % 20 == item(i)))
+    plan = scoring.covisit(rows, rows.where("false"), edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ts#" not in "".join(line for line in plan.splitlines() if "Join" in line and "<" in line)
+
+
+def test_histories_meet_two_blocks(spark):
+    clicks = frame(spark, [(1, at(10 * i), i) for i in range(137)] + [(1, at(500), 900)], "user_id long, ts timestamp, item_idx int")
+    asked = frame(spark, [(k, 1, at(t)) for k, t in enumerate((0, 5, 10, 501, 500, 777, 5000))] + [(99, 2, at(9))], "impression_id long, user_id long, ts timestamp")
+    got = {r["impression_id"]: r for r in timeline.clicks_before(asked, clicks, cap=50).collect()}
+    every = sorted([(10 * i, i) for i in range(137)] + [(500, 900)])
+    for k, t in enumerate((0, 5, 10, 501, 500, 777, 5000)):
+        before = [i for s, i in every if s < t]
+        assert got[k]["inwindow_idx"] == before[::-1][:50] and got[k]["inwindow_len"] == len(before)
+    assert got[99]["inwindow_idx"] == [] and got[99]["inwindow_len"] == 0
+
+
 def test_ks(spark):
     a, b = [1.0, 2.0, 2.0, 3.0], [2.0, 3.0, 4.0, 5.0, 6.0]
     got = monitor.kolmogorov_smirnov(*(frame(spark, [(v,) for v in x], "x double") for x in (a, b)), "x").first()["ks"]
