@@ -69,6 +69,8 @@ def dot(a: Column, b: Column) -> Column:
 SQL_FUNCTIONS = {
     "smoothed_ctr": "(clicks DOUBLE, shown DOUBLE, prior DOUBLE, strength DOUBLE) RETURNS DOUBLE RETURN (clicks + prior * strength) / (shown + strength)",
     "freshness": "(age DOUBLE, half_life DOUBLE) RETURNS DOUBLE RETURN pow(2.0D, -age / half_life)",
+    "cosine": """(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN try_divide(aggregate(zip_with(a, b, (p, q) -> p * q), 0D, (s, x) -> s + x),
+        sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)))""",
 }
 
 

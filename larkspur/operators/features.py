@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -102,6 +103,13 @@ def user_category_affinity(events: DataFrame, strength: float = 5.0) -> DataFram
     return out.select("user_id", "category", "feature_ts", "user_cat_impressions_cum", "user_cat_clicks_cum", "user_cat_affinity")
 
 
+def require(rows: DataFrame, columns: Sequence[str], view: str) -> None:
+    """Raises where a view lacks a column that its contract names."""
+    missing = [c for c in columns if c not in rows.columns]
+    if missing:
+        raise ValueError(f"{view} lacks {missing}")
+
+
 def context(ts: str = "ts") -> dict:
     """hour_of_day and day_of_week (Sunday is 1)."""
     return {"hour_of_day": F.hour(ts), "day_of_week": F.dayofweek(ts)}

@@ -69,8 +69,8 @@ def drift_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "exposure_windows",
     f"""WITH {CLICKS_EV}, p AS (SELECT item_id, (row_number() OVER (ORDER BY ts, impression_id) - 1) // 1000 AS w FROM clicks_ev), c AS (SELECT w, item_id, count(*) AS x FROM p GROUP BY w, item_id), r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY x, item_id) AS i FROM c),
-g AS (SELECT w, sum(x)::BIGINT AS exposures, count(*) AS d, sum(i * x) AS ix FROM r GROUP BY w)
-SELECT w AS "window", exposures, d AS distinct_items, round((2 * (ix + (200 - d) * exposures) - 201 * exposures)::DOUBLE / (200 * exposures), 9) AS gini_catalogue, round((2 * ix - (d + 1) * exposures)::DOUBLE / (d * exposures), 9) AS gini_observed FROM g WHERE exposures = 1000""",
+g AS (SELECT w, sum(x)::BIGINT AS exposures, count(*) AS d, sum(i * x) AS ix, (SELECT 2 * count(DISTINCT item_id) FROM clicks_ev) AS z FROM r GROUP BY w)
+SELECT w AS "window", exposures, d AS distinct_items, round((2 * (ix + (z - d) * exposures) - (z + 1) * exposures)::DOUBLE / (z * exposures), 9) AS gini_catalogue, round((2 * ix - (d + 1) * exposures)::DOUBLE / (d * exposures), 9) AS gini_observed FROM g WHERE exposures = 1000""",
 )
 def exposure_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of 1,000 exposures over a catalogue of the log's items and as many that were never shown."""

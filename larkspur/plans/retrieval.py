@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.columns import digest_uniform
+from larkspur.functions.columns import cosine, digest_uniform
 from larkspur.operators import candidates, measure, scoring
 from larkspur.plans.metrics import vectors
 from larkspur.plans.scores import EDGES_SQL, PARTS_SQL, labels, top_edges, train
@@ -110,6 +110,13 @@ def source_covisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covisited(spark, sf_dir)
 
 
+def mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request, vector): the mean vector of a request's history."""
+    long = _history(spark, sf_dir).join(_items(spark, sf_dir), "item").select("request", F.posexplode("vector").alias("p", "x"))
+    mean = long.groupBy("request", "p").agg(F.avg("x").alias("x")).groupBy("request").agg(F.sort_array(F.collect_list(F.struct("p", "x"))).alias("l"))
+    return mean.select("request", F.transform("l", lambda y: y["x"]).alias("vector"))
+
+
 @query(
     "source_content",
     f"""WITH {REQ_SQL}, v AS (SELECT vec_id AS item, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), m AS (SELECT request, p, avg(x) AS x FROM (SELECT request, unnest(e) AS x, unnest(range(1, 65)) AS p FROM hist JOIN v USING (item) WHERE request IN (SELECT request FROM req)) GROUP BY request, p),
@@ -118,10 +125,7 @@ SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY round(lis
 )
 def source_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue's items nearest to the mean vector of a request's history."""
-    items = _items(spark, sf_dir)
-    long = _history(spark, sf_dir).join(items, "item").select("request", F.posexplode("vector").alias("p", "x"))
-    mean = long.groupBy("request", "p").agg(F.avg("x").alias("x")).groupBy("request").agg(F.sort_array(F.collect_list(F.struct("p", "x"))).alias("l"))
-    asked = mean.select("request", F.transform("l", lambda y: y["x"]).alias("vector"))
+    items, asked = _items(spark, sf_dir), mean_vectors(spark, sf_dir)
     catalogue = clicks_ev(spark, sf_dir).select(F.col("item_id").alias("item")).distinct().join(items, "item")
     unit = lambda df: df.withColumn("vector", F.transform("vector", lambda x: x / F.sqrt(measure.dot(F.col("vector"), F.col("vector")))))
     found = candidates.knn_exact(unit(asked), unit(catalogue), K)
@@ -201,6 +205,54 @@ def ranking_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_rows(spark, sf_dir)
 
 
+@query(
+    "ranking_matrix",
+    f"""WITH {FEATURES_SQL}, v AS (SELECT vec_id AS item, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), m AS (SELECT request, p, avg(x) AS x FROM (SELECT request, unnest(e) AS x, unnest(range(1, 65)) AS p FROM hist JOIN v USING (item)) GROUP BY request, p),
+mean AS (SELECT request, list(x ORDER BY p) AS mv FROM m GROUP BY request), past AS (SELECT b.request, b.item, count(*) AS n FROM blended b JOIN req USING (request) JOIN clicks_ev c ON c.item_id = b.item AND c.clicked AND c.ts < req.ts GROUP BY b.request, b.item)
+SELECT f.request, f.item, (count(*) OVER (PARTITION BY f.request) - f.position)::DOUBLE AS retrieval_score, rank_trending, n_sources, coalesce(past.n, 0) AS prior_clicks, train_clicks, round(coalesce(list_cosine_similarity(mv, e), 0), 6) AS content_similarity, history_length, is_cold,
+  (f.item % 8 + 1)::INTEGER AS category_idx, (f.item % 16 + 1)::INTEGER AS subcategory_idx, NOT (v.item IS NOT NULL AND mv IS NOT NULL) AS incomplete
+FROM feats f LEFT JOIN past USING (request, item) LEFT JOIN v USING (item) LEFT JOIN mean USING (request)""",
+)
+def ranking_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranker's columns of each candidate; ``incomplete`` rows lack a vector and have similarity 0.
+
+    Earlier clicks of an item are an as-of count over one union; the mean vector is one row a request.
+    """
+    rows = feature_rows(spark, sf_dir).join(requests(spark, sf_dir), "request")
+    hits = clicks_ev(spark, sf_dir).where("clicked").groupBy(F.col("item_id").alias("item"), "ts").agg(F.count(F.lit(1)).alias("__n"))
+    both = rows.withColumn("__row", F.lit(True)).unionByName(hits, allowMissingColumns=True).withColumn("__us", F.unix_micros("ts"))
+    before = Window.partitionBy("item").orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
+    rows = both.withColumn("prior_clicks", F.coalesce(F.sum("__n").over(before), F.lit(0))).where("__row")
+    items = _items(spark, sf_dir)
+    rows = rows.join(items.withColumnRenamed("vector", "__v"), "item", "left").join(mean_vectors(spark, sf_dir).withColumnRenamed("vector", "__m"), "request", "left")
+    size = F.count(F.lit(1)).over(Window.partitionBy("request"))
+    return rows.select(
+        "request", "item", (size - F.col("position")).cast("double").alias("retrieval_score"), "rank_trending", "n_sources", "prior_clicks", "train_clicks",
+        F.round(F.coalesce(cosine(F.col("__m"), F.col("__v")), F.lit(0.0)), 6).alias("content_similarity"), "history_length", "is_cold",
+        (F.col("item") % 8 + 1).cast("int").alias("category_idx"), (F.col("item") % 16 + 1).cast("int").alias("subcategory_idx"), (F.col("__v").isNull() | F.col("__m").isNull()).alias("incomplete"),
+    )
+
+
+@query(
+    "retrieval_protocol",
+    f"""WITH {LISTS_SQL}, pools AS (SELECT DISTINCT request, item FROM lists), sizes AS (SELECT request, count(p.item) AS n FROM req LEFT JOIN pools p USING (request) GROUP BY request),
+pr AS (SELECT item, n::DOUBLE / (SELECT sum(n) FROM pop) AS p FROM pop), cat AS (SELECT count(DISTINCT item_id) AS n FROM clicks_ev)
+SELECT (SELECT count(*) FROM sizes) AS requests, (SELECT count(*) FROM sizes WHERE n < {K}) AS short_pools, (SELECT n < {K} FROM cat) AS small_catalogue,
+  round(avg(-log2(coalesce(p, (SELECT min(p) FROM pr)))), 9) AS novelty, round(count(DISTINCT item)::DOUBLE / (SELECT n FROM cat), 9) AS coverage FROM pools LEFT JOIN pr USING (item)""",
+)
+def retrieval_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a retrieval report needs besides recall: novelty and coverage of the pools, and whether pools or the catalogue are too small for K."""
+    pools = lists(spark, sf_dir).select("request", "item").distinct()
+    sizes = requests(spark, sf_dir).join(pools, "request", "left").groupBy("request").agg(F.count("item").alias("n"))
+    sizes = sizes.agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("n") < K).alias("short_pools"))
+    clicks = scoring.click_counts(train(spark, sf_dir)).select(F.col("item_id").alias("item"), F.col("clicks").cast("double").alias("c"))
+    total = clicks.agg(F.sum("c").alias("all"), F.min("c").alias("least"))
+    catalogue = clicks_ev(spark, sf_dir).agg(F.count_distinct("item_id").alias("catalogue"))
+    told = pools.join(clicks, "item", "left").join(F.broadcast(total)).agg(F.round(F.avg(-F.log2(F.coalesce("c", "least") / F.col("all"))), 9).alias("novelty"), F.count_distinct("item").alias("items"))
+    out = told.join(F.broadcast(sizes)).join(F.broadcast(catalogue))  # one row each
+    return out.select("requests", "short_pools", (F.col("catalogue") < K).alias("small_catalogue"), "novelty", F.round(F.col("items") / F.col("catalogue"), 9).alias("coverage"))
+
+
 @query("ranking_rows", f"WITH {FEATURES_SQL}, r AS (SELECT f.*, t.item IS NOT NULL AS label FROM feats f LEFT JOIN truth t USING (request, item)) SELECT request, item, label, bool_or(label) OVER (PARTITION BY request) AS found, count(*) OVER (PARTITION BY request) AS group_size FROM r")
 def ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with their label, whether the request's click is among them, and the group's size."""
@@ -263,6 +315,19 @@ def slate_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ndcg", "distinct_items", F.round(F.col("distinct_items") / F.col("n"), 9).alias("coverage"), "tail_share")
 
 
+@query(
+    "slate_diversity",
+    f"""WITH {POOL_SQL}, v AS (SELECT vec_id AS item, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT request, item FROM (SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY score DESC, item) AS r FROM pool) JOIN v USING (item) WHERE r <= 6),
+d AS (SELECT a.request, 1 - avg(list_cosine_similarity(va.e, vb.e)) AS d FROM s a JOIN s b ON a.request = b.request AND a.item < b.item JOIN v va ON va.item = a.item JOIN v vb ON vb.item = b.item GROUP BY a.request)
+SELECT round(avg(d), 6) AS diversity, 1.0::DOUBLE AS mean_propensity FROM d""",
+)
+def slate_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean intra-list diversity of the slates by score, and the mean propensity, which is 1 without exploration."""
+    slates = candidates.greedy_slates(pool(spark, sf_dir), 6)
+    per = measure.diversity(slates.select(F.col("request").alias("impression_id"), F.col("item").alias("item_id")), vectors(spark, sf_dir))
+    return per.agg(F.round(F.avg("diversity"), 6).alias("diversity")).join(F.broadcast(slates.agg(F.round(F.avg("propensity"), 9).alias("mean_propensity"))))  # one row each
+
+
 @query("seen_filter_logged", f"WITH {BLEND_SQL}, shown AS (SELECT user_id AS request, item_id AS item, min(ts) AS first FROM clicks_ev GROUP BY user_id, item_id) SELECT b.request, b.item FROM blended b JOIN req USING (request) WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.request = b.request AND s.item = b.item AND s.first < req.ts)")
 def seen_filter_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = blended(spark, sf_dir).join(requests(spark, sf_dir), "request").select("request", "item", "ts", F.col("request").alias("user_id"))

@@ -113,7 +113,7 @@ def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "online_lookup",
-    f"""WITH {CLICKS_EV}, {ITEM_SQL}, {LATEST_SQL}, asked AS (SELECT range::BIGINT AS item_id FROM range(0, 200))
+    f"""WITH {CLICKS_EV}, {ITEM_SQL}, {LATEST_SQL}, i AS (SELECT DISTINCT item_id FROM clicks_ev WHERE item_id IS NOT NULL), asked AS (SELECT item_id FROM i UNION ALL SELECT item_id + (SELECT max(item_id) - min(item_id) + 1 FROM i) FROM i)
 SELECT a.item_id, coalesce(CASE WHEN l.feature_ts > TIMESTAMP '2024-01-20' - INTERVAL 2 HOUR THEN l.item_impressions_24h END, 0) AS item_impressions_24h,
   coalesce(CASE WHEN l.feature_ts > TIMESTAMP '2024-01-20' - INTERVAL 2 HOUR THEN l.item_clicks_24h END, 0) AS item_clicks_24h, coalesce(l.feature_ts > TIMESTAMP '2024-01-20' - INTERVAL 2 HOUR, false) AS found
 FROM asked a LEFT JOIN latest l USING (item_id)""",
@@ -179,3 +179,31 @@ def category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def holdout_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
     return users.withColumn("held_out", digest_number(F.col("user_id").cast("string")) % 1000 < 100)
+
+
+#: The feature service's contract: a view's keys, the hours its values hold, and the columns that models read from it.
+CONTRACT = (
+    ("item_stats", ("item_id",), 2, ("item_impressions_24h", "item_clicks_24h", "item_age_hours")), ("user_stats", ("user_id",), 6, ("user_impressions_24h", "user_clicks_24h", "user_tenure_hours")),
+    ("user_category_stats", ("user_id", "category"), 24, ("user_cat_impressions_cum", "user_cat_clicks_cum", "user_cat_affinity")),
+)
+
+
+@query(
+    "feature_service",
+    f"WITH {CLICKS_EV}, {ITEM_SQL}, {USER_SQL}, {USER_CAT_SQL}, l AS (" + " UNION ALL ".join(
+        f"SELECT '{view}' AS view, {hours}::INTEGER AS ttl_hours, {len(columns)}::INTEGER AS n_columns, max(feature_ts) AS last_ts FROM {source} WHERE feature_ts <= TIMESTAMP '2024-01-20' GROUP BY {', '.join(keys)}"
+        for (view, keys, hours, columns), source in zip(CONTRACT, ("item_hourly", "user_hourly", "user_cat"), strict=True)
+    ) + ") SELECT view, ttl_hours, n_columns, count(*) AS entities, count(*) FILTER (last_ts > TIMESTAMP '2024-01-20' - INTERVAL 1 HOUR * ttl_hours) AS fresh FROM l GROUP BY view, ttl_hours, n_columns",
+)
+def feature_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each view of the contract, its columns checked, with how many entities have a row and how many of those are within the view's time to live."""
+    events, now = clicks_ev(spark, sf_dir), F.lit("2024-01-20").cast("timestamp")
+    views = (features.hourly(events, features.ITEM), features.hourly(events, features.USER), features.user_category_affinity(events))
+    out = None
+    for (view, keys, hours, columns), rows in zip(CONTRACT, views, strict=True):
+        features.require(rows, (*keys, "feature_ts", *columns), view)
+        last = rows.where(F.col("feature_ts") <= now).groupBy(*keys).agg(F.max("feature_ts").alias("at"))
+        told = last.agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("at") > now - F.expr(f"INTERVAL {hours} HOURS")).alias("fresh"))
+        told = told.select(F.lit(view).alias("view"), F.lit(hours).alias("ttl_hours"), F.lit(len(columns)).alias("n_columns"), "entities", "fresh")
+        out = told if out is None else out.unionByName(told)
+    return out

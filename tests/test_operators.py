@@ -552,6 +552,7 @@ def test_seen_items_expire(spark):
 
 def test_functions(spark):
     columns.register_sql_functions(spark)
+    assert spark.sql("SELECT cosine(array(1D, 0D), array(3D, 4D)) AS c, cosine(array(0D), array(1D)) AS n").first() == (pytest.approx(0.6), None)
     assert spark.sql("SELECT smoothed_ctr(1D, 10D, 0.1D, 20D) AS x, freshness(24D, 24D) AS y").first().asDict() == {"x": pytest.approx(0.1), "y": 0.5}
     row = spark.range(1).select(columns.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(2.0), F.lit(2.0))).alias("c"), columns.cosine(F.array(F.lit(0.0)), F.array(F.lit(2.0))).alias("z")).first()
     assert row["c"] == pytest.approx(math.sqrt(0.5)) and row["z"] is None
