@@ -10,7 +10,7 @@ by the same decoder and takes the payload, the times and the colour histograms f
 
 LZW: the code width follows from a code's place after the last clear code, so codes are unpacked
 by array operations. The entry a code makes is the text of that code and the first sample of the
-next, which stand side by side in the output, so an entry is a slice of the output.
+next; a block between clear codes is decoded code by code over the list of its entries.
 
 Defined results: a null or empty payload is one row of zeros; repeated rows get equal bytes; an
 empty table gives an empty table; a null GIF gives one row with ``error`` set and no frame; a
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,30 +57,38 @@ def _widths(n: int, size: int) -> np.ndarray:
 _WIDTHS = {size: _widths(1 << 14, size) for size in range(2, 9)}
 
 
+#: Code of each (code, sample) while a stream is made, 0 for none; all 0 between streams.
+_TABLE = [0] * (_MOST << 8)
+
+
 def lzw_codes(data: bytes, size: int = 8) -> list[int]:
     """The codes of samples of ``size`` bits, clearing whenever the table is full."""
     clear, first = 1 << size, (1 << size) + 2
-    codes, table, entry = [clear], {}, first
-    put, find = codes.append, table.get
+    codes, table, keys, entry = [clear], _TABLE, [], first
+    put, made = codes.append, keys.append
     samples = iter(data)
     w = next(samples, None)
     if w is None:
         return [clear, clear + 1]
     for b in samples:
         key = w << 8 | b
-        c = find(key)
-        if c is not None:
+        if c := table[key]:
             w = c
             continue
         put(w)
         if entry < _MOST:
             table[key] = entry
+            made(key)
             entry += 1
         else:
             put(clear)
-            table.clear()
+            for key in keys:
+                table[key] = 0
+            keys.clear()
             entry = first
         w = b
+    for key in keys:
+        table[key] = 0
     put(w)
     put(clear + 1)
     return codes
@@ -87,63 +96,88 @@ def lzw_codes(data: bytes, size: int = 8) -> list[int]:
 
 def lzw_pack(codes: list[int], size: int = 8) -> bytes:
     """Codes of a minimum size as a bit stream."""
-    c = np.array(codes, np.uint16)
+    c = np.frombuffer(array("H", codes), np.uint16)
     clear = np.flatnonzero(c == 1 << size)
-    since = np.arange(len(c)) - np.repeat(clear + 1, np.diff(np.append(clear, len(c))))  # -1 at a clear code
-    # A clear code is as wide as the code that would stand in its place.
+    since = np.arange(-1, len(c) - 1)
     if len(clear) > 1:
+        since = np.arange(len(c)) - np.repeat(clear + 1, np.diff(np.append(clear, len(c))))  # -1 at a clear code
+        # A clear code is as wide as the code that would stand in its place.
         since[clear[1:]] = since[clear[1:] - 1] + 1
     since[0] = 0
-    width = _WIDTHS[size][np.minimum(since, len(_WIDTHS[size]) - 1)]
-    bits = np.unpackbits(c.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :12]
-    return np.packbits(bits[np.arange(12) < width[:, None]], bitorder="little").tobytes()
+    width = _WIDTHS[size].take(since, mode="clip")
+    bits = np.unpackbits(c.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    # Neighbours are mostly of one width, so the bits are taken run by run.
+    ends = [0, *(np.flatnonzero(width[1:] != width[:-1]) + 1).tolist(), len(c)]
+    return np.packbits(np.concatenate([bits[i:j, : width[i]].ravel() for i, j in zip(ends, ends[1:], strict=False)]), bitorder="little").tobytes()
+
 
+_BASE = {size: [bytes([x]) for x in range(1 << size)] + [b"", b""] for size in range(2, 9)}
 
-def lzw_decode(stream: bytes, size: int, most: int) -> bytearray:
+
+def lzw_decode(stream: bytes, size: int, most: int) -> bytes:
     """At most ``most`` samples of an LZW stream of a minimum code size."""
     if not 2 <= size <= 8:
         raise ValueError("an LZW code size out of range")
-    clear, end, first = 1 << size, (1 << size) + 1, (1 << size) + 2
+    clear, end = 1 << size, (1 << size) + 1
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.uint32)
     words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
-    total, bit, out = 8 * len(stream), 0, bytearray()
-    widths = _WIDTHS[size]
-    while bit < total and len(out) < most:
+    total, bit, made, parts = 8 * len(stream), 0, 0, []
+    while bit < total and made < most:
         # Codes up to the next clear code; the table never outgrows the block's start.
-        starts: list[int] = []
-        done = 0
+        table = _BASE[size].copy()
+        last, done, ended = b"", 0, False
         while True:
-            w = widths[done : done + _MOST] if done + _MOST <= len(widths) else np.full(_MOST, 12)
+            # Codes have more than ``size`` bits, so no more than these are left.
+            most_codes = min(_MOST, (total - bit) // (size + 1) + 1)
+            w = _WIDTHS[size][done : done + most_codes] if done + most_codes <= len(_WIDTHS[size]) else np.full(most_codes, 12)
             at = bit + np.cumsum(w) - w
             k = int(np.searchsorted(at + w, total, "right"))
             at, w = at[:k], w[:k]
             codes = words[at >> 3] >> (at & 7).astype(np.uint32) & ((1 << w) - 1).astype(np.uint32)
             stop = np.flatnonzero((codes == clear) | (codes == end))
             n = int(stop[0]) if len(stop) else k
-            for c in codes[:n].tolist():
-                here = len(out)
-                starts.append(here)
-                if c < clear:
-                    out.append(c)
-                else:
-                    p = c - first
-                    if p + 1 >= len(starts):
-                        raise ValueError("an LZW code before its entry")
-                    a, b = starts[p], starts[p + 1]
-                    if b < here:
-                        out += out[a : b + 1]
-                    else:
-                        out += out[a:here]
-                        out.append(out[a])
+            last, gained = _texts(codes[:n].tolist(), table, last, parts)
+            made += gained
             if len(stop):
-                bit = int(at[n] + w[n])
-                if int(codes[n]) == end:
-                    return out[:most]
+                bit, ended = int(at[n] + w[n]), int(codes[n]) == end
+                break
+            if k < most_codes or k < _MOST or made >= most:
+                ended = True
                 break
-            if k < _MOST or len(out) >= most:
-                return out[:most]
             bit, done = int(at[-1] + w[-1]), done + _MOST
-    return out[:most]
+        if ended:
+            break
+    return b"".join(parts)[:most]
+
+
+def _texts(codes: list[int], table: list[bytes], last: bytes, parts: list[bytes]) -> tuple[bytes, int]:
+    """Appends the texts of codes to ``parts`` and their entries to ``table``; (text of the last code, number of samples)."""
+    put, enter, at, before = parts.append, table.append, 0, len(parts)
+    if codes and not last:
+        last = _known(table, codes[0])
+        put(last)
+        at = 1
+    room = at + _MOST - len(table)
+    for c in codes[at:room]:
+        try:
+            text = table[c]
+        except IndexError:
+            if c != len(table):
+                raise ValueError("an LZW code before its entry") from None
+            text = last + last[:1]
+        enter(last + text[:1])
+        put(text)
+        last = text
+    for c in codes[max(at, room) :]:  # the table is full
+        last = table[c]
+        put(last)
+    return last, sum(map(len, parts[before:]))
+
+
+def _known(table: list[bytes], code: int) -> bytes:
+    if code >= len(table):
+        raise ValueError("an LZW code before its entry")
+    return table[code]
 
 
 def _blocks(stream: bytes) -> bytes:
@@ -219,8 +253,9 @@ class _Bytes:
 
     def palette(self, flags: int) -> np.ndarray:
         n = 2 << (flags & 7)
-        full = np.zeros((256, 3), np.uint8)
-        full[:n] = np.frombuffer(self.take(3 * n), np.uint8).reshape(-1, 3)
+        full = np.full((256, 4), 255, np.uint8)  # every colour is shown
+        full[n:, :3] = 0
+        full[:n, :3] = np.frombuffer(self.take(3 * n), np.uint8).reshape(-1, 3)
         return full
 
 
@@ -263,30 +298,26 @@ def frames(data: bytes, most: int = MOST_SAMPLES) -> Iterator[Frame]:
             raise ValueError("a frame without a palette")
         size = src.number(1)
         got = lzw_decode(src.blocks(), size, w * h)
-        index, shown = np.zeros(w * h, np.uint8), None
-        index[: len(got)] = got
-        index = index.reshape(h, w)
+        index, shown = np.frombuffer(got.ljust(w * h, b"\0"), np.uint8).reshape(h, w), None
         if len(got) < w * h:
             shown = np.zeros(w * h, bool)
             shown[: len(got)] = True
             shown = shown.reshape(h, w)
         if flags & 0x40:
             order = _row_order(h)
-            index[order] = index.copy()
+            index = index[np.argsort(order)]
             if shown is not None:
                 shown[order] = shown.copy()
         there = canvas[top : top + h, left : left + w]
         index = index[: there.shape[0], : there.shape[1]]
         before = there.copy() if disposal == 3 else None
         if clear is None and shown is None:
-            there[..., :3] = palette[index]
-            there[..., 3] = 255
+            there[:] = palette.take(index, 0)
         else:
             seen = np.ones(index.shape, bool) if shown is None else shown[: there.shape[0], : there.shape[1]].copy()
             if clear is not None:
                 seen &= index != clear
-            there[..., :3][seen] = palette[index][seen]
-            there[..., 3][seen] = 255
+            there[seen] = palette[index[seen]]
         yield Frame(number, at_ms, 10 * delay, disposal, (left, top, w, h), canvas)
         if disposal == 2:
             there[:] = 0
@@ -304,9 +335,13 @@ def payload_of(frame: Frame) -> bytes:
 
 def histograms(canvas: np.ndarray, bins: int) -> np.ndarray:
     """Three rows, red, green and blue, of the counts of a canvas's shown samples in ``bins`` bins."""
-    shown = canvas[..., 3] > 0
-    colours = canvas[..., :3].reshape(-1, 3) if shown.all() else canvas[..., :3][shown]
-    place = colours.astype(np.int64) * bins >> 8
+    flat = canvas.reshape(-1, 4)
+    if not flat[:, 3].all():
+        flat = flat[flat[:, 3] > 0]
+    if bins <= 64 and not bins & (bins - 1):  # places of all three fit a byte
+        place = (flat[:, :3] >> np.uint8(9 - bins.bit_length())) + np.arange(0, 3 * bins, bins, dtype=np.uint8)
+        return np.bincount(place.ravel(), minlength=3 * bins).reshape(3, bins)
+    place = flat[:, :3].astype(np.int64) * bins >> 8
     return np.bincount((place + np.arange(3) * bins).ravel(), minlength=3 * bins).reshape(3, bins)
 
 
