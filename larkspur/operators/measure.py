@@ -157,3 +157,14 @@ def band_users(rows: DataFrame, edges: Sequence[int], pooled: int = 26) -> tuple
         F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("users"), (F.sum("a") / F.sum("n")).alias("mean_a"), (F.sum("b") / F.sum("n")).alias("mean_b"), F.avg("difference").alias("mean_difference")
     )
     return summary, users.select("band", "user_id", "difference")
+
+
+def model_table(cards: DataFrame, value: str, cohorts: Sequence[str]) -> DataFrame:
+    """(model, one column a cohort) of report cards (model, cohort, split, k, value).
+
+    Figures of two splits or two cut-offs can't stand in one table: such cards raise when the table is read.
+    """
+    kinds = cards.agg(F.count_distinct("split", "k").alias("__kinds"))
+    wide = cards.groupBy("model").pivot("cohort", list(cohorts)).agg(F.max(value)).join(F.broadcast(kinds))  # one row
+    checked = [F.when(F.col("__kinds") > 1, F.raise_error(F.lit("report cards of more than one split or k")).cast("double")).otherwise(F.col(c)).alias(c) for c in cohorts]
+    return wide.select("model", *checked)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import columns
-from larkspur.operators import candidates, features, inference, measure, monitor, ranges, scoring, timeline, transform
+from larkspur.operators import candidates, contracts, features, inference, measure, monitor, ranges, scoring, timeline, transform
 from larkspur.operators.timeline import Series
 from larkspur.sources import logs
 from larkspur.streaming import streams
@@ -562,3 +562,26 @@ def test_parameters_are_checked(spark):
     for call in (lambda: columns.half_life_weight(F.lit(1.0), 0), lambda: columns.shrunk_rate(F.lit(1), F.lit(1), F.lit(0.1), 0), lambda: transform.slate_negatives(None, 0), lambda: candidates.freshness(F.lit(1), 0), lambda: scoring.strongest(None, 0), lambda: candidates.bloom_size(F.lit(1), 2.0)):
         with pytest.raises(ValueError):
             call()
+
+
+def test_contracts_count_violations(spark):
+    rows = spark.createDataFrame([(1, "a", 5), (1, "b", None), (2, None, 9)], "k int, v string, parent int")
+    parents = spark.createDataFrame([(5,)], "id int")
+    told = contracts.union(
+        contracts.rows_where(rows, {"null_v": F.col("v").isNull(), "odd_v": ~F.col("v").isin("a")}),
+        contracts.totals(rows, {"few": F.count(F.lit(1)) < 3, "many": F.count(F.lit(1)) >= 3}),
+        contracts.duplicate_keys(rows, "twice", ["k"]),
+        contracts.orphans(rows, "orphan", "parent", parents, "id"),
+    )
+    assert {r.contract: r.violations for r in told.collect()} == {"null_v": 1, "odd_v": 1, "few": 0, "many": 1, "twice": 1, "orphan": 1}
+    none = rows.where("k > 9")
+    assert {r.violations for r in contracts.rows_where(none, {"null_v": F.col("v").isNull()}).collect()} == {0}
+    assert contracts.duplicate_keys(none, "twice", ["k"]).first().violations == 0
+
+
+def test_model_table_refuses_two_splits(spark):
+    cards = spark.createDataFrame([("a", "overall", "test", 3, 0.5), ("b", "overall", "test", 3, 0.6)], "model string, cohort string, split string, k int, gauc double")
+    assert {r.model: r.overall for r in measure.model_table(cards, "gauc", ["overall", "warm_user"]).collect()} == {"a": 0.5, "b": 0.6}
+    for other in (cards.withColumn("split", F.when(F.col("model") == "a", "val").otherwise("test")), cards.withColumn("k", F.when(F.col("model") == "a", 5).otherwise(3))):
+        with pytest.raises(Exception, match="more than one split or k"):
+            measure.model_table(other, "gauc", ["overall"]).collect()
