@@ -1,7 +1,7 @@
 """Streaming forms of the batch operators, and a replay source to run them over a table.
 
 What a key keeps is bounded: rows up to a watermark, a window, a fixed-size ring or the sessions of a day.
-The state of ``recent_items`` has one such entry for each user it ever met.
+The state of ``recent_items`` has one such entry for each user, for ever or up to a time to live.
 """
 
 from __future__ import annotations
@@ -80,17 +80,24 @@ _RECENT = "user_id BIGINT, last_items ARRAY<BIGINT>, session_length BIGINT, sess
 _RECENT_STATE = "items ARRAY<BIGINT>, stamps ARRAY<BIGINT>, starts ARRAY<BIGINT>, ends ARRAY<BIGINT>, counts ARRAY<BIGINT>, categories ARRAY<ARRAY<STRING>>, version BIGINT"
 
 
-def recent_items(events: DataFrame, most: int = 50, gap_seconds: int = 1800, late_seconds: int = 86_400) -> DataFrame:
+def recent_items(events: DataFrame, most: int = 50, gap_seconds: int = 1800, late_seconds: int = 86_400, ttl_seconds: int | None = None) -> DataFrame:
     """Per user the last clicked items, most recent first, and the length and categories of the running session.
 
     State is a ring of the last ``most`` clicks by (time, item), and start, end, count and distinct
     categories of the sessions that a click up to ``late_seconds`` late can still reach; the running
     session is always among them, however many clicks it has. A user's row comes out anew, with a
-    higher version, whenever clicks arrive.
+    higher version, whenever clicks arrive. With ``ttl_seconds`` a user's state ends when the watermark,
+    which ``events`` then needs on ts, has passed its newest click by so much; without it, state is
+    kept for every user ever seen.
     """
+    if ttl_seconds is not None and ttl_seconds <= 0:
+        raise ValueError("ttl_seconds must be positive")
     ship(events.sparkSession)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         items, stamps, starts, ends, counts, categories, version = state.get if state.exists else ([], [], [], [], [], [], 0)
         ring = list(zip(stamps, items, strict=True))
         spans = [(s, e, n, set(c)) for s, e, n, c in zip(starts, ends, counts, categories, strict=True)]
@@ -99,13 +106,17 @@ def recent_items(events: DataFrame, most: int = 50, gap_seconds: int = 1800, lat
             ring = sorted(ring + list(zip(us, item, strict=True)))[-most:]
             spans += [(t // 1_000_000, t // 1_000_000, 1, {c}) for t, c in zip(us, category, strict=True)]
             spans = _joined(spans, gap_seconds)
-        version += 1
+        # A state that began anew goes on above its predecessor's versions, which the watermark has passed.
+        version = version + 1 if ttl_seconds is None else max(version + 1, state.getCurrentWatermarkMs())
         spans = [s for s in spans if s[1] >= spans[-1][1] - gap_seconds - late_seconds]
         state.update(([r[1] for r in ring], [r[0] for r in ring], [s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans], [list(s[3]) for s in spans], version))
+        if ttl_seconds is not None:  # a click that comes after its own time to live ends with the next batch
+            state.setTimeoutTimestamp(max(ring[-1][0] // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"user_id": [key[0]], "last_items": [[r[1] for r in reversed(ring)]], "session_length": [spans[-1][2]], "session_categories": [len(spans[-1][3])], "version": [version]})
 
-    clicks = events.where("clicked").select("user_id", "item_id", "category", F.unix_micros("ts").alias("us"))
-    return clicks.groupBy("user_id").applyInPandasWithState(update, _RECENT, _RECENT_STATE, "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if ttl_seconds is None else GroupStateTimeout.EventTimeTimeout
+    clicks = events.where("clicked").select("user_id", "item_id", "category", *(["ts"] if ttl_seconds else []), F.unix_micros("ts").alias("us"))
+    return clicks.groupBy("user_id").applyInPandasWithState(update, _RECENT, _RECENT_STATE, "update", timeout)
 
 
 def _joined(spans: list[tuple[int, int, int, set]], gap_seconds: int) -> list[tuple[int, int, int, set]]:

@@ -585,3 +585,18 @@ def test_model_table_refuses_two_splits(spark):
     for other in (cards.withColumn("split", F.when(F.col("model") == "a", "val").otherwise("test")), cards.withColumn("k", F.when(F.col("model") == "a", 5).otherwise(3))):
         with pytest.raises(Exception, match="more than one split or k"):
             measure.model_table(other, "gauc", ["overall"]).collect()
+
+
+def test_recent_items_end_with_their_time_to_live(spark):
+    day = 86_400
+    rows = [(1, 10, "a", True, at(0)), (2, 20, "a", True, at(day)), (2, 21, "b", True, at(2 * day)), (2, 22, "b", True, at(3 * day)), (1, 11, "b", True, at(4 * day)), (2, 23, "b", True, at(4 * day))]
+    clicks = frame(spark, rows, "user_id long, item_id long, category string, clicked boolean, ts timestamp")
+    want = {None: [11, 10], 10 * day: [11, 10], day // 2: [11]}
+    for ttl, items in want.items():
+        stream = streams.replay(clicks, "ts", chunks=len(rows))
+        stream = stream if ttl is None else stream.withWatermark("ts", streams.LATENESS)
+        told = streams.drained(streams.recent_items(stream, ttl_seconds=ttl), "update", "ttl", ["user_id"], "version").collect()
+        found = {r.user_id: r.last_items for r in told}
+        assert found == {1: items, 2: [23, 22, 21, 20]}, ttl
+    with pytest.raises(ValueError, match="ttl_seconds"):
+        streams.recent_items(clicks, ttl_seconds=0)
