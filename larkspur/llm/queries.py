@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat, lang_id, media, mix, quality, rules, simhash, token_store, warc
+from larkspur.llm import bpe, chat, lang_id, media, mix, quality, rules, search, simhash, token_store, warc
 from larkspur.llm.common import new_path
 
 
@@ -161,6 +161,25 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, folder)
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+s AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS length FROM d WHERE len(t) > 0),
+p AS (SELECT r, doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY r, doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term),
+g AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // length)))))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, r, doc_id
+)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r)::INTEGER AS rank FROM g WHERE score > 0) WHERE rank <= 50
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -172,6 +191,7 @@ QUERIES = {
     "op8_quality_pu": op8_quality_pu,
     "op9_gif_media": op9_gif_media,
     "op10_token_store": op10_token_store,
+    "op12_search": op12_search,
 }
 
-ORACLE_SQL = {"op3_chat_format": OP3_SQL, "op4_quality_rules": _op4_sql(), "op5_warc": OP5_SQL, "op6_source_mix": mix.sql()}
+ORACLE_SQL = {"op3_chat_format": OP3_SQL, "op4_quality_rules": _op4_sql(), "op5_warc": OP5_SQL, "op6_source_mix": mix.sql(), "op12_search": OP12_SQL}
