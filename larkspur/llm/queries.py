@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat, lang_id, media, mix, quality, rules, search, simhash, token_store, warc
+from larkspur.llm import bpe, chat, collocations, lang_id, media, mix, quality, rules, search, simhash, token_store, warc
 from larkspur.llm.common import new_path
 
 
@@ -161,6 +161,27 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, folder)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP11_SQL = """
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM t),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
+f AS (SELECT lang, g, m, count(*) AS f FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS g FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m) GROUP BY lang, g, m),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, g, m, f, string_split(g, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+around AS (SELECT lang, g, max(f) AS around FROM (SELECT c.lang, c.f, unnest(flatten(list_transform(range(2, m), lambda k: list_transform(range(1, m - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))))) AS g FROM c WHERE m > 2) GROUP BY lang, g),
+kept AS (SELECT c.* FROM c LEFT JOIN around USING (lang, g) WHERE around IS NULL OR 100 * around < 80 * f),
+cut AS (SELECT lang, g, m, f, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+s AS (SELECT cut.*, a.f AS l, b.f AS r, ((2000000::HUGEINT * cut.f) // (a.f + b.f))::BIGINT AS score FROM cut JOIN f a ON a.lang = cut.lang AND a.g = x JOIN f b ON b.lang = cut.lang AND b.g = y),
+least AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+top AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, g)::INTEGER AS rank, g AS phrase, f AS a, l, r, score FROM least)
+SELECT lang, rank, phrase, a, l, r, n, score FROM top JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -191,7 +212,8 @@ QUERIES = {
     "op8_quality_pu": op8_quality_pu,
     "op9_gif_media": op9_gif_media,
     "op10_token_store": op10_token_store,
+    "op11_collocations": op11_collocations,
     "op12_search": op12_search,
 }
 
-ORACLE_SQL = {"op3_chat_format": OP3_SQL, "op4_quality_rules": _op4_sql(), "op5_warc": OP5_SQL, "op6_source_mix": mix.sql(), "op12_search": OP12_SQL}
+ORACLE_SQL = {"op3_chat_format": OP3_SQL, "op4_quality_rules": _op4_sql(), "op5_warc": OP5_SQL, "op6_source_mix": mix.sql(), "op11_collocations": OP11_SQL, "op12_search": OP12_SQL}
