@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat, collocations, lang_id, media, mix, quality, rules, search, simhash, token_store, warc
+from larkspur.llm import bpe, chat, collocations, jaccard, lang_id, media, mix, quality, rules, search, simhash, token_store, warc
 from larkspur.llm.common import new_path
 
 
@@ -201,6 +201,10 @@ SELECT item_id, rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r)::INTEGER AS rank FROM g WHERE score > 0) WHERE rank <= 50
 """
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -214,6 +218,7 @@ QUERIES = {
     "op10_token_store": op10_token_store,
     "op11_collocations": op11_collocations,
     "op12_search": op12_search,
+    "op13_jaccard": op13_jaccard,
 }
 
 ORACLE_SQL = {"op3_chat_format": OP3_SQL, "op4_quality_rules": _op4_sql(), "op5_warc": OP5_SQL, "op6_source_mix": mix.sql(), "op11_collocations": OP11_SQL, "op12_search": OP12_SQL}
