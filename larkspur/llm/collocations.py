@@ -47,9 +47,9 @@ MOST_WORDS = 4
 #: Languages whose totals may be sent to every task.
 MOST_LANGS = 10_000
 WORD_BITS, PAIR_BITS, HOT_BITS = 26, 27, 22
-_SLICE = 2 << 20
-#: Words that a worker gathers before it sends their counts.
-_GATHER = 1_500_000
+_SLICE = 1 << 20
+#: Words that a worker gathers before it sends their counts, and rows that it sends at a time.
+_GATHER, _ROWS = 1_000_000, 50_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,6 +99,11 @@ def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np
     return key, first, total
 
 
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, _ROWS):
+        yield batch.slice(at, _ROWS)
+
+
 def _word_counts(docs: DataFrame, least: int) -> DataFrame:
     """(lang, h, word, f) of the words with ``least`` occurrences; the row without a word has the language's number of words."""
 
@@ -122,11 +127,11 @@ def _word_counts(docs: DataFrame, least: int) -> DataFrame:
             said += [pa.array(w.said(first), pa.string()), pa.nulls(len(per), pa.string())]
             langs += [lang.take(pa.array(w.row[first])), lang.take(pa.array(at))]
             held += len(key)
-            if held > _GATHER // 4:
-                yield flush()
+            if held > _GATHER // 2:
+                yield from _cut(flush())
                 keys, counts, said, langs, held = [], [], [], [], 0
         if keys:
-            yield flush()
+            yield from _cut(flush())
 
     rows = docs.mapInArrow(run, "lang string, h long, word string, f long")
     return rows.groupBy("lang", "h", "word").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("word").isNull())
@@ -149,10 +154,10 @@ def _pair_counts(docs: DataFrame, frequent: bytes, least: int) -> DataFrame:
             found.append(_pair(h, near)[near])
             held += len(found[-1])
             if held > _GATHER:
-                yield flush()
+                yield from _cut(flush())
                 found, held = [], 0
         if found:
-            yield flush()
+            yield from _cut(flush())
 
     return docs.mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
 
@@ -202,10 +207,10 @@ def _projections(docs: DataFrame, pairs: bytes, hot_words: bytes, hot_pairs: byt
             found.append(np.stack([*[a[go] for a in ahead], pair[go]]))
             held += int(go.sum())
             if held > _GATHER // 2:
-                yield flush()
+                yield from _cut(flush())
                 found, held = [], 0
         if held:
-            yield flush()
+            yield from _cut(flush())
 
     return docs.mapInArrow(run, _CONTEXT)
 
