@@ -8,6 +8,9 @@ repeat a lot, so a worker keeps a bounded table of encoded pieces; it changes no
 Vocabulary and merges come from a ``tokenizers`` JSON file whose path is a parameter. Each
 executor reads its own copy of that file.
 
+The pattern's letters and numbers are those of the tokenizers library: what newer Unicode tables of
+``regex`` have besides is told apart by asking the library, once in the driver.
+
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows
 get equal results; an empty table gives an empty table; other columns pass through, and the
 columns the operators make replace those of the same name, whatever the others are called. A
@@ -17,10 +20,13 @@ very long text is encoded whole, in memory linear in its length; a batch is enco
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
 import struct
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,7 +43,30 @@ from larkspur.llm.common import passed, ship, sliced
 CACHE_BYTES, CACHE_LONGEST = 64 << 20, 128
 #: What a table's entry takes besides the piece's characters and ids.
 _ENTRY = 190
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?LETTER+| ?NUMBER+| ?OTHER+|\s+(?!\S)|\s+"
+_CLASSES = {"LETTER": r"\p{L}", "NUMBER": r"\p{N}", "OTHER": r"[^\s\p{L}\p{N}]"}
+
+
+def _pattern(classes: dict[str, str]) -> regex.Pattern:
+    out = _PATTERN
+    for name, said in classes.items():
+        out = out.replace(name, said)
+    return regex.compile(out, regex.V1)
+
+
+@functools.cache
+def unlike() -> str:
+    """Letters and numbers of this process's ``regex`` that are neither to the tokenizers library, whose Unicode is older.
+
+    Only what Python's own Unicode doesn't know yet can differ; the library is asked for each of those.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cut = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    new = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn" and regex.match(r"[\p{L}\p{N}]", c)]
+    said = "".join(f"!{c}\n" for c in new)  # what is neither stays with the mark before it
+    starts = {a for _, (a, _) in cut(said)}
+    return "".join(c for i, c in enumerate(new) if 3 * i + 1 not in starts)
 
 
 def byte_letters() -> list[str]:
@@ -71,7 +100,7 @@ class _Pieces(dict):
 
 
 class ByteBPE:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, odd: str | None = None) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]
@@ -95,7 +124,11 @@ class ByteBPE:
         for word, i in self.added.items():
             self.said[i] = word.encode()
         self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self._find = regex.compile(_PATTERN).findall
+        self._find = self._find_odd = _pattern(_CLASSES).findall
+        odd = unlike() if odd is None else odd
+        self._odd = regex.compile(f"[{odd}]").search if odd else None
+        if odd:  # only a text that holds one of these pays for the wider classes
+            self._find_odd = _pattern({"LETTER": rf"[\p{{L}}--[{odd}]]", "NUMBER": rf"[\p{{N}}--[{odd}]]", "OTHER": rf"[[^\s\p{{L}}\p{{N}}]||[{odd}]]"}).findall
         self._pieces = _Pieces(self._piece)
 
     def merge(self, symbols: list[int]) -> list[int]:
@@ -139,6 +172,8 @@ class ByteBPE:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         ids, find = self._pieces.__getitem__, self._find
+        if self._odd is not None and not text.isascii() and self._odd(text):
+            find = self._find_odd
         if self._cut is None or not any(x in text for x in self.added):
             return b"".join(map(ids, find(text)))
         out = []
@@ -152,14 +187,15 @@ class ByteBPE:
         return said.decode("utf-8", "replace").encode()
 
 
-_LOADED: dict[str, ByteBPE] = {}
+_LOADED: dict[tuple[str, str], ByteBPE] = {}
 
 
-def loaded(path: str) -> ByteBPE:
-    """The worker's encoder for a file, read once."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBPE(path)
-    return _LOADED[path]
+def loaded(path: str, odd: str | None = None) -> ByteBPE:
+    """The worker's encoder for a file, read once; the driver says which characters are ``odd``."""
+    odd = unlike() if odd is None else odd
+    if (path, odd) not in _LOADED:
+        _LOADED[path, odd] = ByteBPE(path, odd)
+    return _LOADED[path, odd]
 
 
 def default_path() -> str:
@@ -193,10 +229,10 @@ def _lists(parts: list[bytes]) -> pa.Array:
 
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col`` array<int>."""
-    path = path or default_path()
+    path, odd = path or default_path(), unlike()
 
     def make(texts: pa.Array) -> list[pa.Array]:
-        bpe = loaded(path)
+        bpe = loaded(path, odd)
         return [_lists([bpe.encode(t) for t in texts.to_pylist()])]
 
     return _over_text(docs, text_col, "string", [(ids_col, "array<int>")], make)
@@ -204,10 +240,10 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids
 
 def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``rows`` with ``text_col``, the text of the ids."""
-    path = path or default_path()
+    path, odd = path or default_path(), unlike()
 
     def make(ids: pa.Array) -> list[pa.Array]:
-        bpe = loaded(path)
+        bpe = loaded(path, odd)
         return [pa.array([bpe.decode(np.array(x, "<u4").tobytes()).decode() for x in ids.to_pylist()], pa.string())]
 
     return _over_text(rows, ids_col, "array<int>", [(text_col, "string")], make)
@@ -215,10 +251,10 @@ def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids", text_
 
 def round_trip(docs: DataFrame, path: str | None = None, text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 (and ids), encoded and decoded in one pass."""
-    path = path or default_path()
+    path, odd = path or default_path(), unlike()
 
     def make(texts: pa.Array) -> list[pa.Array]:
-        bpe = loaded(path)
+        bpe = loaded(path, odd)
         parts = [bpe.encode(t) for t in texts.to_pylist()]
         digest = [hashlib.sha256(p).hexdigest() for p in parts]
         told = [hashlib.sha256(bpe.decode(p)).hexdigest() for p in parts]

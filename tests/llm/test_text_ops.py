@@ -295,3 +295,21 @@ def test_quality_held_out(spark, odd, none):
     assert quality.score(none, scorer).count() == 0
     alone = quality.learn(none, labels.where("false"), F.lit(True))
     assert len({r["score"] for r in quality.score(odd, alone).collect()}) == 1
+
+
+def test_bpe_classes_of_every_code_point_are_the_library_s():
+    path = bpe.default_path()
+    lib, own = Tokenizer.from_file(path), bpe.ByteBPE(path)
+    lib.no_truncation()
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not 0x40000 <= c < 0xE0000]
+    for lead in ("a", "1", "! ", " 's"):
+        texts = ["".join(f"{lead}{c}'s" for c in points[i : i + 2000]) for i in range(0, len(points), 2000)]
+        for text, e in zip(texts, lib.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == e.ids
+
+
+def test_bpe_text_of_a_new_letter_equals_the_library():
+    path = bpe.default_path()
+    lib, own = Tokenizer.from_file(path), bpe.ByteBPE(path)
+    for text in ("\U000323b0's", "a՘b࢏ 1౜2", "₝₝'s <|endoftext|>՘'s"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
