@@ -7,8 +7,10 @@ of margin x bit, weighted by how well the bit's classifier did on its training t
 codeword and chooses the nearest; where the second nearest is close, the text is ambiguous.
 
 Counts of n-grams for learning come from a bounded sample of labelled rows (``PER_LANG`` texts a
-language in expectation, chosen by a hash of their id); the driver gets the number of texts of
-each language and a row of ``BUCKETS`` counts for it from each of ``TASKS`` tasks. Whole texts are learned and scored.
+language in expectation, chosen by a hash of their id), added up a language at a time in ``TASKS``
+tasks and stored. The driver reads them a few times, a language at a time, so that it holds ``BUCKETS``
+weights a bit, and bits grow with the logarithm of the number of languages, which has no bound. Whole
+texts are learned and scored.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and not ambiguous;
 rows without a language teach nothing; with no labelled text every text is ``und``; repeated
@@ -20,7 +22,7 @@ very long text is read whole, in memory linear in its length; batches are read i
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,13 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import column, passed, segment_sum, ship, sliced, utf8
+from larkspur.llm.common import column, passed, segment_sum, ship, sliced, staged, utf8
 
 BUCKETS = 1 << 16
 PER_LANG = 1500
 TASKS = 16
-#: More languages than these are refused: the driver and each learning task hold a row of BUCKETS counts for each.
-MAX_LANGS = 400
+#: Up to so many languages, the best of several random codes is taken; beyond, the first.
+COMPARED = 2000
 #: Margins are mean log-odds; this makes the logistic loss and the score sharp enough.
 SHARPNESS = 8.0
 AMBIGUOUS = 0.6
@@ -95,9 +97,10 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     bits = int(np.ceil(10 * np.log2(k)))
     best, most = None, -1
-    for _ in range(64):
+    for _ in range(64 if k <= COMPARED else 1):
         code = rng.choice(np.array([1, -1], np.int8), (k, bits))
-        apart = ((code[:, None] != code[None]).sum(2) + bits * np.eye(k, dtype=int)).min()
+        same = code.astype(np.float32) @ code.T.astype(np.float32) if k <= COMPARED else np.zeros((1, 1))
+        apart = ((bits - same) / 2 + bits * np.eye(len(same))).min()
         if apart > most and (np.abs(code.sum(0)) < k).all():
             best, most = code, apart
     if best is None:
@@ -139,17 +142,24 @@ class Model:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of n-grams by language, a row for each language that a task meets."""
-    held: dict[str, np.ndarray] = {}
+    """Counts of n-grams by language, of rows in order of their language."""
+    held, counts = None, np.zeros(BUCKETS, np.int64)
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([held]), pa.array([counts.tobytes()], pa.binary())], ["lang", "counts"])
+
     for batch in sliced(batches, 1):
         body, offsets = utf8(batch.column(1))
         for i, lang in enumerate(batch.column(0).to_pylist()):
+            if lang != held:
+                if held is not None:
+                    yield told()
+                held, counts = lang, np.zeros(BUCKETS, np.int64)
             text = body[offsets[i] : offsets[i + 1]]
             for g in grams(text, np.array([0, len(text)])):
-                held.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                held[lang] += np.bincount(g, minlength=BUCKETS)
-    for lang, counts in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([counts.tobytes()], pa.binary())], ["lang", "counts"])
+                counts += np.bincount(g, minlength=BUCKETS)
+    if held is not None:
+        yield told()
 
 
 def learn(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:
@@ -157,45 +167,63 @@ def learn(docs: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: st
     ship(docs.sparkSession)
     rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang"), teaches.alias("teaches"))
     rows = rows.where("teaches and lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not counts:
-        return fit({})
+    sizes = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-sizes")
     part = F.xxhash64(F.lit("lang"), F.col("id")).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / F.lit(float(1 << 52))
-    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(per_lang / n))]), F.col("lang"))
-    sample = rows.where(part < share).select("lang", "text")
-    got: dict[str, np.ndarray] = {}
-    for row in sample.repartition(TASKS).mapInArrow(_count_grams, "lang string, counts binary").toLocalIterator():
-        got.setdefault(row["lang"], np.zeros(BUCKETS, np.int64))
-        got[row["lang"]] += np.frombuffer(row["counts"], np.int64)
-    return fit(got)
-
-
-def fit(counts: dict[str, np.ndarray]) -> Model:
-    """Log-odds weights of each bit from the n-gram counts of each language."""
-    langs = sorted(k for k, c in counts.items() if c[1:].sum())
+    sample = rows.join(sizes, "lang").where(part < per_lang / F.col("n")).select("lang", "text", F.pmod(F.xxhash64("id"), F.lit(TASKS)).alias("task"))
+    counted = sample.repartition(TASKS, "lang", "task").sortWithinPartitions("lang").select("lang", "text").mapInArrow(_count_grams, "lang string, counts binary")
+    counted = staged(counted, "lang-counts").orderBy("lang")
+
+    def each() -> Iterator[tuple[str, np.ndarray]]:
+        for lang, same in itertools.groupby(counted.toLocalIterator(), key=lambda r: r["lang"]):
+            yield lang, sum(np.frombuffer(r["counts"], np.int64) for r in same)
+
+    return fit(each)
+
+
+def _share(counts: np.ndarray) -> np.ndarray:
+    out = counts.astype(np.float64)
+    out[0] = 0
+    return (out + 0.5 / BUCKETS) / (out.sum() + 0.5)
+
+
+def fit(counts: Mapping[str, np.ndarray] | Callable[[], Iterable[tuple[str, np.ndarray]]]) -> Model:
+    """Log-odds weights of each bit from the n-gram counts of each language, a mapping or a function.
+
+    ``counts()`` gives (language, counts) once each, in one order; it is read three times, and no
+    more than one language's counts is held at a time.
+    """
+    if isinstance(counts, Mapping):
+        counts = counts.items
+    langs = sorted(k for k, c in counts() if c[1:].sum())
     code = codewords(len(langs))
     if not langs:
         return Model([], code, np.zeros((1, BUCKETS), np.float32), np.ones(1))
-    share = np.stack([counts[k] for k in langs]).astype(np.float64)
-    share[:, 0] = 0
-    share = (share + 0.5 / BUCKETS) / (share.sum(1, keepdims=True) + 0.5)
+    spot = {k: i for i, k in enumerate(langs)}
+    ones, every = np.zeros((code.shape[1], BUCKETS)), np.zeros(BUCKETS)
+    for lang, c in counts():
+        if lang in spot:
+            share = _share(c)
+            every += share
+            ones[code[spot[lang]] > 0] += share
+    n_ones = (code > 0).sum(0)
     weights = np.zeros((code.shape[1], BUCKETS))
-    for bit, column in enumerate(code.T):
-        if (column > 0).all():
-            continue
-        ones, rest = share[column > 0].mean(0), share[column < 0].mean(0)
-        weights[bit] = np.clip(np.log((ones + 1e-6) / (rest + 1e-6)), -6, 6)
+    for bit in np.flatnonzero(n_ones < len(langs)):
+        rest = (every - ones[bit]) / (len(langs) - n_ones[bit])
+        weights[bit] = np.clip(np.log((ones[bit] / max(n_ones[bit], 1) + 1e-6) / (np.maximum(rest, 0) + 1e-6)), -6, 6)
     weights[:, 0] = 0
     # The mean margin of a language's own texts says how far a classifier can be trusted, and centres it.
-    own = share @ weights.T  # languages x bits
+    own = np.zeros((len(langs), code.shape[1]))
+    first = np.zeros(len(langs))
+    for lang, c in counts():
+        if lang in spot:
+            share = _share(c)
+            own[spot[lang]], first[spot[lang]] = weights @ share, share[0]
     for bit, column in enumerate(code.T):
         if (column < 0).any():
             low, high = own[column < 0, bit].max(), own[column > 0, bit].min()
             middle = (low + high) / 2 if high > low else own[:, bit].mean()
             weights[bit, 1:] -= middle
-    own = share @ weights.T
+            own[:, bit] -= middle * (1 - first)
     trust = np.maximum((own * code).min(0), 0.05)
     return Model(langs, code, weights.astype(np.float32), trust / trust.sum() * len(trust))
 
@@ -205,7 +233,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     ship(docs.sparkSession)
     made = T.StructType.fromDDL("lang_pred string, score double, ambiguous boolean, margins array<float>")
     kept, columns = passed(docs, made.names)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGS and BUCKETS bound its size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights a bit, and a row of bits a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -313,3 +313,35 @@ def test_bpe_text_of_a_new_letter_equals_the_library():
     lib, own = Tokenizer.from_file(path), bpe.ByteBPE(path)
     for text in ("\U000323b0's", "a՘b࢏ 1౜2", "₝₝'s <|endoftext|>՘'s"):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_more_than_400_languages(spark):
+    rng = random.Random(5)
+    words = {f"x{k:03d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for k in range(430)}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(40)), lang) for i, lang in enumerate(sorted(words) * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.learn(docs, F.col("doc_id") < 860)
+    assert len(model.langs) == 430 and len(model.weights) < 100
+    got = lang_id.identify(docs.where("doc_id >= 860"), model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.95 * len(got)
+
+
+def test_rows_without_an_id_draw_apart(spark):
+    """A source whose rows have no id meets its weight like one whose rows have."""
+    rows = [(i if i < 1000 else None, f"text {i}", "a" if i < 1000 else "b") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["source"]: r["count"] for r in mix.replicate(docs, weights={"a": 1.0, "b": 1.0}).groupBy("source").count().collect()}
+    assert all(880 < n < 1120 for n in got.values()) and len(got) == 2
+    counts = mix.replicate(docs.where("doc_id is null"), weights={"b": 1.0}).groupBy("text").count().groupBy("count").count().count()
+    assert counts > 2
+
+
+def test_mix_of_rows_without_an_id_equals_its_sql(spark):
+    import duckdb
+
+    rows = [(i if i % 3 else None, f"text {i}" if i % 7 else None, None if i % 5 == 0 else "en", f"s{i % 4}", i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    got = mix.replicate(docs).select("n_chars", "copy_no", "shuffle_key").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"SELECT n_chars, copy_no, shuffle_key FROM ({mix.sql()})").fetchall())
