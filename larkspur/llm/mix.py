@@ -10,8 +10,8 @@ shuffled globally on a hash of (seed, id, copy). The hash is uniform, so a row's
 its leading digits: no pass over the rows is needed to find the ranges.
 
 Defined results: a null source is a source of its own; null or empty texts are replicated like
-others; repeated rows draw the same count each; a document without an id draws from the hash of
-the empty string; an empty table gives an empty table; extra columns pass through under any name,
+others; repeated rows draw the same count each; a document without an id draws from a hash of all
+its columns in place of the id, so such documents draw apart; an empty table gives an empty table; extra columns pass through under any name,
 and columns named copy_no or shuffle_key are replaced. Sources absent from ``weights`` have weight
 0. A very long text is carried as it is, once a copy.
 """
@@ -22,6 +22,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm.common import column, free_prefix, staged, without
 
@@ -77,6 +78,10 @@ def poisson_cdf(rate: Column) -> Column:
     return F.when(rate > 0, logs).otherwise(F.array(F.lit(1.0)))
 
 
+def _said(value: Column, kind: T.DataType) -> Column:
+    return F.to_json(F.struct(value.alias("v"))) if isinstance(kind, T.MapType | T.ArrayType | T.StructType) else value.cast("string")
+
+
 def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: Mapping[str, float] | None = None, temperature: float = 2.0, seed: int = 42, rows: float | None = None) -> DataFrame:
     """Rows of ``docs`` by their Poisson count, in global random order, with copy_no and shuffle_key."""
     columns = without(docs.columns, MADE)
@@ -85,7 +90,9 @@ def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     parts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("rate") / MAX_RATE))
     table = rates(docs, source_col, weights, temperature, rows).select("source", parts.alias("parts"), (F.col("rate") / parts).alias("rate"))
     table = staged(table.select(F.col("source").alias(p + "source"), F.col("parts").alias(p + "parts"), poisson_cdf(F.col("rate")).alias(p + "cdf")), "mix-rates")
-    key = F.coalesce(column(id_col).cast("string"), F.lit(""))
+    # Rows without an id would all draw alike from an empty one.
+    whole = F.md5(F.concat_ws("|", *[F.coalesce(_said(column(f.name), f.dataType), F.lit("")) for f in docs.schema.fields]))
+    key = F.coalesce(column(id_col).cast("string"), F.concat(F.lit("#"), whole))
     # A lambda's argument is computed once, so the hash isn't made anew for every entry of the table.
     seeded = F.lit(str(seed))
     uniforms = F.when(F.col(p + "parts") == 1, F.array(hashed_uniform(seeded, key)))
@@ -114,10 +121,10 @@ cdf AS (
   SELECT source, rate, k + 1, p + ln(rate) - ln((k + 1)::DOUBLE), c + exp(p + ln(rate) - ln((k + 1)::DOUBLE)) FROM cdf WHERE k < ceil(rate + 12.0 * sqrt(rate) + 24.0)
 ),
 numbered AS (SELECT d.*, row_number() OVER () AS r FROM documents d),
-asked AS (SELECT r, d.source, CASE WHEN parts = 1 THEN concat_ws('|', '{seed}', coalesce(d.doc_id::VARCHAR, '')) ELSE concat_ws('|', '{seed}', coalesce(d.doc_id::VARCHAR, ''), j::VARCHAR) END AS said
+asked AS (SELECT r, d.source, CASE WHEN parts = 1 THEN concat_ws('|', '{seed}', coalesce(d.doc_id::VARCHAR, '#' || md5(concat_ws('|', '', coalesce(d.text, ''), coalesce(d.lang, ''), coalesce(d.source, ''), coalesce(d.n_chars::VARCHAR, ''))))) ELSE concat_ws('|', '{seed}', coalesce(d.doc_id::VARCHAR, '#' || md5(concat_ws('|', '', coalesce(d.text, ''), coalesce(d.lang, ''), coalesce(d.source, ''), coalesce(d.n_chars::VARCHAR, '')))), j::VARCHAR) END AS said
   FROM numbered d JOIN rates ON rates.source IS NOT DISTINCT FROM d.source, unnest(range(1, parts + 1)) AS t(j)),
 drawn AS (SELECT r, source, ('0x' || substr(md5(said), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM asked),
 counted AS (SELECT r, count(c.k) AS n FROM drawn d JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source AND c.c <= d.u GROUP BY r)
-SELECT doc_id, text, lang, source, n_chars, i::INTEGER AS copy_no, md5(concat_ws('|', '{seed}', coalesce(doc_id::VARCHAR, ''), i::VARCHAR, 'order')) AS shuffle_key
+SELECT doc_id, text, lang, source, n_chars, i::INTEGER AS copy_no, md5(concat_ws('|', '{seed}', coalesce(doc_id::VARCHAR, '#' || md5(concat_ws('|', '', coalesce(text, ''), coalesce(lang, ''), coalesce(source, ''), coalesce(n_chars::VARCHAR, '')))), i::VARCHAR, 'order')) AS shuffle_key
 FROM counted JOIN numbered USING (r), unnest(range(1, n + 1)) AS t(i)
 """
