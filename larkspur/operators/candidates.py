@@ -194,6 +194,8 @@ def capped(rows: DataFrame, k: int, cap: int) -> DataFrame:
 _SLATE = "request long, position int, item long, propensity double"
 #: Values of padded pools (requests x longest pool x dimensions) that a worker ranks at a time.
 _TENSOR = 1 << 22
+#: What an item without a score is worth: less than any that has one, but open to choice.
+_LEAST = -1e300
 
 
 def greedy_slates(rows: DataFrame, k: int, relevance: float = 1.0, cap: int | None = None, epsilon: float = 0.0, explore: int = 0, seed: int = 0) -> DataFrame:
@@ -205,6 +207,8 @@ def greedy_slates(rows: DataFrame, k: int, relevance: float = 1.0, cap: int | No
     each of a slate's last ``explore`` slots is drawn uniformly among the open items with probability
     epsilon, and propensities say how likely each choice was. ``rows``: request, item, score, and
     where used vector (unit length), category, blocked. Draws are hashes of (seed, request, slot).
+    A null or NaN score is below all others, by item among themselves; an item whose vector is null,
+    or of another length than the pool's first, is similar to nothing.
 
     Each pool, a bounded list, becomes one row of arrays in order of (score desc, item). Arrow
     batches of them are padded to tensors and all slates of a tensor get their next slot at once.
@@ -215,8 +219,10 @@ def greedy_slates(rows: DataFrame, k: int, relevance: float = 1.0, cap: int | No
         raise ValueError("exploration needs slots")
     has = set(rows.columns)
     near, grouped = "vector" in has and relevance < 1, "category" in has and cap is not None
+    worth = F.col("score").cast("double")
+    worth = F.when(worth.isNull() | F.isnan(worth), F.lit(float("-inf"))).otherwise(worth)
     entry = F.struct(
-        (-F.col("score").cast("double")).alias("low"), F.col("item").cast("long").alias("item"), (F.col("category") if grouped else F.lit(None).cast("string")).alias("category"),
+        (-worth).alias("low"), F.col("item").cast("long").alias("item"), (F.col("category") if grouped else F.lit(None).cast("string")).alias("category"),
         (F.col("vector").cast("array<double>") if near else F.array().cast("array<double>")).alias("vector"), (F.coalesce("blocked", F.lit(False)) if "blocked" in has else F.lit(False)).alias("blocked"),
     )
     pools = rows.groupBy(F.col("request").cast("long").alias("request")).agg(F.sort_array(F.collect_list(entry)).alias("all"))
@@ -224,10 +230,12 @@ def greedy_slates(rows: DataFrame, k: int, relevance: float = 1.0, cap: int | No
     pools = pools.select("request", F.when(F.size(free) > 0, free).otherwise(F.col("all")).alias("pool"))
     kinds = F.array_distinct(F.transform("pool", lambda x: F.coalesce(x["category"], F.lit(""))))
     slots = F.sequence(F.lit(0), F.lit(k - 1))
+    wide = F.coalesce(F.size(F.try_element_at(F.filter("pool", lambda x: F.coalesce(F.size(x["vector"]), F.lit(-1)) > 0), F.lit(1))["vector"]), F.lit(0)) if near else F.lit(0)
+    told_vector = lambda x: F.when(F.size(x["vector"]) == F.col("__wide"), F.transform(x["vector"], lambda v: F.coalesce(v, F.lit(0.0)))).otherwise(F.array_repeat(F.lit(0.0), F.col("__wide")))
     draw = lambda salt: F.transform(slots, lambda i: digest_uniform(F.lit(str(seed)), F.col("request").cast("string"), i.cast("string"), F.lit(salt)))
-    told = pools.select(
+    told = pools.withColumn("__wide", wide).select(
         "request", F.transform("pool", lambda x: x["item"]).alias("items"), F.transform("pool", lambda x: -x["low"]).alias("scores"),
-        F.transform("pool", lambda x: F.array_position(kinds, F.coalesce(x["category"], F.lit(""))).cast("int") - 1).alias("kinds"), F.flatten(F.transform("pool", lambda x: x["vector"])).alias("vectors"),
+        F.transform("pool", lambda x: F.array_position(kinds, F.coalesce(x["category"], F.lit(""))).cast("int") - 1).alias("kinds"), F.flatten(F.transform("pool", told_vector)).alias("vectors"),
         *[(draw(salt) if epsilon > 0 else F.array().cast("array<double>")).alias(salt) for salt in ("explores", "picks")],
     )
     rules = (k, relevance if near else 1.0, cap if grouped else None, epsilon, explore)
@@ -244,15 +252,15 @@ def greedy_slates(rows: DataFrame, k: int, relevance: float = 1.0, cap: int | No
                 most = np.maximum.accumulate(sizes[at:]) * max(1, int(wide.max())) * np.arange(1, len(sizes) - at + 1)
                 to = at + max(1, int(np.searchsorted(most, _TENSOR, "right")))
                 part = [values[e[at] : e[to]] for values, e in zip(lists, ends, strict=True)]
-                yield _ranked(requests[at:to], sizes[at:to], part, rules)
+                yield _ranked(requests[at:to], sizes[at:to], wide[at:to], part, rules)
                 at = to
 
     ship(rows.sparkSession)
     return told.mapInArrow(run, _SLATE)
 
 
-def _ranked(requests: np.ndarray, sizes: np.ndarray, lists: list[np.ndarray], rules: tuple) -> pa.RecordBatch:
-    """The slates of a few requests whose pools' items, scores, categories, vectors and draws stand one after another."""
+def _ranked(requests: np.ndarray, sizes: np.ndarray, wide: np.ndarray, lists: list[np.ndarray], rules: tuple) -> pa.RecordBatch:
+    """The slates of a few requests whose pools' items, scores, categories, vectors and draws stand one after another; ``wide`` is the length of a request's vectors."""
     k, relevance, cap, epsilon, explore = rules
     items, scores, kinds, vectors, explores, picks = lists
     here = np.arange(sizes.max()) < sizes[:, None]  # requests x places
@@ -263,11 +271,14 @@ def _ranked(requests: np.ndarray, sizes: np.ndarray, lists: list[np.ndarray], ru
         out[here] = values
         return out
 
-    worth, kind = relevance * padded(scores, -np.inf), padded(kinds, 0)
+    score, kind = padded(scores, -np.inf), padded(kinds, 0)
+    worth = np.where(np.isneginf(score), _LEAST, relevance * np.where(np.isneginf(score), 0, score))
     unit = None
     if relevance < 1:
-        unit = np.zeros((*here.shape, len(vectors) // max(len(items), 1)))
-        unit[here] = vectors.reshape(len(items), -1)
+        unit = np.zeros((*here.shape, int(wide.max())))
+        ends = np.cumsum(wide * sizes)
+        for r, (n, w, end) in enumerate(zip(sizes.tolist(), wide.tolist(), ends.tolist(), strict=True)):
+            unit[r, :n, :w] = vectors[end - n * w : end].reshape(n, w)
     name, left = padded(items, 0), here.copy()
     shown = np.zeros((len(sizes), int(kind.max()) + 1), int)
     alike, done = np.zeros(here.shape), []

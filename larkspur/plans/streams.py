@@ -87,8 +87,13 @@ def stream_drift_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{table}/version={max(numbers) % 2}")
 
 
-@query("stream_seen")
+@query(
+    "stream_seen",
+    """WITH s AS (SELECT DISTINCT user_id, (props->>'$.k')::BIGINT AS item_id, ts FROM events)
+SELECT user_id, item_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id, item_id ORDER BY ts) <= INTERVAL 7 DAY, false) AS seen FROM s""",
+)
 def stream_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exposures flagged by whether the user was shown the item in the week before."""
     stream = late_events(spark, sf_dir).withWatermark("ts", streams.LATENESS)
-    return streams.drained(streams.unseen(stream), "append", "seen")
+    told = streams.drained(streams.unseen(stream), "append", "seen")
+    return told.groupBy("user_id", "item_id", "ts").agg(F.max_by("seen", "version").alias("seen"))

@@ -6,6 +6,7 @@ The state of ``recent_items`` has one such entry for each user, for ever or up t
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from larkspur.functions.columns import bucket_close
 from larkspur.sources.shared import new_path, ship
 
 #: How late an event may be before it is dropped.
 LATENESS = "30 seconds"
+#: Where keyed state with timers lives.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def replay(rows: DataFrame, order: str, chunks: int = 4) -> DataFrame:
@@ -132,36 +136,58 @@ def _joined(spans: list[tuple[int, int, int, set]], gap_seconds: int) -> list[tu
     return out
 
 
-_SEEN_STATE = "items ARRAY<BIGINT>, until ARRAY<BIGINT>"
+_SEEN = "user_id BIGINT, item_id BIGINT, us BIGINT, seen BOOLEAN, version BIGINT"
 
 
-def unseen(shown: DataFrame, ttl_seconds: int = 7 * 86_400) -> DataFrame:
-    """(user_id, item_id, ts, seen): whether the user was shown the item within the time to live before.
+class _Showings(StatefulProcessor):
+    """One user's showings of one item: instants that a row still to come can ask for."""
 
-    ``shown`` has a watermark on ts. A user's list ends when its last entry has.
-    """
-    ship(shown.sparkSession)
-    out = "user_id BIGINT, item_id BIGINT, ts TIMESTAMP, seen BOOLEAN"
+    def __init__(self, ttl_seconds: int, late_seconds: int) -> None:
+        self._ttl, self._late = ttl_seconds * 1_000_000, late_seconds * 1_000_000
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        items, until = state.get if state.exists else ([], [])
-        known = dict(zip(items, until, strict=True))
-        rows = pd.concat(list(batches)).sort_values(["us", "item_id"], kind="stable")
-        seen = []
-        for us, item in zip(rows["us"].tolist(), rows["item_id"].tolist(), strict=True):
-            seen.append(known.get(item, -1) >= us)
-            known[item] = us + ttl_seconds * 1_000_000
-        newest = int(rows["us"].iloc[-1])
-        known = {i: u for i, u in known.items() if u >= newest}
-        state.update((list(known), list(known.values())))
-        state.setTimeoutTimestamp(max(known.values()) // 1000 + 1)
-        yield pd.DataFrame({"user_id": key[0], "item_id": rows["item_id"], "ts": rows["ts"], "seen": seen})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._state = handle.getValueState("showings", "instants ARRAY<BIGINT>, version BIGINT")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        known, version = self._state.get() if self._state.exists() else ([], 0)
+        fresh = sorted({int(t) for b in rows for t in b["us"].tolist()})
+        every = sorted({*known, *fresh})
+        # A late showing may make the one after it seen, so that one is told anew.
+        at = {every[i] for t in fresh for i in (bisect_left(every, t), bisect_left(every, t) + 1) if i < len(every)}
+        told = [(t, i > 0 and t - every[i - 1] <= self._ttl) for i, t in enumerate(every) if t in at]
+        # Rows come late up to a bound: they ask for the last instant before it and all after it.
+        first = max(bisect_left(every, every[-1] - self._late) - 1, 0)
+        self._state.update((every[first:], version + 1))
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        end = max((every[-1] + self._ttl + self._late) // 1000, timerValues.getCurrentWatermarkInMs()) + 1
+        self._handle.registerTimer(end)
+        yield pd.DataFrame({"user_id": key[0], "item_id": key[1], "us": [t for t, _ in told], "seen": [s for _, s in told], "version": version + 1})
 
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def unseen(shown: DataFrame, ttl_seconds: int = 7 * 86_400, late_seconds: int = 3600) -> DataFrame:
+    """(user_id, item_id, ts, seen, version): whether the user was shown the item within the time to live before.
+
+    One row per instant; of its rows the highest version holds, since a showing that comes late can
+    make a later one seen. ``shown`` has a watermark on ts. State is keyed by user and item, in
+    RocksDB: the instants of the last ``late_seconds`` and one before them. It ends when its last
+    instant is older than both bounds together, so a user's long list is never read or written whole.
+    """
+    if ttl_seconds < 1 or late_seconds < 0:
+        raise ValueError("ttl_seconds must be positive, late_seconds not negative")
+    ship(shown.sparkSession)
+    shown.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = shown.select("user_id", "item_id", "ts", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(update, out, _SEEN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    told = rows.groupBy("user_id", "item_id").transformWithStateInPandas(_Showings(ttl_seconds, late_seconds), _SEEN, "Append", "EventTime")
+    return told.select("user_id", "item_id", F.timestamp_micros("us").alias("ts"), "seen", "version")
 
 
 def keep_last(stream: DataFrame, table: str, size: int, order: list[str]) -> Callable[[DataFrame, int], None]:

@@ -403,6 +403,16 @@ def test_greedy_slates(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, candidates.greedy_slates(pool(spark, many).repartition(7), 2, epsilon=0.4, explore=1).collect()))
 
 
+def test_slates_with_missing_scores_and_vectors(spark):
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, 1, None, x, "a", False), (1, 2, 0.4, x, "a", False), (1, 3, float("nan"), y, "b", False), (1, 4, -5.0, None, "b", False), (1, 5, 0.3, x, "b", False)]
+    more = [(2, 7, 0.5, None, "a", False), (2, 8, None, None, "a", False)]  # a pool without any vector
+    for relevance, first in ((1.0, [2, 5, 4, 1, 3]), (0.5, [2, 5, 4, 1, 3]), (0.0, [2, 4, 5, 1, 3])):
+        got = candidates.greedy_slates(pool(spark, rows + more).coalesce(1), 5, relevance=relevance).orderBy("position")
+        assert [r["item"] for r in got.where("request = 1").collect()] == first
+        assert [r["item"] for r in got.where("request = 2").collect()] == [7, 8]
+
+
 def slate_by_hand(pool, k, relevance, cap, epsilon, explore, draws):
     """One request's slate by definition; ``draws`` gives the two numbers of a slot."""
     left = sorted((r for r in pool if not r["blocked"]) if not all(r["blocked"] for r in pool) else pool, key=lambda r: (-r["score"], r["item"]))
@@ -547,6 +557,25 @@ def test_seen_items_expire(spark):
     assert got == {(1, 5, at(0)): False, (1, 5, at(day)): True, (1, 6, at(day)): False, (1, 5, at(9 * day)): False, (2, 5, at(9 * day)): False}
 
 
+def test_a_late_showing_is_not_seen_and_makes_a_later_one_seen(spark):
+    day = 86400
+    rows = [(1, 5, at(1000), 1), (1, 5, at(990), 2), (1, 5, at(1001), 3), (1, 5, at(995), 4), (2, 5, at(8 * day), 5), (1, 5, at(8 * day), 6), (1, 5, at(7 * day + 1001), 7)]
+    stream = streams.replay(frame(spark, rows, "user_id long, item_id long, ts timestamp, n int").withColumn("arrives", F.timestamp_seconds("n")), "arrives", 7)
+    told = streams.drained(streams.unseen(stream.withWatermark("ts", "1 day"), late_seconds=86_400), "append", "t")
+    got = {(r["user_id"], r["ts"]): r["seen"] for r in told.groupBy("user_id", "ts").agg(F.max_by("seen", "version").alias("seen")).collect()}
+    assert got == {(1, at(990)): False, (1, at(995)): True, (1, at(1000)): True, (1, at(1001)): True, (1, at(7 * day + 1001)): True, (1, at(8 * day)): True, (2, at(8 * day)): False}
+
+
+def test_the_state_of_the_seen_list_shrinks(spark):
+    """Items shown once long ago leave the state when their time to live and the lateness are over."""
+    rows = [(1, i, at(i), 1) for i in range(50)] + [(1, 99, at(4000), 2), (1, 98, at(8000), 3), (1, 97, at(8001), 4), (1, 96, at(8002), 5)]
+    stream = streams.replay(frame(spark, rows, "user_id long, item_id long, ts timestamp, n int").withColumn("arrives", F.timestamp_seconds("n")), "arrives", 5)
+    query = streams.unseen(stream.withWatermark("ts", "10 seconds"), 1000, 60).writeStream.format("noop").outputMode("append").option("checkpointLocation", streams.new_path(spark, "ttl")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(sizes) >= 50 and sizes[-1] < 12, sizes
+
+
 # functions
 
 
