@@ -47,9 +47,9 @@ MOST_WORDS = 4
 #: Languages whose totals may be sent to every task.
 MOST_LANGS = 10_000
 WORD_BITS, PAIR_BITS, HOT_BITS = 26, 27, 22
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 #: Words that a worker gathers before it sends their counts, and rows that it sends at a time.
-_GATHER, _ROWS = 1_000_000, 50_000
+_GATHER, _ROWS = 400_000, 50_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 

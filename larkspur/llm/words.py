@@ -91,7 +91,9 @@ def words(column: pa.Array, inside: np.ndarray) -> Words:
     ends = np.flatnonzero(here & (edge[1:] | np.concatenate((~here[1:], [True])))) + 1
     row = np.searchsorted(at, starts, "right") - 1
     sums = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum(_VALUES[body] * _power(_FACTOR, len(body)), out=sums[1:])
+    np.take(_VALUES, body, out=sums[1:])
+    sums[1:] *= _power(_FACTOR, len(body))
+    np.cumsum(sums, out=sums)
     hashes = mixed((sums[ends] - sums[starts]) * _power(_INVERSE, len(body) + 1)[starts])
     return Words(body, starts, ends, row, hashes, len(at) - 1)
 
