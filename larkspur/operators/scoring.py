@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import DAY_SECONDS, dot, seconds
+from larkspur.operators.timeline import Series, attach_asof
 
 #: Words without a topic (fixed values).
 STOP_TERMS = (
@@ -66,14 +67,11 @@ def decayed(labels: DataFrame, clicks: DataFrame, half_life_days: float) -> Data
 
 
 def recent(labels: DataFrame, clicks: DataFrame) -> DataFrame:
-    """1 / (1 + days since the item's last earlier click)."""
-    own = F.struct(*[F.col(f"`{c}`") for c in labels.columns])
-    rows = labels.select("item_id", F.unix_micros("ts").alias("__us"), own.alias("__row"))
-    both = rows.unionByName(clicks.select("item_id", F.unix_micros("ts").alias("__us"), seconds(F.col("ts")).alias("__s")), allowMissingColumns=True)
-    before = Window.partitionBy("item_id").orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn("__last", F.max("__s").over(before)).where("__row is not null")
-    age = (seconds(F.col("__row.ts")) - F.col("__last")) / float(DAY_SECONDS)
-    return both.select("__row.*", F.coalesce(F.lit(1.0) / (1.0 + age), F.lit(0.0)).alias("score"))
+    """1 / (1 + days since the item's last earlier click), an as-of attachment: a click counts from the microsecond after it."""
+    seen = clicks.select("item_id", (F.col("ts") + F.expr("INTERVAL 0.000001 SECOND")).alias("__from"), seconds(F.col("ts")).alias("__last"))
+    met = attach_asof(labels, Series(seen, ("item_id",), "__from", ("__last",)))
+    age = (seconds(F.col("ts")) - F.col("__last")) / float(DAY_SECONDS)
+    return met.withColumn("score", F.coalesce(F.lit(1.0) / (1.0 + age), F.lit(0.0))).drop("__last")
 
 
 def click_stream(rows: DataFrame) -> DataFrame:

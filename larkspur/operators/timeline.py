@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import seconds
+from larkspur.sources.shared import staged
+
+#: Labels of a first key above which its time is cut into ranges, and the length of these.
+HOT_ROWS, RANGE_SECONDS = 2_000_000, 3600
 
 
 def frame(keys: Sequence[str], ts: str, lookback_seconds: int | None = None) -> WindowSpec:
@@ -50,37 +54,83 @@ class Series:
     columns: tuple[str, ...]
 
 
-def attach_asof(labels: DataFrame, *series: Series, ts: str = "ts") -> DataFrame:
+def attach_asof(labels: DataFrame, *series: Series, ts: str = "ts", hot_rows: int = HOT_ROWS, range_seconds: int = RANGE_SECONDS) -> DataFrame:
     """``labels`` with each series' columns as last known at ``ts``, features of the same instant included.
 
     Each column holds its own last non-null value. Series whose first key is the same share one
     union and one exchange: labels and features are sorted by time and the last value is carried
     down, so nothing is multiplied and the cost is that of a sort. A null key finds nothing.
+
+    A first key with more than ``hot_rows`` labels is scanned in segments: its time is cut into
+    ranges of ``range_seconds``, the last values of each range are carried to the ranges after it,
+    a row a key and range, and labels and features are sorted inside their range alone. A task then
+    holds a range of one key, however many rows the key has.
     """
+    if hot_rows < 1 or range_seconds < 1:
+        raise ValueError("hot_rows and range_seconds must be positive")
     taken = set(labels.columns)
     for s in series:
         clash = taken.intersection(s.columns)
         if clash:
             raise ValueError(f"columns already there: {sorted(clash)}")
         taken.update(s.columns)
-    out = labels
+    out, counted = labels, {}
     for lead in dict.fromkeys(s.keys[0] for s in series):
-        out = _attach_shared(out, sorted((s for s in series if s.keys[0] == lead), key=lambda s: len(s.keys)), ts)
+        sizes = labels.where(F.col(lead).isNotNull()).groupBy(lead).agg(F.count(F.lit(1)).alias("__n"))
+        counted[lead] = staged(sizes.where(F.col("__n") > hot_rows).select(lead), "asof-hot")  # at most labels / hot_rows rows
+    for lead, hot in counted.items():
+        own = sorted((s for s in series if s.keys[0] == lead), key=lambda s: len(s.keys))
+        rows = _union(out, own, ts)
+        if hot.isEmpty():
+            out = _scanned(rows, own)
+        else:
+            cold = _scanned(rows.join(hot, lead, "left_anti"), own)
+            split = rows.join(hot, lead, "left_semi")
+            for s in own:
+                split = _scanned_in_ranges(split, s, range_seconds)
+            out = cold.unionByName(_labels_of(split, own))
     return out
 
 
-def _attach_shared(labels: DataFrame, series: list[Series], ts: str) -> DataFrame:
+def _union(labels: DataFrame, series: list[Series], ts: str) -> DataFrame:
+    """Labels as structs, and features, in one table of keys and time."""
     keys = list(dict.fromkeys(k for s in series for k in s.keys))
     rows = labels.select(F.struct(*[F.col(f"`{c}`") for c in labels.columns]).alias("__row"), *keys, F.col(ts).alias("__at"), F.lit(1).alias("__label"))
     for s in series:
         rows = rows.unionByName(s.rows.select(*s.keys, F.col(s.ts).alias("__at"), F.lit(0).alias("__label"), *s.columns), allowMissingColumns=True)
+    return rows
+
+
+def _labels_of(rows: DataFrame, series: list[Series]) -> DataFrame:
+    return rows.where("__label = 1").select("__row.*", *[c for s in series for c in s.columns])
+
+
+def _known(s: Series) -> Column:
+    out = F.lit(True)
+    for k in s.keys:
+        out = out & F.col(k).isNotNull()
+    return out
+
+
+def _scanned(rows: DataFrame, series: list[Series]) -> DataFrame:
+    """Last values by one window a key."""
     for s in series:
         order = Window.partitionBy(*s.keys).orderBy("__at", "__label").rowsBetween(Window.unboundedPreceding, 0)
-        known = F.lit(True)
-        for k in s.keys:
-            known = known & F.col(k).isNotNull()
-        rows = rows.withColumns({c: F.when(known, F.last(c, ignorenulls=True).over(order)) for c in s.columns})
-    return rows.where("__label = 1").select("__row.*", *[c for s in series for c in s.columns])
+        rows = rows.withColumns({c: F.when(_known(s), F.last(c, ignorenulls=True).over(order)) for c in s.columns})
+    return _labels_of(rows, series)
+
+
+def _scanned_in_ranges(rows: DataFrame, s: Series, range_seconds: int) -> DataFrame:
+    """Last values inside each key's ranges of time, and of the ranges before where the own range has none yet."""
+    rows = rows.withColumn("__range", F.floor(seconds(F.col("__at")) / range_seconds))
+    cell = [*s.keys, "__range"]
+    lasts = rows.groupBy(*cell).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__at"))).alias(c) for c in s.columns])
+    before = Window.partitionBy(*s.keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(*cell, *[F.last(c, ignorenulls=True).over(before).alias(f"__{c}") for c in s.columns])
+    inside = Window.partitionBy(*cell).orderBy("__at", "__label").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in s.columns}).join(carried, cell, "left")
+    met = met.withColumns({c: F.when(_known(s), F.coalesce(c, f"__{c}")) for c in s.columns})
+    return met.drop("__range", *[f"__{c}" for c in s.columns])
 
 
 def snapshot_history(snapshots: DataFrame, item_map: DataFrame, user: str = "user_id", history: str = "history") -> DataFrame:

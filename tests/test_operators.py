@@ -52,6 +52,26 @@ def test_asof_keeps_repeated_labels(spark):
     assert [r["ctr"] for r in got.collect()] == [0.1] * 3
 
 
+def test_asof_of_a_hot_key_is_cut_into_ranges(spark):
+    """All labels have one category, and a few items: both ways agree, and no sort sees more than a range of a key."""
+    rng = random.Random(4)
+    rows = [(n, rng.choice(["a", "b", None]), at(rng.randrange(400))) for n in range(600)]
+    label = labels(spark, rows).withColumn("category", F.when(F.col("ts") < F.lit(at(390)), "c"))
+    one = series(spark, [(rng.choice(["a", "b", None]), at(rng.randrange(400)), rng.choice([None, 0.1, 0.2, 0.3])) for _ in range(90)])
+    one = Series(one.rows.groupBy("item_id", one.ts).agg(F.max("ctr").alias("ctr")), one.keys, one.ts, one.columns)
+    more = frame(spark, [("c", "a" if n % 2 else "b", at(n * 13), n if n % 3 else None, float(n)) for n in range(30)], "category string, item_id string, since timestamp, x int, y double")
+    two = Series(more.select("category", "since", F.col("x").alias("cx"), F.col("y").alias("cy")), ("category",), "since", ("cx", "cy"))
+    three = Series(more, ("category", "item_id"), "since", ("x", "y"))
+    told = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = told(timeline.attach_asof(label, one, two, three))
+    for hot, width in ((1, 5), (100, 60), (250, 10_000)):
+        got = timeline.attach_asof(label, one, two, three, hot_rows=hot, range_seconds=width)
+        assert told(got) == want
+    plan = timeline.attach_asof(label, two, hot_rows=1, range_seconds=5)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "__row" not in line and "windowspecdefinition(category" in line]
+    assert any("__range" in line.split("windowspecdefinition(")[1].split("__at")[0] for line in windows)
+
+
 def test_asof_shares_one_exchange(spark):
     rows = frame(spark, [(1, "u", "c", at(5))], "impression_id long, user_id string, category string, ts timestamp")
     one = Series(frame(spark, [("u", at(1), 1)], "user_id string, f timestamp, a int"), ("user_id",), "f", ("a",))
