@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import digest_number, digest_uniform, dot
-from larkspur.sources.shared import ship
+from larkspur.sources.shared import ship, staged
 
 #: Rank of an item that a source didn't return.
 ABSENT = 10_000
@@ -30,25 +29,58 @@ def top_k(scores: DataFrame, k: int, keys: Sequence[str] = ("request",), positiv
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Rows of queries and of items whose scores are held at a time.
+TILE_Q, TILE_I = 1000, 4000
+#: Items a cell at least, so that its centre can be learned, and cells at most.
+PER_CELL, MOST_CELLS = 39, 4096
+
+
+def matrix(column: pa.ChunkedArray, dtype: type = np.float64) -> np.ndarray:
+    """A column of lists of one length as rows."""
+    flat = np.concatenate([np.asarray(c.flatten(), dtype) for c in column.chunks] or [np.zeros(0, dtype)])
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def winners(score, request: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(request, item, score): the k best of each request by (score desc, item); ``score(a, b, c, d)`` scores requests a to b with items c to d.
+
+    Scores are made tile by tile beside the best so far, so memory is that of a tile.
+    """
+    order = np.argsort(item, kind="stable")
+    out = []
+    for a in range(0, len(request), TILE_Q):
+        b = min(a + TILE_Q, len(request))
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # row, place of the item, score
+        for c in range(0, len(item), TILE_I):
+            d = min(c + TILE_I, len(item))
+            scores = score(a, b, order[c:d])
+            if d - c > k:
+                row, at = np.nonzero(scores >= np.partition(scores, d - c - k, axis=1)[:, d - c - k, None])
+            else:
+                row, at = np.nonzero(np.ones(scores.shape, bool))
+            held = [np.concatenate(x) for x in zip(held, (row, at + c, scores[row, at]), strict=True)]
+            first = np.lexsort((held[1], -held[2], held[0]))
+            starts = np.searchsorted(held[0][first], np.arange(b - a))
+            first = first[np.arange(len(first)) - starts[held[0][first]] < k]
+            held = [x[first] for x in held]
+        out.append((request[a:b][held[0]], item[order][held[1]], held[2]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _found(request: np.ndarray, item: np.ndarray, score: np.ndarray) -> pa.Table:
+    return pa.table({"request": pa.array(request, pa.int64()), "item": pa.array(item, pa.int64()), "score": pa.array(score, pa.float64())})
+
+
 def _block_winners(k: int):
     """A cogroup function: the k best items of a block for each query of a block, by (score desc, item)."""
 
-    def best(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or there.empty:
-            return pd.DataFrame({"request": [], "item": [], "score": []})
-        q, v = (np.stack(x["vector"].to_numpy()).astype(float) for x in (asked, there))
-        items = there["item"].to_numpy()
-        out = []
+    def best(asked: pa.Table, there: pa.Table) -> pa.Table:
+        if not asked.num_rows or not there.num_rows:
+            return _found(*[np.zeros(0)] * 3)
+        q, v = matrix(asked["vector"]), matrix(there["vector"])
         # Rounded, so that equal vectors tie wherever they stand in a product.
-        for request, scores in zip(asked["request"].tolist(), np.round(q @ v.T, 9), strict=True):
-            if len(scores) > k:
-                least = np.partition(scores, len(scores) - k)[len(scores) - k]
-                at = np.flatnonzero(scores >= least)
-            else:
-                at = np.arange(len(scores))
-            at = at[np.lexsort((items[at], -scores[at]))][:k]
-            out.append(pd.DataFrame({"request": request, "item": items[at], "score": scores[at]}))
-        return pd.concat(out)
+        score = lambda a, b, at: np.round(q[a:b] @ v[at].T, 9)
+        return _found(*winners(score, np.asarray(asked["request"]), np.asarray(there["item"]), k))
 
     return best
 
@@ -57,30 +89,46 @@ def knn_exact(queries: DataFrame, items: DataFrame, k: int, block_rows: int = 20
     """(request, item, score, rank): the k items of the largest inner product with each query, ties by item.
 
     A stated query set is held against all items in blocks of about ``block_rows``: each block of
-    queries meets each block of items once, as a matrix product, and sends on k rows a query.
-    Block winners meet per query. Memory is bounded by two blocks, whatever the number of rows.
+    queries meets each block of items once, as matrix products of ``TILE_Q`` x ``TILE_I`` scores with
+    the best so far, and sends on k rows a query. Block winners meet per query. Memory is bounded by
+    two blocks and a tile, whatever the number of rows. Both inputs are stored once, as they are
+    counted and read.
     """
     if k < 1 or block_rows < 1:
         raise ValueError("k and block_rows must be positive")
     ship(queries.sparkSession)
-    n_q, n_i = (max(1, -(-df.count() // block_rows)) for df in (queries, items))
+    plain = lambda df, name: df.select(F.col(name).cast("long").alias(name), F.col("vector").cast("array<double>").alias("vector"))
+    queries, items = staged(plain(queries, "request"), "knn-queries"), staged(plain(items, "item"), "knn-items")
+    n_q, n_i = (max(1, -(-df.count() // block_rows)) for df in (queries, items))  # counts of stored tables
     own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.select("request", "vector", own("request", n_q).alias("__q"), every(n_i).alias("__b"))
     there = items.select("item", "vector", own("item", n_i).alias("__b"), every(n_q).alias("__q"))
-    near = asked.groupBy("__q", "__b").cogroup(there.groupBy("__q", "__b")).applyInPandas(_block_winners(k), "request long, item long, score double")
+    near = asked.groupBy("__q", "__b").cogroup(there.groupBy("__q", "__b")).applyInArrow(_block_winners(k), "request long, item long, score double")
     return top_k(near, k)
 
 
-def ivf_cells(items: DataFrame, cells: int, seed: int = 42, sample: int = 50_000):
-    """Cell centres by k-means over a bounded sample, and the items with their cell."""
+def cells_for(n: int) -> int:
+    """Cells for n items: four times the square root, but so many items a cell as a centre needs."""
+    return max(1, min(MOST_CELLS, int(4 * np.sqrt(n)), n // PER_CELL))
+
+
+def ivf_cells(items: DataFrame, cells: int | None = None, seed: int = 42, sample: int = 50_000):
+    """Cell centres by k-means over a bounded sample, and the items with their cell.
+
+    ``sample`` is at least ``PER_CELL`` a cell. Cells that the sample can't fill don't come out.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = items.select("item", "vector", array_to_vector(F.col("vector")).alias("features"))
     n = items.count()
-    share = min(1.0, sample / max(n, 1))
+    cells = cells_for(n) if cells is None else min(cells, n // 2)  # some rows a centre
+    rows = items.select("item", "vector", array_to_vector(F.col("vector")).alias("features"))
+    share = min(1.0, max(sample, cells * PER_CELL) / max(n, 1))
     part = F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    if cells < 2:
+        mean = [r["x"] for r in items.select(F.posexplode("vector").alias("p", "x")).groupBy("p").agg(F.avg("x").alias("x")).orderBy("p").collect()]  # a row a dimension
+        return np.array([mean]) / max(np.linalg.norm(mean), 1e-12), items.select("item", "vector", F.lit(0).alias("cell"))
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(rows.where(part))
     centres = np.array([c / max(np.linalg.norm(c), 1e-12) for c in model.clusterCenters()])
     return centres, model.transform(rows).select("item", "vector", "cell")
@@ -109,12 +157,19 @@ def probes_for(queries: DataFrame, items: DataFrame, placed: DataFrame, centres:
     return len(centres)
 
 
-def knn_ivf(queries: DataFrame, items: DataFrame, k: int, cells: int = 32, probes: int | None = None, seed: int = 42, recall: float = 0.95) -> DataFrame:
+def knn_ivf(queries: DataFrame, items: DataFrame, k: int, cells: int | None = None, probes: int | None = None, seed: int = 42, recall: float = 0.95) -> DataFrame:
     """As ``knn_exact`` but only over the ``probes`` cells whose centre is nearest to the query.
 
+    Without ``cells`` there are as many as ``cells_for`` says; where that is one, the search is exact.
     Without ``probes`` there are as many as a sample of the queries needs to reach ``recall``.
     """
+    items, queries = staged(items.select("item", "vector"), "ivf-items"), staged(queries.select("request", "vector"), "ivf-queries")
+    n = items.count()
+    cells = cells_for(n) if cells is None else min(cells, n // 2)
+    if cells < 2:
+        return knn_exact(queries, items, k)
     centres, placed = ivf_cells(items, cells, seed)
+    placed = staged(placed, "ivf-placed")
     probes = probes or probes_for(queries, items, placed, centres, k, recall)
     asked = _cells_by_nearness(queries, centres).select("request", F.col("vector").alias("__q"), F.explode(F.slice("near", 1, probes)).alias("cell"))
     scored = asked.join(placed.withColumnRenamed("vector", "__v"), "cell").select("request", "item", dot(F.col("__q"), F.col("__v")).alias("score"))

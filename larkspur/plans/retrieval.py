@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import cosine, digest_uniform
-from larkspur.operators import candidates, measure, scoring
+from larkspur.operators import candidates, measure, quantised, scoring
 from larkspur.plans.metrics import vectors
 from larkspur.plans.scores import EDGES_SQL, PARTS_SQL, labels, top_edges, train
 from larkspur.registry import query
@@ -59,6 +59,11 @@ def ann_index_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.agreement(exact, knn_ivf(spark, sf_dir), K)
 
 
+@query("knn_ivfpq")
+def knn_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.knn_ivfpq(_queries(spark, sf_dir), _items(spark, sf_dir), K)
+
+
 REQ_SQL = f"""{PARTS_SQL}, req AS (SELECT user_id AS request, max(ts) AS ts FROM labels GROUP BY user_id),
 pop AS (SELECT item_id AS item, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, item_id)::INTEGER AS rank FROM train WHERE clicked GROUP BY item_id),
 s_trend AS (SELECT request, item, rank FROM req, pop WHERE rank <= {K}),

@@ -5,11 +5,13 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import columns
-from larkspur.operators import candidates, contracts, features, inference, measure, monitor, ranges, scoring, timeline, transform
+from larkspur.operators import candidates, contracts, features, inference, measure, monitor, quantised, ranges, scoring, timeline, transform
 from larkspur.operators.timeline import Series
 from larkspur.sources import logs
 from larkspur.streaming import streams
@@ -483,6 +485,55 @@ def test_index_reaches_its_recall_with_fewer_probes(spark):
         assert got.agg(F.avg("agreement")).first()[0] >= 0.9
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_quantised_index_reaches_its_recall(spark, size):
+    v = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").select(F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("vector")).cache()
+    asked = v.where("item % 50 = 0").withColumnRenamed("item", "request")
+    index = quantised.build(v)
+    assert index.codes.count() == v.count() and {len(r["code"]) for r in index.codes.select("code").distinct().collect()} == {16}
+    exact = candidates.knn_exact(asked, v, 10)
+    got = quantised.search(index, asked, 10)
+    assert candidates.agreement(exact, got, 10).agg(F.avg("agreement")).first()[0] >= 0.9
+    true = {(r["request"], r["item"]): r["score"] for r in exact.collect()}
+    assert all(r["score"] == pytest.approx(true[r["request"], r["item"]], abs=1e-6) for r in got.collect() if (r["request"], r["item"]) in true)
+
+
+def test_codes_in_lots_and_odd_sizes(spark, monkeypatch):
+    monkeypatch.setattr(quantised, "LOT", 40)
+    rng = np.random.default_rng(1)
+    v = frame(spark, [(i, (lambda x: (x / np.linalg.norm(x)).tolist())(rng.normal(size=8))) for i in range(600)], "item long, vector array<double>")
+    asked = v.where("item < 7").withColumnRenamed("item", "request")
+    exact = {(r["request"], r["item"]) for r in candidates.knn_exact(asked, v, 5).collect()}
+    got = quantised.search(quantised.build(v, parts=2, cells=3), asked, 5, probes=3, rescored=200)
+    assert {(r["request"], r["item"]) for r in got.collect()} == exact
+    few = v.where("item < 4")
+    assert quantised.knn_ivfpq(asked, few, 5).count() == 28 and candidates.knn_ivf(asked, few, 5).count() == 28
+    assert candidates.knn_ivf(asked, v.where("item = 3"), 5).count() == 7 and quantised.knn_ivfpq(asked, v.where("false"), 5).count() == 0
+    assert candidates.knn_ivf(asked, v.where("item < 2"), 5, cells=32).count() == 14
+    with pytest.raises(ValueError, match="divide"):
+        quantised.build(v, parts=3)
+    assert [candidates.cells_for(n) for n in (1, 100, 1000, 10**6, 10**9)] == [1, 2, 25, 4000, 4096]
+
+
+def test_tiles_hold_little_and_tie_by_item():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    n = 20_000
+    q = pa.table({"request": pa.array(range(n)), "vector": pa.FixedSizeListArray.from_arrays(pa.array(rng.integers(-3, 4, n * 8).astype(float)), 8).cast(pa.list_(pa.float64()))})
+    v = pa.table({"item": pa.array(rng.permutation(n)), "vector": q["vector"]})
+    tracemalloc.start()
+    out = candidates._block_winners(3)(q, v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20 and out.num_rows == 3 * n
+    a = candidates.matrix(q["vector"])
+    items = np.asarray(v["item"])
+    for r in (0, 1234, n - 1):
+        s = np.round(a[r] @ a.T, 9)
+        assert out.filter(pa.compute.equal(out["request"], r))["item"].to_pylist() == items[np.lexsort((items, -s))][:3].tolist()
+
+
 def test_caps_in_sql_agree_with_the_loop(spark):
     rng = random.Random(11)
     rows = [(q, i, round(rng.random(), 3), [1.0], rng.choice("abc"), False) for q in range(40) for i in range(9)]
