@@ -366,6 +366,59 @@ def seen_filter(candidates: DataFrame, shown: DataFrame) -> DataFrame:
     return candidates.join(past, on, "left_anti")
 
 
+def replay_unseen(pools: DataFrame, k: int, ttl_seconds: int | None = None) -> DataFrame:
+    """(request, position, item, blocked): each request's slate when what its user was served before is blocked.
+
+    ``pools``: user_id, request, ts, item, score. A user's requests are replayed in order of (ts,
+    request): a slate is the k best by (score desc, item) of what isn't blocked, or of all where
+    everything is, and blocks its items for the requests after it. With ``ttl_seconds`` a user's list
+    ends when nothing was served for longer than that. ``blocked`` counts the request's blocked
+    candidates. A null score is below all others.
+
+    A slate depends on the slates before, so a user's requests go through one task in order; they are
+    streamed, sorted, and the task holds one pool and the items that this user was served.
+    """
+    if k < 1 or (ttl_seconds is not None and ttl_seconds < 1):
+        raise ValueError("k and ttl_seconds must be positive")
+    ship(pools.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user = request = last = None
+        seen: set[int] = set()
+        pool: list[int] = []
+        out: list[tuple[int, int, int, int]] = []
+
+        def serve() -> None:
+            free = [i for i in pool if i not in seen]
+            slate = (free or pool)[:k]
+            out.extend((request, n, i, len(pool) - len(free)) for n, i in enumerate(slate))
+            seen.update(slate)
+
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["request", "position", "item", "blocked"])
+
+        for batch in batches:
+            for u, us, r, i in zip(*[batch.column(x).to_pylist() for x in range(4)], strict=True):
+                if (u, r) != (user, request):
+                    if pool:
+                        serve()
+                    if u != user or (ttl_seconds is not None and us - last > ttl_seconds * 1_000_000):
+                        seen = set()
+                    user, request, last, pool = u, r, us, []
+                pool.append(i)
+            yield told()
+        if pool:
+            serve()
+            yield told()
+
+    rows = pools.select("user_id", F.unix_micros("ts").alias("us"), F.col("request").cast("long").alias("request"), F.col("item").cast("long").alias("item"), F.col("score").cast("double").alias("score"))
+    best = F.when(F.isnan("score"), F.lit(None)).otherwise(F.col("score"))
+    rows = rows.repartition("user_id").sortWithinPartitions("user_id", "us", "request", best.desc_nulls_last(), "item")
+    return rows.select("user_id", "us", "request", "item").mapInArrow(run, "request long, position int, item long, blocked int")
+
+
 def bloom_size(capacity: Column, rate: float) -> tuple[Column, Column]:
     """(bits, hashes) of a Bloom filter for a capacity and a false-positive rate."""
     if not 0 < rate < 1:

@@ -134,3 +134,86 @@ def decayed_frequency(rows: DataFrame, item: str, step: str, decay: float) -> Da
     last = rows.agg(F.max(step).alias("__last"))
     weight = F.exp(F.lit(math.log(decay)) * (F.col("__last") - F.col(step)))
     return rows.join(F.broadcast(last)).groupBy(item).agg(F.sum(weight).alias("frequency"))  # one row
+
+
+#: Half-lives a block of the log-q estimate spans, and blocks back whose counts still matter to a double.
+SPAN, BACK = 32, 3
+#: Points at which sketches of two spans are compared; they add half of 1 / GRID to the sketches' rank error.
+GRID = 1000
+
+
+def log_q(rows: DataFrame, item: str, step: str, half_life: float, n_items: int, prior: float = 1.0) -> DataFrame:
+    """(step, item, log_q): the log sampling probability of each step's items as of before the step.
+
+    A step's rows count once they are past: an observation halves with every ``half_life`` rows of the
+    steps after its own. The prior, a pseudo-count an item, stays outside the decay, so what was never
+    seen keeps prior / (prior x n_items + all).
+
+    Steps are placed by how many rows came up to them, and places are cut into blocks of ``SPAN``
+    half-lives: a sum inside the block and the sums of ``BACK`` blocks before it, so an item's steps
+    are met once each.
+    """
+    if half_life <= 0 or prior <= 0 or n_items < 1:
+        raise ValueError("half_life, prior and n_items must be positive")
+    width = SPAN * half_life
+    counts = staged(rows.groupBy(F.col(step).alias("step"), F.col(item).alias("item")).agg(F.count(F.lit(1)).alias("n")), "logq-counts")
+    sizes = with_offsets(counts.groupBy("step").agg(F.sum("n").alias("n")), ["step"], {"__before": F.col("n")})
+    run = Window.partitionBy("part").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    places = sizes.select("step", (F.col("__before") + F.sum("n").over(run)).alias("to"), "n").select("step", (F.col("to") - F.col("n")).alias("from"), "to", "n")
+    places = staged(places, "logq-places")
+
+    def observed(hits: DataFrame, asks: DataFrame, keys: list[str]) -> DataFrame:
+        """``asks`` (keys, at) with the decayed count of ``hits`` (keys, at, n) at or before them."""
+        block = lambda df: df.withColumn("b", F.floor(F.col("at") / width))
+        inside = F.pow(F.lit(2.0), (F.col("at") - F.col("b") * width) / half_life)
+        hits = block(hits).withColumn("w", F.col("n") * inside)
+        totals = hits.groupBy(*keys, "b").agg(F.sum("w").alias("t")).select(*keys, "t", "b", F.explode(F.sequence(F.lit(1), F.lit(BACK))).alias("d"))
+        carry = totals.groupBy(*keys, (F.col("b") + F.col("d")).alias("b")).agg(F.sum(F.col("t") * F.pow(F.lit(2.0), -SPAN * F.col("d"))).alias("carry"))
+        both = block(asks).withColumn("ask", F.lit(True)).unionByName(hits.select(*keys, "at", "b", "w"), allowMissingColumns=True)
+        upto = Window.partitionBy(*keys, "b").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+        met = both.withColumn("s", F.coalesce(F.sum("w").over(upto), F.lit(0.0))).where("ask").join(carry, [*keys, "b"], "left")
+        return met.withColumn("seen", (F.col("s") + F.coalesce("carry", F.lit(0.0))) / inside).drop("b", "w", "s", "carry", "ask")
+
+    placed = counts.join(places.drop("n"), "step")
+    own = observed(placed.select("item", F.col("to").alias("at"), "n"), placed.select("step", "item", F.col("from").alias("at")), ["item"])
+    one = F.lit(0).alias("k")
+    every = observed(places.select(one, F.col("to").alias("at"), "n"), places.select(one, "step", F.col("from").alias("at")), ["k"])
+    met = own.join(every.select("step", F.col("seen").alias("whole")), "step")
+    return met.select("step", "item", F.ln((F.lit(float(prior)) + F.col("seen")) / (F.lit(float(prior * n_items)) + F.col("whole"))).alias("log_q"))
+
+
+def daily_sketches(rows: DataFrame, features: Sequence[str], ts: str = "ts", k: int = 800) -> DataFrame:
+    """(day, feature, n, sketch): a mergeable quantile sketch of each feature's values of each day."""
+    long = rows.select(F.to_date(ts).alias("day"), F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("x")) for f in features]))).where("x is not null and not isnan(x)")
+    return long.groupBy("day", "feature").agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("x", F.lit(k)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, first: str, last: str) -> DataFrame:
+    """(feature, n, sketch) of the days ``first`` to ``last``, both included; the rows themselves aren't read."""
+    days = sketches.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return days.groupBy("feature").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_edges(merged: DataFrame, bins: int = PSI_BINS) -> DataFrame:
+    """(feature, edges): distinct quantile edges from sketches, within the sketch's rank error of those of ``baseline``."""
+    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+    return merged.select("feature", F.array_distinct(F.kll_sketch_get_quantile_double("sketch", points)).alias("edges"))
+
+
+def sketch_psi(expected: DataFrame, actual: DataFrame, bins: int = PSI_BINS) -> DataFrame:
+    """(feature, psi, band) of two merged sketches: shares between the expected edges are differences of ranks."""
+    met = expected.select("feature", F.col("sketch").alias("e")).join(sketch_edges(expected, bins), "feature").join(actual.select("feature", F.col("sketch").alias("a")), "feature")
+    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
+
+    # Ranks of values that differ from row to row, from quantiles at fixed points.
+    points = F.array(*[F.lit((i + 0.5) / GRID) for i in range(GRID)])
+
+    def shares(sketch: str) -> Column:
+        grid = F.kll_sketch_get_quantile_double(sketch, points)
+        below = F.transform(inner, lambda e: F.size(F.filter(grid, lambda x: x < e)) / F.lit(float(GRID)))
+        cuts = F.concat(F.array(F.lit(0.0)), below, F.array(F.lit(1.0)))
+        return F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), lambda a, b: F.greatest(b - a, F.lit(PSI_FLOOR)))
+
+    terms = F.zip_with(shares("e"), shares("a"), lambda e, a: (a - e) * F.ln(a / e))
+    value = F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)
+    return met.select("feature", value.alias("psi")).withColumn("band", band(F.col("psi")))

@@ -16,7 +16,7 @@ _SQL: dict[str, str] = {}
 
 FLAGSHIP = "training_examples"
 #: Modules whose import registers queries.
-MODULES = tuple(f"larkspur.plans.{m}" for m in ("ingest", "series", "examples", "scores", "metrics", "experiments", "reports", "retrieval", "monitoring", "relational", "streams"))
+MODULES = tuple(f"larkspur.plans.{m}" for m in ("ingest", "series", "examples", "scores", "metrics", "experiments", "reports", "retrieval", "monitoring", "relational", "streams", "stores"))
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

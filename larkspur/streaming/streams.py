@@ -6,13 +6,14 @@ The state of ``recent_items`` has one such entry for each user, for ever or up t
 
 from __future__ import annotations
 
+import time
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -207,6 +208,56 @@ def keep_last(stream: DataFrame, table: str, size: int, order: list[str]) -> Cal
     return merge
 
 
+class Dropped(StreamingQueryListener):
+    """Counts what one query read and what its operators dropped as later than the watermark."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.read, self.dropped, self.ended = {}, {}, set()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802 (Spark's names)
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        key = (str(p.runId), p.batchId)
+        self.read[key] = p.numInputRows
+        self.dropped[key] = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended.add(str(event.runId))
+
+    def counts(self, run: str, wait_seconds: float = 60.0) -> tuple[int, int]:
+        """(rows read, rows dropped) of an ended run, once the listener has heard of its end."""
+        until = time.monotonic() + wait_seconds
+        while run not in self.ended and time.monotonic() < until:
+            time.sleep(0.05)
+        return sum(n for (r, _), n in self.read.items() if r == run), sum(n for (r, _), n in self.dropped.items() if r == run)
+
+
+def accounted(stream: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """An appending stream's rows, and one row (arrived, kept, dropped) of what became of its input.
+
+    The counts are right for operators that take rows one by one, as ``dedupe`` does with distinct
+    ids; a windowed aggregate drops what its tasks have summed already.
+    """
+    spark = stream.sparkSession
+    out, listener = new_path(spark, f"stream-{name}"), Dropped()
+    spark.streams.addListener(listener)
+    try:
+        query = stream.writeStream.outputMode("append").option("checkpointLocation", new_path(spark, f"state-{name}")).trigger(availableNow=True).format("parquet").option("path", out).start()
+        query.awaitTermination()
+        arrived, dropped = listener.counts(str(query.runId))
+    finally:
+        spark.streams.removeListener(listener)
+    rows = spark.read.schema(stream.schema).parquet(out)
+    told = rows.agg(F.count(F.lit(1)).alias("kept")).select(F.lit(arrived).cast("long").alias("arrived"), "kept", F.lit(dropped).cast("long").alias("dropped"))
+    return rows, told
+
+
 def drained(stream: DataFrame, mode: str, name: str, key: list[str] | None = None, version: str | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns its result as a table.
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import columns
-from larkspur.operators import candidates, contracts, features, inference, measure, monitor, quantised, ranges, scoring, timeline, transform
+from larkspur.operators import candidates, contracts, dictionary, dump, features, inference, measure, monitor, online, quantised, ranges, scoring, timeline, transform
 from larkspur.operators.timeline import Series
 from larkspur.sources import logs
 from larkspur.streaming import streams
@@ -647,6 +647,128 @@ def test_the_state_of_the_seen_list_shrinks(spark):
     assert max(sizes) >= 50 and sizes[-1] < 12, sizes
 
 
+def test_dropped_rows_are_accounted_for(spark):
+    rows = [(i, at(i * 10), at(i * 10)) for i in range(60)] + [(100 + i, at(i), at(590)) for i in range(7)]
+    stream = streams.dedupe(streams.replay(frame(spark, rows, "event_id long, ts timestamp, ingest_ts timestamp"), "ingest_ts", 4))
+    kept, told = streams.accounted(stream, "t")
+    assert told.first().asDict() == {"arrived": 67, "kept": 60, "dropped": 7} and kept.count() == 60
+    nothing = streams.dedupe(streams.replay(frame(spark, [], "event_id long, ts timestamp, ingest_ts timestamp"), "ingest_ts", 2))
+    assert streams.accounted(nothing, "t")[1].first().asDict() == {"arrived": 0, "kept": 0, "dropped": 0}
+
+
+# stores
+
+
+def test_a_dictionary_only_grows(spark, tmp_path):
+    path, rows = f"file://{tmp_path}/map", lambda *v: frame(spark, [(x,) for x in v], "u string")
+    assert dictionary.create(rows("b", "a", None, "a"), "u", path) == 2
+    with pytest.raises(ValueError, match="append"):
+        dictionary.create(rows("z"), "u", path)
+    assert dictionary.append(rows("a", "0", "c"), "u", path) == 2 and dictionary.append(rows("b", None), "u", path) == 0
+    assert dictionary.append(rows("d"), "u", path) == 1 and dictionary.versions(spark, path) == 4
+    got = {r["value"]: r["idx"] for r in dictionary.read(spark, path).collect()}
+    assert got == {"a": 1, "b": 2, "0": 3, "c": 4, "d": 5} and dictionary.read(spark, path, 0).count() == 2
+    assert [r["value"] for r in dictionary.uncovered(rows("a", "q", None), "u", path).collect()] == ["q"]
+    pairs = lambda *v: frame(spark, list(v), "value string, idx long")
+    held = dictionary.read(spark, path, 0)
+    dictionary.refuse_moves(held, pairs(("a", 1), ("b", 2), ("n", 3)))
+    for bad in ((("a", 2), ("b", 1)), (("a", 1),), (("a", 1), ("b", 2), ("n", 2))):
+        with pytest.raises(ValueError, match="would"):
+            dictionary.refuse_moves(held, pairs(*bad))
+
+
+def test_views_merge_expire_and_compact(spark, tmp_path):
+    view = online.View(f"file://{tmp_path}/view", ("k",), ("x",), 2, 4)
+    rows = lambda *v: frame(spark, list(v), "k string, feature_ts timestamp, created_ts timestamp, x int")
+    with pytest.raises(ValueError, match="nothing"):
+        online.read(spark, view)
+    hour = 3600
+    online.push(view, rows(("a", at(0), at(1), 1), ("a", at(hour), at(1), 2), ("b", at(0), at(1), 3), (None, at(0), at(0), 9), ("c", None, at(0), 9)))
+    online.push(view, rows(("a", at(hour), at(0), 7), ("b", at(5 * hour), at(9), 4)))  # created before, and later in time
+    told = lambda: {r["k"]: r["x"] for r in online.read(spark, view).collect()}
+    assert told() == {"a": 2, "b": 4}
+    online.compact(spark, view)
+    online.push(view, rows().where("false"))
+    online.push(view, rows(("a", at(hour), at(2), 8)))
+    assert told() == {"a": 8, "b": 4} and online._parts(spark, view) == [2, 3, 4]
+    asked = frame(spark, [("a",), ("b",), ("z",)], "k string")
+    got = {r["k"]: (r["x"], r["found"]) for r in online.lookup(spark, view, asked, F.lit(at(4 * hour))).collect()}
+    assert got == {"a": (None, False), "b": (4, True), "z": (None, False)}
+
+
+def test_ranges_materialised_twice_equal_once(spark, tmp_path):
+    rng = random.Random(2)
+    series = frame(spark, [(rng.choice("abc"), at(rng.randrange(100) * 60 + i), i) for i in range(200)], "k string, feature_ts timestamp, x int")
+    made = []
+    for name, spans in (("one", [(0, 9999)]), ("two", [(3000, 9999), (0, 4000), (0, 4000), (3000, 9999)])):
+        view = online.View(f"file://{tmp_path}/{name}", ("k",), ("x",), 2)
+        for a, b in spans:
+            online.materialise(view, series, F.lit(at(a)), F.lit(at(b)), F.lit(at(10**6)))
+        made.append(sorted(map(tuple, online.read(spark, view).select("k", "x", "feature_ts").collect())))
+    assert made[0] == made[1] and len(made[0]) == 3
+
+
+def test_dumps_come_back_by_row(spark, tmp_path):
+    rows = [(i * 3, [float(i), i / 7]) for i in range(25)]
+    path = f"file://{tmp_path}/dump"
+    dump.write(frame(spark, rows, "item long, vector array<double>").repartition(3), path, block_rows=7)
+    told = dump.manifest(spark, path).orderBy("block").collect()
+    assert [(r["first"], r["n"], r["offset"]) for r in told] == [(0, 7, 0), (7, 7, 56), (14, 7, 112), (21, 4, 168)]
+    got = dump.read_rows(spark, path, frame(spark, [(0,), (8,), (24,), (25,), (99,)], "position long")).orderBy("position").collect()
+    assert [(r["position"], r["id"], r["vector"]) for r in got] == [(p, p * 3, [float(p), float(np.float32(p / 7))]) for p in (0, 8, 24)]
+    with pytest.raises(Exception, match="missing"):
+        dump.write(frame(spark, [(1, [None, 1.0])], "item long, vector array<double>"), f"{path}2")
+
+
+def test_sketches_by_day_merge_to_the_edges(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(at(int(d) * 86400), float(x), float(x) ** 3) for d, x in zip(rng.integers(0, 9, 6000), rng.normal(size=6000), strict=True)], "ts timestamp, x double, y double").cache()
+    daily = monitor.daily_sketches(rows, ["x", "y"]).cache()
+    first, last = (str(at(d * 86400).date()) for d in (1, 5))
+    some = rows.where(F.to_date("ts").between(F.lit(first), F.lit(last)))
+    values = {c: np.sort(np.array([r[c] for r in some.select(c).collect()])) for c in "xy"}
+    for r in monitor.sketch_edges(monitor.merged_sketches(daily, first, last)).collect():
+        ranks = np.searchsorted(values[r["feature"]], r["edges"]) / len(values[r["feature"]])
+        assert np.abs(ranks - np.arange(11) / 10).max() < 0.01
+    rest = rows.where(F.to_date("ts") > F.lit(last))
+    want = {r["feature"]: r["psi"] for r in monitor.psi(some, rest.withColumn("x", F.col("x") + 0.5), ["x", "y"]).collect()}
+    moved = monitor.daily_sketches(rest.withColumn("x", F.col("x") + 0.5), ["x", "y"])
+    got = {r["feature"]: r["psi"] for r in monitor.sketch_psi(monitor.merged_sketches(daily, first, last), monitor.merged_sketches(moved, "2000-01-01", "2099-01-01")).collect()}
+    assert all(abs(got[f] - want[f]) < 0.02 for f in "xy") and want["x"] > 0.1
+
+
+def test_replay_blocks_what_was_served(spark):
+    day = 86400
+    rows = [(u, r, at(t), i, s) for u, r, t in ((1, 10, 0), (1, 11, 60), (1, 12, 120), (1, 13, 30 * day), (2, 20, 5)) for i, s in ((1, 0.9), (2, 0.8), (3, 0.7), (4, None), (5, float("nan")))]
+    pools = frame(spark, rows, "user_id long, request long, ts timestamp, item long, score double").repartition(3)
+
+    def told(**k):
+        got = {}
+        for r in candidates.replay_unseen(pools, 2, **k).orderBy("request", "position").collect():
+            got.setdefault(r["request"], []).append(r["item"])
+        return got
+
+    assert told() == {10: [1, 2], 11: [3, 4], 12: [5], 13: [1, 2], 20: [1, 2]}
+    assert told(ttl_seconds=30) == {q: [1, 2] for q in (10, 11, 12, 13, 20)}
+    assert told(ttl_seconds=7 * day)[13] == [1, 2] and told(ttl_seconds=90)[12] == [5]
+
+
+def test_log_q_by_the_recurrence(spark):
+    rng = random.Random(3)
+    rows = [(s, rng.randrange(6)) for s in range(60) for _ in range(rng.randint(1, 9))]
+    for half_life in (2.0, 15.0, 400.0):
+        seen, want = np.zeros(7), {}
+        for s in range(60):
+            own = [i for t, i in rows if t == s]
+            for i in set(own):
+                want[s, i] = math.log((2.0 + seen[i]) / (2.0 * 7 + seen.sum()))
+            seen *= 0.5 ** (len(own) / half_life)
+            for i in own:
+                seen[i] += 1
+        got = {(r["step"], r["item"]): r["log_q"] for r in monitor.log_q(frame(spark, rows, "step long, item long"), "item", "step", half_life, 7, 2.0).collect()}
+        assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+
+
 # functions
 
 
