@@ -24,6 +24,7 @@ import functools
 import hashlib
 import heapq
 import json
+import re
 import struct
 import sys
 import unicodedata
@@ -56,17 +57,28 @@ def _pattern(classes: dict[str, str]) -> regex.Pattern:
 
 @functools.cache
 def unlike() -> str:
-    """Letters and numbers of this process's ``regex`` that are neither to the tokenizers library, whose Unicode is older.
+    """A class of the letters and numbers of this process's ``regex`` that are neither to the tokenizers library, whose Unicode is older.
 
     Only what Python's own Unicode doesn't know yet can differ; the library is asked for each of those.
     """
     from tokenizers.pre_tokenizers import ByteLevel
 
     cut = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-    new = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn" and regex.match(r"[\p{L}\p{N}]", c)]
+    new = regex.findall(r"[\p{L}\p{N}]", "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn"))
     said = "".join(f"!{c}\n" for c in new)  # what is neither stays with the mark before it
     starts = {a for _, (a, _) in cut(said)}
-    return "".join(c for i, c in enumerate(new) if 3 * i + 1 not in starts)
+    return _ranges([ord(c) for i, c in enumerate(new) if 3 * i + 1 not in starts])
+
+
+def _ranges(points: list[int]) -> str:
+    """Ascending code points as the ranges of a character class."""
+    out: list[list[int]] = []
+    for c in points:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out)
 
 
 def byte_letters() -> list[str]:
@@ -126,7 +138,7 @@ class ByteBPE:
         self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._find = self._find_odd = _pattern(_CLASSES).findall
         odd = unlike() if odd is None else odd
-        self._odd = regex.compile(f"[{odd}]").search if odd else None
+        self._odd = re.compile(f"[{odd}]").search if odd else None
         if odd:  # only a text that holds one of these pays for the wider classes
             self._find_odd = _pattern({"LETTER": rf"[\p{{L}}--[{odd}]]", "NUMBER": rf"[\p{{N}}--[{odd}]]", "OTHER": rf"[[^\s\p{{L}}\p{{N}}]||[{odd}]]"}).findall
         self._pieces = _Pieces(self._piece)
