@@ -111,6 +111,15 @@ class _Pieces(dict):
         return out
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are Latin-1, which every Unicode version knows alike."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class ByteBPE:
     def __init__(self, path: str, odd: str | None = None) -> None:
         with open(path, encoding="utf-8") as f:
@@ -184,7 +193,7 @@ class ByteBPE:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         ids, find = self._pieces.__getitem__, self._find
-        if self._odd is not None and not text.isascii() and self._odd(text):
+        if self._odd is not None and not _latin(text) and self._odd(text):
             find = self._find_odd
         if self._cut is None or not any(x in text for x in self.added):
             return b"".join(map(ids, find(text)))
