@@ -168,3 +168,19 @@ def model_table(cards: DataFrame, value: str, cohorts: Sequence[str]) -> DataFra
     wide = cards.groupBy("model").pivot("cohort", list(cohorts)).agg(F.max(value)).join(F.broadcast(kinds))  # one row
     checked = [F.when(F.col("__kinds") > 1, F.raise_error(F.lit("report cards of more than one split or k")).cast("double")).otherwise(F.col(c)).alias(c) for c in cohorts]
     return wide.select("model", *checked)
+
+
+def require_pools(requests: DataFrame, pools: DataFrame, catalogue: DataFrame, k: int) -> None:
+    """Raises where a recall at ``k`` would say nothing: a request with fewer than k candidates, or a catalogue of fewer than k items.
+
+    ``requests`` (request), ``pools`` (request, item), ``catalogue`` (item).
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    n = catalogue.select("item").where("item is not null").distinct().limit(k).count()
+    if n < k:
+        raise ValueError(f"the catalogue has {n} items, fewer than k = {k}")
+    sizes = requests.select("request").distinct().join(pools.select("request", "item").distinct(), "request", "left").groupBy("request").agg(F.count("item").alias("n"))
+    short = sizes.where(F.col("n") < k).agg(F.count(F.lit(1)).alias("n"), F.min("n").alias("least")).first()
+    if short["n"]:
+        raise ValueError(f"{short['n']} requests have fewer than k = {k} candidates, the least {short['least']}")

@@ -137,3 +137,9 @@ def knn_ivfpq(queries: DataFrame, items: DataFrame, k: int, parts: int = 16, cel
     if (cells_for(n) if cells is None else cells) < 2:
         return knn_exact(queries, items, k)
     return search(build(items, parts, cells), queries, k, probes)
+
+
+def knn(queries: DataFrame, items: DataFrame, k: int, exact_below: int = 20_000) -> DataFrame:
+    """The nearest items, exactly among fewer than ``exact_below``, else through the index, whose recall is measured on a sample of the queries."""
+    items, queries = staged(items.select("item", "vector"), "knn-catalogue"), staged(queries.select("request", "vector"), "knn-asked")
+    return knn_exact(queries, items, k) if items.limit(exact_below).count() < exact_below else knn_ivfpq(queries, items, k)

@@ -187,6 +187,8 @@ def als_factors(train: DataFrame, rank: int = 32, reg: float = 0.1, iterations:
     if rank < 1:
         raise ValueError("rank must be positive")
     counts = train.where("clicked").groupBy("user_id", "item_id").agg(F.count(F.lit(1)).cast("float").alias("n"))
+    if {"string", "binary"} & {kind for name, kind in train.dtypes if name in ("user_id", "item_id")}:
+        raise ValueError("ids that are no numbers: number them densely first (transform.dense_ids)")
     wide = counts.agg(F.max(F.greatest(F.abs("user_id"), F.abs("item_id"))).alias("m")).first()["m"]
     if wide is not None and wide > 2**31 - 1:
         raise ValueError("ids beyond 32 bits: number them densely first (transform.dense_ids)")

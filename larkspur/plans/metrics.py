@@ -177,10 +177,10 @@ def popularity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "band_compare",
+    "slate_size_compare",
     f"""WITH {TWO_SQL}, t AS (SELECT impression_id, {BAND_SQL} AS band FROM (SELECT impression_id, count(*) AS x FROM cohort GROUP BY impression_id)) SELECT band, count(a) AS n, round(avg(b - a), 9) AS mean_difference FROM two JOIN t USING (impression_id) GROUP BY band""",
 )
-def band_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+def slate_size_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean difference of two scorers by slate size."""
     sizes = test_rows(spark, sf_dir).groupBy("impression_id").agg(F.count(F.lit(1)).alias("x"))
     met = two_models(spark, sf_dir).join(sizes, "impression_id").withColumn("band", measure.bands(F.col("x"), EDGES))

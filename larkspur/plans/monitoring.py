@@ -52,11 +52,18 @@ def ks_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.kolmogorov_smirnov(*halves(spark, sf_dir), "value").withColumn("ks", F.round("ks", 9))
 
 
-@query("skew_report", "WITH s AS (SELECT event_type = 'error' AS degraded, event_id % 10 <> 3 AS found, event_id % 20 <> 7 AS fits FROM events) SELECT count(*) AS served, count(*) FILTER (degraded) AS degraded, count(*) FILTER (NOT degraded AND NOT found) AS not_found, count(*) FILTER (NOT degraded AND found AND NOT fits) AS wrong_width, count(*) FILTER (NOT degraded AND found AND fits) AS kept FROM s")
+@query(
+    "skew_report",
+    """WITH s AS (SELECT event_type = 'error' AS degraded, lag(ts) OVER w IS NOT NULL AS found, coalesce(epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER w)) <= 432000, false) AS fits FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT count(*) AS served, count(*) FILTER (degraded) AS degraded, count(*) FILTER (NOT degraded AND NOT found) AS not_found, count(*) FILTER (NOT degraded AND found AND NOT fits) AS wrong_width, count(*) FILTER (NOT degraded AND found AND fits) AS kept FROM s""",
+)
 def skew_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    width = F.when(F.col("event_id") % 20 != 7, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(0.0)))
-    rows = table(spark, sf_dir, "events").select((F.col("event_type") == "error").alias("degraded"), (F.col("event_id") % 10 != 3).alias("found"), width.alias("features"))
-    return monitor.skew(rows, 2)
+    """Served events: a user is found from the second event on, and has all features if the one before is at most five days old."""
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select("event_type", "value", "ts", F.lag("value").over(before).alias("last"), F.lag("ts").over(before).alias("last_ts"))
+    near = F.unix_timestamp("ts") - F.unix_timestamp("last_ts") <= 5 * 86_400
+    told = F.array_compact(F.array("value", F.when(near, F.col("last"))))
+    return monitor.skew(rows.select((F.col("event_type") == "error").alias("degraded"), F.col("last_ts").isNotNull().alias("found"), told.alias("features")), 2)
 
 
 @query("drift_window", "SELECT event_id, value FROM events WHERE event_type <> 'error' ORDER BY ts DESC, event_id DESC LIMIT 5000")

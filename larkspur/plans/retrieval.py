@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.columns import cosine, digest_uniform
-from larkspur.operators import candidates, measure, quantised, scoring
+from larkspur.functions.columns import cosine, digest_number, digest_uniform
+from larkspur.operators import candidates, measure, quantised, scoring, transform
 from larkspur.plans.metrics import vectors
 from larkspur.plans.scores import EDGES_SQL, PARTS_SQL, labels, top_edges, train
 from larkspur.registry import query
-from larkspur.sources.views import CLICKS_EV, asked_items, clicks_ev, table
+from larkspur.sources.views import CLICKS_EV, clicks_ev, table
 
 K = 10
 
@@ -41,11 +41,11 @@ def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "ann_agreement",
+    "half_dimension_agreement",
     f"""WITH {KNN_SQL}, half AS (SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY score DESC, item) AS r FROM (SELECT q.vec_id AS request, i.vec_id AS item, list_dot_product(q.e[1:32], i.e[1:32]) AS score FROM v q, v i WHERE q.vec_id % 50 = 0) QUALIFY r <= {K})
 SELECT k.request, count(h.item) / {K}.0::DOUBLE AS agreement FROM knn k LEFT JOIN half h ON k.request = h.request AND k.item = h.item GROUP BY k.request""",
 )
-def ann_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+def half_dimension_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact lists against lists from the first half of the dimensions."""
     cut = lambda df: df.withColumn("vector", F.slice("vector", 1, 32))
     exact = candidates.knn_exact(_queries(spark, sf_dir), _items(spark, sf_dir), K)
@@ -129,11 +129,11 @@ mean AS (SELECT request, list(x ORDER BY p) AS mv FROM m GROUP BY request)
 SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY round(list_cosine_similarity(mv, e), 9) DESC, item)::INTEGER AS rank FROM mean, v WHERE item IN (SELECT item_id FROM clicks_ev) QUALIFY rank <= {K}""",
 )
 def source_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue's items nearest to the mean vector of a request's history."""
+    """The catalogue's items nearest to the mean vector of a request's history: exactly, or from some size on through the index."""
     items, asked = _items(spark, sf_dir), mean_vectors(spark, sf_dir)
     catalogue = clicks_ev(spark, sf_dir).select(F.col("item_id").alias("item")).distinct().join(items, "item")
     unit = lambda df: df.withColumn("vector", F.transform("vector", lambda x: x / F.sqrt(measure.dot(F.col("vector"), F.col("vector")))))
-    found = candidates.knn_exact(unit(asked), unit(catalogue), K)
+    found = quantised.knn(unit(asked), unit(catalogue), K)
     return found.select("request", "item", "rank")
 
 
@@ -215,8 +215,9 @@ def ranking_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {FEATURES_SQL}, v AS (SELECT vec_id AS item, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), m AS (SELECT request, p, avg(x) AS x FROM (SELECT request, unnest(e) AS x, unnest(range(1, 65)) AS p FROM hist JOIN v USING (item)) GROUP BY request, p),
 mean AS (SELECT request, list(x ORDER BY p) AS mv FROM m GROUP BY request), past AS (SELECT b.request, b.item, count(*) AS n FROM blended b JOIN req USING (request) JOIN clicks_ev c ON c.item_id = b.item AND c.clicked AND c.ts < req.ts GROUP BY b.request, b.item)
 SELECT f.request, f.item, (count(*) OVER (PARTITION BY f.request) - f.position)::DOUBLE AS retrieval_score, rank_trending, n_sources, coalesce(past.n, 0) AS prior_clicks, train_clicks, round(coalesce(list_cosine_similarity(mv, e), 0), 6) AS content_similarity, history_length, is_cold,
-  (f.item % 8 + 1)::INTEGER AS category_idx, (f.item % 16 + 1)::INTEGER AS subcategory_idx, NOT (v.item IS NOT NULL AND mv IS NOT NULL) AS incomplete
-FROM feats f LEFT JOIN past USING (request, item) LEFT JOIN v USING (item) LEFT JOIN mean USING (request)""",
+  coalesce(brands.i, 0)::INTEGER AS category_idx, coalesce(types.i, 0)::INTEGER AS subcategory_idx, NOT (v.item IS NOT NULL AND mv IS NOT NULL) AS incomplete
+FROM feats f LEFT JOIN past USING (request, item) LEFT JOIN v USING (item) LEFT JOIN mean USING (request) LEFT JOIN part ON p_partkey = item
+  LEFT JOIN (SELECT p_brand, row_number() OVER (ORDER BY p_brand) AS i FROM (SELECT DISTINCT p_brand FROM part)) brands USING (p_brand) LEFT JOIN (SELECT p_type, row_number() OVER (ORDER BY p_type) AS i FROM (SELECT DISTINCT p_type FROM part)) types USING (p_type)""",
 )
 def ranking_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranker's columns of each candidate; ``incomplete`` rows lack a vector and have similarity 0.
@@ -228,13 +229,16 @@ def ranking_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = rows.withColumn("__row", F.lit(True)).unionByName(hits, allowMissingColumns=True).withColumn("__us", F.unix_micros("ts"))
     before = Window.partitionBy("item").orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
     rows = both.withColumn("prior_clicks", F.coalesce(F.sum("__n").over(before), F.lit(0))).where("__row")
-    items = _items(spark, sf_dir)
+    items, part = _items(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_brand", "p_type")
+    for name in ("p_brand", "p_type"):  # the catalogue's vocabularies, numbered from 1; 0 where the catalogue hasn't the item
+        part = part.join(transform.dense_ids(part, name, f"__{name}"), name, "left")
+    rows = rows.join(part.select("item", "__p_brand", "__p_type"), "item", "left")
     rows = rows.join(items.withColumnRenamed("vector", "__v"), "item", "left").join(mean_vectors(spark, sf_dir).withColumnRenamed("vector", "__m"), "request", "left")
     size = F.count(F.lit(1)).over(Window.partitionBy("request"))
     return rows.select(
         "request", "item", (size - F.col("position")).cast("double").alias("retrieval_score"), "rank_trending", "n_sources", "prior_clicks", "train_clicks",
         F.round(F.coalesce(cosine(F.col("__m"), F.col("__v")), F.lit(0.0)), 6).alias("content_similarity"), "history_length", "is_cold",
-        (F.col("item") % 8 + 1).cast("int").alias("category_idx"), (F.col("item") % 16 + 1).cast("int").alias("subcategory_idx"), (F.col("__v").isNull() | F.col("__m").isNull()).alias("incomplete"),
+        F.coalesce("__p_brand", F.lit(0)).alias("category_idx"), F.coalesce("__p_type", F.lit(0)).alias("subcategory_idx"), (F.col("__v").isNull() | F.col("__m").isNull()).alias("incomplete"),
     )
 
 
@@ -258,6 +262,17 @@ def retrieval_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("requests", "short_pools", (F.col("catalogue") < K).alias("small_catalogue"), "novelty", F.round(F.col("items") / F.col("catalogue"), 9).alias("coverage"))
 
 
+@query(
+    "pools_by_size",
+    f"WITH {LISTS_SQL}, n AS (SELECT request, count(DISTINCT item) AS n FROM req LEFT JOIN lists USING (request) GROUP BY request) SELECT least(n, {K}) AS size, count(*) AS requests FROM n GROUP BY ALL",
+)
+def pools_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by how many candidates they have, K or more as K: what ``measure.require_pools`` refuses and what it lets pass."""
+    pools = lists(spark, sf_dir).select("request", "item").distinct()
+    sizes = requests(spark, sf_dir).join(pools, "request", "left").groupBy("request").agg(F.count("item").alias("n"))
+    return sizes.groupBy(F.least("n", F.lit(K)).cast("long").alias("size")).agg(F.count(F.lit(1)).alias("requests"))
+
+
 @query("ranking_rows", f"WITH {FEATURES_SQL}, r AS (SELECT f.*, t.item IS NOT NULL AS label FROM feats f LEFT JOIN truth t USING (request, item)) SELECT request, item, label, bool_or(label) OVER (PARTITION BY request) AS found, count(*) OVER (PARTITION BY request) AS group_size FROM r")
 def ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with their label, whether the request's click is among them, and the group's size."""
@@ -346,29 +361,36 @@ def bloom_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(50,), (200,), (1000,)], "capacity long").select("capacity", bits.alias("bits"), hashes.alias("hashes"))
 
 
+#: Items asked of each user's filter that the user never saw.
+ABSENT_ASKED = 20
+
+
 @query(
     "bloom_membership",
     f"""WITH {CLICKS_EV}, seen AS (SELECT DISTINCT user_id, item_id FROM clicks_ev WHERE item_id IS NOT NULL),
 n AS (SELECT user_id, count(*) AS n FROM seen GROUP BY user_id), b AS (SELECT user_id, n, ceil(-n * ln(0.01::DOUBLE) / pow(ln(2::DOUBLE), 2))::BIGINT AS bits FROM n),
 sizes AS (SELECT user_id, bits, greatest(1, round(bits / n * ln(2::DOUBLE)))::INTEGER AS hashes FROM b),
-items AS (SELECT DISTINCT item_id FROM seen), every AS (SELECT item_id FROM items UNION ALL SELECT item_id + (SELECT max(item_id) - min(item_id) + 1 FROM items) FROM items),
-h AS (SELECT user_id, item_id, bits, hashes, ('0x' || substr(md5(user_id::VARCHAR || ':' || item_id::VARCHAR || ':a'), 1, 8))::BIGINT AS x, ('0x' || substr(md5(user_id::VARCHAR || ':' || item_id::VARCHAR || ':b'), 1, 8))::BIGINT | 1 AS y FROM sizes, every),
-spots AS (SELECT user_id, item_id, (x + i * y) % bits AS bit FROM h, unnest(range(0, hashes)) AS t(i)),
-sets AS (SELECT DISTINCT user_id, bit FROM spots SEMI JOIN seen USING (user_id, item_id)),
-told AS (SELECT user_id, item_id, bool_and(sets.bit IS NOT NULL) AS called FROM spots LEFT JOIN sets USING (user_id, bit) GROUP BY user_id, item_id)
-SELECT count(*) FILTER (s.item_id IS NOT NULL AND NOT called) AS missed, round(avg(CASE WHEN s.item_id IS NULL THEN called::INTEGER::DOUBLE END), 9) AS false_positive_rate FROM told LEFT JOIN seen s USING (user_id, item_id)""",
+absent AS (SELECT user_id, (SELECT max(item_id) FROM seen) + 1 + ('0x' || substr(md5(user_id::VARCHAR || ':' || j::VARCHAR || ':ask'), 1, 8))::BIGINT AS item_id FROM sizes, unnest(range(0, {ABSENT_ASKED})) AS t(j)),
+asked AS (SELECT user_id, item_id, true AS own FROM seen UNION ALL SELECT user_id, item_id, false FROM absent),
+h AS (SELECT user_id, item_id, own, bits, hashes, ('0x' || substr(md5(user_id::VARCHAR || ':' || item_id::VARCHAR || ':a'), 1, 8))::BIGINT AS x, ('0x' || substr(md5(user_id::VARCHAR || ':' || item_id::VARCHAR || ':b'), 1, 8))::BIGINT | 1 AS y FROM asked JOIN sizes USING (user_id)),
+spots AS (SELECT user_id, item_id, own, (x + i * y) % bits AS bit FROM h, unnest(range(0, hashes)) AS t(i)),
+sets AS (SELECT DISTINCT user_id, bit FROM spots WHERE own),
+told AS (SELECT user_id, item_id, own, bool_and(sets.bit IS NOT NULL) AS called FROM spots LEFT JOIN sets USING (user_id, bit) GROUP BY user_id, item_id, own)
+SELECT count(*) FILTER (own AND NOT called) AS missed, round(avg(CASE WHEN NOT own THEN called::INTEGER::DOUBLE END), 9) AS false_positive_rate FROM told""",
 )
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's seen list as a bit set, and the rate at which items not in it are called seen."""
+    """Each user's seen list as a bit set: asked for the user's own items, and for some that nobody saw, chosen by a hash."""
     seen = clicks_ev(spark, sf_dir).where("item_id is not null").select("user_id", "item_id").distinct()
     bits, hashes = candidates.bloom_size(F.col("n"), 0.01)
     sizes = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", bits.alias("bits"), hashes.alias("hashes"))
     spots = candidates.bloom_positions(F.col("user_id"), F.col("item_id"), F.col("bits"), F.col("hashes"))
     sets = seen.join(sizes, "user_id").select("user_id", "bits", "hashes", F.explode(spots).alias("bit")).groupBy("user_id", "bits", "hashes").agg(F.collect_set("bit").alias("set"))
-    asked = sets.crossJoin(asked_items(spark, sf_dir))
-    hit = F.size(F.array_except(spots, "set")) == 0
-    told = asked.select("user_id", "item_id", hit.alias("called")).join(seen.withColumn("seen", F.lit(True)), ["user_id", "item_id"], "left")
-    return told.agg(F.count_if(F.col("seen") & ~F.col("called")).alias("missed"), F.round(F.avg(F.when(F.col("seen").isNull(), F.col("called").cast("double"))), 9).alias("false_positive_rate"))
+    top = seen.agg((F.max("item_id") + 1).alias("from"))
+    draw = F.transform(F.sequence(F.lit(0), F.lit(ABSENT_ASKED - 1)), lambda j: digest_number(F.col("user_id").cast("string"), j.cast("string"), F.lit("ask")))
+    absent = sizes.join(F.broadcast(top)).select("user_id", "from", F.explode(draw).alias("x")).select("user_id", (F.col("from") + F.col("x")).alias("item_id"), F.lit(False).alias("own"))  # one row
+    asked = seen.withColumn("own", F.lit(True)).unionByName(absent.distinct()).join(sets, "user_id")
+    told = asked.select("own", (F.size(F.array_except(spots, "set")) == 0).alias("called"))
+    return told.agg(F.count_if(F.col("own") & ~F.col("called")).alias("missed"), F.round(F.avg(F.when(~F.col("own"), F.col("called").cast("double"))), 9).alias("false_positive_rate"))
 
 
 @query(

@@ -42,12 +42,16 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(streams.dedupe(stream, "impression_id"), "append", "dedupe").select("impression_id", "ts")
 
 
+#: A user without a click for so long leaves the state of recent items.
+IDLE_SECONDS = 90 * 86_400
+
+
 @query(
     "stream_last_items",
     f"WITH {CLICKS_EV}, c AS (SELECT user_id, item_id, ts FROM clicks_ev WHERE clicked) SELECT user_id, list(item_id ORDER BY ts DESC, item_id DESC)[1:50] AS last_items FROM c GROUP BY user_id",
 )
 def stream_last_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.drained(streams.recent_items(late_events(spark, sf_dir)), "update", "recent", ["user_id"], "version")
+    out = streams.drained(streams.recent_items(late_events(spark, sf_dir).withWatermark("ts", streams.LATENESS), ttl_seconds=IDLE_SECONDS), "update", "recent", ["user_id"], "version")
     return out.select("user_id", "last_items")
 
 
@@ -60,7 +64,7 @@ SELECT user_id, count(*) AS session_length, count(DISTINCT category) AS session_
 )
 def stream_running_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks and distinct categories of each user's running session."""
-    out = streams.drained(streams.recent_items(late_events(spark, sf_dir)), "update", "running", ["user_id"], "version")
+    out = streams.drained(streams.recent_items(late_events(spark, sf_dir).withWatermark("ts", streams.LATENESS), ttl_seconds=IDLE_SECONDS), "update", "running", ["user_id"], "version")
     return out.select("user_id", "session_length", "session_categories")
 
 

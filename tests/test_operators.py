@@ -357,6 +357,29 @@ def test_launch_rules():
     assert inference.gate({"overall": 0.52}, {"overall": 0.52}, {}, ["overall"]) == []
 
 
+def test_chi_square_tails():
+    known = {(3.841458820694124, 1): 0.05, (5.991464547107979, 2): 0.05, (7.814727903251179, 3): 0.05, (18.307038053275146, 10): 0.05, (24.99579013972863, 15): 0.05, (0.0, 4): 1.0, (1e-9, 9): 1.0, (700.0, 5): 0.0}
+    for (x, df), p in known.items():
+        assert inference.chi_square_tail(x, df) == pytest.approx(p, abs=1e-12)
+
+
+def test_short_pools_and_small_catalogues_are_refused(spark):
+    requests, catalogue = frame(spark, [(1,), (2,)], "request long"), frame(spark, [(i,) for i in range(4)], "item long")
+    pools = lambda *v: frame(spark, list(v), "request long, item long")
+    measure.require_pools(requests, pools((1, 0), (1, 1), (2, 2), (2, 3)), catalogue, 2)
+    with pytest.raises(ValueError, match="1 requests have fewer than k = 2"):
+        measure.require_pools(requests, pools((1, 0), (1, 1), (2, 2), (2, 2)), catalogue, 2)
+    with pytest.raises(ValueError, match="2 requests have fewer"):
+        measure.require_pools(requests, pools((3, 1)), catalogue, 2)
+    with pytest.raises(ValueError, match="catalogue has 4"):
+        measure.require_pools(requests, pools((1, 0)), catalogue, 5)
+
+
+def test_factor_models_refuse_ids_that_are_no_numbers(spark):
+    with pytest.raises(ValueError, match="dense_ids"):
+        scoring.als_factors(frame(spark, [("u", "i", True)], "user_id string, item_id string, clicked boolean"))
+
+
 def test_assignment_shares(spark):
     got = spark.range(20000).select(inference.assign(F.col("id"), "e", {"a": 25, "b": 50}).alias("arm")).groupBy("arm").count().collect()
     n = {r["arm"]: r["count"] for r in got}
