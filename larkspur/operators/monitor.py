@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import ratio
-from larkspur.operators.ranges import numbered, quantiles, with_offsets
+from larkspur.operators.ranges import numbered, quantiles, quantiles_of, with_offsets
 from larkspur.sources.shared import staged
 
 PSI_BINS, PSI_FLOOR, WATCH, SKEW = 10, 1e-6, 0.1, 0.25
@@ -21,8 +21,11 @@ def band(psi: Column) -> Column:
 
 def baseline(rows: DataFrame, features: Sequence[str], bins: int = PSI_BINS) -> DataFrame:
     """(feature, edges): the distinct quantile edges of each feature; null where it has no value."""
-    found = quantiles(_long(rows, features), [i / bins for i in range(bins + 1)])
-    every = rows.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return _edges(quantiles(_long(rows, features), [i / bins for i in range(bins + 1)]), features)
+
+
+def _edges(found: DataFrame, features: Sequence[str]) -> DataFrame:
+    every = found.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     return every.join(F.broadcast(found), "feature", "left").select("feature", F.array_distinct("values").alias("edges"))  # a row a feature
 
 
@@ -36,10 +39,13 @@ def shares(rows: DataFrame, features: Sequence[str], edges: DataFrame) -> DataFr
     A constant has one edge: bin 0 holds what equals it and bin 1 all else.
     """
     met = _long(rows, features).join(F.broadcast(edges), "feature")  # a row per feature
+    return met.withColumn("bin", _bin()).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _bin() -> Column:
     place = F.size(F.filter("edges", lambda e: e <= F.col("x"))) - 1
     last = F.size("edges") - 2
-    spot = F.when(F.size("edges") == 1, (F.get("edges", F.lit(0)) != F.col("x")).cast("int")).otherwise(F.greatest(F.lit(0), F.least(place, last)))
-    return met.withColumn("bin", spot).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return F.when(F.size("edges") == 1, (F.get("edges", F.lit(0)) != F.col("x")).cast("int")).otherwise(F.greatest(F.lit(0), F.least(place, last)))
 
 
 def psi(expected: DataFrame, actual: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -47,14 +53,15 @@ def psi(expected: DataFrame, actual: DataFrame, features: Sequence[str]) -> Data
 
     A constant has no bins that could say how far it moved, so its index is 0 or infinite.
     """
-    edges = staged(baseline(expected, features), "psi-edges")  # a row a feature, used three times
+    # Each side is read once: equal values are counted together, and edges and bins come of the counts.
+    both = _long(expected, features).withColumn("side", F.lit(True)).unionByName(_long(actual, features).withColumn("side", F.lit(False)))
+    counts = staged(both.groupBy("feature", "x").agg(F.count_if("side").alias("n_e"), F.count_if(~F.col("side")).alias("n_a")), "psi-values")
+    found = quantiles_of(counts.where("n_e > 0").select("feature", "x", F.col("n_e").alias("__n")), [i / PSI_BINS for i in range(PSI_BINS + 1)])
+    edges = staged(_edges(found, features), "psi-edges")  # a row a feature, used three times
     every = edges.select("feature", (F.size("edges") == 1).alias("constant"), F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"))
     moved = edges.where(F.size("edges") == 1).select("feature", F.lit(True).alias("constant"), F.lit(1).alias("bin"))
-    every = every.unionByName(moved)
-    out = every
-    for name, df in (("e", expected), ("a", actual)):
-        got = shares(df, features, edges).withColumnRenamed("n", f"n_{name}")
-        out = out.join(got, ["feature", "bin"], "left")
+    told = counts.join(F.broadcast(edges), "feature").withColumn("bin", _bin()).groupBy("feature", "bin").agg(F.sum("n_e").alias("n_e"), F.sum("n_a").alias("n_a"))
+    out = every.unionByName(moved).join(told, ["feature", "bin"], "left")
     whole = Window.partitionBy("feature")
     for name in ("e", "a"):
         n = F.coalesce(F.col(f"n_{name}"), F.lit(0))

@@ -42,6 +42,11 @@ def quantiles(long: DataFrame, points: Sequence[float], key: str = "feature", va
     the few places asked for are then picked by one aggregation. No task holds all values.
     """
     counts = long.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("__n"))
+    return quantiles_of(counts, points, key, value)
+
+
+def quantiles_of(counts: DataFrame, points: Sequence[float], key: str = "feature", value: str = "x") -> DataFrame:
+    """As ``quantiles``, of distinct values with how often each is met, ``__n``."""
     met = with_offsets(counts, [key, value], {"__before": F.col("__n")})
     run = Window.partitionBy("part").orderBy(key, value).rowsBetween(Window.unboundedPreceding, 0)
     met = met.withColumn("__end", F.col("__before") + F.sum("__n").over(run)).withColumn("__start", F.col("__end") - F.col("__n"))

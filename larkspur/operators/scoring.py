@@ -7,6 +7,7 @@ Only clicks strictly before a label's instant count.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,36 +35,43 @@ def popular(labels: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def decayed(labels: DataFrame, clicks: DataFrame, half_life_days: float) -> DataFrame:
-    """Sum of exp(-ln 2 x age / half-life) over the item's earlier clicks, linear in clicks and labels.
+    """Sum of exp(-ln 2 x age / half-life) over the item's earlier clicks, linear in clicks and labels."""
+    return decayed_sweep(labels, clicks, [half_life_days]).drop("half_life")
+
+
+def decayed_sweep(labels: DataFrame, clicks: DataFrame, half_lives_days: Sequence[float]) -> DataFrame:
+    """``labels`` once for each half-life, with half_life and the decayed sum of the item's earlier clicks as ``score``.
 
     Time is cut into blocks over which a weight falls by e^-30. Inside a block a running sum of
     weights counted from the block's start is exact to rounding, since all terms are positive.
     What earlier blocks leave is carried in from the 25 blocks before; beyond those a double's
-    exponential is zero anyway. So a hot item costs a sort, not labels x clicks.
+    exponential is zero anyway. So a hot item costs a sort, not labels x clicks. Both inputs are
+    read once, whatever the number of half-lives: rows are spread over them before they are sorted.
     """
-    if half_life_days <= 0:
+    if not half_lives_days or min(half_lives_days) <= 0:
         raise ValueError("a half-life must be positive")
-    rate = math.log(2) / (half_life_days * DAY_SECONDS)
-    block = max(1, math.floor(30 / rate))
+    rates = [(float(h), math.log(2) / (h * DAY_SECONDS)) for h in half_lives_days]
+    spread = F.explode(F.array(*[F.struct(F.lit(h).alias("half_life"), F.lit(r).alias("rate"), F.lit(max(1, math.floor(30 / r))).cast("long").alias("block")) for h, r in rates]))
 
     def timed(df: DataFrame) -> DataFrame:
-        out = df.withColumns({"__us": F.unix_micros("ts"), "__s": seconds(F.col("ts"))})
-        return out.withColumn("__b", F.floor(F.col("__s") / block)).withColumn("__in", F.col("__s") - F.col("__b") * block)
-
-    hits = timed(clicks.select("item_id", "ts")).groupBy("item_id", "__b", "__us", "__in").agg(F.count(F.lit(1)).alias("__n"))
-    hits = hits.withColumn("__w", F.col("__n") * F.exp(F.lit(rate) * F.col("__in")))
-    rows = timed(labels)
-    totals = hits.groupBy("item_id", "__b").agg(F.sum("__w").alias("__t"))
-    reach = totals.select("item_id", "__t", F.explode(F.sequence(F.lit(1), F.lit(25))).alias("__d"), "__b")
-    reach = reach.select("item_id", (F.col("__b") + F.col("__d")).alias("__b"), (F.col("__t") * F.exp(-F.lit(rate * block) * F.col("__d"))).alias("__c"))
-    carry = reach.groupBy("item_id", "__b").agg(F.sum("__c").alias("__carry"))
+        out = df.withColumns({"__us": F.unix_micros("ts"), "__s": seconds(F.col("ts")), "__h": spread})
+        return out.withColumn("__b", F.floor(F.col("__s") / F.col("__h.block"))).withColumn("__in", F.col("__s") - F.col("__b") * F.col("__h.block"))
+
+    key = ["item_id", "__h", "__b"]
+    rate, block = F.col("__h.rate"), F.col("__h.block")
+    hits = timed(clicks.select("item_id", "ts")).groupBy(*key, "__us", "__in").agg(F.count(F.lit(1)).alias("__n"))
+    hits = hits.withColumn("__w", F.col("__n") * F.exp(rate * F.col("__in")))
+    totals = hits.groupBy(*key).agg(F.sum("__w").alias("__t"))
+    reach = totals.select("item_id", "__h", "__t", F.explode(F.sequence(F.lit(1), F.lit(25))).alias("__d"), "__b")
+    reach = reach.select("item_id", "__h", (F.col("__b") + F.col("__d")).alias("__b"), (F.col("__t") * F.exp(-rate * block * F.col("__d"))).alias("__c"))
+    carry = reach.groupBy(*key).agg(F.sum("__c").alias("__carry"))
     own = F.struct(*[F.col(f"`{c}`") for c in labels.columns])
-    both = rows.select("item_id", "__b", "__us", "__in", own.alias("__row")).unionByName(hits.select("item_id", "__b", "__us", "__in", "__w"), allowMissingColumns=True)
-    before = Window.partitionBy("item_id", "__b").orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
+    both = timed(labels).select(*key, "__us", "__in", own.alias("__row")).unionByName(hits.select(*key, "__us", "__in", "__w"), allowMissingColumns=True)
+    before = Window.partitionBy(*key).orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
     both = both.withColumn("__sum", F.coalesce(F.sum("__w").over(before), F.lit(0.0))).where("__row is not null")
-    both = both.join(carry, ["item_id", "__b"], "left")
-    score = F.exp(-F.lit(rate) * F.col("__in")) * (F.col("__sum") + F.coalesce("__carry", F.lit(0.0)))
-    return both.select("__row.*", score.alias("score"))
+    both = both.join(carry, key, "left")
+    score = F.exp(-rate * F.col("__in")) * (F.col("__sum") + F.coalesce("__carry", F.lit(0.0)))
+    return both.select("__row.*", F.col("__h.half_life").alias("half_life"), score.alias("score"))
 
 
 def recent(labels: DataFrame, clicks: DataFrame) -> DataFrame:
