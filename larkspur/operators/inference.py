@@ -248,6 +248,21 @@ def gate(candidate: Mapping[str, float], baseline: Mapping[str, float], signific
     return out
 
 
+def gated(pairs: DataFrame, floor: float = 0.005, z: float = 1.96) -> DataFrame:
+    """(cohort, n, baseline, candidate, verdict) of rows (cohort, user_id, a, b), a user's baseline and candidate metric.
+
+    Users count alike. The verdict is ``fell`` for a drop over the floor, ``significant fall`` where the
+    whole interval of the paired difference lies below 0, ``not measured`` without a user, else ``ok``.
+    """
+    if floor < 0 or z <= 0:
+        raise ValueError("floor can't be negative, z must be positive")
+    users = pairs.groupBy("cohort", "user_id").agg(F.avg(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("a"))).alias("a"), F.avg(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("b"))).alias("b"))
+    gap = F.col("b") - F.col("a")
+    told = users.groupBy("cohort").agg(F.count(gap).alias("n"), F.avg("a").alias("baseline"), F.avg("b").alias("candidate"), F.avg(gap).alias("__d"), (F.stddev_samp(gap) / F.sqrt(F.count(gap))).alias("__e"))
+    verdict = F.when(F.col("n") == 0, "not measured").when(F.col("baseline") - F.col("candidate") > floor, "fell").when(F.col("__d") + z * F.coalesce("__e", F.lit(0.0)) < 0, "significant fall").otherwise("ok")
+    return told.select("cohort", "n", "baseline", "candidate", verdict.alias("verdict"))
+
+
 def quantile_bins(rows: DataFrame, value: str, bins: int) -> DataFrame:
     """``rows`` with ``bin``, by the distinct quantile edges of the value; the last bin holds its upper edge."""
     if bins < 1:

@@ -7,7 +7,7 @@ Only clicks strictly before a label's instant count.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,6 +82,26 @@ def recent(labels: DataFrame, clicks: DataFrame) -> DataFrame:
     return met.withColumn("score", F.coalesce(F.lit(1.0) / (1.0 + age), F.lit(0.0))).drop("__last")
 
 
+#: Scorers by name: whether they take a value, written name@value, and how they score labels by training rows.
+MODELS = {
+    "popular": (False, lambda labels, train, value: popular(labels, train)),
+    "recent": (False, lambda labels, train, value: recent(labels, train.where("clicked"))),
+    "decayed": (True, lambda labels, train, value: decayed(labels, train.where("clicked"), value)),
+}
+
+
+def named(spec: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """The scorer of a spec, as ``popular`` or ``decayed@3``: a function of labels and training rows."""
+    name, at, text = spec.partition("@")
+    if name not in MODELS:
+        raise ValueError(f"unknown model {name}; there are {', '.join(sorted(MODELS))}")
+    takes, score = MODELS[name]
+    if takes != bool(at):
+        raise ValueError(f"{name} needs a value, as {name}@3" if takes else f"{name} takes no value")
+    value = float(text) if takes else None
+    return lambda labels, train: score(labels, train, value)
+
+
 def click_stream(rows: DataFrame) -> DataFrame:
     """A user's clicks numbered from 1 in order of time, impression and item."""
     order = Window.partitionBy("user_id").orderBy("ts", "impression_id", "item_id")

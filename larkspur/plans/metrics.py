@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import digest_uniform
-from larkspur.operators import measure
+from larkspur.operators import inference, measure
 from larkspur.plans.examples import SPLIT_SQL, split_rows, test_rows
 from larkspur.registry import query
 from larkspur.sources.views import slates_li, table
@@ -145,6 +145,18 @@ def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_models(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a"), 9).alias("mean_a"), F.round(F.avg("b"), 9).alias("mean_b"), F.count_if(F.col("a") > F.col("b") + 1e-9).alias("a_wins"), F.count_if(F.col("b") > F.col("a") + 1e-9).alias("b_wins"))
 
 
+@query(
+    "quality_gate",
+    f"""WITH {TWO_SQL}, {MASK_SQL}, u AS (SELECT cohort, user_id, avg(a) AS a, avg(b) AS b FROM two JOIN masks USING (impression_id) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY cohort, user_id),
+m AS (SELECT cohort, count(*) AS n, avg(a) AS baseline, avg(b) AS candidate, avg(b - a) AS d, stddev_samp(b - a) / sqrt(count(*)) AS e FROM u GROUP BY cohort)
+SELECT cohort, n, round(baseline, 9) AS baseline, round(candidate, 9) AS candidate, CASE WHEN baseline - candidate > 0.005 THEN 'fell' WHEN d + 1.96 * coalesce(e, 0) < 0 THEN 'significant fall' ELSE 'ok' END AS verdict FROM m""",
+)
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the second scorer may replace the first, cohort by cohort."""
+    pairs = two_models(spark, sf_dir).join(measure.with_cohort(test_rows(spark, sf_dir)), "impression_id")
+    return _round(inference.gated(pairs), "baseline", "candidate")
+
+
 @query("paired_difference", f"WITH {TWO_SQL}, u AS (SELECT user_id, avg(a) AS a, avg(b) AS b FROM two GROUP BY user_id) SELECT count(*) AS users, round(avg(b - a), 9) AS mean_difference FROM u WHERE a IS NOT NULL AND b IS NOT NULL")
 def paired_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = two_models(spark, sf_dir).groupBy("user_id").agg(F.avg("a").alias("a"), F.avg("b").alias("b")).where("a is not null and b is not null")

@@ -66,6 +66,21 @@ def decay_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("half_life").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 9).alias("mean_score"), F.round(F.max("score"), 9).alias("top_score"))
 
 
+SPECS = ("popular", "decayed@0.25", "decayed@3")
+
+
+@query(
+    "models_by_spec",
+    f"""WITH {PARTS_SQL}, c AS (SELECT item_id, count(*) AS n FROM clicks_ev WHERE clicked GROUP BY item_id)
+SELECT 'popular' AS model, count(*) AS n, round(avg(coalesce(n, 0)), 9) AS mean_score FROM labels LEFT JOIN c USING (item_id) UNION ALL """ + " UNION ALL ".join(f"SELECT '{s}', count(*), round(avg(score), 9) FROM ({_decay_sql(float(s.partition('@')[2]))})" for s in SPECS[1:]),
+)
+def models_by_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scorers named by their specs, over the same labels."""
+    rows, events = labels(spark, sf_dir), clicks_ev(spark, sf_dir)
+    runs = [scoring.named(s)(rows, events).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 9).alias("mean_score")).select(F.lit(s).alias("model"), "n", "mean_score") for s in SPECS]
+    return reduce(DataFrame.unionByName, runs)
+
+
 @query(
     "score_recent",
     f"""WITH {PARTS_SQL} SELECT l.impression_id, l.item_id, round(coalesce(1.0 / (1.0 + (floor(epoch(l.ts))::BIGINT - max(floor(epoch(c.ts))::BIGINT)) / 86400.0::DOUBLE), 0.0), 9) AS score

@@ -357,6 +357,20 @@ def test_launch_rules():
     assert inference.gate({"overall": 0.52}, {"overall": 0.52}, {}, ["overall"]) == []
 
 
+def test_gates_by_cohort(spark):
+    rows = [("fell", u, 0.5, 0.4 + u / 1000) for u in range(9)] + [("ok", u, 0.5, 0.5 + (u % 2) / 9) for u in range(8)] + [("small", u, 0.5, 0.498 - u / 10_000) for u in range(9)] + [("none", 1, None, 0.2), ("one", 1, 0.5, 0.499)]
+    got = {r["cohort"]: (r["n"], r["verdict"]) for r in inference.gated(frame(spark, rows, "cohort string, user_id long, a double, b double")).collect()}
+    assert got == {"fell": (9, "fell"), "ok": (8, "ok"), "small": (9, "significant fall"), "none": (0, "not measured"), "one": (1, "significant fall")}
+
+
+def test_models_by_their_specs(spark):
+    for bad in ("other", "decayed", "popular@3"):
+        with pytest.raises(ValueError):
+            scoring.named(bad)
+    with pytest.raises(ValueError, match="half-life"):
+        scoring.named("decayed@-1")(frame(spark, [], "item_id long, ts timestamp"), frame(spark, [], "item_id long, ts timestamp, clicked boolean"))
+
+
 def test_chi_square_tails():
     known = {(3.841458820694124, 1): 0.05, (5.991464547107979, 2): 0.05, (7.814727903251179, 3): 0.05, (18.307038053275146, 10): 0.05, (24.99579013972863, 15): 0.05, (0.0, 4): 1.0, (1e-9, 9): 1.0, (700.0, 5): 0.0}
     for (x, df), p in known.items():
