@@ -12,6 +12,7 @@ from larkspur.operators import candidates, measure, quantised, scoring, transfor
 from larkspur.plans.metrics import vectors
 from larkspur.plans.scores import EDGES_SQL, PARTS_SQL, labels, top_edges, train
 from larkspur.registry import query
+from larkspur.sources.shared import staged
 from larkspur.sources.views import CLICKS_EV, clicks_ev, table
 
 K = 10
@@ -64,6 +65,19 @@ def knn_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantised.knn_ivfpq(_queries(spark, sf_dir), _items(spark, sf_dir), K)
 
 
+@query("ann_click_recall")
+def ann_click_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the items that requests clicked, the share in the exact list of their mean vector and in the index's."""
+    items, asked = _items(spark, sf_dir), mean_vectors(spark, sf_dir)
+    asked = staged(asked, "click-recall-queries")
+    hits = truth(spark, sf_dir).join(asked.select("request"), "request").join(items.select("item"), "item")
+    out = hits.agg(F.count(F.lit(1)).alias("clicks"))
+    for name, found in (("exact", candidates.knn_exact(asked, items, K)), ("index", quantised.knn_ivfpq(asked, items, K))):
+        got = hits.join(found.select("request", "item"), ["request", "item"]).agg(F.count(F.lit(1)).alias(f"{name}_hits"))
+        out = out.join(F.broadcast(got))  # one row each
+    return out.select("*", *[(F.col(f"{n}_hits") / F.greatest("clicks", F.lit(1))).alias(f"{n}_recall") for n in ("exact", "index")])
+
+
 REQ_SQL = f"""{PARTS_SQL}, req AS (SELECT user_id AS request, max(ts) AS ts FROM labels GROUP BY user_id),
 pop AS (SELECT item_id AS item, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, item_id)::INTEGER AS rank FROM train WHERE clicked GROUP BY item_id),
 s_trend AS (SELECT request, item, rank FROM req, pop WHERE rank <= {K}),
@@ -335,15 +349,33 @@ def slate_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ndcg", "distinct_items", F.round(F.col("distinct_items") / F.col("n"), 9).alias("coverage"), "tail_share")
 
 
+EPSILON, EXPLORED = 0.2, 2
+_DRAW = "('0x' || substr(md5('0:' || request::VARCHAR || ':' || ({slot})::VARCHAR || ':{salt}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def _draw(slot: str, n: str) -> str:
+    """The place among n open items that a slot takes: 0 but for exploration."""
+    return f"CASE WHEN {_DRAW.format(slot=slot, salt='explores')} < {EPSILON} THEN floor({_DRAW.format(slot=slot, salt='picks')} * {n})::BIGINT ELSE 0 END"
+
+
+#: Slots before the last two hold the best items; of these two, each takes the best open item or, with a probability, any open one.
+SLATES_SQL = f"""{POOL_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, item) AS r, count(*) OVER (PARTITION BY request) AS size FROM pool),
+slots AS (SELECT DISTINCT request, size, least(6, size) AS total, greatest(least(6, size) - {EXPLORED}, 0) AS sure FROM placed),
+late_one AS (SELECT *, {_draw("sure", "(size - sure)")} AS p1 FROM slots), late_two AS (SELECT *, CASE WHEN total - sure > 1 THEN {_draw("sure + 1", "(size - sure - 1)")} END AS p2, sure + 1 + p1 AS r1 FROM late_one),
+picked AS (SELECT *, sure + 1 + p2 + CASE WHEN p2 >= p1 THEN 1 ELSE 0 END AS r2 FROM late_two),
+slates AS (SELECT placed.request, item, CASE WHEN r <= sure THEN 1.0::DOUBLE WHEN r = r1 THEN {EPSILON} / (t.size - sure) + CASE WHEN p1 = 0 THEN {1 - EPSILON} ELSE 0 END ELSE {EPSILON} / (t.size - sure - 1) + CASE WHEN p2 = 0 THEN {1 - EPSILON} ELSE 0 END END AS propensity
+  FROM placed JOIN picked t USING (request) WHERE r <= sure OR r = r1 OR r = r2)"""
+
+
 @query(
     "slate_diversity",
-    f"""WITH {POOL_SQL}, v AS (SELECT vec_id AS item, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT request, item FROM (SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY score DESC, item) AS r FROM pool) JOIN v USING (item) WHERE r <= 6),
+    f"""WITH {SLATES_SQL}, v AS (SELECT vec_id AS item, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT request, item FROM slates JOIN v USING (item)),
 d AS (SELECT a.request, 1 - avg(list_cosine_similarity(va.e, vb.e)) AS d FROM s a JOIN s b ON a.request = b.request AND a.item < b.item JOIN v va ON va.item = a.item JOIN v vb ON vb.item = b.item GROUP BY a.request)
-SELECT round(avg(d), 6) AS diversity, 1.0::DOUBLE AS mean_propensity FROM d""",
+SELECT round(avg(d), 6) AS diversity, (SELECT round(avg(propensity), 9) FROM slates) AS mean_propensity FROM d""",
 )
 def slate_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean intra-list diversity of the slates by score, and the mean propensity, which is 1 without exploration."""
-    slates = candidates.greedy_slates(pool(spark, sf_dir), 6)
+    """Mean intra-list diversity of slates whose last two slots explore, and the mean propensity of what they show."""
+    slates = staged(candidates.greedy_slates(pool(spark, sf_dir), 6, epsilon=EPSILON, explore=EXPLORED), "slates")
     per = measure.diversity(slates.select(F.col("request").alias("impression_id"), F.col("item").alias("item_id")), vectors(spark, sf_dir))
     return per.agg(F.round(F.avg("diversity"), 6).alias("diversity")).join(F.broadcast(slates.agg(F.round(F.avg("propensity"), 9).alias("mean_propensity"))))  # one row each
 
