@@ -11,8 +11,8 @@ document, and numbers an item's documents. The score of a document m long is the
 item's terms once each, of w * ((10^9 * tf) div (1000 * tf + 20 * m)).
 
 Defined results: a null or empty text has no term and is never found; an item without terms, or
-whose terms no document holds, has no rows; rows of one id are documents of their own; a null id
-comes after others among equal scores; an empty table gives an empty result; extra columns are
+whose terms no document holds, has no rows; rows of one item id are one item; rows of one document
+id are documents of their own; a null id comes after others among equal scores; an empty table gives an empty result; extra columns are
 ignored. A very long text is a slice of its own.
 
 Cost: texts are read once and only terms that items have leave the workers (their hashes are sent
