@@ -552,6 +552,15 @@ def test_codes_in_lots_and_odd_sizes(spark, monkeypatch):
     assert [candidates.cells_for(n) for n in (1, 100, 1000, 10**6, 10**9)] == [1, 2, 25, 4000, 4096]
 
 
+def test_large_catalogues_go_through_the_index(spark):
+    rng = np.random.default_rng(8)
+    v = frame(spark, [(i, (lambda x: (x / np.linalg.norm(x)).tolist())(rng.normal(size=16))) for i in range(900)], "item long, vector array<double>")
+    asked = v.where("item % 30 = 0").withColumnRenamed("item", "request")
+    exact = candidates.knn_exact(asked, v, 5)
+    assert sorted(map(tuple, quantised.knn(asked, v, 5).collect())) == sorted(map(tuple, exact.collect()))
+    assert candidates.agreement(exact, quantised.knn(asked, v, 5, exact_below=100), 5).agg(F.avg("agreement")).first()[0] >= 0.9
+
+
 def test_tiles_hold_little_and_tie_by_item():
     import tracemalloc
 
