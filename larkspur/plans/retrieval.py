@@ -393,8 +393,8 @@ def bloom_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(50,), (200,), (1000,)], "capacity long").select("capacity", bits.alias("bits"), hashes.alias("hashes"))
 
 
-#: Items asked of each user's filter that the user never saw.
-ABSENT_ASKED = 20
+#: Items asked of each user's filter that the user never saw: enough to tell a rate of 0.01 even of a few users.
+ABSENT_ASKED = 200
 
 
 @query(
