@@ -38,7 +38,7 @@ from larkspur.llm.words import TERM, word_slices
 #: Rows of a table of terms that may be sent to every task: some 20 MB.
 MOST_SENT = 200_000
 BUCKETS = 256
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 _POSTING = "bucket int, term string, row long, id long, tf long, n long"
 
 
