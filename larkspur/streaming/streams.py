@@ -1,21 +1,21 @@
 """Streaming forms of the batch operators, and a replay source to run them over a table.
 
 What a key keeps is bounded: rows up to a watermark, a window, a fixed-size ring or the sessions of a day.
-The state of ``recent_items`` has one such entry for each user, for ever or up to a time to live.
+The state of ``recent_items`` has one such entry for each user, for ever or up to a time to live. Keyed state
+in Python is held by bucket of keys.
 """
 
 from __future__ import annotations
 
 import time
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from larkspur.functions.columns import bucket_close
 from larkspur.sources.shared import new_path, ship
@@ -24,6 +24,8 @@ from larkspur.sources.shared import new_path, ship
 LATENESS = "30 seconds"
 #: Where keyed state with timers lives.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Buckets that the state of seen items and of recent items is dealt over: a call of Python is dear, a row in it is not.
+SEEN_BUCKETS, RECENT_BUCKETS = 1 << 12, 1 << 11
 
 
 def replay(rows: DataFrame, order: str, chunks: int = 4) -> DataFrame:
@@ -81,11 +83,14 @@ def join_context(events: DataFrame, contexts: DataFrame, key: str = "request_id"
     return e.join(c, on).select("e.*", *[F.col(f"c.{x}") for x in contexts.columns if x not in (key, *events.columns)])
 
 
-_RECENT = "user_id BIGINT, last_items ARRAY<BIGINT>, session_length BIGINT, session_categories BIGINT, version BIGINT"
-_RECENT_STATE = "items ARRAY<BIGINT>, stamps ARRAY<BIGINT>, starts ARRAY<BIGINT>, ends ARRAY<BIGINT>, counts ARRAY<BIGINT>, categories ARRAY<ARRAY<STRING>>, version BIGINT"
+_RECENT = "user BIGINT, named BOOLEAN, last_items ARRAY<BIGINT>, session_length BIGINT, session_categories BIGINT, version BIGINT"
+_RECENT_STATE = (
+    "users ARRAY<BIGINT>, named ARRAY<BOOLEAN>, items ARRAY<ARRAY<BIGINT>>, stamps ARRAY<ARRAY<BIGINT>>, starts ARRAY<ARRAY<BIGINT>>, "
+    "ends ARRAY<ARRAY<BIGINT>>, counts ARRAY<ARRAY<BIGINT>>, categories ARRAY<ARRAY<ARRAY<STRING>>>, version BIGINT"
+)
 
 
-def recent_items(events: DataFrame, most: int = 50, gap_seconds: int = 1800, late_seconds: int = 86_400, ttl_seconds: int | None = None) -> DataFrame:
+def recent_items(events: DataFrame, most: int = 50, gap_seconds: int = 1800, late_seconds: int = 86_400, ttl_seconds: int | None = None, buckets: int = RECENT_BUCKETS) -> DataFrame:
     """Per user the last clicked items, most recent first, and the length and categories of the running session.
 
     State is a ring of the last ``most`` clicks by (time, item), and start, end, count and distinct
@@ -93,35 +98,55 @@ def recent_items(events: DataFrame, most: int = 50, gap_seconds: int = 1800, lat
     session is always among them, however many clicks it has. A user's row comes out anew, with a
     higher version, whenever clicks arrive. With ``ttl_seconds`` a user's state ends when the watermark,
     which ``events`` then needs on ts, has passed its newest click by so much; without it, state is
-    kept for every user ever seen.
+    kept for every user ever seen. Users share the state of their bucket, so that a batch has a call of
+    Python a bucket and not a user.
     """
     if ttl_seconds is not None and ttl_seconds <= 0:
         raise ValueError("ttl_seconds must be positive")
+    if buckets < 1:
+        raise ValueError("buckets must be positive")
     ship(events.sparkSession)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        items, stamps, starts, ends, counts, categories, version = state.get if state.exists else ([], [], [], [], [], [], 0)
-        ring = list(zip(stamps, items, strict=True))
-        spans = [(s, e, n, set(c)) for s, e, n, c in zip(starts, ends, counts, categories, strict=True)]
+        users, named, *lists, version = state.get if state.exists else ([], [], [], [], [], [], [], [], 0)
+        held = dict(zip(zip(named, users, strict=True), zip(*lists, strict=True), strict=True))
+        watermark = 0 if ttl_seconds is None else state.getCurrentWatermarkMs()
+        until = lambda newest: newest // 1000 + ttl_seconds * 1000
+        if ttl_seconds is not None:
+            held = {u: x for u, x in held.items() if until(x[1][-1]) + 1 > watermark}
+        came: dict[tuple, list[tuple]] = {}
         for b in batches:
-            us, item, category = b["us"].tolist(), b["item_id"].tolist(), b["category"].tolist()
-            ring = sorted(ring + list(zip(us, item, strict=True)))[-most:]
-            spans += [(t // 1_000_000, t // 1_000_000, 1, {c}) for t, c in zip(us, category, strict=True)]
-            spans = _joined(spans, gap_seconds)
+            for one, user, *click in zip(*[b[c].tolist() for c in ("named", "user", "us", "known", "item", "category")], strict=True):
+                came.setdefault((one, user), []).append(tuple(click))
         # A state that began anew goes on above its predecessor's versions, which the watermark has passed.
-        version = version + 1 if ttl_seconds is None else max(version + 1, state.getCurrentWatermarkMs())
-        spans = [s for s in spans if s[1] >= spans[-1][1] - gap_seconds - late_seconds]
-        state.update(([r[1] for r in ring], [r[0] for r in ring], [s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans], [list(s[3]) for s in spans], version))
+        version = max(version + 1, watermark)
+        out = []
+        for u, clicks in came.items():
+            items, stamps, starts, ends, counts, categories = held.get(u, ([], [], [], [], [], []))
+            ring = [(t, i is not None, i or 0) for t, i in zip(stamps, items, strict=True)]
+            ring = sorted(ring + [c[:3] for c in clicks])[-most:]
+            spans = [(s, e, n, set(c)) for s, e, n, c in zip(starts, ends, counts, categories, strict=True)]
+            spans = _joined(spans + [(c[0] // 1_000_000, c[0] // 1_000_000, 1, {c[3]}) for c in clicks], gap_seconds)
+            spans = [s for s in spans if s[1] >= spans[-1][1] - gap_seconds - late_seconds]
+            last = [r[2] if r[1] else None for r in ring]
+            held[u] = (last, [r[0] for r in ring], [s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans], [list(s[3]) for s in spans])
+            out.append((u[1], u[0], last[::-1], spans[-1][2], len(spans[-1][3] - {None}), version))
+        state.update(([u[1] for u in held], [u[0] for u in held], *map(list, zip(*held.values(), strict=True)), version))
         if ttl_seconds is not None:  # a click that comes after its own time to live ends with the next batch
-            state.setTimeoutTimestamp(max(ring[-1][0] // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"user_id": [key[0]], "last_items": [[r[1] for r in reversed(ring)]], "session_length": [spans[-1][2]], "session_categories": [len(spans[-1][3])], "version": [version]})
+            state.setTimeoutTimestamp(max(watermark, *[until(x[1][-1]) for x in held.values()]) + 1)
+        yield pd.DataFrame(out, columns=["user", "named", "last_items", "session_length", "session_categories", "version"])
 
     timeout = GroupStateTimeout.NoTimeout if ttl_seconds is None else GroupStateTimeout.EventTimeTimeout
-    clicks = events.where("clicked").select("user_id", "item_id", "category", *(["ts"] if ttl_seconds else []), F.unix_micros("ts").alias("us"))
-    return clicks.groupBy("user_id").applyInPandasWithState(update, _RECENT, _RECENT_STATE, "update", timeout)
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
+    clicks = events.where("clicked").select(
+        F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket"), whole("user_id").alias("user"), F.col("user_id").isNotNull().alias("named"), whole("item_id").alias("item"),
+        F.col("item_id").isNotNull().alias("known"), "category", *(["ts"] if ttl_seconds else []), F.unix_micros("ts").alias("us"),
+    )
+    told = clicks.groupBy("bucket").applyInPandasWithState(update, _RECENT, _RECENT_STATE, "update", timeout)
+    return told.select(F.when(F.col("named"), F.col("user")).alias("user_id"), "last_items", "session_length", "session_categories", "version")
 
 
 def _joined(spans: list[tuple[int, int, int, set]], gap_seconds: int) -> list[tuple[int, int, int, set]]:
@@ -137,58 +162,61 @@ def _joined(spans: list[tuple[int, int, int, set]], gap_seconds: int) -> list[tu
     return out
 
 
-_SEEN = "user_id BIGINT, item_id BIGINT, us BIGINT, seen BOOLEAN, version BIGINT"
+#: What showings of a bucket stand as: user, item, which of the two is null (1, 2, or 3: both), instant, as four numbers a row.
+_SEEN = "user BIGINT, item BIGINT, none BIGINT, us BIGINT, seen BOOLEAN, version BIGINT"
 
 
-class _Showings(StatefulProcessor):
-    """One user's showings of one item: instants that a row still to come can ask for."""
-
-    def __init__(self, ttl_seconds: int, late_seconds: int) -> None:
-        self._ttl, self._late = ttl_seconds * 1_000_000, late_seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._state = handle.getValueState("showings", "instants ARRAY<BIGINT>, version BIGINT")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        known, version = self._state.get() if self._state.exists() else ([], 0)
-        fresh = sorted({int(t) for b in rows for t in b["us"].tolist()})
-        every = sorted({*known, *fresh})
-        # A late showing may make the one after it seen, so that one is told anew.
-        at = {every[i] for t in fresh for i in (bisect_left(every, t), bisect_left(every, t) + 1) if i < len(every)}
-        told = [(t, i > 0 and t - every[i - 1] <= self._ttl) for i, t in enumerate(every) if t in at]
-        # Rows come late up to a bound: they ask for the last instant before it and all after it.
-        first = max(bisect_left(every, every[-1] - self._late) - 1, 0)
-        self._state.update((every[first:], version + 1))
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        end = max((every[-1] + self._ttl + self._late) // 1000, timerValues.getCurrentWatermarkInMs()) + 1
-        self._handle.registerTimer(end)
-        yield pd.DataFrame({"user_id": key[0], "item_id": key[1], "us": [t for t, _ in told], "seen": [s for _, s in told], "version": version + 1})
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._state.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def unseen(shown: DataFrame, ttl_seconds: int = 7 * 86_400, late_seconds: int = 3600) -> DataFrame:
+def unseen(shown: DataFrame, ttl_seconds: int = 7 * 86_400, late_seconds: int = 3600, buckets: int = SEEN_BUCKETS) -> DataFrame:
     """(user_id, item_id, ts, seen, version): whether the user was shown the item within the time to live before.
 
     One row per instant; of its rows the highest version holds, since a showing that comes late can
-    make a later one seen. ``shown`` has a watermark on ts. State is keyed by user and item, in
-    RocksDB: the instants of the last ``late_seconds`` and one before them. It ends when its last
-    instant is older than both bounds together, so a user's long list is never read or written whole.
+    make a later one seen. ``shown`` has a watermark on ts. State is keyed by a bucket of users and
+    items, in RocksDB: of each pair the instants of the last ``late_seconds`` and one before them. A
+    pair leaves when its last instant is older than both bounds together. A call of Python takes a
+    bucket's rows of a batch at once, so calls are bounded by the number of buckets.
     """
-    if ttl_seconds < 1 or late_seconds < 0:
-        raise ValueError("ttl_seconds must be positive, late_seconds not negative")
+    if ttl_seconds < 1 or late_seconds < 0 or buckets < 1:
+        raise ValueError("ttl_seconds and buckets must be positive, late_seconds not negative")
     ship(shown.sparkSession)
     shown.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = shown.select("user_id", "item_id", "ts", F.unix_micros("ts").alias("us"))
-    told = rows.groupBy("user_id", "item_id").transformWithStateInPandas(_Showings(ttl_seconds, late_seconds), _SEEN, "Append", "EventTime")
-    return told.select("user_id", "item_id", F.timestamp_micros("us").alias("ts"), "seen", "version")
+    ttl, late = ttl_seconds * 1_000_000, late_seconds * 1_000_000
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, version = state.get if state.exists else (b"", 0)
+        known = np.frombuffer(bytes(held), np.int64).reshape(-1, 4)
+        came = np.concatenate([b[["user", "item", "none", "us"]].to_numpy(np.int64) for b in batches])
+        every, fresh = np.concatenate((known, came)), np.repeat([False, True], [len(known), len(came)])
+        order = np.lexsort(every.T[[3, 2, 1, 0]])
+        every = every[order]
+        one = np.concatenate(([True], (every[1:] != every[:-1]).any(1)))
+        fresh, every = np.logical_or.reduceat(fresh[order], np.flatnonzero(one)), every[one]
+        us = every[:, 3]
+        after = np.concatenate(([False], (every[1:, :3] == every[:-1, :3]).all(1)))  # a row after another of its user and item
+        seen = after & (np.diff(us, prepend=us[0]) <= ttl)
+        # A late showing may make the one after it seen, so that one is told anew.
+        told = fresh | (after & np.concatenate(([False], fresh[:-1])))
+        starts = np.flatnonzero(~after)
+        sizes = np.diff(np.append(starts, len(us)))
+        last, watermark = us[starts + sizes - 1], state.getCurrentWatermarkMs()
+        end = np.maximum((last + ttl + late) // 1000, np.where(np.logical_or.reduceat(fresh, starts), watermark, 0)) + 1
+        # Rows come late up to a bound: they ask for the last instant before it and all after it, of pairs that have not ended.
+        near = us >= np.repeat(last - late, sizes)
+        keep = (near | np.concatenate((near[1:] & after[1:], [False]))) & np.repeat(end > watermark, sizes)
+        state.update((every[keep].tobytes(), version + 1))
+        state.setTimeoutTimestamp(int(end.max()))
+        columns = dict(zip(("user", "item", "none", "us"), every[told].T, strict=True))
+        yield pd.DataFrame({**columns, "seen": seen[told], "version": version + 1})
+
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
+    none = F.col("user_id").isNull().cast("long") + 2 * F.col("item_id").isNull().cast("long")
+    bucket = F.pmod(F.xxhash64("user_id", "item_id"), F.lit(buckets))
+    rows = shown.select(bucket.alias("bucket"), whole("user_id").alias("user"), whole("item_id").alias("item"), none.alias("none"), "ts", F.unix_micros("ts").alias("us"))
+    told = rows.groupBy("bucket").applyInPandasWithState(update, _SEEN, "rows BINARY, version BIGINT", "append", GroupStateTimeout.EventTimeTimeout)
+    known = [F.when(F.col("none").bitwiseAND(bit) == 0, F.col(c)).alias(f"{c}_id") for c, bit in (("user", 1), ("item", 2))]
+    return told.select(*known, F.timestamp_micros("us").alias("ts"), "seen", "version")
 
 
 def keep_last(stream: DataFrame, table: str, size: int, order: list[str]) -> Callable[[DataFrame, int], None]:

@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from larkspur import registry
 from larkspur.operators import measure
@@ -84,3 +85,41 @@ def test_running_session_beyond_the_ring(spark):
     assert (rows[1]["session_length"], rows[1]["session_categories"]) == (130, 41)
     assert (rows[2]["session_length"], rows[2]["session_categories"]) == (60, 1)
     assert rows[1]["last_items"] == rows[2]["last_items"] == list(range(129, 79, -1))
+
+
+def _two_waves(spark, chunks=2):
+    """3,000 users with two showings of each of two items, and one user without an id; a null item is shown, too."""
+    rows = spark.range(12_000).select(
+        F.when(F.col("id") % 12_000 != 7, F.col("id") % 3000).alias("user_id"), F.when(F.col("id") != 11, F.col("id") % 2).alias("item_id"), F.lit("c").alias("category"), F.lit(True).alias("clicked"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / 3000) * 60).alias("ts"),
+    )
+    return rows, streams.replay(rows, "ts", chunks).withWatermark("ts", streams.LATENESS)
+
+
+def _state_rows(monkeypatch):
+    """The most rows of keyed state that streams started from here on hold."""
+    queries, start = [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **k: queries.append(start(self, *a, **k)) or queries[-1])
+    return lambda: max(o["numRowsTotal"] for q in queries for p in q.recentProgress for o in p["stateOperators"])
+
+
+def test_seen_items_share_the_state_of_a_bucket(spark, monkeypatch):
+    """Calls of Python are bounded by buckets, not by pairs of user and item."""
+    rows, stream = _two_waves(spark)
+    state = _state_rows(monkeypatch)
+    told = streams.drained(streams.unseen(stream, buckets=16), "append", "shared").groupBy("user_id", "item_id", "ts").agg(F.max_by("seen", "version").alias("seen"))
+    assert state() <= 4 * 16
+    rows.createOrReplaceTempView("waves")
+    want = spark.sql("""SELECT user_id, item_id, ts, coalesce(unix_micros(ts) - unix_micros(lag(ts) OVER (PARTITION BY user_id, item_id ORDER BY ts)) <= 7 * 86400000000, false) AS seen
+        FROM (SELECT DISTINCT user_id, item_id, ts FROM waves)""")
+    assert told.exceptAll(want).isEmpty() and want.exceptAll(told).isEmpty()
+
+
+def test_recent_items_share_the_state_of_a_bucket(spark, monkeypatch):
+    rows, stream = _two_waves(spark)
+    state = _state_rows(monkeypatch)
+    got = streams.drained(streams.recent_items(stream, ttl_seconds=86_400, buckets=16), "update", "shared", ["user_id"], "version").select("user_id", "last_items", "session_length")
+    assert state() <= 2 * 16
+    listed = F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("ts", F.col("item_id").isNotNull().alias("known"), "item_id")))), lambda x: x["item_id"])
+    want = rows.groupBy("user_id").agg(listed.alias("last_items"), F.count(F.lit(1)).alias("session_length"))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == 3001
