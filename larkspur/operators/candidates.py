@@ -50,23 +50,85 @@ def winners(score, request: np.ndarray, item: np.ndarray, k: int) -> tuple[np.nd
     out = []
     for a in range(0, len(request), TILE_Q):
         b = min(a + TILE_Q, len(request))
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # row, place of the item, score
+        held, floor = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], np.full(b - a, -np.inf)  # row, place of the item, score
         for c in range(0, len(item), TILE_I):
             d = min(c + TILE_I, len(item))
             scores = score(a, b, order[c:d])
-            if d - c > k:
-                row, at = np.nonzero(scores >= np.partition(scores, d - c - k, axis=1)[:, d - c - k, None])
-            else:
-                row, at = np.nonzero(np.ones(scores.shape, bool))
+            # Below the last of a full list nothing is taken, so later tiles are only compared.
+            least = floor if c else (np.partition(scores, d - c - k, axis=1)[:, d - c - k] if d - c > k else floor)
+            row, at = np.nonzero(scores >= least[:, None])
             held = [np.concatenate(x) for x in zip(held, (row, at + c, scores[row, at]), strict=True)]
             first = np.lexsort((held[1], -held[2], held[0]))
             starts = np.searchsorted(held[0][first], np.arange(b - a))
-            first = first[np.arange(len(first)) - starts[held[0][first]] < k]
-            held = [x[first] for x in held]
+            place = np.arange(len(first)) - starts[held[0][first]]
+            held = [x[first[place < k]] for x in held]
+            floor[held[0][place[place < k] == k - 1]] = held[2][place[place < k] == k - 1]
         out.append((request[a:b][held[0]], item[order][held[1]], held[2]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    out = q @ v.T
+    return np.round(out, 9, out=out)
+
+
+#: Items a block of an index, and scores of a tile of queries that wait to be merged.
+LOT, WAITING = 10_000, 1_000_000
+
+
+def probed(scorer, q: np.ndarray, centres: np.ndarray, probes: int, cell: np.ndarray, item: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of q, place, score) by tiles of queries: the ``most`` best by (score desc, item) of the items in the ``probes`` nearest cells of each query.
+
+    ``scorer(tile, near)`` gives the scores of some of a tile's rows with some places of one cell; ``near`` has the products with the centres.
+    """
+    order = np.lexsort((item, cell))
+    ends = np.searchsorted(cell[order], np.arange(len(centres) + 1))
+    for a in range(0, len(q), TILE_Q):
+        tile = q[a : a + TILE_Q]
+        near = tile @ centres.T
+        chosen = np.full(near.shape, probes >= len(centres))
+        if probes < len(centres):
+            np.put_along_axis(chosen, np.argpartition(-near, probes - 1, axis=1)[:, :probes], True, 1)
+        score, floor, waiting = scorer(tile, near), np.full(len(tile), -np.inf), 0
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+        def merge(floor: np.ndarray, held: list) -> None:
+            row, at, worth = (np.concatenate(x) for x in zip(*held, strict=True))
+            first = np.lexsort((item[at], -worth, row))
+            place = np.arange(len(first)) - np.searchsorted(row[first], row[first])
+            first, place = first[place < most], place[place < most]
+            held[:] = [(row[first], at[first], worth[first])]
+            floor[held[0][0][place == most - 1]] = held[0][2][place == most - 1]
+
+        for c in np.flatnonzero(np.diff(ends)).tolist():
+            asks = np.flatnonzero(chosen[:, c])
+            for b in range(ends[c], ends[c + 1] if len(asks) else ends[c], TILE_I):
+                places = order[b : min(b + TILE_I, ends[c + 1])]
+                worth = score(asks, places, c)
+                row, at = np.nonzero(worth >= floor[asks, None])
+                held.append((asks[row], places[at], worth[row, at]))
+                waiting += len(row)
+                if waiting > WAITING:
+                    merge(floor, held)
+                    waiting = 0
+        merge(floor, held)
+        yield held[0][0] + a, held[0][1], held[0][2]
+
+
+def in_blocks(queries: DataFrame, items: DataFrame, n_queries: int, best) -> DataFrame:
+    """(request, item, score) of ``best(asked, there)`` over every block of ``queries`` with every lot of ``items``, which has a column lot."""
+    blocks = max(1, -(-n_queries // LOT))
+    lots = items.select("lot").distinct()
+    asked = queries.select("request", "vector", F.pmod(F.xxhash64("request"), F.lit(blocks)).cast("int").alias("__q")).join(F.broadcast(lots.withColumnRenamed("lot", "__b")))  # a row a lot
+    there = items.withColumnRenamed("lot", "__b").withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return asked.groupBy("__q", "__b").cogroup(there.groupBy("__q", "__b")).applyInArrow(best, "request long, item long, score double")
+
+
+def lot_of(n: int, size: int) -> Column:
+    """The lot of an item among n: by its hash, so that a cell of many items lies in all lots."""
+    return F.pmod(F.xxhash64("item"), F.lit(max(1, -(-n // size)))).cast("int").alias("lot")
+
+
 def _found(request: np.ndarray, item: np.ndarray, score: np.ndarray) -> pa.Table:
     return pa.table({"request": pa.array(request, pa.int64()), "item": pa.array(item, pa.int64()), "score": pa.array(score, pa.float64())})
 
@@ -79,7 +141,7 @@ def _block_winners(k: int):
             return _found(*[np.zeros(0)] * 3)
         q, v = matrix(asked["vector"]), matrix(there["vector"])
         # Rounded, so that equal vectors tie wherever they stand in a product.
-        score = lambda a, b, at: np.round(q[a:b] @ v[at].T, 9)
+        score = lambda a, b, at: _products(q[a:b], v[at])
         return _found(*winners(score, np.asarray(asked["request"]), np.asarray(there["item"]), k))
 
     return best
@@ -162,6 +224,7 @@ def knn_ivf(queries: DataFrame, items: DataFrame, k: int, cells: int | None = No
 
     Without ``cells`` there are as many as ``cells_for`` says; where that is one, the search is exact.
     Without ``probes`` there are as many as a sample of the queries needs to reach ``recall``.
+    A block of queries meets each lot of items once and sends on k rows a query, however many cells it looks into.
     """
     items, queries = staged(items.select("item", "vector"), "ivf-items"), staged(queries.select("request", "vector"), "ivf-queries")
     n = items.count()
@@ -171,9 +234,21 @@ def knn_ivf(queries: DataFrame, items: DataFrame, k: int, cells: int | None = No
     centres, placed = ivf_cells(items, cells, seed)
     placed = staged(placed, "ivf-placed")
     probes = probes or probes_for(queries, items, placed, centres, k, recall)
-    asked = _cells_by_nearness(queries, centres).select("request", F.col("vector").alias("__q"), F.explode(F.slice("near", 1, probes)).alias("cell"))
-    scored = asked.join(placed.withColumnRenamed("vector", "__v"), "cell").select("request", "item", dot(F.col("__q"), F.col("__v")).alias("score"))
-    return top_k(scored, k)
+
+    def best(asked: pa.Table, there: pa.Table) -> pa.Table:
+        if not asked.num_rows or not there.num_rows:
+            return _found(*[np.zeros(0)] * 3)
+        q, v, request, item = matrix(asked["vector"]), matrix(there["vector"]), np.asarray(asked["request"]), np.asarray(there["item"])
+        scorer = lambda tile, near: lambda rows, places, cell: _products(tile[rows], v[places])
+        parts = list(probed(scorer, q, centres, probes, np.asarray(there["cell"]), item, k))
+        row, at, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return _found(request[row], item[at], score)
+
+    ship(queries.sparkSession)
+    plain = [F.col("vector").cast("array<double>").alias("vector")]
+    asked = queries.select(F.col("request").cast("long").alias("request"), *plain)
+    there = placed.select(F.col("item").cast("long").alias("item"), "cell", *plain, lot_of(n, LOT))
+    return top_k(in_blocks(asked, there, queries.count(), best), k)
 
 
 def agreement(a: DataFrame, b: DataFrame, k: int) -> DataFrame:

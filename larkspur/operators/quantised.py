@@ -3,12 +3,12 @@
 Items lie in cells by their nearest centre. What a vector is beyond its centre is cut into
 sub-vectors, and each is stored as one byte, the nearest of 256 code vectors learned for its place.
 A query looks into the cells nearest to it; there a score is the product with the centre plus one
-number of a small table for each byte. The best by these scores are scored anew with their whole
-vectors.
+number of a small table for each byte. The best of a lot by these scores are scored anew with their
+whole vectors where the lot is read, so a query sends on k rows a lot.
 
 Centres and code vectors are learned from a bounded sample; every item is coded. The codes are a
-stored table (cell, lot, item, code) that grows by a byte a sub-vector and an id an item. Cells of
-many items are cut into lots, so a task holds one lot and the queries that look into its cell.
+stored table (lot, item, cell, code, vector) that grows by a byte a sub-vector, an id and the vector an
+item. Lots are cut by a hash of the item, so a task holds one lot, a part of every cell, and a block of queries.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators.candidates import _cells_by_nearness, _found, cells_for, ivf_cells, knn_exact, matrix, probes_for, top_k, winners
+from larkspur.operators.candidates import _found, cells_for, in_blocks, ivf_cells, knn_exact, lot_of, matrix, probed, probes_for, top_k
 from larkspur.sources.shared import ship, staged
 
 CODES = 256
-#: Items a lot, queries of a lot at a time, and vectors that code vectors are learned from.
-LOT, SAMPLE = 50_000, 20_000
+#: Items a lot, and vectors that code vectors are learned from.
+LOT, SAMPLE = 10_000, 20_000
 
 
 @dataclass
@@ -85,16 +85,14 @@ def build(items: DataFrame, parts: int = 16, cells: int | None = None, seed: int
             if b.num_rows:
                 table = pa.Table.from_batches([b])
                 code = encoded(matrix(table["vector"]) - centres[np.asarray(table["cell"])], codebooks)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in code], pa.binary())], ["item", "cell", "code"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in code], pa.binary()), b.column(2)], ["item", "cell", "code", "vector"])
 
-    codes = placed.select("item", F.col("cell").cast("int").alias("cell"), "vector").mapInArrow(run, "item long, cell int, code binary")
-    sizes = placed.groupBy(F.col("cell").cast("int").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
-    codes = codes.join(F.broadcast(sizes), "cell")  # a row a cell, of which there are at most MOST_CELLS
-    return Index(centres, codebooks, staged(codes.select("cell", F.pmod(F.xxhash64("item"), F.col("lots")).cast("int").alias("lot"), "item", "code"), "pq-codes"), vectors)
+    codes = placed.select("item", F.col("cell").cast("int").alias("cell"), "vector").mapInArrow(run, "item long, cell int, code binary, vector array<double>")
+    return Index(centres, codebooks, staged(codes.select(lot_of(n, LOT), "item", "cell", "code", "vector"), "pq-codes"), vectors)
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int | None = None, rescored: int = 16, recall: float = 0.95) -> DataFrame:
-    """(request, item, score, rank): the k best of the ``rescored`` x k items that the codes call best.
+    """(request, item, score, rank): the k best of the ``rescored`` x k items of each lot that the codes call best.
 
     Without ``probes`` there are as many cells as a sample of the queries needs to hold ``recall`` of their lists.
     """
@@ -105,30 +103,35 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = None,
     if probes is None:
         placed = index.codes.select("item", "cell")
         probes = probes_for(queries, index.vectors, placed, index.centres, k, recall)
-    lots = index.codes.select(F.col("cell").alias("at"), F.col("lot").alias("part")).distinct()
-    asked = _cells_by_nearness(queries, index.centres).select("request", "vector", F.explode(F.slice("near", 1, probes)).alias("at")).join(lots, "at")
     centres, codebooks, most = index.centres, index.codebooks, k * rescored
 
     def best(asked: pa.Table, there: pa.Table) -> pa.Table:
         if not asked.num_rows or not there.num_rows:
             return _found(*[np.zeros(0)] * 3)
-        q = matrix(asked["vector"])
+        q, v, request, item = matrix(asked["vector"]), matrix(there["vector"]), np.asarray(asked["request"]), np.asarray(there["item"])
         code = np.frombuffer(b"".join(there["code"].to_pylist()), np.uint8).reshape(there.num_rows, -1)
-        base = q @ centres[asked["at"][0].as_py()]
 
-        def score(a: int, b: int, at: np.ndarray) -> np.ndarray:
-            out = np.repeat(base[a:b, None], len(at), 1)
-            for j, book in enumerate(codebooks):
-                out += (q[a:b, j * book.shape[1] : (j + 1) * book.shape[1]] @ book.T)[:, code[at, j]]
-            return out
+        def scorer(tile: np.ndarray, near: np.ndarray):
+            width = codebooks.shape[2]
+            told = [tile[:, j * width : (j + 1) * width] @ book.T for j, book in enumerate(codebooks)]
 
-        return _found(*winners(score, np.asarray(asked["request"]), np.asarray(there["item"]), most))
+            def score(rows: np.ndarray, places: np.ndarray, cell: int) -> np.ndarray:
+                out = np.repeat(near[rows, cell][:, None], len(places), 1)
+                for j, products in enumerate(told):
+                    out += products[np.ix_(rows, code[places, j])]
+                return out
 
-    groups = [asked.groupBy("at", "part"), index.codes.groupBy("cell", "lot")]
-    near = top_k(groups[0].cogroup(groups[1]).applyInArrow(best, "request long, item long, score double"), most).select("request", "item")
-    met = near.join(queries.withColumnRenamed("vector", "__q"), "request").join(index.vectors.withColumnRenamed("vector", "__v"), "item")
-    product = F.aggregate(F.zip_with("__q", "__v", lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)
-    return top_k(met.select("request", "item", F.round(product, 9).alias("score")), k)
+            return score
+
+        out = []
+        for row, at, _ in probed(scorer, q, centres, probes, np.asarray(there["cell"]), item, most):
+            worth = np.concatenate([np.einsum("nd,nd->n", q[row[a : a + 20_000]], v[at[a : a + 20_000]]) for a in range(0, len(row), 20_000)] or [np.zeros(0)]).round(9)
+            first = np.lexsort((item[at], -worth, row))
+            first = first[np.arange(len(first)) - np.searchsorted(row[first], row[first]) < k]
+            out.append((request[row[first]], item[at[first]], worth[first]))
+        return _found(*[np.concatenate(x) for x in zip(*out, strict=True)])
+
+    return top_k(in_blocks(queries, index.codes, queries.count(), best), k)
 
 
 def knn_ivfpq(queries: DataFrame, items: DataFrame, k: int, parts: int = 16, cells: int | None = None, probes: int | None = None) -> DataFrame:

@@ -1,11 +1,12 @@
 """Queries whose results have to hold the whole of a larger or odder table."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from larkspur import registry
-from larkspur.operators import measure
+from larkspur.operators import candidates, measure, quantised
 from larkspur.streaming import streams
 
 QUERIES = registry.queries()
@@ -123,3 +124,33 @@ def test_recent_items_share_the_state_of_a_bucket(spark, monkeypatch):
     listed = F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("ts", F.col("item_id").isNotNull().alias("known"), "item_id")))), lambda x: x["item_id"])
     want = rows.groupBy("user_id").agg(listed.alias("last_items"), F.count(F.lit(1)).alias("session_length"))
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == 3001
+
+
+def test_probed_cells_are_searched_whole(monkeypatch):
+    """Scores of many cells are merged a few at a time; what comes out is the best of all that the probed cells hold."""
+    rng = np.random.default_rng(4)
+    v, q, centres = rng.normal(size=(900, 8)), rng.normal(size=(70, 8)), rng.normal(size=(30, 8))
+    v[800:] = v[0]
+    cell, item = (v @ centres.T).argmax(1), rng.permutation(900)
+    for name, value in (("TILE_Q", 32), ("TILE_I", 50), ("WAITING", 500)):
+        monkeypatch.setattr(candidates, name, value)
+    scorer = lambda tile, near: lambda rows, places, c: candidates._products(tile[rows], v[places])
+    got = [np.concatenate(x) for x in zip(*candidates.probed(scorer, q, centres, 9, cell, item, 12), strict=True)]
+    for r in range(len(q)):
+        near = np.isin(cell, np.argsort(-(centres @ q[r]))[:9])
+        want = sorted((-round(float(s), 9), int(i)) for s, i in zip(v[near] @ q[r], item[near], strict=True))[:12]
+        assert item[got[1][got[0] == r]].tolist() == [i for _, i in want]
+
+
+def test_an_index_sends_on_k_rows_a_query_and_lot(spark, monkeypatch):
+    """However many cells a query looks into: with rows a query and cell, large indexes filled the disk."""
+    rng = np.random.default_rng(9)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(800, 8)))], "item long, vector array<double>")
+    asked = v.where("item < 20").withColumnRenamed("item", "request")
+    sent, top = [], candidates.top_k
+    for module in (candidates, quantised):
+        monkeypatch.setattr(module, "top_k", lambda rows, k, *a, **b: sent.append(rows.count()) or top(rows, k, *a, **b))
+    exact = {(r["request"], r["item"]) for r in candidates.knn_exact(asked, v, 5).collect()}
+    for found in (candidates.knn_ivf(asked, v, 5, cells=16, probes=16), quantised.knn_ivfpq(asked, v, 5, parts=2, cells=16, probes=16)):
+        assert len(exact & {(r["request"], r["item"]) for r in found.collect()}) >= 0.9 * len(exact)
+    assert sent == [100, 100, 100]
