@@ -509,3 +509,15 @@ def bloom_positions(user: Column, item: Column, bits: int | Column, hashes: int
     # The two numbers are made once, as a lambda's argument.
     spots = F.transform(F.array(step), lambda h: F.transform(F.sequence(F.lit(0), F.lit(hashes) - 1), lambda i: F.pmod(h["a"] + i * h["b"], F.lit(bits)).cast("int")))
     return F.get(spots, F.lit(0))
+
+
+def bit_words(bits: Column) -> Column:
+    """An aggregate of rows (at, word), a row a word of 64 bits that has any: all words of a set of ``bits`` bits in order."""
+    held = F.map_from_entries(F.collect_list(F.struct("at", "word")))
+    return F.transform(F.sequence(F.lit(0), F.floor((F.first(bits) - 1) / 64).cast("int")), lambda i: F.coalesce(F.try_element_at(held, i), F.lit(0).cast("long")))
+
+
+def bit_set(words: Column, bit: Column) -> Column:
+    """Whether a bit of such a set is set."""
+    place = F.get(words, F.floor(bit / 64).cast("int"))
+    return F.call_function("getbit", place, F.pmod(bit, F.lit(64)).cast("int")) == 1

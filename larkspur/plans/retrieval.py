@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.columns import cosine, digest_number, digest_uniform
+from larkspur.functions.columns import cosine, digest_uniform
 from larkspur.operators import candidates, measure, quantised, scoring, transform
 from larkspur.plans.metrics import vectors
 from larkspur.plans.scores import EDGES_SQL, PARTS_SQL, labels, top_edges, train
 from larkspur.registry import query
 from larkspur.sources.shared import staged
-from larkspur.sources.views import CLICKS_EV, clicks_ev, table
+from larkspur.sources.views import CLICKS_EV, asked_items, clicks_ev, table
 
 K = 10
 
@@ -393,36 +393,40 @@ def bloom_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(50,), (200,), (1000,)], "capacity long").select("capacity", bits.alias("bits"), hashes.alias("hashes"))
 
 
-#: Items asked of each user's filter that the user never saw: enough to tell a rate of 0.01 even of a few users.
-ABSENT_ASKED = 200
-
-
 @query(
     "bloom_membership",
     f"""WITH {CLICKS_EV}, seen AS (SELECT DISTINCT user_id, item_id FROM clicks_ev WHERE item_id IS NOT NULL),
 n AS (SELECT user_id, count(*) AS n FROM seen GROUP BY user_id), b AS (SELECT user_id, n, ceil(-n * ln(0.01::DOUBLE) / pow(ln(2::DOUBLE), 2))::BIGINT AS bits FROM n),
 sizes AS (SELECT user_id, bits, greatest(1, round(bits / n * ln(2::DOUBLE)))::INTEGER AS hashes FROM b),
-absent AS (SELECT user_id, (SELECT max(item_id) FROM seen) + 1 + ('0x' || substr(md5(user_id::VARCHAR || ':' || j::VARCHAR || ':ask'), 1, 8))::BIGINT AS item_id FROM sizes, unnest(range(0, {ABSENT_ASKED})) AS t(j)),
-asked AS (SELECT user_id, item_id, true AS own FROM seen UNION ALL SELECT user_id, item_id, false FROM absent),
-h AS (SELECT user_id, item_id, own, bits, hashes, ('0x' || substr(md5(user_id::VARCHAR || ':' || item_id::VARCHAR || ':a'), 1, 8))::BIGINT AS x, ('0x' || substr(md5(user_id::VARCHAR || ':' || item_id::VARCHAR || ':b'), 1, 8))::BIGINT | 1 AS y FROM asked JOIN sizes USING (user_id)),
-spots AS (SELECT user_id, item_id, own, (x + i * y) % bits AS bit FROM h, unnest(range(0, hashes)) AS t(i)),
-sets AS (SELECT DISTINCT user_id, bit FROM spots WHERE own),
-told AS (SELECT user_id, item_id, own, bool_and(sets.bit IS NOT NULL) AS called FROM spots LEFT JOIN sets USING (user_id, bit) GROUP BY user_id, item_id, own)
-SELECT count(*) FILTER (own AND NOT called) AS missed, round(avg(CASE WHEN NOT own THEN called::INTEGER::DOUBLE END), 9) AS false_positive_rate FROM told""",
+items AS (SELECT DISTINCT item_id FROM seen), every AS (SELECT item_id FROM items UNION ALL SELECT item_id + (SELECT max(item_id) - min(item_id) + 1 FROM items) FROM items),
+h AS (SELECT user_id, item_id, bits, hashes, ('0x' || substr(md5(user_id::VARCHAR || ':' || item_id::VARCHAR || ':a'), 1, 8))::BIGINT AS x, ('0x' || substr(md5(user_id::VARCHAR || ':' || item_id::VARCHAR || ':b'), 1, 8))::BIGINT | 1 AS y FROM sizes, every),
+spots AS (SELECT user_id, item_id, (x + i * y) % bits AS bit FROM h, unnest(range(0, hashes)) AS t(i)),
+sets AS (SELECT DISTINCT user_id, bit FROM spots SEMI JOIN seen USING (user_id, item_id)),
+told AS (SELECT user_id, item_id, bool_and(sets.bit IS NOT NULL) AS called FROM spots LEFT JOIN sets USING (user_id, bit) GROUP BY user_id, item_id)
+SELECT count(*) FILTER (s.item_id IS NOT NULL AND NOT called) AS missed, round(avg(CASE WHEN s.item_id IS NULL THEN called::INTEGER::DOUBLE END), 9) AS false_positive_rate FROM told LEFT JOIN seen s USING (user_id, item_id)""",
 )
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's seen list as a bit set: asked for the user's own items, and for some that nobody saw, chosen by a hash."""
-    seen = clicks_ev(spark, sf_dir).where("item_id is not null").select("user_id", "item_id").distinct()
+    """Each user's seen list as a bit set, and the rate at which items not in it are called seen: every item of the log and as many others are asked of every user.
+
+    A bit set is an array of words, so an item is looked up where its bits lie. What is called of all
+    items and of the user's own are counted apart, so the pairs of users and items are never joined.
+    """
+    seen = staged(clicks_ev(spark, sf_dir).where("item_id is not null").select("user_id", "item_id").distinct(), "bloom-seen")
     bits, hashes = candidates.bloom_size(F.col("n"), 0.01)
     sizes = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", bits.alias("bits"), hashes.alias("hashes"))
     spots = candidates.bloom_positions(F.col("user_id"), F.col("item_id"), F.col("bits"), F.col("hashes"))
-    sets = seen.join(sizes, "user_id").select("user_id", "bits", "hashes", F.explode(spots).alias("bit")).groupBy("user_id", "bits", "hashes").agg(F.collect_set("bit").alias("set"))
-    top = seen.agg((F.max("item_id") + 1).alias("from"))
-    draw = F.transform(F.sequence(F.lit(0), F.lit(ABSENT_ASKED - 1)), lambda j: digest_number(F.col("user_id").cast("string"), j.cast("string"), F.lit("ask")))
-    absent = sizes.join(F.broadcast(top)).select("user_id", "from", F.explode(draw).alias("x")).select("user_id", (F.col("from") + F.col("x")).alias("item_id"), F.lit(False).alias("own"))  # one row
-    asked = seen.withColumn("own", F.lit(True)).unionByName(absent.distinct()).join(sets, "user_id")
-    told = asked.select("own", (F.size(F.array_except(spots, "set")) == 0).alias("called"))
-    return told.agg(F.count_if(F.col("own") & ~F.col("called")).alias("missed"), F.round(F.avg(F.when(~F.col("own"), F.col("called").cast("double"))), 9).alias("false_positive_rate"))
+    words = seen.join(sizes, "user_id").select("user_id", "bits", "hashes", F.explode(spots).alias("bit"))
+    words = words.groupBy("user_id", "bits", "hashes", F.floor(F.col("bit") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("word"))
+    sets = words.groupBy("user_id", "bits", "hashes").agg(candidates.bit_words(F.col("bits")).alias("words"))
+    sets = staged(sets, "bloom-sets")
+    called = F.forall(spots, lambda x: candidates.bit_set(F.col("words"), x))
+    count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(f"{name}_n"), F.count_if(called).alias(f"{name}_called"))
+    own = count(seen.join(sets, "user_id"), "own")
+    # Few bytes make many rows: both sides are dealt out by number, as the planner goes by bytes and sends one of them whole.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    told = count(sets.repartition(tasks, "user_id").crossJoin(asked_items(spark, sf_dir).repartition(tasks, "item_id")), "every").join(F.broadcast(own))  # one row each
+    others = F.try_divide((F.col("every_called") - F.col("own_called")).cast("double"), F.col("every_n") - F.col("own_n"))
+    return told.select((F.col("own_n") - F.col("own_called")).alias("missed"), F.round(others, 9).alias("false_positive_rate"))
 
 
 @query(

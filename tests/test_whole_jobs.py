@@ -7,6 +7,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from larkspur import registry
 from larkspur.operators import candidates, measure, quantised
+from larkspur.sources.views import clicks_ev
 from larkspur.streaming import streams
 
 QUERIES = registry.queries()
@@ -154,3 +155,16 @@ def test_an_index_sends_on_k_rows_a_query_and_lot(spark, monkeypatch):
     for found in (candidates.knn_ivf(asked, v, 5, cells=16, probes=16), quantised.knn_ivfpq(asked, v, 5, parts=2, cells=16, probes=16)):
         assert len(exact & {(r["request"], r["item"]) for r in found.collect()}) >= 0.9 * len(exact)
     assert sent == [100, 100, 100]
+
+
+def test_filters_are_asked_for_every_item(spark, sf_dir, tmp_path, monkeypatch):
+    """Every user's filter is asked for every item of the log and as many others, and a bit set is as a list of bits says."""
+    asked, whole = [], registry.queries()["bloom_membership"].__wrapped__.__globals__["asked_items"]
+    monkeypatch.setitem(registry.queries()["bloom_membership"].__wrapped__.__globals__, "asked_items", lambda *a: asked.append(whole(*a)) or asked[-1])
+    row = QUERIES["bloom_membership"](spark, sf_dir).first()
+    assert row["missed"] == 0
+    clicks = clicks_ev(spark, sf_dir)
+    assert [a.count() for a in asked] == [2 * clicks.select("item_id").distinct().count()]
+    rows = spark.createDataFrame([(0, (1 << 62) | 1), (2, -(1 << 63))], "at int, word long").withColumn("bits", F.lit(200))
+    got = rows.agg(candidates.bit_words(F.col("bits")).alias("w")).select(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: candidates.bit_set(F.col("w"), i)).alias("x")).first()["x"]
+    assert [i for i, x in enumerate(got) if x] == [0, 62, 191]
