@@ -9,6 +9,7 @@ from larkspur.operators import features, timeline, transform
 from larkspur.operators.timeline import Series
 from larkspur.plans.series import CLICKS_EV, FLOOR, ITEM_RATE_SQL, ITEM_SQL, PRIOR_SQL, USER_CAT_SQL, USER_RATE_SQL, USER_SQL, item_series, user_series
 from larkspur.registry import query
+from larkspur.sources.shared import staged
 from larkspur.sources.views import SLATES_LI, clicks_ev, slates_li
 
 ITEM_COLUMNS = ("item_impressions_24h", "item_clicks_24h", "item_age_hours", "item_ctr_smoothed")
@@ -219,7 +220,11 @@ def boundaries(rows: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
 def split_rows(rows: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
     """``rows`` with split, by the earliest instant of their impression, so that a slate stays whole."""
     anchored = rows.withColumn("__a", F.min("ts").over(Window.partitionBy("impression_id")))
-    met = anchored.join(F.broadcast(boundaries(rows, holdout_days)))  # one row
+    return _by_anchor(anchored, boundaries(rows, holdout_days))
+
+
+def _by_anchor(anchored: DataFrame, ends: DataFrame) -> DataFrame:
+    met = anchored.join(F.broadcast(ends))  # one row
     name = F.when(F.col("__a") < F.col("t1"), "train").when(F.col("__a") < F.col("t2"), "val").otherwise("test")
     return met.withColumn("split", name).drop("__a", "t1", "t2")
 
@@ -232,8 +237,19 @@ def with_cohorts(rows: DataFrame, train: DataFrame) -> DataFrame:
     return out.withColumns({"is_cold_user": F.col("__u").isNull(), "is_cold_item": F.col("__i").isNull()}).drop("__u", "__i")
 
 
+def slate_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``split_rows`` of the slates without their categories, joined once and stored, so that every use reads them and joins nothing."""
+    rows = slates_li(spark, sf_dir, catalogued=False)
+    kept = staged(rows.withColumn("__a", F.min("ts").over(Window.partitionBy("impression_id"))), "slates")
+    return _by_anchor(kept, boundaries(kept))
+
+
 def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = split_rows(slates_li(spark, sf_dir))
+    return test_of(slate_splits(spark, sf_dir))
+
+
+def test_of(rows: DataFrame) -> DataFrame:
+    """Test rows of a split table, flagged by its training rows."""
     return with_cohorts(rows.where("split = 'test'"), rows.where("split = 'train'"))
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.columns import digest_number
 from larkspur.operators import contracts, inference, measure
-from larkspur.plans.examples import SPLIT_SQL, split_rows, test_rows
+from larkspur.plans.examples import SPLIT_SQL, slate_splits, test_of
 from larkspur.plans.experiments import BOOT_SQL, REPLICATES
 from larkspur.plans.metrics import MASK_SQL, SCORED_SQL, K, hash_score, scored
 from larkspur.registry import query
+from larkspur.sources.shared import dealt
 from larkspur.sources.views import CLICKS_EV, SLATES_LI, clicks_ev, slates_li, table
 
 COHORTS = ("overall", "warm_user", "cold_user", "warm_item", "cold_item")
@@ -64,8 +65,9 @@ SELECT model, """
 )
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GAUC of several models by cohort: the models are stacked, so slates and cohorts are made once."""
-    train = split_rows(slates_li(spark, sf_dir)).where("split = 'train' and clicked").groupBy("item_id").agg(F.count(F.lit(1)).alias("x"))
-    rows = test_rows(spark, sf_dir)
+    split = slate_splits(spark, sf_dir)
+    train = split.where("split = 'train' and clicked").groupBy("item_id").agg(F.count(F.lit(1)).alias("x"))
+    rows = test_of(split)
     met = rows.join(train, "item_id", "left")
     models = {"random": hash_score(), "popular": F.coalesce("x", F.lit(0)).cast("double")}
     stacked = met.select("impression_id", "clicked", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), s.alias("score")) for m, s in models.items()])))
@@ -110,29 +112,30 @@ UNION ALL SELECT 'history_shared', CASE WHEN (SELECT count(*) FROM te SEMI JOIN
 def table_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations of the expectations on keys, vocabularies, references, dense ids, slates and splits."""
     raw, lines, parts = table(spark, sf_dir, "events"), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    vectors, clicks, split = table(spark, sf_dir, "embeddings"), clicks_ev(spark, sf_dir), split_rows(slates_li(spark, sf_dir))
+    vectors, clicks, split = table(spark, sf_dir, "embeddings"), clicks_ev(spark, sf_dir), slate_splits(spark, sf_dir)
+    orders, n, n_events = table(spark, sf_dir, "orders"), lines.count(), raw.count()
     null = lambda *cs: F.greatest(*[F.col(c).isNull() for c in cs]) if len(cs) > 1 else F.col(cs[0]).isNull()
     value = F.col("value")
-    slates = slates_li(spark, sf_dir).groupBy("impression_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("low"))
-    sides = split.groupBy("impression_id").agg((F.min("split") < F.max("split")).alias("two"))
+    # Slots are counted one by one first, so that a slate is grouped and not gathered; its lines are dealt once.
+    slots = dealt(split.select("impression_id", "slot", "split"), n, "impression_id").groupBy("impression_id", "slot").agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("a"), F.max("split").alias("b"))
+    slates = slots.groupBy("impression_id").agg(F.sum("n").alias("n"), F.count("slot").alias("slots"), F.min("slot").alias("low"), (F.min("a") < F.max("b")).alias("two"))
     # A (user, item) pair clicked in both splits: one grouping of both, not a join.
-    pairs = split.where("clicked").groupBy("user_id", "item_id").agg(F.bool_or(F.col("split") == "train").alias("old"), F.bool_or(F.col("split") == "test").alias("new"))
+    pairs = dealt(split.where("clicked").select("user_id", "item_id", "split"), n, "user_id", "item_id").groupBy("user_id", "item_id").agg(F.bool_or(F.col("split") == "train").alias("old"), F.bool_or(F.col("split") == "test").alias("new"))
     return contracts.union(
         contracts.rows_where(clicks, {"event_without_key": null("impression_id", "user_id", "ts"), "event_without_item": null("item_id")}),
         contracts.rows_where(raw, {"event_type_unknown": ~F.col("event_type").isin(*EVENT_TYPES), "event_value_not_finite": F.isnan(value) | (F.abs(value) == float("inf"))}),
         contracts.totals(clicks, {"event_click_rate": ~F.avg(F.col("clicked").cast("int")).between(*CLICK_RATE)}),
-        contracts.duplicate_keys(raw, "event_key_twice", ["event_id"]),
+        contracts.duplicate_keys(dealt(raw.select("event_id"), n_events, "event_id"), "event_key_twice", ["event_id"]),
         contracts.rows_where(lines, {"line_flag_unknown": ~F.col("l_returnflag").isin(*FLAGS)}),
-        contracts.orphans(lines, "line_without_order", "l_orderkey", table(spark, sf_dir, "orders"), "o_orderkey"),
-        contracts.orphans(lines, "line_without_part", "l_partkey", parts, "p_partkey"),
-        contracts.orphans(table(spark, sf_dir, "orders"), "order_without_customer", "o_custkey", table(spark, sf_dir, "customer"), "c_custkey"),
+        contracts.orphans(dealt(lines.select("l_orderkey"), n, "l_orderkey"), "line_without_order", "l_orderkey", orders, "o_orderkey"),
+        contracts.orphans(dealt(lines.select("l_partkey"), n, "l_partkey"), "line_without_part", "l_partkey", parts, "p_partkey"),
+        contracts.orphans(orders, "order_without_customer", "o_custkey", table(spark, sf_dir, "customer"), "c_custkey"),
         contracts.duplicate_keys(parts, "part_twice", ["p_partkey"]),
         contracts.rows_where(parts, {"part_without_category": null("p_brand", "p_type")}),
         contracts.totals(parts, {"part_ids_not_dense": F.max("p_partkey") - F.min("p_partkey") + 1 != F.count_distinct("p_partkey")}),
         contracts.duplicate_keys(vectors, "embedding_twice", ["vec_id"]),
         contracts.rows_where(vectors, {"embedding_size": F.size("embedding") != 64}),
-        contracts.rows_where(slates, {"slate_short": F.col("n") < 2, "slate_slot_twice": F.col("slots") < F.col("n"), "slate_slot_negative": F.col("low") < 0}),
-        contracts.rows_where(sides, {"slate_in_two_splits": F.col("two")}),
+        contracts.rows_where(slates, {"slate_short": F.col("n") < 2, "slate_slot_twice": F.col("slots") < F.col("n"), "slate_slot_negative": F.col("low") < 0, "slate_in_two_splits": F.col("two")}),
         contracts.totals(split, {"split_times_cross": F.max(F.when(F.col("split") == "train", F.col("ts"))) >= F.min(F.when(F.col("split") == "test", F.col("ts")))}),
         contracts.totals(pairs, {"history_shared": F.count_if(F.col("old") & F.col("new")) > SHARED * F.count_if("new")}),
     )

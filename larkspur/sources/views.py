@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.sources.shared import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; timestamps without a zone are taken in the session's."""
@@ -27,17 +29,20 @@ def asked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.unionByName(items.join(F.broadcast(ends)).select((F.col("item_id") + F.col("by")).alias("item_id")))  # one row
 
 
-def slates_li(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (order, part): slates of several items that share one timestamp."""
+def slates_li(spark: SparkSession, sf_dir: str, catalogued: bool = True) -> DataFrame:
+    """One row per (order, part): slates of several items that share one timestamp, dealt by impression_id.
+
+    A slate's lines meet in one task from the join on, so what is grouped by impression later isn't
+    shuffled again. With ``catalogued`` false the same rows come without category and subcategory.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
-    shown = lines.groupBy("l_orderkey", "l_partkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("clicked"), (F.min("l_linenumber") - 1).alias("slot"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    met = shown.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return met.select(
-        F.col("l_orderkey").alias("impression_id"), F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), F.col("p_brand").alias("category"),
-        F.col("p_type").alias("subcategory"), "clicked", "slot", F.col("o_orderdate").alias("ts"),
-    )
+    kinds = ["p_brand", "p_type"] if catalogued else ["kind"]  # parts of one key are told apart by a hash of both
+    parts = table(spark, sf_dir, "part").withColumn("kind", F.xxhash64(F.coalesce("p_brand", F.lit("\1")), F.lit("\0"), F.coalesce("p_type", F.lit("\1")))).select("p_partkey", *kinds)
+    met = dealt(lines.join(parts, F.col("l_partkey") == F.col("p_partkey")), lines.count(), "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    shown = met.groupBy("l_orderkey", "o_custkey", "l_partkey", *kinds, "o_orderdate").agg(F.bool_or(F.col("l_returnflag") == "R").alias("clicked"), (F.min("l_linenumber") - 1).alias("slot"))
+    of_item = [F.col("p_brand").alias("category"), F.col("p_type").alias("subcategory")] if catalogued else []
+    return shown.select(F.col("l_orderkey").alias("impression_id"), F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), *of_item, "clicked", "slot", F.col("o_orderdate").alias("ts"))
 
 
 def behaviours(slates: DataFrame) -> DataFrame:
