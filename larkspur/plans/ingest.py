@@ -181,13 +181,18 @@ UNION ALL SELECT 'straddling_slates', (SELECT count(*) FROM (SELECT 1 FROM slate
 UNION ALL SELECT 'uncatalogued_items', count(*) FILTER (category IS NULL) FROM slates_li""",
 )
 def data_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of each expectation, from one grouping by slate and one by key."""
+    """Violations of each expectation: one pass over the slates, summed by key, by slate and then together."""
     rows = slates_li(spark, sf_dir)
-    bad = F.sum(F.when(F.col("impression_id").isNull() | F.col("user_id").isNull() | F.col("item_id").isNull(), 1).otherwise(0))
-    rate = F.avg(F.col("clicked").cast("int"))
-    whole = rows.agg(bad.alias("null_keys"), F.when(rate.between(0.01, 0.5), 0).otherwise(1).alias("click_rate"), F.count_if(F.col("category").isNull()).alias("uncatalogued_items"))
-    keys = rows.groupBy("impression_id", "item_id").count().agg(F.count_if(F.col("count") > 1).alias("duplicate_keys"))
-    slates = rows.groupBy("impression_id").agg(F.count(F.lit(1)).alias("n"), (F.min("ts") < F.max("ts")).alias("wide"))
-    slates = slates.agg(F.count_if(F.col("n") < 2).alias("short_slates"), F.count_if("wide").alias("straddling_slates"))
-    parts = [df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("contract"), F.col(c).cast("long").alias("violations")) for c in df.columns]))) for df in (whole, keys, slates)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    none = F.col("impression_id").isNull() | F.col("user_id").isNull() | F.col("item_id").isNull()
+    keys = rows.groupBy("impression_id", "item_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(none).alias("null_keys"), F.count_if("clicked").alias("hit"), F.count("clicked").alias("told"),
+        F.count_if(F.col("category").isNull()).alias("uncatalogued_items"), F.min("ts").alias("first"), F.max("ts").alias("last"),
+    )
+    added = ("n", "null_keys", "hit", "told", "uncatalogued_items")
+    slates = keys.groupBy("impression_id").agg(*[F.sum(c).alias(c) for c in added], F.count_if(F.col("n") > 1).alias("duplicate_keys"), (F.min("first") < F.max("last")).alias("wide"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    whole = slates.agg(
+        total("null_keys"), total("duplicate_keys"), F.when(F.try_divide(F.sum("hit"), F.sum("told")).between(0.01, 0.5), 0).otherwise(1).alias("click_rate"),
+        F.count_if(F.col("n") < 2).alias("short_slates"), F.count_if("wide").alias("straddling_slates"), total("uncatalogued_items"),
+    )
+    return whole.select(F.inline(F.array(*[F.struct(F.lit(c).alias("contract"), F.col(c).cast("long").alias("violations")) for c in whole.columns])))
