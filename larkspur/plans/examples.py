@@ -9,7 +9,7 @@ from larkspur.operators import features, timeline, transform
 from larkspur.operators.timeline import Series
 from larkspur.plans.series import CLICKS_EV, FLOOR, ITEM_RATE_SQL, ITEM_SQL, PRIOR_SQL, USER_CAT_SQL, USER_RATE_SQL, USER_SQL, item_series, user_series
 from larkspur.registry import query
-from larkspur.sources.shared import staged
+from larkspur.sources.shared import dealt, staged
 from larkspur.sources.views import SLATES_LI, clicks_ev, slates_li
 
 ITEM_COLUMNS = ("item_impressions_24h", "item_clicks_24h", "item_age_hours", "item_ctr_smoothed")
@@ -185,8 +185,9 @@ def pad_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT impression_id, user_id, shown_idx, any_click, neg_idx FROM s LEFT JOIN neg USING (impression_id)""",
 )
 def request_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = slates_li(spark, sf_dir)
-    rows = rows.join(transform.dense_ids(rows, "item_id", "item_idx"), "item_id")
+    rows = staged(slates_li(spark, sf_dir, catalogued=False).drop("ts"), "request-slates")
+    # The slates are dealt once by impression; shown and negative lists and their join stay in that task.
+    rows = dealt(rows.join(transform.dense_ids(rows, "item_id", "item_idx"), "item_id"), rows.count(), "impression_id")
     shown = rows.groupBy("impression_id", "user_id").agg(F.sort_array(F.collect_list(F.struct("slot", "item_id", "item_idx"))).alias("l"), F.bool_or("clicked").alias("any_click"))
     shown = shown.select("impression_id", "user_id", F.transform("l", lambda x: x["item_idx"]).alias("shown_idx"), "any_click")
     return shown.join(transform.slate_negatives(rows).select("impression_id", "neg_idx"), "impression_id", "left")
