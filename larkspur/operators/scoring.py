@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.columns import DAY_SECONDS, dot, seconds
 from larkspur.operators.timeline import Series, attach_asof
+from larkspur.sources.shared import staged
 
 #: Words without a topic (fixed values).
 STOP_TERMS = (
@@ -184,7 +185,7 @@ def tokenize(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def tfidf(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, weight) with weight tf x ln(N / df), unsmoothed."""
     tf = tokenize(rows, id_col, text_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = staged(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")  # of known size: a small vocabulary is sent to the rows, not the rows to it
     n = rows.agg(F.count_distinct(id_col).cast("double").alias("n"))
     met = tf.join(df, "term").join(F.broadcast(n))  # one row
     return met.select(id_col, "term", (F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("weight"))

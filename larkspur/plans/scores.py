@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.columns import digest_uniform
 from larkspur.operators import scoring
 from larkspur.registry import query
+from larkspur.sources.shared import dealt
 from larkspur.sources.views import CLICKS_EV, SLATES_LI, clicks_ev, slates_li, table
 
 CUT = "2024-01-16"
@@ -156,16 +157,26 @@ def _tfidf_sql(source: str, ident: str, text: str) -> str:
 weights AS (SELECT {ident}, term, tf * ln((SELECT count(DISTINCT {ident}) FROM {source})::DOUBLE / df) AS weight FROM tf JOIN df USING (term))"""
 
 
+#: Terms of a text, about, for the number of tasks.
+TERMS_A_TEXT = 100
+
+
+def _dealt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) dealt by doc_id: texts are shuffled and not their terms, which are far larger."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dealt(docs, docs.count() * TERMS_A_TEXT, "doc_id")
+
+
 @query("tokenize", f"WITH {_terms_sql('documents', 'doc_id', 'text')} SELECT doc_id, count(*) AS n_terms, count(DISTINCT term) AS n_distinct FROM terms GROUP BY doc_id")
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = scoring.tokenize(table(spark, sf_dir, "documents"), "doc_id", "text")
+    terms = scoring.tokenize(_dealt_documents(spark, sf_dir), "doc_id", "text")
     per = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("doc_id").agg(F.sum("n").alias("n_terms"), F.count(F.lit(1)).alias("n_distinct"))
 
 
 @query("tfidf_weights", f"WITH {_tfidf_sql('documents', 'doc_id', 'text')} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
+    return scoring.tfidf(_dealt_documents(spark, sf_dir), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
 S_CUT = "2001-01-01"

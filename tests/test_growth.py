@@ -4,8 +4,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur import registry
+from larkspur.functions.columns import digest_uniform
+from larkspur.operators import inference
 from larkspur.sources import shared, views
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -44,3 +47,22 @@ def test_tasks_of_slates_grow_in_number(spark, sf_dir, monkeypatch, catalogued):
     n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     assert rows.rdd.getNumPartitions() == -(-n // 100)
     assert "hashpartitioning(impression_id" not in rows.groupBy("impression_id").count()._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["tokenize", "tfidf_weights"])
+def test_texts_are_dealt_and_not_their_terms(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id#" in plan
+    assert not [line for line in plan.splitlines() if "hashpartitioning(doc_id" in line and "term#" in line]
+
+
+def test_the_hash_of_a_bootstrap_counts_as_its_number_does(spark):
+    u = digest_uniform(F.col("id").cast("string"), F.lit("7"))
+    want = sum(((u >= c).cast("int") for c in inference._poisson_one()[:8]), F.lit(0))
+    rows = spark.range(20_000).select(want.alias("a"), inference.poisson_weight(F.col("id"), F.lit(7)).alias("b"))
+    assert rows.where("a <> b").count() == 0 and rows.agg(F.max("b")).first()[0] >= 5
+    assert inference.poisson_weight(F.lit("x"), F.lit(1))._jc.toString().count("conv(") == 0
+
+
+def test_a_bootstrap_of_impressions_is_dealt(spark, sf_dir):
+    assert "hashpartitioning(event_id" in QUERIES["bootstrap_impressions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
