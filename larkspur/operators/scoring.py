@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.columns import DAY_SECONDS, dot, seconds
 from larkspur.operators.timeline import Series, attach_asof
-from larkspur.sources.shared import staged
+from larkspur.sources.shared import dealt, staged
 
 #: Words without a topic (fixed values).
 STOP_TERMS = (
@@ -22,6 +22,9 @@ STOP_TERMS = (
     "that", "the", "they", "this", "to", "was", "were", "will", "with", "you", "your",
 )
 
+#: Terms of an item's title, about, for the number of tasks.
+TERMS_A_TITLE = 10
+
 MAX_GAP_SECONDS, MAX_RANK_GAP, TOP_RELATED, BACKWARD = 3600, 30, 50, 0.5
 
 
@@ -196,17 +199,30 @@ def content(labels: DataFrame, train: DataFrame, catalogue: DataFrame, text_col:
 
     The profile is never built: its product with an item is a running sum by (user, term), and its
     squared length grows with each click by 2 S w + w^2, where S is the term's sum before it.
+
+    Labels and clicks meet their item's terms once and are dealt by user once; what follows stays in
+    that task. The number of tasks follows the number of terms, so that a task's memory doesn't grow.
     """
-    weights = tfidf(catalogue, "item_id", text_col).where("weight <> 0").select("item_id", F.col("term").alias("key"), F.col("weight").alias("w"))
-    adds = prior_clicks(labels, train).join(weights, "item_id").groupBy("user_id", "key", "ts").agg(F.sum("w").alias("w"))
-    keyed = labels.select(*_LABEL).distinct()
-    dots = _earlier_dot(keyed.join(weights.withColumnRenamed("w", "v"), "item_id").select(*_LABEL, "key", "v"), adds)
-    order = Window.partitionBy("user_id", "key").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    grown = adds.withColumn("__s", F.coalesce(F.sum("w").over(order), F.lit(0.0))).groupBy("user_id", "ts").agg(F.sum(2 * F.col("__s") * F.col("w") + F.col("w") * F.col("w")).alias("w"))
-    size = _earlier_dot(keyed.select(*_LABEL, F.lit("").alias("key"), F.lit(1.0).alias("v")), grown.withColumn("key", F.lit(""))).withColumnRenamed("dot", "__p")
-    items = weights.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__n"))
-    out = labels.join(dots, _LABEL, "left").join(size, _LABEL, "left").join(items, "item_id", "left")
-    return out.withColumn("score", F.coalesce(F.try_divide("dot", F.col("__n") * F.sqrt("__p")), F.lit(0.0))).drop("dot", "__n", "__p")
+    texts = dealt(catalogue.select("item_id", text_col), catalogue.count() * TERMS_A_TITLE, "item_id")
+    weights = tfidf(texts, "item_id", text_col).where("weight <> 0")
+    terms = staged(weights.groupBy("item_id").agg(F.collect_list(F.struct(F.col("term").alias("__key"), F.col("weight").alias("__w"))).alias("__terms"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("__n")), "item-terms")
+    hit = F.coalesce(F.col("clicked") & F.col("user_id").isNotNull() & F.col("ts").isNotNull(), F.lit(False)).alias("__hit")
+    own = F.struct(*[F.col(f"`{c}`") for c in labels.columns]).alias("__row")
+    rows = labels.select("user_id", "ts", "item_id", hit, own).unionByName(train.where("clicked").select("user_id", "ts", "item_id", hit), allowMissingColumns=True)
+    n, width = rows.count(), terms.agg(F.avg(F.size("__terms"))).first()[0] or 1.0
+    met = dealt(rows, n, "item_id").join(terms, "item_id", "left")
+    # Labels and clicks of one user, instant and item are one row, whose score they share.
+    met = dealt(met.withColumn("__us", F.unix_micros("ts")), math.ceil(n * max(1.0, width)), "user_id").groupBy("user_id", "__us", "item_id")
+    one = met.agg(F.bool_or("__hit").alias("__hit"), F.collect_list("__row").alias("__rows"), F.first("__terms").alias("__terms"), F.first("__n").alias("__n"))
+    time = Window.partitionBy("user_id", "__key").orderBy("__us")
+    spread = one.select("user_id", "__us", "item_id", "__hit", "__rows", "__n", F.inline_outer("__terms"))
+    added = F.when(F.col("__hit"), F.col("__w"))
+    spread = spread.withColumns({"__before": F.sum(added).over(time.rangeBetween(Window.unboundedPreceding, -1)), "__now": F.sum(added).over(time.rangeBetween(0, 0))})
+    grown = added * (2 * F.coalesce("__before", F.lit(0.0)) + F.col("__now"))
+    back = spread.groupBy("user_id", "__us", "item_id").agg(F.first("__rows").alias("__rows"), F.first("__n").alias("__n"), F.sum(F.col("__w") * F.col("__before")).alias("__dot"), F.sum(grown).alias("__grown"))
+    length = F.sum("__grown").over(Window.partitionBy("user_id").orderBy("__us").rangeBetween(Window.unboundedPreceding, -1))
+    score = F.coalesce(F.try_divide("__dot", F.col("__n") * F.sqrt("__length")), F.lit(0.0))
+    return back.withColumn("__length", length).where(F.size("__rows") > 0).select(F.inline("__rows"), score.alias("score"))
 
 
 def als_factors(train: DataFrame, rank: int = 32, reg: float = 0.1, iterations: int = 10, alpha: float = 40.0, seed: int = 42):

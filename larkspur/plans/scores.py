@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.columns import digest_uniform
 from larkspur.operators import scoring
 from larkspur.registry import query
-from larkspur.sources.shared import dealt
+from larkspur.sources.shared import dealt, staged
 from larkspur.sources.views import CLICKS_EV, SLATES_LI, clicks_ev, slates_li, table
 
 CUT = "2024-01-16"
@@ -189,7 +189,8 @@ dots AS (SELECT l.impression_id, l.item_id, sum(w.weight * p.w) AS d FROM lab l
 
 @query("content_score", f"WITH {CONTENT_SQL} SELECT l.impression_id, l.item_id, round(coalesce(d / (cn.n * pn.n), 0.0), 9) AS score FROM lab l LEFT JOIN dots USING (impression_id, item_id) LEFT JOIN cn USING (item_id) LEFT JOIN pn USING (user_id, ts)")
 def content_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = slates_li(spark, sf_dir)
+    shown = slates_li(spark, sf_dir, catalogued=False).select("impression_id", "user_id", "item_id", "clicked", "ts")
+    rows = staged(shown.where(f"clicked or ts >= timestamp'{S_CUT}'"), "content-slates")  # labels, and the clicks of the rest
     catalogue = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"))
     return _told(scoring.content(rows.where(f"ts >= timestamp'{S_CUT}'"), rows.where(f"ts < timestamp'{S_CUT}'"), catalogue))
 

@@ -1,6 +1,8 @@
 """Tasks that stay as small as they are when tables grow, and odd rows on the way."""
 
+import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur import registry
 from larkspur.functions.columns import digest_uniform
-from larkspur.operators import inference
+from larkspur.operators import inference, scoring
 from larkspur.sources import shared, views
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -66,3 +68,23 @@ def test_the_hash_of_a_bootstrap_counts_as_its_number_does(spark):
 
 def test_a_bootstrap_of_impressions_is_dealt(spark, sf_dir):
     assert "hashpartitioning(event_id" in QUERIES["bootstrap_impressions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_content_scores_are_dealt_by_user_once(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 500)
+    df = QUERIES["content_score"](spark, sf_dir)
+    assert df.rdd.getNumPartitions() > 4
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"hashpartitioning\(user_id[^)]*\)", plan))) == 1 and "hashpartitioning(impression_id" not in plan
+    same_as_sql(spark, sf_dir, "content_score")
+
+
+def test_content_scores_of_rows_without_user_or_item(spark):
+    rows = [(1, 7, 1, True, 10), (2, 7, 2, False, 20), (2, 7, 2, False, 20), (3, None, 1, True, 10), (4, None, 1, False, 20), (5, 7, None, False, 30), (6, 7, 9, False, 30), (7, 7, 1, False, None)]
+    rows = spark.createDataFrame(rows, "impression_id long, user_id long, item_id long, clicked boolean, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    catalogue = spark.createDataFrame([(1, "red bolt"), (2, "red ring"), (3, "blue plate")], "item_id long, title string")
+    got = scoring.content(rows, rows.where("false"), catalogue)
+    red, rare = math.log(3 / 2), math.log(3)
+    cosine = red**2 / (red**2 + rare**2)
+    assert got.columns == [*rows.columns, "score"]
+    assert sorted((r["impression_id"], r["score"]) for r in got.collect()) == [(1, 0.0), (2, pytest.approx(cosine)), (2, pytest.approx(cosine)), (3, 0.0), (4, 0.0), (5, 0.0), (6, 0.0), (7, 0.0)]
