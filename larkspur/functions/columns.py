@@ -32,9 +32,14 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def digest_digits(*parts: Column) -> Column:
+    """The eight hexadecimal digits of ``digest_number``, whose order is that of the numbers."""
+    return F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8)
+
+
 def digest_number(*parts: Column) -> Column:
     """A non-negative 32-bit number from an MD5 over the parts; any engine can make it again."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
+    return F.conv(digest_digits(*parts), 16, 10).cast("long")
 
 
 def digest_uniform(*parts: Column) -> Column:

@@ -6,7 +6,7 @@ exploration are filled slot by slot; Arrow batches hold many requests, which adv
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import digest_number, digest_uniform, dot
-from larkspur.sources.shared import ship, staged
+from larkspur.sources.shared import dealt, ship, staged
 
 #: Rank of an item that a source didn't return.
 ABSENT = 10_000
@@ -453,45 +453,54 @@ def replay_unseen(pools: DataFrame, k: int, ttl_seconds: int | None = None) -> D
     A slate depends on the slates before, so a user's requests go through one task in order; they are
     streamed, sorted, and the task holds one pool and the items that this user was served.
     """
+    best = F.col("score").cast("double")
+    best = F.when(F.isnan(best), F.lit(None)).otherwise(best)
+    place = F.struct(best.isNull().alias("none"), (-best).alias("by"), F.col("item").cast("long").alias("item"))
+    lists = pools.repartition("user_id").groupBy("user_id", "ts", "request").agg(F.sort_array(F.collect_list(place)).alias("pool"))
+    return _replayed(lists.withColumn("pool", F.transform("pool", lambda x: x["item"])), k, ttl_seconds)
+
+
+def replay_ranked(requests: DataFrame, rank: Callable[[DataFrame], DataFrame], k: int, ttl_seconds: int | None = None) -> DataFrame:
+    """``replay_unseen`` over requests that hold their whole pool in a row.
+
+    ``requests``: user_id, request, ts and what ``rank`` needs, which adds ``pool``, a request's items,
+    best first. It gets the requests dealt by user, in tasks whose memory doesn't grow with their number.
+    """
+    return _replayed(rank(dealt(requests, requests.count(), "user_id")), k, ttl_seconds)
+
+
+def _replayed(requests: DataFrame, k: int, ttl_seconds: int | None) -> DataFrame:
+    """Slates of requests that are dealt by user_id and have their pool in order."""
     if k < 1 or (ttl_seconds is not None and ttl_seconds < 1):
         raise ValueError("k and ttl_seconds must be positive")
-    ship(pools.sparkSession)
+    ship(requests.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        user = request = last = None
+        user = last = None
         seen: set[int] = set()
-        pool: list[int] = []
-        out: list[tuple[int, int, int, int]] = []
-
-        def serve() -> None:
-            free = [i for i in pool if i not in seen]
-            slate = (free or pool)[:k]
-            out.extend((request, n, i, len(pool) - len(free)) for n, i in enumerate(slate))
-            seen.update(slate)
-
-        def told() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["request", "position", "item", "blocked"])
-
         for batch in batches:
-            for u, us, r, i in zip(*[batch.column(x).to_pylist() for x in range(4)], strict=True):
-                if (u, r) != (user, request):
-                    if pool:
-                        serve()
-                    if u != user or (ttl_seconds is not None and us - last > ttl_seconds * 1_000_000):
-                        seen = set()
-                    user, request, last, pool = u, r, us, []
-                pool.append(i)
-            yield told()
-        if pool:
-            serve()
-            yield told()
-
-    rows = pools.select("user_id", F.unix_micros("ts").alias("us"), F.col("request").cast("long").alias("request"), F.col("item").cast("long").alias("item"), F.col("score").cast("double").alias("score"))
-    best = F.when(F.isnan("score"), F.lit(None)).otherwise(F.col("score"))
-    rows = rows.repartition("user_id").sortWithinPartitions("user_id", "us", "request", best.desc_nulls_last(), "item")
-    return rows.select("user_id", "us", "request", "item").mapInArrow(run, "request long, position int, item long, blocked int")
+            pools = batch.column(3)
+            items, ends = pools.flatten().to_pylist(), np.cumsum(pools.value_lengths().to_numpy()).tolist()
+            slates: list[int] = []
+            sizes, blocked, start = [], [], 0
+            for u, us, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends, strict=True):
+                if u != user or (ttl_seconds is not None and us - last > ttl_seconds * 1_000_000):
+                    seen = set()
+                user, last, pool, start = u, us, items[start:end], end
+                free = [i for i in pool if i not in seen]
+                slate = (free or pool)[:k]
+                slates += slate
+                sizes.append(len(slate))
+                blocked.append(len(pool) - len(free))
+                seen.update(slate)
+            n = np.array(sizes, dtype=np.int64)
+            position = np.arange(len(slates)) - np.repeat(np.cumsum(n) - n, n)
+            requests = batch.column(2).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            columns = [requests, pa.array(position.astype(np.int32)), pa.array(slates, pa.int64()), pa.array(np.repeat(np.array(blocked, dtype=np.int32), n))]
+            yield pa.RecordBatch.from_arrays(columns, ["request", "position", "item", "blocked"])
+
+    rows = requests.sortWithinPartitions("user_id", "ts", "request").select("user_id", F.unix_micros("ts"), F.col("request").cast("long").alias("request"), "pool")
+    return rows.mapInArrow(run, "request long, position int, item long, blocked int")
 
 
 def bloom_size(capacity: Column, rate: float) -> tuple[Column, Column]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.columns import digest_uniform
+from larkspur.functions.columns import digest_digits
 from larkspur.operators import candidates, dictionary, dump, features, monitor, online
 from larkspur.plans.metrics import vectors
 from larkspur.plans.monitoring import FEATURES, served, with_lateness
@@ -54,12 +54,27 @@ SELECT request, (i - 1)::INTEGER AS position, slate[i] AS item, blocked FROM r,
 @query("seen_replay", REPLAY_SQL)
 def seen_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's requests in order, of the slate's own items and the most clicked ones, with what was served before blocked."""
-    rows = staged(slates_li(spark, sf_dir), "replay-slates")
-    asked = rows.groupBy(F.col("impression_id").alias("request"), "user_id").agg(F.min("ts").alias("ts"))
-    popular = rows.where("clicked").groupBy(F.col("item_id").alias("item")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "item").limit(12).select("item")
-    pools = asked.join(F.broadcast(popular)).unionByName(rows.select(F.col("impression_id").alias("request"), F.col("item_id").alias("item")).join(asked, "request")).distinct()  # 12 rows
-    score = digest_uniform(F.col("user_id").cast("string"), F.col("item").cast("string"), F.lit("replay"))
-    return candidates.replay_unseen(pools.withColumn("score", score), REPLAY_K)
+    asks, clicked = F.collect_set(F.struct("user_id", "ts")).alias("asks"), F.collect_list(F.when(F.col("clicked"), F.col("item_id"))).alias("clicked")
+    slates = staged(slates_li(spark, sf_dir, catalogued=False).groupBy("impression_id").agg(asks, F.collect_set("item_id").alias("items"), clicked), "replay-slates")
+    counts = slates.select(F.explode("clicked").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    popular = counts.orderBy(F.col("n").desc(), "item").limit(12).agg(F.collect_list("item").alias("popular"))
+    sooner = lambda a, b: a["user_id"].eqNullSafe(b["user_id"]) & F.coalesce(a["ts"] < b["ts"], a["ts"].isNotNull() & b["ts"].isNull())
+    first = F.filter("asks", lambda b: ~F.exists("asks", lambda a: sooner(a, b)))  # a user's earliest, of a request that has several
+    requests = slates.select(F.col("impression_id").alias("request"), F.inline(first), "items")
+    return candidates.replay_ranked(requests, lambda rows: _ranked(rows.join(F.broadcast(popular))), REPLAY_K)  # one row
+
+
+def _ranked(requests: DataFrame) -> DataFrame:
+    """Requests with their own and the popular items in the order of a hash of user and item; the popular ones are hashed once a user.
+
+    A hash's hexadecimal digits are in the order of its number; equal ones go to the smaller item.
+    """
+    place = lambda i: F.struct(digest_digits(F.col("user_id").cast("string"), i.cast("string"), F.lit("replay")).alias("by"), F.bitwise_not(i).alias("item"))
+    order = Window.partitionBy("user_id").orderBy("ts", "request")
+    top = F.when(F.row_number().over(order) == 1, F.sort_array(F.transform("popular", place), asc=False))
+    met = requests.withColumn("top", top).withColumn("top", F.first("top").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    both = F.sort_array(F.concat("top", F.transform(F.array_except("items", "popular"), place)), asc=False)
+    return met.withColumn("pool", F.transform(both, lambda x: F.bitwise_not(x["item"])))
 
 
 STEP, HALF_LIFE = 500, 2000.0

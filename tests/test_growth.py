@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur import registry
 from larkspur.functions.columns import digest_uniform
-from larkspur.operators import inference, scoring
+from larkspur.operators import candidates, inference, scoring
 from larkspur.sources import shared, views
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -88,3 +88,19 @@ def test_content_scores_of_rows_without_user_or_item(spark):
     cosine = red**2 / (red**2 + rare**2)
     assert got.columns == [*rows.columns, "score"]
     assert sorted((r["impression_id"], r["score"]) for r in got.collect()) == [(1, 0.0), (2, pytest.approx(cosine)), (2, pytest.approx(cosine)), (3, 0.0), (4, 0.0), (5, 0.0), (6, 0.0), (7, 0.0)]
+
+
+def test_replayed_requests_are_dealt_by_user_once(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 100)
+    df = QUERIES["seen_replay"](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.rdd.getNumPartitions() > 4
+    assert len(set(re.findall(r"hashpartitioning\(user_id[^)]*\)", plan))) == 1 and "hashpartitioning(request" not in plan
+    same_as_sql(spark, sf_dir, "seen_replay")
+
+
+def test_replay_of_ranked_requests(spark):
+    rows = [(1, 10, 5, [1, 2, 3]), (1, 11, 6, [3, 2, 1]), (1, 12, 7, [2, 1]), (2, 13, 1, []), (2, 14, 2, [7])]
+    requests = spark.createDataFrame(rows, "user_id long, request long, s long, items array<long>").withColumn("ts", F.timestamp_seconds("s")).repartition(3)
+    got = candidates.replay_ranked(requests, lambda r: r.withColumn("pool", F.col("items")), 2).collect()
+    assert sorted(map(tuple, got)) == [(10, 0, 1, 0), (10, 1, 2, 0), (11, 0, 3, 2), (12, 0, 2, 2), (12, 1, 1, 2), (14, 0, 7, 0)]
