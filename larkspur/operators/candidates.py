@@ -41,23 +41,44 @@ def matrix(column: pa.ChunkedArray, dtype: type = np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def winners(score, request: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(request, item, score): the k best of each request by (score desc, item); ``score(a, b, c, d)`` scores requests a to b with items c to d.
+#: Scores are compared by nine digits. What comes this close to a bound is rounded first, so not all scores of a tile are.
+DIGITS, CLOSE = 9, 2e-9
 
-    Scores are made tile by tile beside the best so far, so memory is that of a tile.
+
+def _reaching(scores: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rounded score) of all scores of a row that reach its ``least`` when both are rounded, and some that just don't."""
+    at = np.flatnonzero(scores >= np.maximum(least - CLOSE, np.finfo(float).min)[:, None])
+    return *np.divmod(at, scores.shape[1]), scores.ravel()[at].round(DIGITS)
+
+
+def _first_floor(scores: np.ndarray, floor: np.ndarray, k: int) -> np.ndarray:
+    """``floor``, and for rows that have none yet the k-th best of their scores."""
+    new = np.flatnonzero(np.isneginf(floor))
+    if len(new) and scores.shape[1] > k:
+        floor = floor.copy()
+        floor[new] = np.partition(scores if len(new) == len(scores) else scores[new], scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    return floor
+
+
+def winners(score, request: np.ndarray, item: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(request, item, score): the k best of each request by (score desc, item); ``score(a, b, at)`` scores requests a to b with the items at ``at``.
+
+    Scores are made tile by tile beside the best so far, so memory is that of a tile. Below a request's
+    entry of ``floors`` nothing is looked for.
     """
     order = np.argsort(item, kind="stable")
     out = []
     for a in range(0, len(request), TILE_Q):
         b = min(a + TILE_Q, len(request))
-        held, floor = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], np.full(b - a, -np.inf)  # row, place of the item, score
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # row, place of the item, score
+        floor = np.full(b - a, -np.inf) if floors is None else floors[a:b].copy()
         for c in range(0, len(item), TILE_I):
-            d = min(c + TILE_I, len(item))
-            scores = score(a, b, order[c:d])
+            scores = score(a, b, order[c : c + TILE_I])
             # Below the last of a full list nothing is taken, so later tiles are only compared.
-            least = floor if c else (np.partition(scores, d - c - k, axis=1)[:, d - c - k] if d - c > k else floor)
-            row, at = np.nonzero(scores >= least[:, None])
-            held = [np.concatenate(x) for x in zip(held, (row, at + c, scores[row, at]), strict=True)]
+            row, at, worth = _reaching(scores, floor if c else _first_floor(scores, floor, k))
+            if not len(row):
+                continue
+            held = [np.concatenate(x) for x in zip(held, (row, at + c, worth), strict=True)]
             first = np.lexsort((held[1], -held[2], held[0]))
             starts = np.searchsorted(held[0][first], np.arange(b - a))
             place = np.arange(len(first)) - starts[held[0][first]]
@@ -69,20 +90,27 @@ def winners(score, request: np.ndarray, item: np.ndarray, k: int) -> tuple[np.nd
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     out = q @ v.T
-    return np.round(out, 9, out=out)
+    return np.round(out, DIGITS, out=out)
 
 
-#: Items a block of an index, and scores of a tile of queries that wait to be merged.
-LOT, WAITING = 10_000, 1_000_000
+#: Items a block of an index, queries a block, and scores of a tile of queries that wait to be merged.
+LOT, QUERIES, WAITING = 10_000, 20_000, 1_000_000
 
 
 def probed(scorer, q: np.ndarray, centres: np.ndarray, probes: int, cell: np.ndarray, item: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row of q, place, score) by tiles of queries: the ``most`` best by (score desc, item) of the items in the ``probes`` nearest cells of each query.
 
-    ``scorer(tile, near)`` gives the scores of some of a tile's rows with some places of one cell; ``near`` has the products with the centres.
+    ``scorer(tile, near)`` gives a function of some of a tile's rows, places of items and the cells of these; ``near`` has the products with the centres.
+    Where queries look into many cells, or cells are small, the items of several cells are scored at once and those that a query doesn't look into are left out after that.
     """
     order = np.lexsort((item, cell))
-    ends = np.searchsorted(cell[order], np.arange(len(centres) + 1))
+    own, n = cell[order], len(order)
+    small = lambda x, most: x.astype(np.uint16) if most <= 1 << 16 else x  # noqa: E731 - sorted by radix
+    turn = small(np.argsort(np.argsort(item, kind="stable")), n)
+    cuts = {*range(0, n, TILE_I)}
+    if 4 * probes < len(centres) and n >= 8 * len(centres):
+        cuts |= {*(np.flatnonzero(np.diff(own)) + 1).tolist()}
+    cuts = [*sorted(cuts), n]
     for a in range(0, len(q), TILE_Q):
         tile = q[a : a + TILE_Q]
         near = tile @ centres.T
@@ -94,39 +122,54 @@ def probed(scorer, q: np.ndarray, centres: np.ndarray, probes: int, cell: np.nda
 
         def merge(floor: np.ndarray, held: list) -> None:
             row, at, worth = (np.concatenate(x) for x in zip(*held, strict=True))
-            first = np.lexsort((item[at], -worth, row))
-            place = np.arange(len(first)) - np.searchsorted(row[first], row[first])
+            first = np.lexsort((turn[at], -worth, small(row, TILE_Q)))
+            starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(floor)))))
+            place = np.arange(len(first)) - starts[row[first]]
             first, place = first[place < most], place[place < most]
             held[:] = [(row[first], at[first], worth[first])]
             floor[held[0][0][place == most - 1]] = held[0][2][place == most - 1]
 
-        for c in np.flatnonzero(np.diff(ends)).tolist():
-            asks = np.flatnonzero(chosen[:, c])
-            for b in range(ends[c], ends[c + 1] if len(asks) else ends[c], TILE_I):
-                places = order[b : min(b + TILE_I, ends[c + 1])]
-                worth = score(asks, places, c)
-                row, at = np.nonzero(worth >= floor[asks, None])
-                held.append((asks[row], places[at], worth[row, at]))
-                waiting += len(row)
-                if waiting > WAITING:
-                    merge(floor, held)
-                    waiting = 0
+        for b, d in zip(cuts, cuts[1:], strict=False):
+            there, sizes = np.unique(own[b:d], return_counts=True)
+            looks = chosen[:, there]
+            asks = np.flatnonzero(looks.any(1))
+            if not len(asks):
+                continue
+            worth = score(asks, order[b:d], own[b:d])
+            np.copyto(worth, -np.inf, where=~np.repeat(looks[asks], sizes, axis=1))
+            row, at, worth = _reaching(worth, _first_floor(worth, floor[asks], most))
+            held.append((asks[row], order[b:d][at], worth))
+            waiting += len(row)
+            if waiting > WAITING:
+                merge(floor, held)
+                waiting = 0
         merge(floor, held)
         yield held[0][0] + a, held[0][1], held[0][2]
 
 
-def in_blocks(queries: DataFrame, items: DataFrame, n_queries: int, best) -> DataFrame:
-    """(request, item, score) of ``best(asked, there)`` over every block of ``queries`` with every lot of ``items``, which has a column lot."""
-    blocks = max(1, -(-n_queries // LOT))
-    lots = items.select("lot").distinct()
-    asked = queries.select("request", "vector", F.pmod(F.xxhash64("request"), F.lit(blocks)).cast("int").alias("__q")).join(F.broadcast(lots.withColumnRenamed("lot", "__b")))  # a row a lot
-    there = items.withColumnRenamed("lot", "__b").withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return asked.groupBy("__q", "__b").cogroup(there.groupBy("__q", "__b")).applyInArrow(best, "request long, item long, score double")
+def in_blocks(queries: DataFrame, items: DataFrame, size: int, lots: int, best) -> DataFrame:
+    """(request, item, score) of ``best(asked, there)`` over blocks of at most about ``size`` of the stored ``queries`` with each lot of ``items``, whose column lot is below ``lots``.
+
+    There are as many tasks as meetings, so that none waits behind another because both fell into one partition of few;
+    few lots are met by more and smaller blocks. ``asked`` has a column floor: scores below it needn't come out.
+    """
+    least, n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), queries.count()
+    blocks = max(blocks_of(n, size), min(blocks_of(n, TILE_Q), blocks_of(least, lots)))
+    floor = F.col("floor") if "floor" in queries.columns else F.lit(float("-inf"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("request", "vector", floor.alias("floor"), F.pmod(F.xxhash64("request"), F.lit(blocks)).cast("int").alias("__q"), every(lots).alias("__b"))
+    there = items.withColumnRenamed("lot", "__b").withColumn("__q", every(blocks))
+    met = [df.repartition(max(least, blocks * lots), "__q", "__b").groupBy("__q", "__b") for df in (asked, there)]
+    return met[0].cogroup(met[1]).applyInArrow(best, "request long, item long, score double")
+
+
+def blocks_of(n: int, size: int) -> int:
+    return max(1, -(-n // size))
 
 
 def lot_of(n: int, size: int) -> Column:
     """The lot of an item among n: by its hash, so that a cell of many items lies in all lots."""
-    return F.pmod(F.xxhash64("item"), F.lit(max(1, -(-n // size)))).cast("int").alias("lot")
+    return F.pmod(F.xxhash64("item"), F.lit(blocks_of(n, size))).cast("int").alias("lot")
 
 
 def _found(request: np.ndarray, item: np.ndarray, score: np.ndarray) -> pa.Table:
@@ -140,13 +183,19 @@ def _block_winners(k: int):
         if not asked.num_rows or not there.num_rows:
             return _found(*[np.zeros(0)] * 3)
         q, v = matrix(asked["vector"]), matrix(there["vector"])
-        # Rounded, so that equal vectors tie wherever they stand in a product.
-        score = lambda a, b, at: _products(q[a:b], v[at])
-        return _found(*winners(score, np.asarray(asked["request"]), np.asarray(there["item"]), k))
+        # Rounded where they are taken, so that equal vectors tie wherever they stand in a product.
+        score = lambda a, b, at: q[a:b] @ v[at].T
+        floors = np.asarray(asked["floor"]) if "floor" in asked.column_names else None
+        return _found(*winners(score, np.asarray(asked["request"]), np.asarray(there["item"]), k, floors))
 
     return best
 
 
+def _plain(df: DataFrame, name: str) -> DataFrame:
+    """(name, vector) as long and array<double>, and floor where ``df`` has it."""
+    return df.select(F.col(name).cast("long").alias(name), F.col("vector").cast("array<double>").alias("vector"), *[c for c in ("floor",) if c in df.columns])
+
+
 def knn_exact(queries: DataFrame, items: DataFrame, k: int, block_rows: int = 20_000) -> DataFrame:
     """(request, item, score, rank): the k items of the largest inner product with each query, ties by item.
 
@@ -158,16 +207,61 @@ def knn_exact(queries: DataFrame, items: DataFrame, k: int, block_rows: int = 20
     """
     if k < 1 or block_rows < 1:
         raise ValueError("k and block_rows must be positive")
-    ship(queries.sparkSession)
-    plain = lambda df, name: df.select(F.col(name).cast("long").alias(name), F.col("vector").cast("array<double>").alias("vector"))
-    queries, items = staged(plain(queries, "request"), "knn-queries"), staged(plain(items, "item"), "knn-items")
-    n_q, n_i = (max(1, -(-df.count() // block_rows)) for df in (queries, items))  # counts of stored tables
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select("request", "vector", own("request", n_q).alias("__q"), every(n_i).alias("__b"))
-    there = items.select("item", "vector", own("item", n_i).alias("__b"), every(n_q).alias("__q"))
-    near = asked.groupBy("__q", "__b").cogroup(there.groupBy("__q", "__b")).applyInArrow(_block_winners(k), "request long, item long, score double")
-    return top_k(near, k)
+    lots, search = exact_lists(items, k, block_rows)
+    return search(queries, lots)
+
+
+#: Lists of some lots of items, and how many lots there are; see ``listed``.
+Lists = tuple[int, Callable[[DataFrame, int], DataFrame]]
+
+
+def exact_lists(items: DataFrame, k: int, block_rows: int = 20_000) -> Lists:
+    """The exact search for ``listed``; the items are stored here."""
+    ship(items.sparkSession)
+    items = staged(_plain(items, "item"), "knn-items")
+    n = items.count()
+    lots, there = blocks_of(n, block_rows), items.withColumn("lot", lot_of(n, block_rows))
+
+    def search(queries: DataFrame, some: int) -> DataFrame:
+        queries = staged(_plain(queries, "request"), "knn-queries")
+        return top_k(in_blocks(queries, there.where(F.col("lot") < some) if some < lots else there, block_rows, some, _block_winners(k)), k)
+
+    return lots, search
+
+
+#: How many times as many lots the next lists of ``listed`` are made of.
+GROWS = 8
+
+
+def scored_pairs(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
+    """(request, item, score, slack) of those ``pairs`` whose request and item have a vector; by ``slack`` a score may differ from that of a search."""
+    some = staged(items.join(pairs.select("item").distinct(), "item", "left_semi").select("item", F.col("vector").alias("__v")), "scored-items")  # often few
+    widest = items.agg(F.sqrt(F.max(dot(F.col("vector"), F.col("vector")))).alias("__w"))
+    asked = queries.join(F.broadcast(widest)).select("request", F.col("vector").alias("__q"), (F.lit(1e-8) + F.lit(1e-12) * F.col("__w") * F.sqrt(dot(F.col("vector"), F.col("vector")))).alias("slack"))  # one row
+    met = pairs.select("request", "item").join(asked, "request").join(some, "item").select("request", "item", dot(F.col("__q"), F.col("__v")).alias("score"), "slack")
+    return met.withColumn("score", F.max("score").over(Window.partitionBy("request", "item")))  # an item listed twice is in a list by its better vector
+
+
+def listed(pairs: DataFrame, queries: DataFrame, k: int, lists: Lists) -> DataFrame:
+    """The rows of ``pairs``, of ``scored_pairs``, whose item is in the request's list of the k best of all lots.
+
+    The last score of a full list of some lots is a bound: what is worse is not in the list of all lots. So lists
+    are made of one lot first, then of ``GROWS`` times as many, each time only for requests with a pair that is
+    still open, and at last of all lots with that score as floor. Each pair comes out as the lists of all requests would have it.
+    """
+    lots, search = lists
+    pairs, queries = pairs.select("request", "item", "score", "slack"), queries.select("request", "vector", F.lit(float("-inf")).alias("floor"))
+    queries = queries.join(pairs.select("request").distinct(), "request", "left_semi")
+    some = 1
+    while 4 * some <= lots:
+        last = search(queries, some).where(F.col("rank") == k).select("request", F.col("score").alias("__last"))
+        bound = F.col("__last") - F.col("slack")
+        met = pairs.join(last, "request", "left").withColumn("__floor", F.when(~F.isnan(bound), bound))
+        met = staged(met.where(~F.coalesce(F.col("score") < F.col("__floor"), F.lit(False))), "open-pairs")
+        pairs = met.select("request", "item", "score", "slack")
+        queries = queries.drop("floor").join(met.groupBy("request").agg(F.coalesce(F.max("__floor"), F.lit(float("-inf"))).alias("floor")), "request")
+        some *= GROWS
+    return pairs.join(search(queries, lots).select("request", "item"), ["request", "item"])
 
 
 def cells_for(n: int) -> int:
@@ -178,22 +272,79 @@ def cells_for(n: int) -> int:
 def ivf_cells(items: DataFrame, cells: int | None = None, seed: int = 42, sample: int = 50_000):
     """Cell centres by k-means over a bounded sample, and the items with their cell.
 
+    Rounds are passes of Arrow tasks over the stored sample; the driver holds centres, and rows to choose the first from.
     ``sample`` is at least ``PER_CELL`` a cell. Cells that the sample can't fill don't come out.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     n = items.count()
     cells = cells_for(n) if cells is None else min(cells, n // 2)  # some rows a centre
-    rows = items.select("item", "vector", array_to_vector(F.col("vector")).alias("features"))
-    share = min(1.0, max(sample, cells * PER_CELL) / max(n, 1))
-    part = F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
     if cells < 2:
         mean = [r["x"] for r in items.select(F.posexplode("vector").alias("p", "x")).groupBy("p").agg(F.avg("x").alias("x")).orderBy("p").collect()]  # a row a dimension
         return np.array([mean]) / max(np.linalg.norm(mean), 1e-12), items.select("item", "vector", F.lit(0).alias("cell"))
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(rows.where(part))
-    centres = np.array([c / max(np.linalg.norm(c), 1e-12) for c in model.clusterCenters()])
-    return centres, model.transform(rows).select("item", "vector", "cell")
+    ship(items.sparkSession)
+    rows = items.select("item", F.col("vector").cast("array<double>").alias("vector"))
+    share = min(1.0, max(sample, cells * PER_CELL) / max(n, 1))
+    part = F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    some = staged(rows.where(part), "ivf-sample")
+    first = some.orderBy(F.xxhash64(F.lit(seed), F.col("item")), "item").limit(max(4 * cells, FIRST)).select("vector").toArrow()
+    centres = _spread(matrix(first["vector"]), cells, seed)
+    for _ in range(ROUNDS):
+        told = _gathered(some, centres)
+        sums, size = np.zeros_like(centres), np.bincount(np.asarray(told["cell"]), np.asarray(told["n"]), len(centres))
+        np.add.at(sums, np.asarray(told["cell"]), matrix(told["sum"]))
+        centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
+    centres = centres[size > 0]
+    kind = rows.schema["item"].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = _nearest_centre(matrix(pa.chunked_array([b.column(1)])), centres) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32())], ["item", "vector", "cell"])
+
+    return centres / np.maximum(np.linalg.norm(centres, axis=1), 1e-12)[:, None], rows.mapInArrow(place, f"item {kind}, vector array<double>, cell int")
+
+
+#: Rounds of k-means, and rows at least that its first centres are chosen from.
+ROUNDS, FIRST = 10, 4096
+
+
+def _spread(x: np.ndarray, cells: int, seed: int) -> np.ndarray:
+    """At most ``cells`` rows of x far from each other: each next is drawn in proportion to the squared distance to the nearest before (k-means++)."""
+    rng = np.random.default_rng(seed)
+    norms, at = (x * x).sum(1), [int(rng.integers(len(x)))]
+    far = np.full(len(x), np.inf)
+    while True:
+        far = np.minimum(far, np.maximum(norms + norms[at[-1]] - 2 * (x @ x[at[-1]]), 0))
+        far[at[-1]] = 0
+        ends = np.cumsum(far)
+        if len(at) >= cells or not ends[-1] > 0:
+            return x[at]
+        at.append(min(int(np.searchsorted(ends, rng.random() * ends[-1], "right")), len(x) - 1))
+
+
+def _nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    own = (centres * centres).sum(1)
+    return np.concatenate([(own - 2 * x[a : a + TILE_Q] @ centres.T).argmin(1) for a in range(0, len(x), TILE_Q)])
+
+
+def _gathered(rows: DataFrame, centres: np.ndarray) -> pa.Table:
+    """(cell, n, sum) of the rows nearest to each centre, a row a task and centre that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, size = np.zeros_like(centres), np.zeros(len(centres), np.int64)
+        for b in batches:
+            if b.num_rows:
+                x = matrix(pa.chunked_array([b.column(0)]))
+                near = _nearest_centre(x, centres)
+                order = np.argsort(near, kind="stable")
+                first = np.flatnonzero(np.diff(near[order], prepend=-1))
+                sums[near[order][first]] += np.add.reduceat(x[order], first)
+                size += np.bincount(near, minlength=len(centres))
+        here = np.flatnonzero(size)
+        if len(here):
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(here) + 1) * sums.shape[1], pa.int32()), pa.array(sums[here].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), pa.array(size[here], pa.int64()), flat], ["cell", "n", "sum"])
+
+    return rows.select("vector").mapInArrow(run, "cell int, n long, sum array<double>").toArrow()
 
 
 def _cells_by_nearness(queries: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -239,16 +390,14 @@ def knn_ivf(queries: DataFrame, items: DataFrame, k: int, cells: int | None = No
         if not asked.num_rows or not there.num_rows:
             return _found(*[np.zeros(0)] * 3)
         q, v, request, item = matrix(asked["vector"]), matrix(there["vector"]), np.asarray(asked["request"]), np.asarray(there["item"])
-        scorer = lambda tile, near: lambda rows, places, cell: _products(tile[rows], v[places])
+        scorer = lambda tile, near: lambda rows, places, cells: tile[rows] @ v[places].T
         parts = list(probed(scorer, q, centres, probes, np.asarray(there["cell"]), item, k))
         row, at, score = (np.concatenate(x) for x in zip(*parts, strict=True))
         return _found(request[row], item[at], score)
 
     ship(queries.sparkSession)
-    plain = [F.col("vector").cast("array<double>").alias("vector")]
-    asked = queries.select(F.col("request").cast("long").alias("request"), *plain)
-    there = placed.select(F.col("item").cast("long").alias("item"), "cell", *plain, lot_of(n, LOT))
-    return top_k(in_blocks(asked, there, queries.count(), best), k)
+    there = placed.select(F.col("item").cast("long").alias("item"), "cell", F.col("vector").cast("array<double>").alias("vector"), lot_of(n, LOT))
+    return top_k(in_blocks(_plain(queries, "request"), there, QUERIES, blocks_of(n, LOT), best), k)
 
 
 def agreement(a: DataFrame, b: DataFrame, k: int) -> DataFrame:

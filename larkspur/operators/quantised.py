@@ -2,8 +2,8 @@
 
 Items lie in cells by their nearest centre. What a vector is beyond its centre is cut into
 sub-vectors, and each is stored as one byte, the nearest of 256 code vectors learned for its place.
-A query looks into the cells nearest to it; there a score is the product with the centre plus one
-number of a small table for each byte. The best of a lot by these scores are scored anew with their
+A query looks into the cells nearest to it; there a score is the product with what
+a code stands for, the centre plus a code vector for each byte. The best of a lot by these scores are scored anew with their
 whole vectors where the lot is read, so a query sends on k rows a lot.
 
 Centres and code vectors are learned from a bounded sample; every item is coded. The codes are a
@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators.candidates import _found, cells_for, in_blocks, ivf_cells, knn_exact, lot_of, matrix, probed, probes_for, top_k
+from larkspur.operators.candidates import DIGITS, QUERIES, Lists, _found, _plain, blocks_of, cells_for, exact_lists, in_blocks, ivf_cells, knn_exact, lot_of, matrix, probed, probes_for, top_k
 from larkspur.sources.shared import ship, staged
 
 CODES = 256
 #: Items a lot, and vectors that code vectors are learned from.
 LOT, SAMPLE = 10_000, 20_000
+#: Share of the exact lists that as many cells are looked into for.
+RECALL = 0.95
 
 
 @dataclass
@@ -37,6 +39,7 @@ class Index:
     codebooks: np.ndarray
     codes: DataFrame
     vectors: DataFrame
+    size: int
 
 
 def learn_codebooks(rows: np.ndarray, parts: int, seed: int = 42, rounds: int = 12) -> np.ndarray:
@@ -70,7 +73,7 @@ def encoded(rows: np.ndarray, codebooks: np.ndarray) -> np.ndarray:
 def build(items: DataFrame, parts: int = 16, cells: int | None = None, seed: int = 42) -> Index:
     """An index over (item, vector); all vectors have one length, which ``parts`` divides."""
     ship(items.sparkSession)
-    vectors = staged(items.select(F.col("item").cast("long").alias("item"), F.col("vector").cast("array<double>").alias("vector")), "pq-vectors")
+    vectors = staged(_plain(items, "item"), "pq-vectors")
     n = vectors.count()
     centres, placed = ivf_cells(vectors, cells or cells_for(n), seed)
     placed = staged(placed, "pq-placed")
@@ -88,50 +91,64 @@ def build(items: DataFrame, parts: int = 16, cells: int | None = None, seed: int
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in code], pa.binary()), b.column(2)], ["item", "cell", "code", "vector"])
 
     codes = placed.select("item", F.col("cell").cast("int").alias("cell"), "vector").mapInArrow(run, "item long, cell int, code binary, vector array<double>")
-    return Index(centres, codebooks, staged(codes.select(lot_of(n, LOT), "item", "cell", "code", "vector"), "pq-codes"), vectors)
+    return Index(centres, codebooks, staged(codes.select(lot_of(n, LOT), "item", "cell", "code", "vector"), "pq-codes"), vectors, n)
 
 
-def search(index: Index, queries: DataFrame, k: int, probes: int | None = None, rescored: int = 16, recall: float = 0.95) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, probes: int | None = None, rescored: int = 16, recall: float = RECALL, some: int | None = None) -> DataFrame:
     """(request, item, score, rank): the k best of the ``rescored`` x k items of each lot that the codes call best.
 
     Without ``probes`` there are as many cells as a sample of the queries needs to hold ``recall`` of their lists.
+    With ``some`` only the first so many lots are searched.
     """
     if k < 1 or rescored < 1:
         raise ValueError("k and rescored must be positive")
     ship(queries.sparkSession)
-    queries = staged(queries.select(F.col("request").cast("long").alias("request"), F.col("vector").cast("array<double>").alias("vector")), "pq-queries")
+    queries = staged(_plain(queries, "request"), "pq-queries")
     if probes is None:
         placed = index.codes.select("item", "cell")
         probes = probes_for(queries, index.vectors, placed, index.centres, k, recall)
-    centres, codebooks, most = index.centres, index.codebooks, k * rescored
+    lots = blocks_of(index.size, LOT) if some is None else some
+    codes = index.codes if some is None else index.codes.where(F.col("lot") < some)
+    return top_k(in_blocks(queries, codes, QUERIES, lots, _best(index.centres, index.codebooks, k, probes, k * rescored)), k)
+
+
+def _best(centres: np.ndarray, codebooks: np.ndarray, k: int, probes: int, most: int):
+    """A cogroup function: the k best items of a lot for each query of a block, of the ``most`` that the codes call best."""
 
     def best(asked: pa.Table, there: pa.Table) -> pa.Table:
         if not asked.num_rows or not there.num_rows:
             return _found(*[np.zeros(0)] * 3)
-        q, v, request, item = matrix(asked["vector"]), matrix(there["vector"]), np.asarray(asked["request"]), np.asarray(there["item"])
+        q, v, request, item, cell = matrix(asked["vector"]), matrix(there["vector"]), np.asarray(asked["request"]), np.asarray(there["item"]), np.asarray(there["cell"])
+        floor = np.asarray(asked["floor"])
         code = np.frombuffer(b"".join(there["code"].to_pylist()), np.uint8).reshape(there.num_rows, -1)
-
-        def scorer(tile: np.ndarray, near: np.ndarray):
-            width = codebooks.shape[2]
-            told = [tile[:, j * width : (j + 1) * width] @ book.T for j, book in enumerate(codebooks)]
-
-            def score(rows: np.ndarray, places: np.ndarray, cell: int) -> np.ndarray:
-                out = np.repeat(near[rows, cell][:, None], len(places), 1)
-                for j, products in enumerate(told):
-                    out += products[np.ix_(rows, code[places, j])]
-                return out
-
-            return score
-
+        told = np.concatenate([book[code[:, j]] for j, book in enumerate(codebooks)], 1) + centres[cell]
+        scorer = lambda tile, near: lambda rows, places, cells: tile[rows] @ told[places].T
         out = []
-        for row, at, _ in probed(scorer, q, centres, probes, np.asarray(there["cell"]), item, most):
-            worth = np.concatenate([np.einsum("nd,nd->n", q[row[a : a + 20_000]], v[at[a : a + 20_000]]) for a in range(0, len(row), 20_000)] or [np.zeros(0)]).round(9)
+        for row, at, _ in probed(scorer, q, centres, probes, cell, item, most):
+            worth = np.concatenate([np.einsum("nd,nd->n", q[row[a : a + 20_000]], v[at[a : a + 20_000]]) for a in range(0, len(row), 20_000)] or [np.zeros(0)]).round(DIGITS)
+            # Nothing below the worst of a row's first k by codes is sorted again.
+            nth, least, low = np.arange(len(row)) - np.searchsorted(row, row), floor.copy(), np.full(len(q), np.inf)
+            np.minimum.at(low, row[nth < k], worth[nth < k])
+            full = row[nth == k - 1]
+            least[full] = np.maximum(least[full], low[full])
+            high = worth >= least[row]
+            row, at, worth = row[high], at[high], worth[high]
             first = np.lexsort((item[at], -worth, row))
             first = first[np.arange(len(first)) - np.searchsorted(row[first], row[first]) < k]
             out.append((request[row[first]], item[at[first]], worth[first]))
         return _found(*[np.concatenate(x) for x in zip(*out, strict=True)])
 
-    return top_k(in_blocks(queries, index.codes, queries.count(), best), k)
+    return best
+
+
+def lists(queries: DataFrame, items: DataFrame, k: int) -> Lists:
+    """For ``candidates.listed``, the search of ``knn_ivfpq``; how many cells a query looks into is measured over ``queries``, of which later ones are a part."""
+    n = items.count()
+    if cells_for(n) < 2:
+        return exact_lists(items, k)
+    index = build(items)
+    probes = probes_for(_plain(queries, "request"), index.vectors, index.codes.select("item", "cell"), index.centres, k, RECALL)
+    return blocks_of(n, LOT), lambda asked, some: search(index, asked, k, probes, some=some)
 
 
 def knn_ivfpq(queries: DataFrame, items: DataFrame, k: int, parts: int = 16, cells: int | None = None, probes: int | None = None) -> DataFrame:

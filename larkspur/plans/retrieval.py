@@ -68,12 +68,11 @@ def knn_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ann_click_recall")
 def ann_click_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the items that requests clicked, the share in the exact list of their mean vector and in the index's."""
-    items, asked = _items(spark, sf_dir), mean_vectors(spark, sf_dir)
-    asked = staged(asked, "click-recall-queries")
-    hits = truth(spark, sf_dir).join(asked.select("request"), "request").join(items.select("item"), "item")
-    out = hits.agg(F.count(F.lit(1)).alias("clicks"))
-    for name, found in (("exact", candidates.knn_exact(asked, items, K)), ("index", quantised.knn_ivfpq(asked, items, K))):
-        got = hits.join(found.select("request", "item"), ["request", "item"]).agg(F.count(F.lit(1)).alias(f"{name}_hits"))
+    items, asked = (staged(df, f"click-recall-{name}") for name, df in (("items", _items(spark, sf_dir)), ("queries", mean_vectors(spark, sf_dir))))
+    clicked = staged(candidates.scored_pairs(staged(truth(spark, sf_dir), "click-recall-truth"), asked, items), "click-recall-pairs")
+    out = clicked.agg(F.count(F.lit(1)).alias("clicks"))
+    for name, lists in (("exact", candidates.exact_lists(items, K)), ("index", quantised.lists(asked, items, K))):
+        got = candidates.listed(clicked, asked, K, lists).agg(F.count(F.lit(1)).alias(f"{name}_hits"))
         out = out.join(F.broadcast(got))  # one row each
     return out.select("*", *[(F.col(f"{n}_hits") / F.greatest("clicks", F.lit(1))).alias(f"{n}_recall") for n in ("exact", "index")])
 

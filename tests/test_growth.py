@@ -5,12 +5,13 @@ import os
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur import registry
 from larkspur.functions.columns import digest_uniform
-from larkspur.operators import candidates, inference, scoring
+from larkspur.operators import candidates, inference, quantised, scoring
 from larkspur.sources import shared, views
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -104,3 +105,74 @@ def test_replay_of_ranked_requests(spark):
     requests = spark.createDataFrame(rows, "user_id long, request long, s long, items array<long>").withColumn("ts", F.timestamp_seconds("s")).repartition(3)
     got = candidates.replay_ranked(requests, lambda r: r.withColumn("pool", F.col("items")), 2).collect()
     assert sorted(map(tuple, got)) == [(10, 0, 1, 0), (10, 1, 2, 0), (11, 0, 3, 2), (12, 0, 2, 2), (12, 1, 1, 2), (14, 0, 7, 0)]
+
+
+@pytest.fixture(scope="module")
+def catalogue(spark):
+    """1,300 items, some of equal vectors, 90 requests and pairs of both: near ones, far ones, and some without vectors."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1300, 16))
+    v[1250:] = v[:50]
+    q = np.concatenate([v[:60] + rng.normal(size=(60, 16)), rng.normal(size=(30, 16))])
+    frame = lambda rows, name: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], f"{name} long, vector array<double>").cache()
+    pairs = [(i, j) for i in range(60) for j in (i, i + 1250, i + 1)] + [(i, int(j)) for i in range(95) for j in rng.integers(0, 1400, 2)]
+    return frame(q, "request"), frame(v, "item"), spark.createDataFrame(sorted({*pairs}), "request long, item long").cache()
+
+
+@pytest.mark.parametrize("kind", ["exact", "index"])
+def test_pairs_are_listed_as_whole_lists_say_but_few_requests_ask_all_items(spark, catalogue, monkeypatch, kind):
+    """The lists of some lots rule out most pairs, so that not every request meets every item."""
+    monkeypatch.setattr(quantised, "LOT", 40)
+    asked, items, pairs = catalogue
+    lots, search = candidates.exact_lists(items, 5, 40) if kind == "exact" else quantised.lists(asked, items, 5)
+    met = []
+    told = candidates.listed(candidates.scored_pairs(pairs, asked, items), asked, 5, (lots, lambda q, some: met.append((some, q.count())) or search(q, some)))
+    want = pairs.join(search(asked, lots).select("request", "item"), ["request", "item"])
+    got = told.select("request", "item")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and want.count() >= 20
+    assert lots == 33 and [some for some, _ in met] == [1, 8, 33]
+    assert met[0][1] == 90 > met[1][1] > met[2][1] >= want.select("request").distinct().count()
+
+
+def test_click_recall_is_that_of_whole_lists(spark, sf_dir, monkeypatch):
+    at = QUERIES["ann_click_recall"].__wrapped__.__globals__
+    exact = candidates.exact_lists
+    monkeypatch.setattr(candidates, "exact_lists", lambda items, k, rows=30: exact(items, k, rows))
+    monkeypatch.setattr(quantised, "LOT", 60)
+    row = QUERIES["ann_click_recall"](spark, sf_dir).first()
+    asked, items, clicked = at["mean_vectors"](spark, sf_dir), at["_items"](spark, sf_dir), at["truth"](spark, sf_dir)
+    clicked = clicked.join(asked.select("request"), "request").join(items.select("item"), "item")
+    assert row["clicks"] == clicked.count() > 0
+    for name, found in (("exact", candidates.knn_exact(asked, items, 10)), ("index", quantised.knn_ivfpq(asked, items, 10))):
+        n = clicked.join(found, ["request", "item"]).count()
+        assert row[f"{name}_hits"] == n > 0 and row[f"{name}_recall"] == pytest.approx(n / row["clicks"])
+
+
+def test_small_cells_are_scored_together():
+    """Calls are bounded by tiles; with one call a cell, an index took twenty times as long as all products."""
+    rng = np.random.default_rng(4)
+    v, q, centres, calls = rng.normal(size=(900, 8)), rng.normal(size=(70, 8)), rng.normal(size=(300, 8)), []
+    scorer = lambda tile, near: lambda rows, places, cells: calls.append(1) or tile[rows] @ v[places].T
+    found = list(candidates.probed(scorer, q, centres, 90, (v @ centres.T).argmax(1), rng.permutation(900), 12))
+    assert len(calls) == 1 and sum(len(f[0]) for f in found) == 12 * 70
+
+
+def test_no_task_a_cell_learns_centres(spark):
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(20, 32)) * 9
+    rows = middle[np.arange(1600) % 20] + rng.normal(size=(1600, 32)) * 0.1
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "item long, vector array<double>").cache()
+    context = spark.sparkContext
+    context.setJobGroup("cells", "cells")
+    wide = candidates.ivf_cells(v, 300)[0]
+    context.setJobGroup("rest", "rest")
+    told = context.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("cells") for s in told.getJobInfo(j).stageIds]
+    assert 200 < len(wide) <= 300 and max(s.numTasks for s in stages if s) < 100
+    centres, placed = candidates.ivf_cells(v, 20)
+    # Far groups are found, each whole.
+    assert len(centres) == 20 and np.allclose(np.linalg.norm(centres, axis=1), 1)
+    own = placed.groupBy((F.col("item") % 20).alias("g")).agg(F.count_distinct("cell").alias("n")).collect()
+    assert [r["n"] for r in own] == [1] * 20
+    equal = spark.range(200).select(F.col("id").alias("item"), F.array(F.lit(3.0), F.lit(4.0)).alias("vector"))
+    assert np.allclose(candidates.ivf_cells(equal, 9)[0], [[0.6, 0.8]])
