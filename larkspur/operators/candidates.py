@@ -97,6 +97,14 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 LOT, QUERIES, WAITING = 10_000, 20_000, 1_000_000
 
 
+def nearest_cells(near: np.ndarray, probes: int) -> np.ndarray:
+    """Of the products of queries with centres, which are the ``probes`` largest of a query."""
+    chosen = np.full(near.shape, probes >= near.shape[1])
+    if probes < near.shape[1]:
+        np.put_along_axis(chosen, np.argpartition(-near, probes - 1, axis=1)[:, :probes], True, 1)
+    return chosen
+
+
 def probed(scorer, q: np.ndarray, centres: np.ndarray, probes: int, cell: np.ndarray, item: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row of q, place, score) by tiles of queries: the ``most`` best by (score desc, item) of the items in the ``probes`` nearest cells of each query.
 
@@ -114,9 +122,7 @@ def probed(scorer, q: np.ndarray, centres: np.ndarray, probes: int, cell: np.nda
     for a in range(0, len(q), TILE_Q):
         tile = q[a : a + TILE_Q]
         near = tile @ centres.T
-        chosen = np.full(near.shape, probes >= len(centres))
-        if probes < len(centres):
-            np.put_along_axis(chosen, np.argpartition(-near, probes - 1, axis=1)[:, :probes], True, 1)
+        chosen = nearest_cells(near, probes)
         score, floor, waiting = scorer(tile, near), np.full(len(tile), -np.inf), 0
         held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
 
@@ -247,7 +253,8 @@ def listed(pairs: DataFrame, queries: DataFrame, k: int, lists: Lists) -> DataFr
 
     The last score of a full list of some lots is a bound: what is worse is not in the list of all lots. So lists
     are made of one lot first, then of ``GROWS`` times as many, each time only for requests with a pair that is
-    still open, and at last of all lots with that score as floor. Each pair comes out as the lists of all requests would have it.
+    still open, and at last of all lots. Whether an open pair is listed depends only on items that are no worse, so lists
+    after the first leave out what is below a request's worst open pair. Each pair comes out as the lists of all requests would have it.
     """
     lots, search = lists
     pairs, queries = pairs.select("request", "item", "score", "slack"), queries.select("request", "vector", F.lit(float("-inf")).alias("floor"))
@@ -256,10 +263,11 @@ def listed(pairs: DataFrame, queries: DataFrame, k: int, lists: Lists) -> DataFr
     while 4 * some <= lots:
         last = search(queries, some).where(F.col("rank") == k).select("request", F.col("score").alias("__last"))
         bound = F.col("__last") - F.col("slack")
-        met = pairs.join(last, "request", "left").withColumn("__floor", F.when(~F.isnan(bound), bound))
-        met = staged(met.where(~F.coalesce(F.col("score") < F.col("__floor"), F.lit(False))), "open-pairs")
-        pairs = met.select("request", "item", "score", "slack")
-        queries = queries.drop("floor").join(met.groupBy("request").agg(F.coalesce(F.max("__floor"), F.lit(float("-inf"))).alias("floor")), "request")
+        met = pairs.join(last, "request", "left").where(~F.coalesce((F.col("score") < bound) & ~F.isnan(bound), F.lit(False)))
+        pairs = staged(met.select("request", "item", "score", "slack"), "open-pairs")
+        # Without a bound, where few items were looked at, and where a score is no number, there is no floor.
+        low = F.when(F.count_if(F.isnan("score") | F.isnan("slack") | F.col("score").isNull()) == 0, F.min(F.col("score") - F.col("slack")))
+        queries = queries.drop("floor").join(pairs.groupBy("request").agg(F.coalesce(low, F.lit(float("-inf"))).alias("floor")), "request")
         some *= GROWS
     return pairs.join(search(queries, lots).select("request", "item"), ["request", "item"])
 

@@ -21,7 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators.candidates import DIGITS, QUERIES, Lists, _found, _plain, blocks_of, cells_for, exact_lists, in_blocks, ivf_cells, knn_exact, lot_of, matrix, probed, probes_for, top_k
+from larkspur.operators.candidates import (
+    CLOSE, DIGITS, QUERIES, TILE_I, TILE_Q, Lists, _found, _plain, _reaching, blocks_of, cells_for, exact_lists, in_blocks, ivf_cells, knn_exact, lot_of, matrix, nearest_cells, probed,
+    probes_for, top_k,
+)
 from larkspur.sources.shared import ship, staged
 
 CODES = 256
@@ -112,6 +115,29 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = None,
     return top_k(in_blocks(queries, codes, QUERIES, lots, _best(index.centres, index.codebooks, k, probes, k * rescored)), k)
 
 
+def _reached(q: np.ndarray, floor: np.ndarray, v: np.ndarray, told: np.ndarray, item: np.ndarray, cell: np.ndarray, centres: np.ndarray, probes: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of q, place, score) by tiles of queries: of the ``most`` best by (product with ``told`` desc, item) of the cells looked into, those whose score reaches the query's floor.
+
+    The other way round than without a floor: few items reach it, so these are found first, and only their queries' lots are put in the order of the codes.
+    """
+    step, n = max(1, TILE_Q * TILE_I // len(item)), len(item)
+    for a in range(0, len(q), step):
+        row, at, worth = _reaching(q[a : a + step] @ v.T, floor[a : a + step])
+        rows, own = np.unique(row, return_inverse=True)
+        tile = q[a + rows]
+        chosen = nearest_cells(tile @ centres.T, probes)
+        keep = (worth >= floor[a + row]) & chosen[own, cell[at]]
+        if n > most:
+            codes = tile @ told.T
+            np.copyto(codes, -np.inf, where=~chosen[:, cell])
+            last, mine = np.partition(codes, n - most, axis=1)[:, n - most][own], codes[own, at]
+            keep &= mine >= last - CLOSE
+            for i in np.flatnonzero(keep & (mine <= last + CLOSE)).tolist():  # at the end of the order, where nine digits and the item count
+                rounded = codes[own[i]].round(DIGITS)
+                keep[i] = (rounded > rounded[at[i]]).sum() + ((rounded == rounded[at[i]]) & (item < item[at[i]])).sum() < most
+        yield row[keep] + a, at[keep], worth[keep]
+
+
 def _best(centres: np.ndarray, codebooks: np.ndarray, k: int, probes: int, most: int):
     """A cogroup function: the k best items of a lot for each query of a block, of the ``most`` that the codes call best."""
 
@@ -124,18 +150,22 @@ def _best(centres: np.ndarray, codebooks: np.ndarray, k: int, probes: int, most:
         told = np.concatenate([book[code[:, j]] for j, book in enumerate(codebooks)], 1) + centres[cell]
         scorer = lambda tile, near: lambda rows, places, cells: tile[rows] @ told[places].T
         out = []
-        for row, at, _ in probed(scorer, q, centres, probes, cell, item, most):
+        free, bound = np.flatnonzero(np.isneginf(floor)), np.flatnonzero(~np.isneginf(floor))
+        for row, at, _ in probed(scorer, q[free], centres, probes, cell, item, most):
+            row = free[row]
             worth = np.concatenate([np.einsum("nd,nd->n", q[row[a : a + 20_000]], v[at[a : a + 20_000]]) for a in range(0, len(row), 20_000)] or [np.zeros(0)]).round(DIGITS)
             # Nothing below the worst of a row's first k by codes is sorted again.
-            nth, least, low = np.arange(len(row)) - np.searchsorted(row, row), floor.copy(), np.full(len(q), np.inf)
+            nth, low = np.arange(len(row)) - np.searchsorted(row, row), np.full(len(q), np.inf)
             np.minimum.at(low, row[nth < k], worth[nth < k])
-            full = row[nth == k - 1]
-            least[full] = np.maximum(least[full], low[full])
+            least = np.full(len(q), -np.inf)
+            least[row[nth == k - 1]] = low[row[nth == k - 1]]
             high = worth >= least[row]
-            row, at, worth = row[high], at[high], worth[high]
+            out.append((row[high], at[high], worth[high]))
+        out += [(bound[row], at, worth) for row, at, worth in _reached(q[bound], floor[bound], v, told, item, cell, centres, probes, most)]
+        for i, (row, at, worth) in enumerate(out):
             first = np.lexsort((item[at], -worth, row))
             first = first[np.arange(len(first)) - np.searchsorted(row[first], row[first]) < k]
-            out.append((request[row[first]], item[at[first]], worth[first]))
+            out[i] = request[row[first]], item[at[first]], worth[first]
         return _found(*[np.concatenate(x) for x in zip(*out, strict=True)])
 
     return best

@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,22 @@ def test_no_task_a_cell_learns_centres(spark):
     assert [r["n"] for r in own] == [1] * 20
     equal = spark.range(200).select(F.col("id").alias("item"), F.array(F.lit(3.0), F.lit(4.0)).alias("vector"))
     assert np.allclose(candidates.ivf_cells(equal, 9)[0], [[0.6, 0.8]])
+
+
+@pytest.mark.parametrize(("probes", "most"), [(30, 12), (9, 12), (9, 400)])
+def test_a_floor_leaves_what_a_search_without_it_finds_above(monkeypatch, probes, most):
+    monkeypatch.setattr(quantised, "TILE_Q", 7)
+    rng = np.random.default_rng(2)
+    v, q, centres, books = rng.normal(size=(900, 8)), rng.normal(size=(70, 8)), rng.normal(size=(30, 8)), rng.normal(size=(2, 256, 4))
+    v[700:] = v[:200]
+    cell = (v @ centres.T).argmax(1)
+    code = quantised.encoded(v - centres[cell], books)
+    lists = lambda x: pa.array(x.tolist(), pa.list_(pa.float64()))
+    there = pa.table({"item": rng.permutation(900), "cell": cell, "code": pa.array([c.tobytes() for c in code], pa.binary()), "vector": lists(v)})
+    asked = lambda floor: pa.table({"request": np.arange(70), "vector": lists(q), "floor": pa.array(floor, pa.float64())})
+    best = quantised._best(centres, books, 10, probes, most)
+    every = best(asked(np.full(70, -np.inf)), there).to_pylist()
+    floor = np.where(np.arange(70) % 5 > 0, [sorted((f["score"] for f in every if f["request"] == r), reverse=True)[r % 10] for r in range(70)], -np.inf)
+    got = best(asked(floor), there).to_pylist()
+    told = lambda rows: sorted((f["request"], f["item"], f["score"]) for f in rows)
+    assert told(got) == told(f for f in every if f["score"] >= floor[f["request"]]) and 70 < len(got) < len(every)
